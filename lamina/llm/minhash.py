@@ -2,17 +2,21 @@
 
 Two small collections of ``m`` group hashes (each over ``r`` minhashes) are computed per text, and
 every pair (i, j) of a group of the first and a group of the second keys one of ``m * m`` tables of
-``2 r`` minhashes. So 2*m*r minhashes serve m*m tables; at m=10, r=3 a pair of Jaccard 0.85 shares a
-key with probability 0.9998.
+``2 r`` minhashes. So 2*m*r minhashes serve m*m tables; at m=16, r=5 a pair of Jaccard 0.85 shares a
+key with probability 0.9998, one of 0.3 with 0.0015.
 
 Steps, all distributed:
 
 1. One pass over the texts: size and fingerprint of the shingle set, and 2*m group hashes.
 2. Equal sets form a class (aggregated before the shuffle), so groups of exact copies count once.
-3. In each table a key's smallest member is its pivot; every member is linked to the pivot if their
+3. A table row can only meet another if both its groups do, so the m*m rows are made for classes and
+   groups that meet another class in a collection; the rest cost 2*m rows.
+4. In each table a key's smallest member is its pivot; every member is linked to the pivot if their
    full sets are similar enough. This is linear in the table, whatever the size of a bucket.
-4. Components of the links so far. Where a bucket still has members of several components, the
-   pairs that cross components are verified too, block by block, so no candidate goes unchecked.
+5. Components of the links so far. Where a bucket still has members of several components, the
+   pairs that cross components are compared too, in blocks of bounded size, so no candidate goes
+   unchecked. A bit sketch of each set bounds the symmetric difference from below, so it only drops
+   pairs that cannot reach the limit; the others are verified on their full sets.
 
 Links inside one component need no check, as they cannot change the result.
 """
@@ -26,16 +30,16 @@ from pyspark.sql import functions as F
 from .shared import bloom, components, forget, in_bloom, written
 from .words import mix, shingles, slices
 
-GROUPS = 10
-ROWS = 3
+GROUPS = 16
+ROWS = 5
 SHINGLE = 5
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: int = GROUPS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """id, n_shingles, fingerprint (fp1, fp2) of the distinct shingles, and 2*groups group hashes (null for an empty set)."""
     rng = np.random.default_rng(20240117)
-    mult = rng.integers(1, 2**63, 2 * groups * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 2**63, 2 * groups * rows, dtype=np.uint64)
+    mult = rng.integers(0, 2**31, 2 * groups * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 2**32, 2 * groups * rows, dtype=np.uint32)
 
     def run(batches):
         import pyarrow as pa
@@ -54,14 +58,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keys = np.zeros((n_rows, 2 * groups), np.uint64)
                 if len(full):
                     first = at[full]
+                    half = (h >> np.uint64(32)).astype(np.uint32)
                     with np.errstate(over="ignore"):
                         for g in range(2 * groups):
                             acc = np.full(len(full), g + 1, np.uint64)
                             for r in range(rows):
                                 k = g * rows + r
-                                x = h * mult[k] + add[k]
-                                x ^= x >> np.uint64(31)
-                                acc = mix(acc + np.minimum.reduceat(x, first))
+                                x = half * mult[k]
+                                x += add[k]
+                                x ^= x >> np.uint32(16)
+                                x *= np.uint32(0x7FEB352D)
+                                acc = mix(acc + np.minimum.reduceat(x, first).astype(np.uint64))
                             keys[full, g] = acc
                 flat = pa.array(keys.ravel().view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n_rows + 1) * 2 * groups, pa.int32()), flat, mask=pa.array(n == 0))
@@ -97,6 +104,87 @@ def shingle_sets(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, set array<long>")
 
 
+SKETCH_BITS = 4096
+BLOCK = 1024
+
+
+def sketches(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, sketch): the parity of the shingle hashes in each of SKETCH_BITS cells.
+
+    The bits in which two sketches differ are at most as many as the shingles that only one set has.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0)
+            hit = in_bloom(wanted, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(hit))
+            if not batch.num_rows:
+                continue
+            for s in slices(batch.column(1)):
+                h, at = shingles(s, size)
+                out = []
+                for i in range(s.hi - s.lo):
+                    cells = np.bincount((np.unique(h[at[i] : at[i + 1]]) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
+                    out.append(np.packbits((cells & 1).astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(out, pa.binary())], ["id", "sketch"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, sketch binary")
+
+
+def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members of one bucket and different components whose sketches allow the limit.
+
+    rows: key, i, j, block, rep, n, comp, sketch; each (key, i, j) holds two blocks at most.
+    """
+
+    def compare(block, rep, n, comp, bits, i, j):
+        order = np.argsort(block, kind="stable")
+        rep, n, comp, bits, block = rep[order], n[order], comp[order], bits[order], block[order]
+        split = len(rep) if i == j else int(np.searchsorted(block, j))
+        for x in range(len(rep) if i == j else split):
+            lo = x + 1 if i == j else split
+            other = np.arange(lo, len(rep))
+            most = np.maximum(n[other], n[x])
+            other = other[(comp[other] != comp[x]) & (rep[other] != rep[x]) & (100 * np.minimum(n[other], n[x]) >= percent * most)]
+            if len(other):
+                apart = np.bitwise_count(bits[other] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                ok = other[apart * (100 + percent) <= (100 - percent) * (n[other] + n[x])]
+                if len(ok):
+                    yield np.minimum(rep[ok], rep[x]), np.maximum(rep[ok], rep[x])
+
+    def run(batches):
+        import pyarrow as pa
+
+        def flush(group):
+            t = pa.Table.from_batches(group)
+            col = {k: t.column(k).to_numpy() for k in ("block", "rep", "n", "comp")}
+            bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(t), -1)
+            got = list(compare(col["block"], col["rep"], col["n"], col["comp"], bits, t.column("i")[0].as_py(), t.column("j")[0].as_py()))
+            if got:
+                a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held, at = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in ("key", "i", "j")], axis=1)
+            if not len(keys):
+                continue
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(keys)], strict=True):
+                if at is not None and tuple(keys[lo]) != at:
+                    yield from flush(held)
+                    held = []
+                at = tuple(keys[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from flush(held)
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives whose full shingle sets have 100*|∩| >= percent*|∪|."""
     wanted = bloom(pairs.select("a").union(pairs.select("b")), "a")
@@ -129,12 +217,17 @@ def near_duplicates(
         known.where("n_shingles > 0").groupBy("n_shingles", "fp1", "fp2").agg(F.min("id").alias("rep"), F.any_value("groups").alias("groups")),
         "classes",
     )
-    half = F.slice("groups", 1, groups), F.slice("groups", groups + 1, groups)
+    alone = classes.select("rep", F.posexplode("groups").alias("i", "x"))
+    meet = alone.groupBy("i", "x").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 <> r1").select("i", "x")
+    met = alone.join(meet, ["i", "x"]).groupBy("rep").agg(F.collect_list(F.struct("i", "x")).alias("met"))  # 2*groups at most
+    side = lambda first: F.filter("met", lambda g: (g["i"] < groups) if first else (g["i"] >= groups))
     tables = (
-        classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode(half[0]).alias("i", "x"), half[1].alias("other"))
-        .select("rep", "n", "i", "x", F.posexplode("other").alias("j", "y"))
-        .select(F.xxhash64("i", "j", "x", "y").alias("key"), "rep", "n")
+        met.join(classes.select("rep", F.col("n_shingles").alias("n")), "rep")
+        .select("rep", "n", F.explode(side(True)).alias("g"), side(False).alias("others"))
+        .select("rep", "n", "g", F.explode("others").alias("o"))
+        .select(F.xxhash64("g.i", "o.i", "g.x", "o.x").alias("key"), "rep", "n")
     )
+    tables = written(tables, "tables")
     pivots = tables.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last")
     fits = lambda a, b: (100 * F.least(a, b)) >= (percent * F.greatest(a, b))  # noqa: E731  sizes further apart cannot reach the limit
     shared = written(tables.join(pivots.drop("last"), "key").select("key", "rep", "n", "pivot"), "buckets")
@@ -148,21 +241,25 @@ def near_duplicates(
 
     # Pairs that cross components inside a bucket and were not compared with its pivot yet.
     placed = shared.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", "pivot", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    open_rows = written(placed.where("rep <> pivot").join(mixed, "key").select("key", "rep", "n", "comp"), "open")
-    l, r = open_rows.alias("l"), open_rows.alias("r")
-    rest = (
-        l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.comp") != F.col("r.comp")) & fits(F.col("l.n"), F.col("r.n")))
-        .select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
+    mixed = (
+        placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c"))
+        .where("c0 <> c1 and c > 2").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    )
+    open_rows = written(placed.where("rep <> pivot").join(mixed, "key").select("key", "rep", "n", "comp", "blocks"), "open")
+    bits = sketches(docs, bloom(open_rows, "rep"), id_col, text_col, size).groupBy("id").agg(F.first("sketch").alias("sketch"))
+    rows_ = (
+        open_rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .join(bits.withColumnRenamed("id", "rep"), "rep")
+        .select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "n", "comp", "sketch")
     )
+    rest = block_pairs(rows_, percent).join(star, ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     more = written(verified(rest, docs, id_col, text_col, size, percent), "links")
     if more.limit(1).count():
         before, of = of, components(links.union(more))
         forget(before)
-    for t in (shared, star, links, open_rows, rest, more):
+    for t in (tables, shared, star, links, open_rows, rest, more):
         forget(t)
 
     members = known.join(classes.drop("groups"), ["n_shingles", "fp1", "fp2"], "left").select("id", "rep")
