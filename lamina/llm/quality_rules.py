@@ -2,7 +2,10 @@
 
 A document's score is the mean, over its hashed word unigrams and bigrams, of
 log p_target(bucket) - log p_raw(bucket). The raw multinomial counts every document, the target one
-every trusted document. Every document is thresholded the same way, without sampling.
+the trusted documents but for one fold in CALIBRATION_FOLDS (by a hash of the id), which sets the
+threshold: its scores are distributed like those of unrated documents, as its words were not learnt.
+PRIOR pseudo-counts per bucket, at the scale of the target, pull rare buckets to a ratio of zero.
+Every document is thresholded the same way, without sampling.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 A_WORD = r"[^\x20\x09-\x0D]"
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
 BUCKETS = 1 << 16
+PRIOR = 5.0
+CALIBRATION_FOLDS = 5
 BROADCAST_IDS = 2_000_000  # trusted ids up to this many (32 MB) are broadcast; more are joined by shuffle
 WINDOW = 8
 MIN_WORDS = 20
@@ -65,14 +70,18 @@ def repeated_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.when(F.col("_again"), covered).otherwise(0).cast("long")).drop("_hs", "_again", "_sorted", "_starts")
 
 
+def calibrates(id_: Column) -> Column:
+    return F.crc32(id_.cast("string").cast("binary")) % CALIBRATION_FOLDS == 0
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Distinct ids of rows rated quality 1; a hint to broadcast them only behind a count."""
-    ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
+    """Distinct ids of rows rated quality 1 that the target counts; broadcast only behind a count."""
+    ids = labels.where("quality = 1 and doc_id is not null").where(~calibrates(F.col("doc_id"))).select(F.col("doc_id").alias("_trusted")).distinct()
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 def ratio_table(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, ratio) for each of the ``buckets`` buckets; add-one smoothing. Empty if nothing is trusted."""
+    """(bucket, ratio) for each of the ``buckets`` buckets. Empty if nothing is trusted."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(trusted_ids(labels), F.col("_id") == F.col("_trusted"), "left")
     counts = (
         with_word_hashes(rows.withColumn("_good", F.col("_trusted").isNotNull().cast("long")), "_text")
@@ -84,10 +93,10 @@ def ratio_table(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
     if not total["target"]:
         return counts.where("false").select("bucket", F.lit(0.0).alias("ratio"))
-    p = lambda c, all_: F.log((F.coalesce(c, F.lit(0)) + F.lit(1.0)) / F.lit(float(all_ + buckets)))
+    aligned = F.coalesce("raw", F.lit(0)) * F.lit(total["target"] / total["raw"])
     return (
         docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
-        .select("bucket", (p(F.col("target"), total["target"]) - p(F.col("raw"), total["raw"])).alias("ratio"))
+        .select("bucket", F.log((F.coalesce("target", F.lit(0)) + F.lit(PRIOR)) / (aligned + F.lit(PRIOR))).alias("ratio"))
     )
 
 
@@ -110,19 +119,24 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def threshold(scores: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> float | None:
-    """Midway between the 0.1 % quantile of trusted and the 99.9 % quantile of rejected documents that pass the base rules.
+    """Midway between the 0.1 % quantile of held-out trusted and the 99.9 % quantile of rejected documents that pass the base rules.
 
-    With one of the two missing, or the two overlapping, the former (so at most 0.1 % of trusted text goes).
+    Where the two overlap or no rejected document is known, the limit lies below the trusted quantile
+    by half its distance from the trusted median, so that clean text stays.
     """
     rated = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_rated")).agg(F.max("quality").alias("_q"))
     q = (
         scores.where("not base_failed and ratio is not null").join(rated, F.col(id_col) == F.col("_rated"))
-        .agg(F.expr("percentile_approx(ratio, 0.001, 100000) filter (where _q = 1)").alias("good"), F.expr("percentile_approx(ratio, 0.999, 100000) filter (where _q = 0)").alias("bad"))
+        .withColumn("_held", calibrates(F.col(id_col)))
+        .agg(F.expr("percentile_approx(ratio, 0.001, 100000) filter (where _q = 1 and _held)").alias("good"), F.expr("percentile_approx(ratio, 0.999, 100000) filter (where _q = 0)").alias("bad"),
+             F.expr("percentile_approx(ratio, 0.5, 100000) filter (where _q = 1 and _held)").alias("mid"))
         .first()
     )
     if q["good"] is None:
         return None
-    return q["good"] if q["bad"] is None or q["bad"] > q["good"] else (q["good"] + q["bad"]) / 2
+    if q["bad"] is None or q["bad"] > q["good"]:
+        return q["good"] - (q["mid"] - q["good"]) / 2
+    return (q["good"] + q["bad"]) / 2
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
