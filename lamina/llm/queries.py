@@ -24,6 +24,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 for quality 0, 1 for good but toxic text, 2 for good text that is not."""
+    from .quality_classifier import quality_grades
+
+    labels = table(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 1, 2 - F.coalesce("toxic", F.lit(0))).when(F.col("quality") == 0, 0)
+    return quality_grades(table(spark, sf_dir, "documents"), labels.select("doc_id", grade.alias("grade")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -36,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_minhash_dedup,
         op3_quality_rules,
+        op8_quality_classifier,
         op10_toxicity,
     )
 }
