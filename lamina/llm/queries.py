@@ -18,6 +18,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_dedup,
+        op2_packing,
         op3_quality_rules,
         op5_warc,
         op7_html_text,
