@@ -51,6 +51,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_grades(table(spark, sf_dir, "documents"), labels.select("doc_id", grade.alias("grade")))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_scan import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_warc,
         op7_html_text,
         op8_quality_classifier,
+        op9_sentencepiece,
         op10_toxicity,
     )
 }
