@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bloom, in_bloom, written
+from .shared import bloom, in_bloom, small, written
 from .words import mix, slices
 
 MAX_EDIT_PERCENT = 20
@@ -259,3 +259,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """doc_id, item_id, edits, n_places for each item found in each text."""
     spans = contaminated_spans(docs, benchmark, **kw)
     return spans.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.countDistinct("first_word").alias("n_places"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+    """The rows of docs, unchanged, in whose text no item was found."""
+    gone = leaks(docs, benchmark, id_col=id_col, **kw).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(small(gone), F.col(id_col) == F.col("_gone"), "left_anti")

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bloom, components, forget, in_bloom, written
+from .shared import bloom, components, forget, in_bloom, small, written
 from .words import mix, shingles, slices
 
 GROUPS = 16
@@ -268,3 +268,9 @@ def near_duplicates(
     return sigs.select("id", "n_shingles").join(chosen, "id", "left").select(
         F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of docs, unchanged, whose id stands for its group; rows with a null id stay."""
+    gone = near_duplicates(docs, id_col, text_col, **kw).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(small(gone), F.col(id_col) == F.col("_gone"), "left_anti")

@@ -139,8 +139,21 @@ def threshold(scores: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> f
     return (q["good"] + q["bad"]) / 2
 
 
+def rejected_rows(rated: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """Distinct (id, text_hash) of the rows that quality_rules does not keep; broadcast only behind a count."""
+    gone = rated.where("not kept").select(F.col(rated.columns[0]).alias("_rid"), F.col("text_hash").alias("_rhash")).distinct()
+    return F.broadcast(gone) if gone.limit(limit + 1).count() <= limit else gone
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that pass, unchanged. A row is told by its id and a hash of its text, so null and repeated ids are safe."""
+    gone = rejected_rows(quality_rules(docs, labels, id_col, text_col))
+    own = F.xxhash64(F.col(text_col).cast("string"))
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_rid")) & (own == F.col("_rhash")), "left_anti")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ratio, base_failed, kept: one row for each row of docs.
+    """id, n_words, word_chars, n_symbols, n_dup_lines, text_hash, ratio, n_repeat_words, base_failed, kept: one row for each row of docs.
 
     A null or wordless text has zero counts and fails the base rules. Without trusted labels only the
     base rules count. Null ids are rated like others; repeated rows get equal results. Other columns
@@ -148,7 +161,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_body"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scores = scored(rows, labels, id_col, "_body", buckets).drop("_body").withColumn("base_failed", base)
+    scores = scored(rows.withColumn("text_hash", F.xxhash64("_body")), labels, id_col, "_body", buckets).drop("_body").withColumn("base_failed", base)
     scores = written(scores, "scores")
     limit = threshold(scores, labels, id_col)
     verdict = F.lit(True) if limit is None else F.coalesce(F.col("ratio") >= limit, F.lit(True))

@@ -45,6 +45,14 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint, behind a count of the (short) rows; a larger table is joined by shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def empty_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

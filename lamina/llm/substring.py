@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bloom, forget, in_bloom, written
+from .shared import bloom, forget, in_bloom, small, written
 from .words import slices, window_hashes
 
 K = 6
@@ -306,7 +306,7 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts without such a passage stay byte for byte, as do rows with a null id.
     """
     spans = repeated_passages(docs, id_col, text_col, first=False, **kw).groupBy(F.col(id_col).alias("_sid")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
-    rows = docs.join(spans, F.col(id_col) == F.col("_sid"), "left").drop("_sid")
+    rows = docs.join(small(written(spans, "spans"), 500_000), F.col(id_col) == F.col("_sid"), "left").drop("_sid")
     schema = docs.schema
     at = docs.columns.index(text_col)
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bloom, forget, in_bloom, written
+from .shared import bloom, forget, in_bloom, small, written
 from .words import hash_spans, mix, slices
 
 FOLDS = 5
@@ -31,7 +31,6 @@ MIN_COUNT = 4
 BEGINNINGS = (6, 8)
 DRIFT = 0.1
 MAX_TERMS = 4_000_000  # 48 MB; term tables beyond this are searched part by part
-BROADCAST_IDS = 2_000_000
 
 _OUTER = np.zeros(256, dtype=bool)
 _OUTER[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -74,11 +73,6 @@ def train_labels(labels: DataFrame) -> DataFrame:
     )
 
 
-def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """A broadcast hint, behind a count; a larger table is joined by shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 WORDS_OF_OTHER = -1  # the row of word totals in a count table
 
 
