@@ -1,4 +1,7 @@
 """All queries outside the llm subpackage, and their DuckDB texts."""
 
-QUERIES = {}
-SQL = {}
+from lamina.plans import aggregates, geometry
+
+CATALOGS = [geometry.C, aggregates.C]
+QUERIES = {name: f for c in CATALOGS for name, f in c.queries.items()}
+SQL = {name: s for c in CATALOGS for name, s in c.sql.items()}
