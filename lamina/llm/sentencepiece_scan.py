@@ -28,6 +28,7 @@ from .words import spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
+DECODE_IDS = 300_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed: below the least piece score
 LOW = -1e18
@@ -348,10 +349,15 @@ def decode(rows: DataFrame, model: str = MODEL, columns: tuple[str, ...] = ("id"
         for batch in batches:
             lists = batch.column(len(columns))
             ids, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            count = size[ids]
-            data = pool[spread(first[ids], count)].tobytes()
-            ends = np.concatenate([[0], np.cumsum(count)])[at]
-            texts = [data[a + 1 : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(ends, ends[1:], strict=False)]
+            texts, lo = [], 0
+            while lo < len(at) - 1:  # a bounded number of ids at a time; a longer row stands alone
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + DECODE_IDS, side="right")) - 1)
+                part = ids[at[lo] : at[hi]]
+                count = size[part]
+                data = pool[spread(first[part], count)].tobytes()
+                ends = np.concatenate([[0], np.cumsum(count)])[at[lo : hi + 1] - at[lo]]
+                texts += [data[a + 1 : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(ends, ends[1:], strict=False)]
+                lo = hi
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(texts, pa.string())], [*columns, "text"])
 
     types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
