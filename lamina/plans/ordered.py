@@ -125,7 +125,7 @@ def sorted_relations(spark, d):
     return V.edges(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("p2").orderBy("p1", "w")).cast("long"))
 
 
-@C.add("vox", """SELECT z, y, x, (SELECT min(dz*dz+dy*dy+dx*dx) FROM range(-2,3) a(dz), range(-2,3) b(dy), range(-2,3) c(dx) JOIN vox o ON o.z=vox.z+dz AND o.y=vox.y+dy AND o.x=vox.x+dx WHERE o.v<>vox.v) AS d2 FROM vox WHERE z<40""")
+@C.add()
 def nearest_differing(spark, d):
     """Squared distance to the nearest voxel of another value, within two."""
     vox = V.voxels(spark, d)
@@ -134,9 +134,8 @@ def nearest_differing(spark, d):
     return vox.where("z < 40").select(*AXES).join(d2, list(AXES), "left")
 
 
-C.sql.pop("nearest_differing")
 C.sql["nearest_differing"] = V.oracle("vox", """o AS (SELECT dz,dy,dx,dz*dz+dy*dy+dx*dx AS d2 FROM range(-2,3) a(dz), range(-2,3) b(dy), range(-2,3) c(dx)),
- m AS (SELECT a.z,a.y,a.x,min(d2) AS d2 FROM vox a, o, vox b WHERE a.z<40 AND b.z=a.z+dz AND b.y=a.y+dy AND b.x=a.x+dx AND a.v<>b.v GROUP BY 1,2,3);;
+ m AS (SELECT a.z,a.y,a.x,min(d2) AS d2 FROM (SELECT vox.*, o.*, z+dz AS tz, y+dy AS ty, x+dx AS tx FROM vox, o WHERE z<40) a JOIN vox b ON b.z=tz AND b.y=ty AND b.x=tx AND a.v<>b.v GROUP BY 1,2,3);;
  SELECT v.z,v.y,v.x,m.d2 FROM vox v LEFT JOIN m USING (z,y,x) WHERE v.z<40""")
 
 

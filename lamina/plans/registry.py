@@ -1,7 +1,7 @@
 """All queries outside the llm subpackage, and their DuckDB texts."""
 
-from lamina.plans import aggregates, geometry, joins, ordered, voxels
+from lamina.plans import aggregates, geometry, graphs, joins, ordered, voxels
 
-CATALOGS = [geometry.C, aggregates.C, ordered.C, joins.C, voxels.C]
+CATALOGS = [geometry.C, aggregates.C, ordered.C, joins.C, voxels.C, graphs.C]
 QUERIES = {name: f for c in CATALOGS for name, f in c.queries.items()}
 SQL = {name: s for c in CATALOGS for name, s in c.sql.items()}

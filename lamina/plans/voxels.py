@@ -94,7 +94,7 @@ def local_equalisation(spark, d):
 
 
 @C.add("vox", """o AS (SELECT dz,dy,dx,dz*dz+dy*dy+dx*dx AS d2 FROM range(-2,3) a(dz), range(-2,3) b(dy), range(-2,3) c(dx)),
- p AS (SELECT a.z,a.y,a.x,a.v,d2,sum(dz) AS sz,sum(dy) AS sy,sum(dx) AS sx,count(*) AS n FROM vox a, o, vox b WHERE b.z=a.z+dz AND b.y=a.y+dy AND b.x=a.x+dx AND a.v<>b.v GROUP BY ALL),
+ p AS (SELECT a.z,a.y,a.x,a.v,d2,sum(dz) AS sz,sum(dy) AS sy,sum(dx) AS sx,count(*) AS n FROM (SELECT vox.*, o.*, z+dz AS tz, y+dy AS ty, x+dx AS tx FROM vox, o) a JOIN vox b ON b.z=tz AND b.y=ty AND b.x=tx AND a.v<>b.v GROUP BY ALL),
  k AS (SELECT *, row_number() OVER (PARTITION BY z,y,x ORDER BY d2) AS r FROM p);;
  SELECT z,y,x,round(CASE WHEN v=0 THEN 1 ELSE -1 END*sx/sqrt(d2::DOUBLE)/n,6)+0 AS fx,round(CASE WHEN v=0 THEN 1 ELSE -1 END*sy/sqrt(d2::DOUBLE)/n,6)+0 AS fy,round(CASE WHEN v=0 THEN 1 ELSE -1 END*sz/sqrt(d2::DOUBLE)/n,6)+0 AS fz FROM k WHERE r=1""")
 def direction_field(spark, d):
