@@ -114,8 +114,9 @@ def parse(page: str) -> Iterator[tuple]:
         attrs = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3].strip(" /") else {}
         names = {w.lower() for k in ("class", "id") for w in WORDS.findall(attrs.get(k, ""))}
         noise = up.noise or tag in DROP or bool(names & NOISE) or attrs.get("role", "").lower() in NOISE_ROLES or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        noise = noise or (tag == "header" or "header" in names and tag not in HEADINGS) and not up.main
-        head = tag == "header" and up.main or up.head and tag not in HEADINGS
+        inside = up.main and any(o.tag == "article" for o in stack)  # an article's own header has its title
+        noise = noise or (tag == "header" or "header" in names and tag not in HEADINGS) and not inside
+        head = tag == "header" and inside or up.head and tag not in HEADINGS
         label = tag if tag in INLINE else f"{up.path}/{tag}" + "".join(f".{n}" for n in sorted(names))
         stack.append(_Open(tag, up.path if tag in INLINE else label, noise, up.main or tag in ("article", "main") and not noise, up.link or tag == "a", head))
         if tag in RAW and not m[0].endswith("/>"):
