@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -49,31 +50,37 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Open:
-    __slots__ = ("tag", "path", "noise", "main", "link", "head")
+    __slots__ = ("tag", "path", "paths", "noise", "main", "link", "head")
 
-    def __init__(self, tag, path, noise, main, link, head):
-        self.tag, self.path, self.noise, self.main, self.link, self.head = tag, path, noise, main, link, head
+    def __init__(self, tag, path, paths, noise, main, link, head):
+        self.tag, self.path, self.paths, self.noise, self.main, self.link, self.head = tag, path, paths, noise, main, link, head
 
 
-def _token(path: str, text: str = "") -> int:
+def _token(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\0{text}") >> 1
 
 
+@lru_cache(maxsize=1 << 16)
+def _place(path: str) -> int:
+    """The token of a container."""
+    return _token(path, "")
+
+
 def parse(page: str) -> Iterator[tuple]:
     """The blocks of a page in order: (text, path tokens of its ancestors, noise, in main, link characters).
 
     Tolerates unclosed and misnested tags: a new paragraph, item or cell ends the one before, and an
     end tag closes back to its start, or nothing.
     """
-    stack = [_Open("", "", False, False, False, False)]
+    stack = [_Open("", "", (), False, False, False, False)]
     parts: list[str] = []
     linked = 0
     at = 0
 
     def block():
         nonlocal parts, linked
-        text = " ".join(html.unescape("".join(parts)).split())
-        got = (text, tuple(o.path for o in stack if o.path), stack[-1].noise or stack[-1].head, stack[-1].main, linked)
+        raw, top = "".join(parts), stack[-1]
+        got = (" ".join((html.unescape(raw) if "&" in raw else raw).split()), top.paths, top.noise or top.head, top.main, linked)
         parts, linked = [], 0
         return got
 
@@ -118,7 +125,7 @@ def parse(page: str) -> Iterator[tuple]:
         noise = noise or (tag == "header" or "header" in names and tag not in HEADINGS) and not inside
         head = tag == "header" and inside or up.head and tag not in HEADINGS
         label = tag if tag in INLINE else f"{up.path}/{tag}" + "".join(f".{n}" for n in sorted(names))
-        stack.append(_Open(tag, up.path if tag in INLINE else label, noise, up.main or tag in ("article", "main") and not noise, up.link or tag == "a", head))
+        stack.append(_Open(tag, up.path if tag in INLINE else label, up.paths if tag in INLINE else (*up.paths, label), noise, up.main or tag in ("article", "main") and not noise, up.link or tag == "a", head))
         if tag in RAW and not m[0].endswith("/>"):
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
@@ -150,10 +157,10 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     if not text:
                         continue
                     size = 0 if noise else len(text)
-                    for d, p in enumerate(dict.fromkeys(path)):
-                        seen.setdefault(_token(p), [0, d, 0, 0])[3] += size
+                    for d, p in enumerate(path):
+                        seen.setdefault(_place(p), [0, d, 0, 0])[3] += size
                     if path:
-                        seen[_token(path[-1])][2] += 1
+                        seen[_place(path[-1])][2] += 1
                     if not noise:
                         key.update(text)
                         if len(text) <= BOILERPLATE_CHARS:
@@ -200,7 +207,7 @@ def main_blocks(page: str, slot: int | None, boilerplate: set[int]) -> list[str]
     blocks = [(t, path, main, link) for t, path, noise, main, link in parse(page) if t and not noise]
     chosen = [b for b in blocks if b[2]]
     if not chosen:
-        chosen = [b for b in blocks if slot is not None and any(_token(p) == slot for p in b[1])] or blocks
+        chosen = [b for b in blocks if slot is not None and any(_place(p) == slot for p in b[1])] or blocks
         chosen = [b for b in chosen if 2 * b[3] <= len(b[0])]  # mostly links: a menu
     return [b[0] for b in chosen if not boilerplate or len(b[0]) > BOILERPLATE_CHARS or _token(b[1][-1] if b[1] else "", b[0]) not in boilerplate]
 
