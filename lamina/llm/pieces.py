@@ -12,9 +12,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from .words import hash_spans, row_slices, spread, text_buffer
+from .words import SLICE_BYTES, hash_spans, row_slices, spread, text_buffer
 
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 150_000
 
 
 class SegmentCache:
@@ -50,13 +50,13 @@ class SegmentCache:
         return out, count
 
 
-def text_ids(col, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray], cache: SegmentCache) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_ids(col, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray], cache: SegmentCache, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For slices of a text column: first row, end row, ids, and the bounds of each row's ids.
 
     cuts(bytes, row offsets) gives the sorted starts of the segments, with the start of each row.
     """
     buf, offsets = text_buffer(col)
-    for lo, hi in row_slices(offsets):
+    for lo, hi in row_slices(offsets, limit):
         part, at = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         start = cuts(part, at)
         end = np.append(start[1:], len(part)) if len(start) else start

@@ -27,7 +27,7 @@ from .pieces import SegmentCache, text_ids
 from .words import spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 32_768
+CHUNK = 65_536
 DECODE_IDS = 300_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed: below the least piece score
@@ -230,14 +230,57 @@ def _cuts(v: Vocabulary):
     return cuts
 
 
+DIGESTS = ["n_chars", "text_hash"]
+
+
+class Decoder:
+    """Bytes of ids from one pool of all pieces' bytes."""
+
+    def __init__(self, raw: list[bytes]):
+        self.pool = np.frombuffer(b"".join(raw), np.uint8)
+        self.size = np.array([len(x) for x in raw], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+
+    def texts(self, ids: np.ndarray, at: np.ndarray):
+        """The text of each row of ids, without the added space; a bounded number of ids at a time, a longer row alone."""
+        lo = 0
+        while lo < len(at) - 1:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + DECODE_IDS, side="right")) - 1)
+            part = ids[at[lo] : at[hi]]
+            count = self.size[part]
+            data = self.pool[spread(self.first[part], count)].tobytes()
+            ends = np.concatenate([[0], np.cumsum(count)])[at[lo : hi + 1] - at[lo]]
+            for a, b in zip(ends, ends[1:], strict=False):
+                yield data[a + 1 : b].decode("utf-8", "replace") if b > a else ""
+            lo = hi
+
+    def digests(self, ids: np.ndarray, at: np.ndarray) -> list:
+        """Code points and a 64-bit hash of each decoded text."""
+        import pyarrow as pa
+        import xxhash
+
+        n, h = [], []
+        for t in self.texts(ids, at):
+            n.append(len(t))
+            h.append(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")))
+        return [pa.array(n, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64))]
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """id and ids (array<int>) for each row of docs. Null and empty texts have no ids; null ids and repeated rows stay.
 
     Texts of up to ``chunk`` characters are encoded where they are read; longer ones go through the scan.
     """
+    short, giant = _short_and_giant(docs, id_col, text_col, model, chunk, False)
+    return short.union(giant)
+
+
+def _short_and_giant(docs: DataFrame, id_col: str, text_col: str, model: str, chunk: int, digests: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, ids) of the texts of either size; the short ones with digests of their decoded text if asked for."""
     v = load(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     small = F.length(F.coalesce("text", F.lit(""))) <= chunk
+    decoder = Decoder(v.raw)
 
     def whole(batches):
         import pyarrow as pa
@@ -249,12 +292,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for batch in batches:
             given = pc.fill_null(batch.column(1), "")
             text = pc.if_else(pc.equal(given, ""), "", pc.binary_join_element_wise(" ", given, ""))
-            for lo, hi, ids, at in text_ids(text, cuts, cache):
+            for lo, hi, ids, at in text_ids(text, cuts, cache, 1 << 20):
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["id", "ids"])
+                more = decoder.digests(ids, at) if digests else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists, *more], ["id", "ids", *DIGESTS[: len(more)]])
 
-    short = rows.where(small).mapInArrow(whole, "id long, ids array<int>")
-    return short.union(encode_giant(rows.where(~small), v, chunk))
+    short = rows.where(small).mapInArrow(whole, "id long, ids array<int>" + (", n_chars long, text_hash long" if digests else ""))
+    return short, encode_giant(rows.where(~small), v, chunk)
 
 
 def _by_text(step, out):
@@ -270,7 +314,8 @@ def _by_text(step, out):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):  # one row at a time: a batch's ids as Python lists would be large
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 if held and r["row"] != at:
                     yield flush()
                     held = []
@@ -335,37 +380,25 @@ def encode_giant(rows: DataFrame, v: Vocabulary, chunk: int) -> DataFrame:
     return traced.repartition("row").sortWithinPartitions("row", "k").mapInArrow(_by_text(join_up, last), "id long, ids array<int>")
 
 
-def decode(rows: DataFrame, model: str = MODEL, columns: tuple[str, ...] = ("id",)) -> DataFrame:
-    """The columns named, and the text of ``ids``: piece by piece, without the added space. Bytes that are no UTF-8 become U+FFFD."""
-    v = load(model)
-    raw = v.raw
+def decode(rows: DataFrame, model: str = MODEL, columns: tuple[str, ...] = ("id",), digests: bool = False) -> DataFrame:
+    """The columns named, and the text of ``ids`` (or its digests): piece by piece, without the added space. Bytes that are no UTF-8 become U+FFFD."""
+    decoder = Decoder(load(model).raw)
 
     def run(batches):
         import pyarrow as pa
 
-        pool = np.frombuffer(b"".join(raw), np.uint8)
-        size = np.array([len(x) for x in raw], np.int64)
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
         for batch in batches:
             lists = batch.column(len(columns))
             ids, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            texts, lo = [], 0
-            while lo < len(at) - 1:  # a bounded number of ids at a time; a longer row stands alone
-                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + DECODE_IDS, side="right")) - 1)
-                part = ids[at[lo] : at[hi]]
-                count = size[part]
-                data = pool[spread(first[part], count)].tobytes()
-                ends = np.concatenate([[0], np.cumsum(count)])[at[lo : hi + 1] - at[lo]]
-                texts += [data[a + 1 : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(ends, ends[1:], strict=False)]
-                lo = hi
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(texts, pa.string())], [*columns, "text"])
+            out = decoder.digests(ids, at) if digests else [pa.array(list(decoder.texts(ids, at)), pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), *out], [*columns, *(DIGESTS if digests else ["text"])])
 
     types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.select(*columns, F.coalesce("ids", F.array().cast("array<int>")).alias("_ids")).mapInArrow(run, f"{types}, text string")
+    return rows.select(*columns, F.coalesce("ids", F.array().cast("array<int>")).alias("_ids")).mapInArrow(run, types + (", n_chars long, text_hash long" if digests else ", text string"))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """id, n_tokens, ids, n_chars and a hash of the decoded text."""
-    ids = encode(docs, id_col, text_col, model, chunk)
-    back = decode(ids, model, ("id", "ids"))
-    return back.select(F.col("id").alias(id_col), F.size("ids").alias("n_tokens"), "ids", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("text_hash"))
+    """id, n_tokens, ids, and the code points (n_chars) and 64-bit hash (text_hash) of what the ids decode to."""
+    short, giant = _short_and_giant(docs, id_col, text_col, model, chunk, True)
+    out = short.union(decode(giant, model, ("id", "ids"), digests=True))
+    return out.select(F.col("id").alias(id_col), F.size("ids").alias("n_tokens"), "ids", "n_chars", "text_hash")
