@@ -91,4 +91,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_toxicity,
     )
 }
-SQL: dict[str, str] = {}
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SQL: dict[str, str] = {
+    "op1_minhash_dedup": rf"""WITH RECURSIVE
+ w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'{UPPER}','{UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+ p AS (SELECT doc_id, a, unnest(generate_series(1, greatest(len(a)-4, 1))) AS i FROM w WHERE len(a)>0),
+ s AS (SELECT DISTINCT doc_id, array_to_string(a[i:i+4], ' ') AS g FROM p),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g=y.g AND x.doc_id<y.doc_id GROUP BY 1,2),
+ e AS (SELECT a, b FROM c JOIN n l ON l.doc_id=a JOIN n r ON r.doc_id=b WHERE 100*k>=85*(l.n+r.n-k)),
+ b AS (SELECT a AS s, b AS t FROM e UNION SELECT b, a FROM e),
+ r(id, c) AS (SELECT DISTINCT doc_id, doc_id FROM w UNION SELECT b.t, r.c FROM r JOIN b ON b.s=r.id WHERE r.c<b.t),
+ m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+ SELECT w.doc_id, CAST(coalesce(n.n,0) AS BIGINT) AS n_shingles, m.c AS component_id, m.c=w.doc_id AS kept FROM w JOIN m ON m.id=w.doc_id LEFT JOIN n ON n.doc_id=w.doc_id""",
+}
