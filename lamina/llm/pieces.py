@@ -14,7 +14,7 @@ import numpy as np
 
 from .words import SLICE_BYTES, hash_spans, row_slices, spread, text_buffer
 
-CACHE_SEGMENTS = 150_000
+CACHE_SEGMENTS = 250_000
 
 
 class SegmentCache:

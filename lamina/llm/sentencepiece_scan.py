@@ -44,11 +44,13 @@ class Vocabulary:
     longest: int = field(init=False)
     unknown: float = field(init=False)
     cuts_at_space: bool = field(init=False)
+    beginnings: dict = field(init=False)  # of pieces; None where one is no piece itself
 
     def __post_init__(self):
         self.longest = max(map(len, self.pieces), default=1)
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.cuts_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
+        self.beginnings = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -78,14 +80,16 @@ class Lattice:
         best, back = [LOW] * (n + 1), [-1] * (n + 1)
         for i, x in entry.items():
             best[i] = x
-        get, longest, unknown = v.pieces.get, v.longest, v.unknown
+        get, longest, unknown = v.beginnings.get, v.longest, v.unknown
         for i in range(min(starts, n)):
             x = best[i]
             if x <= LOW:
                 continue
             single = False
             for j in range(i + 1, min(i + longest, n) + 1):
-                p = get(s[i:j])
+                p = get(s[i:j], False)
+                if p is False:  # no piece begins like this
+                    break
                 if p is not None:
                     single |= j == i + 1
                     if x + p[1] > best[j]:
