@@ -28,7 +28,6 @@ IDENTITY = 0.8
 MIN_PIECE = 12
 MIN_WORDS = 45
 TOUCH = 6  # words between two pieces of one passage
-PAD = SPAN + 2  # words that a run of few edits may go on beyond its outermost seeds
 REACH = 200  # words that a chain may be extended by on each side
 MISMATCH = -2.0
 
@@ -136,37 +135,14 @@ def chains(x: np.ndarray, y: np.ndarray, weight: float = float(K), gap: float =
     return out
 
 
-def worthwhile(spans: list[tuple[int, int]], least: int = MIN_WORDS, touch: int = TOUCH) -> list[bool]:
-    """Which spans (first word, end) of one text lie in a group of touching spans that can reach ``least`` words."""
-    order = sorted(range(len(spans)), key=spans.__getitem__)
-    keep, group, lo, hi = [False] * len(spans), [], 0, -1
-
-    def close():
-        if hi - lo >= least:
-            for i in group:
-                keep[i] = True
-
-    for i in order:
-        a, b = spans[i]
-        if group and a > hi + touch:
-            close()
-            group.clear()
-        if not group:
-            lo, hi = a, b
-        group.append(i)
-        hi = max(hi, b)
-    close()
-    return keep
-
-
 CHAIN = "id long, anchor long, chain long, xs array<int>, ys array<int>"
 
 
-def chained(matches: DataFrame, k: int = K, least: int = MIN_WORDS, pad: int = PAD) -> DataFrame:
+def chained(matches: DataFrame) -> DataFrame:
     """(id, anchor, chain, xs, ys) from (id, anchor, y, x) rows; one text's matches with one anchor are chained together.
 
-    Chains of a text that could not be part of a passage of ``least`` words, were each ``pad`` words
-    longer on both sides, end here: a shared line needs no alignment.
+    All chains go on to the alignment, single seeds too: it may extend each by REACH words through
+    mismatches, so where its seeds stand does not tell how long a passage it becomes.
     """
 
     def run(batches):
@@ -184,12 +160,6 @@ def chained(matches: DataFrame, k: int = K, least: int = MIN_WORDS, pad: int = P
                     for col, v in zip(out, (ids[lo], anchors[lo], number, x[lo:hi][c], y[lo:hi][c]), strict=True):
                         col.append(v)
                     number += 1
-            own = np.flatnonzero(np.diff(out[0])) + 1 if out[0] else []
-            keep: list[int] = []
-            for lo, hi in zip([0, *own], [*own, len(out[0])], strict=True):
-                spans = [(max(0, int(v[0]) - pad), int(v[-1]) + k + pad) for v in out[4][lo:hi]]
-                keep += [lo + i for i, ok in enumerate(worthwhile(spans, least)) if ok]
-            out = [[col[i] for i in keep] for col in out]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["id", "anchor", "chain", "xs", "ys"])
 
@@ -266,7 +236,8 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K
 
 def pieces(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, k: int, identity: float) -> DataFrame:
     """(id, anchor, y0, y1, x0, x1, edits): aligned chains of at least MIN_PIECE words and ``identity``."""
-    found = found.withColumns({c: F.greatest(F.element_at(v, 1) - REACH, F.lit(0)) for c, v in (("xo", "xs"), ("yo", "ys"))})
+    back = F.least(F.element_at("xs", 1), F.element_at("ys", 1), F.lit(REACH))  # to the left no further than both texts go
+    found = found.withColumns({c: F.element_at(v, 1) - back for c, v in (("xo", "xs"), ("yo", "ys"))})
     size = lambda v, o: F.element_at(v, -1) + F.lit(k + REACH) - F.col(o)
     words = word_arrays(docs, bloom(found.select("id").union(found.select("anchor")), "id"), id_col, text_col)
     b = found.join(words.withColumnRenamed("words", "b"), "id").withColumn("b", F.slice("b", F.col("yo") + 1, size("ys", "yo")))
@@ -322,7 +293,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = seeds(docs, id_col, text_col, k, span)  # read twice: cheaper to draw again than to keep
     anchors = found.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last")).where("first.id <> last")
     matches = found.join(anchors, "seed").where("id <> first.id").select("id", F.col("first.id").alias("anchor"), F.col("pos").alias("y"), F.col("first.pos").alias("x"))
-    linked = written(chained(matches, k, min_words, span + 2), "chains")
+    linked = written(chained(matches), "chains")
     aligned = written(pieces(docs, linked, id_col, text_col, k, identity), "pieces")
     forget(linked)
     later = merged(aligned.select("id", F.col("y0").alias("lo"), F.col("y1").alias("hi"), F.col("anchor").alias("source"), "edits"), TOUCH, min_words)
