@@ -2,15 +2,16 @@
 
 Tokens are the tags and text blocks of a page, each with its path. Tokens of one host that occur
 equally often in each of its pages (the same occurrence vector) form an equivalence class. A class
-seen on enough pages is part of the host's template; classes nest by their paths, and what varies
-between them are the slots. The slot that holds most of the text is the article.
+seen on enough pages is part of the host's template; what varies between its tokens are the slots. A
+slot contains blocks, stands once on a page and so does all that encloses it, so slots nest. The
+deepest slot that holds half of the text is the article.
 
 An occurrence vector is kept as the exclusive-or of hash(page, count), so vectors are compared
 without gathering a host's pages: a host that has a third of all pages costs one row per token and
 task. Pages of equal text count once, so that copies of an article do not pass for a template.
 
 Elements that say what they are (nav, aside, footer, script, class="comments"...) are left out, and
-an <article> or <main> is taken at its word; the template decides where the markup does not.
+an <article> or <main> is taken at its word; the template's slot decides where the markup does not.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 MIN_PAGES = 3
 SUPPORT = 0.5
 BOILERPLATE_SUPPORT = 0.6
@@ -47,13 +50,14 @@ NOISE = {
 }
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PARTS = HEADINGS | {"p", "pre", "blockquote", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "figure", "figcaption"}  # of an article, never its slot
 
 
 class _Open:
-    __slots__ = ("tag", "path", "paths", "noise", "main", "link", "head")
+    __slots__ = ("tag", "path", "paths", "ids", "noise", "main", "link", "head")
 
-    def __init__(self, tag, path, paths, noise, main, link, head):
-        self.tag, self.path, self.paths, self.noise, self.main, self.link, self.head = tag, path, paths, noise, main, link, head
+    def __init__(self, tag, path, paths, ids, noise, main, link, head):
+        self.tag, self.path, self.paths, self.ids, self.noise, self.main, self.link, self.head = tag, path, paths, ids, noise, main, link, head
 
 
 def _token(path: str, text: str) -> int:
@@ -66,13 +70,18 @@ def _place(path: str) -> int:
     return _token(path, "")
 
 
+@lru_cache(maxsize=1 << 16)
+def _may_be_slot(path: str) -> bool:
+    return path.rsplit("/", 1)[-1].split(".", 1)[0] not in PARTS
+
+
 def parse(page: str) -> Iterator[tuple]:
-    """The blocks of a page in order: (text, path tokens of its ancestors, noise, in main, link characters).
+    """The blocks of a page in order: (text, path tokens of its ancestors, noise, in main, link characters, numbers of its ancestors).
 
     Tolerates unclosed and misnested tags: a new paragraph, item or cell ends the one before, and an
     end tag closes back to its start, or nothing.
     """
-    stack = [_Open("", "", (), False, False, False, False)]
+    stack = [_Open("", "", (), (), False, False, False, False)]
     parts: list[str] = []
     linked = 0
     at = 0
@@ -80,7 +89,7 @@ def parse(page: str) -> Iterator[tuple]:
     def block():
         nonlocal parts, linked
         raw, top = "".join(parts), stack[-1]
-        got = (" ".join((html.unescape(raw) if "&" in raw else raw).split()), top.paths, top.noise or top.head, top.main, linked)
+        got = (" ".join((html.unescape(raw) if "&" in raw else raw).split()), top.paths, top.noise or top.head, top.main, linked, top.ids)
         parts, linked = [], 0
         return got
 
@@ -125,7 +134,7 @@ def parse(page: str) -> Iterator[tuple]:
         noise = noise or (tag == "header" or "header" in names and tag not in HEADINGS) and not inside
         head = tag == "header" and inside or up.head and tag not in HEADINGS
         label = tag if tag in INLINE else f"{up.path}/{tag}" + "".join(f".{n}" for n in sorted(names))
-        stack.append(_Open(tag, up.path if tag in INLINE else label, up.paths if tag in INLINE else (*up.paths, label), noise, up.main or tag in ("article", "main") and not noise, up.link or tag == "a", head))
+        stack.append(_Open(tag, up.path if tag in INLINE else label, up.paths if tag in INLINE else (*up.paths, label), up.ids if tag in INLINE else (*up.ids, m.start()), noise, up.main or tag in ("article", "main") and not noise, up.link or tag == "a", head))
         if tag in RAW and not m[0].endswith("/>"):
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
@@ -142,69 +151,83 @@ def host_of(url: str | None) -> str:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, kind, depth, vector, pages, chars): one row for each distinct token of each page."""
+    """(host, token, kind, depth, vector, pages, chars, slot): one row for each distinct token of each page.
+
+    slot: 1 for a container of blocks that stands once on the page, as do all around it.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(9)]
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host = host_of(url)
-                seen: dict[int, list[int]] = {}  # token -> kind, depth, count, characters that are not noise
+                seen: dict[int, list] = {}  # token -> kind, depth, count, characters that are not noise, last element, container around, path if it has blocks
                 key = xxhash.xxh64()
-                for text, path, noise, main, _ in parse(page or ""):
+                for text, path, noise, main, _, ids in parse(page or ""):
                     if not text:
                         continue
                     size = 0 if noise else len(text)
+                    up = None
                     for d, p in enumerate(path):
-                        seen.setdefault(_place(p), [0, d, 0, 0])[3] += size
-                    if path:
-                        seen[_place(path[-1])][2] += 1
+                        place = _place(p)
+                        held = seen.setdefault(place, [0, d, 0, 0, -1, up, None])
+                        held[3] += size
+                        if held[4] != ids[d]:  # elements of one path follow each other
+                            held[4] = ids[d]
+                            held[2] += 1
+                        if d + 1 < len(path):
+                            held[6] = p
+                        up = place
                     if not noise:
                         key.update(text)
                         if len(text) <= BOILERPLATE_CHARS:
-                            seen.setdefault(_token(path[-1] if path else "", text), [1, len(path), 0, 0])[2] += 1
+                            seen.setdefault(_token(path[-1] if path else "", text), [1, len(path), 0, 0, -1, None, None])[2] += 1
                 text_key = key.intdigest()
-                for token, (kind, depth, count, chars) in seen.items():
+                once = {None}
+                for token, (kind, depth, count, chars, _, around, holder) in seen.items():  # what encloses comes first
+                    if kind == 0 and count == 1 and around in once:
+                        once.add(token)
+                    slot = int(kind == 0 and token in once and holder is not None and _may_be_slot(holder))
                     vector = xxhash.xxh64_intdigest(f"{text_key}:{count}") >> 1
-                    for column, v in zip(out, (host, token, kind, depth, vector, text_key >> 1, 1, chars), strict=True):
+                    for column, v in zip(out, (host, token, kind, depth, vector, text_key >> 1, 1, chars, slot), strict=True):
                         column.append(v)
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["host", "token", "kind", "depth", "vector", "page", "n", "chars"])
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["host", "token", "kind", "depth", "vector", "page", "n", "chars", "slot"])
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, token long, kind int, depth int, vector long, page long, n long, chars long")
-    return rows.groupBy("host", "token", "kind", "depth", "page").agg(F.first("vector").alias("vector"), F.max("n").alias("pages"), F.max("chars").alias("chars"))
+    rows = pages.select("url", "html").mapInArrow(run, "host string, token long, kind int, depth int, vector long, page long, n long, chars long, slot long")
+    return rows.groupBy("host", "token", "kind", "depth", "page").agg(F.first("vector").alias("vector"), F.max("n").alias("pages"), F.max("chars").alias("chars"), F.min("slot").alias("slot"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, slot, boilerplate): the path token of the article's slot, and text tokens most pages share.
 
-    slot: among the containers whose class covers SUPPORT of the host's pages, the deepest that holds
-    half of the text outside the noise. Hosts of fewer than MIN_PAGES different pages have no row.
+    slot: of all containers of blocks whose class covers SUPPORT of the host's pages and that stand
+    once there, the deepest that holds half of the text outside the noise. Hosts of fewer than MIN_PAGES
+    different pages have no row.
     """
     tokens = page_tokens(pages).groupBy("host", "token", "kind").agg(
-        F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.max("depth").alias("depth")
-    )
-    classes = tokens.groupBy("host", "kind", "vector").agg(
-        F.max("pages").alias("pages"),
-        F.max(F.struct("chars", "depth", "token")).alias("largest"),
-        F.collect_set(F.when((F.col("kind") == 1) & (F.col("pages") >= BOILERPLATE_PAGES), F.col("token"))).alias("texts"),
-        F.max(F.when(F.col("kind") == 0, F.struct(F.col("chars"), F.col("depth"), F.col("token")))).alias("container"),
+        F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.max("depth").alias("depth"), F.sum("slot").alias("slots")
     )
     host = tokens.groupBy("host").agg(F.max(F.when(F.col("kind") == 0, F.col("pages"))).alias("all_pages"), F.max(F.when(F.col("kind") == 0, F.col("chars"))).alias("all_chars"))
-    found = classes.join(host, "host").where(f"all_pages >= {MIN_PAGES}")
-    deep = (F.col("pages") >= SUPPORT * F.col("all_pages")) & (2 * F.col("container.chars") >= F.col("all_chars"))
-    shared = (F.col("pages") >= BOILERPLATE_SUPPORT * F.col("all_pages")) & (F.col("pages") >= BOILERPLATE_PAGES) & (F.col("kind") == 1)
-    return found.groupBy("host").agg(
-        F.max(F.when(deep, F.struct(F.col("container.depth").alias("depth"), F.col("container.token").alias("token"))))["token"].alias("slot"),
-        F.flatten(F.collect_list(F.when(shared, F.col("texts")))).alias("boilerplate"),
+    classes = tokens.join(host, "host").where(f"all_pages >= {MIN_PAGES}").groupBy("host", "kind", "vector").agg(
+        F.max("pages").alias("pages"),
+        F.max("all_pages").alias("all_pages"),
+        F.collect_set(F.when((F.col("kind") == 1) & (F.col("pages") >= BOILERPLATE_PAGES) & (F.col("pages") >= BOILERPLATE_SUPPORT * F.col("all_pages")), F.col("token"))).alias("texts"),
+        F.max(
+            F.when((F.col("slots") >= SUPPORT * F.col("all_pages")) & (2 * F.col("chars") >= F.col("all_chars")), F.struct(F.col("depth"), F.col("chars"), F.col("token")))
+        ).alias("container"),
+    )
+    return classes.where(F.col("pages") >= SUPPORT * F.col("all_pages")).groupBy("host").agg(
+        F.max("container")["token"].alias("slot"),
+        F.flatten(F.collect_list("texts")).alias("boilerplate"),
     )
 
 
 def main_blocks(page: str, slot: int | None, boilerplate: set[int]) -> list[str]:
     """The article's blocks: of <article>/<main>, else of the template's slot, else of all that is not noise."""
-    blocks = [(t, path, main, link) for t, path, noise, main, link in parse(page) if t and not noise]
+    blocks = [(t, path, main, link) for t, path, noise, main, link, _ in parse(page) if t and not noise]
     chosen = [b for b in blocks if b[2]]
     if not chosen:
         chosen = [b for b in blocks if slot is not None and any(_place(p) == slot for p in b[1])] or blocks
@@ -219,7 +242,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ignored; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = templates(rows).where("slot is not null or size(boilerplate) > 0")
+    found = written(templates(rows).where("slot is not null or size(boilerplate) > 0"), "templates")
     if found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         found = F.broadcast(found)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))

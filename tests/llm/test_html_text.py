@@ -50,3 +50,22 @@ def test_copies_are_no_template(spark):
     rows = [(i, "http://a.example/", art("same")) for i in range(40)] + [(40 + i, "http://a.example/", art(f"other {i}")) for i in range(5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.text for r in h.main_text(df).collect() if r.page_id < 40} == {"same\nsame body"}
+
+
+def test_unmarked_pages_keep_all_parts(spark):
+    """Headings, lists, quotes and tables of the slot stay; wrappers without text of their own hide nothing."""
+    def page(i):
+        parts = [f"<h1>Head {i}</h1>", *(f"<p>{f'para {i} {j} ' * 20}</p>" for j in range(4)), f"<ul><li>item {i} a<li>item {i} b</ul>", f"<blockquote>quote {i}</blockquote>", f"<table><tr><td>cell {i}<td>other {i}</table>"]
+        return f"<body><div class=outer><div class=top>Menu {i % 2}</div><div class=wrap><div class=content>{''.join(parts)}</div></div><div class=low>low {i}</div></div></body>"
+
+    df = spark.createDataFrame([(i, "http://a.example/", page(i)) for i in range(5)], "page_id long, url string, html string")
+    for r in h.main_text(df).collect():
+        i = r.page_id
+        want = [f"Head {i}", *((f"para {i} {j} " * 20).strip() for j in range(4)), f"item {i} a", f"item {i} b", f"quote {i}", f"cell {i}", f"other {i}"]
+        assert r.text.split("\n") == want
+
+
+def test_repeated_sections_are_no_slot(spark):
+    page = lambda i: f"<div class=content><h1>Head {i}</h1>" + "".join(f"<div class=part><h2>sub {i} {j}</h2><p>{f'text {i} {j} ' * 9}</p></div>" for j in range(3)) + f"</div><div class=low>low {i}</div>"
+    df = spark.createDataFrame([(i, "http://a.example/", page(i)) for i in range(4)], "page_id long, url string, html string")
+    assert all(f"Head {r.page_id}" in r.text and "low" not in r.text for r in h.main_text(df).collect())
