@@ -12,6 +12,7 @@ task. Pages of equal text count once, so that copies of an article do not pass f
 
 Elements that say what they are (nav, aside, footer, script, class="comments"...) are left out, and
 an <article> or <main> is taken at its word; the template's slot decides where the markup does not.
+Texts of the template go everywhere, whatever their length.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ from .shared import written
 MIN_PAGES = 3
 SUPPORT = 0.5
 BOILERPLATE_SUPPORT = 0.6
-BOILERPLATE_PAGES = 10
-BOILERPLATE_CHARS = 200
 BROADCAST_HOSTS = 100_000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
@@ -182,8 +181,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                         up = place
                     if not noise:
                         key.update(text)
-                        if len(text) <= BOILERPLATE_CHARS:
-                            seen.setdefault(_token(path[-1] if path else "", text), [1, len(path), 0, 0, -1, None, None])[2] += 1
+                        seen.setdefault(_token(path[-1] if path else "", text), [1, len(path), 0, 0, -1, None, None])[2] += 1
                 text_key = key.intdigest()
                 once = {None}
                 for token, (kind, depth, count, chars, _, around, holder) in seen.items():  # what encloses comes first
@@ -214,7 +212,7 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = tokens.join(host, "host").where(f"all_pages >= {MIN_PAGES}").groupBy("host", "kind", "vector").agg(
         F.max("pages").alias("pages"),
         F.max("all_pages").alias("all_pages"),
-        F.collect_set(F.when((F.col("kind") == 1) & (F.col("pages") >= BOILERPLATE_PAGES) & (F.col("pages") >= BOILERPLATE_SUPPORT * F.col("all_pages")), F.col("token"))).alias("texts"),
+        F.collect_set(F.when((F.col("kind") == 1) & (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= BOILERPLATE_SUPPORT * F.col("all_pages")), F.col("token"))).alias("texts"),
         F.max(
             F.when((F.col("slots") >= SUPPORT * F.col("all_pages")) & (2 * F.col("chars") >= F.col("all_chars")), F.struct(F.col("depth"), F.col("chars"), F.col("token")))
         ).alias("container"),
@@ -232,7 +230,7 @@ def main_blocks(page: str, slot: int | None, boilerplate: set[int]) -> list[str]
     if not chosen:
         chosen = [b for b in blocks if slot is not None and any(_place(p) == slot for p in b[1])] or blocks
         chosen = [b for b in chosen if 2 * b[3] <= len(b[0])]  # mostly links: a menu
-    return [b[0] for b in chosen if not boilerplate or len(b[0]) > BOILERPLATE_CHARS or _token(b[1][-1] if b[1] else "", b[0]) not in boilerplate]
+    return [b[0] for b in chosen if not boilerplate or _token(b[1][-1] if b[1] else "", b[0]) not in boilerplate]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

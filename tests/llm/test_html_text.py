@@ -69,3 +69,12 @@ def test_repeated_sections_are_no_slot(spark):
     page = lambda i: f"<div class=content><h1>Head {i}</h1>" + "".join(f"<div class=part><h2>sub {i} {j}</h2><p>{f'text {i} {j} ' * 9}</p></div>" for j in range(3)) + f"</div><div class=low>low {i}</div>"
     df = spark.createDataFrame([(i, "http://a.example/", page(i)) for i in range(4)], "page_id long, url string, html string")
     assert all(f"Head {r.page_id}" in r.text and "low" not in r.text for r in h.main_text(df).collect())
+
+
+@pytest.mark.parametrize("pages", [3, 12])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_long_template_texts_go(spark, pages, tag):
+    legal = "This long legal line stands on each page of the host. " * 6
+    df = spark.createDataFrame([(i, "http://a.example/", f"<{tag}><h1>T {i}</h1><p>{f'own {i} ' * 30}</p><p>{legal}</p></{tag}>") for i in range(pages)], "page_id long, url string, html string")
+    for r in h.main_text(df).collect():
+        assert r.text == f"T {r.page_id}\n" + (f"own {r.page_id} " * 30).strip()
