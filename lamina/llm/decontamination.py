@@ -2,13 +2,15 @@
 
 The CGK random walk copies a word sequence into a longer one: at step j it emits the current word and
 moves on if a random bit of (j, word) is set. Two sequences at edit distance d come out at a Hamming
-distance that depends on d alone, with good probability. Each of REPEATS walks is sampled at
-SAMPLES steps; windows and items that agree on all samples of a walk are candidates, and the number
-of walks is chosen so that a pair within the edit limit is found with the target recall.
-
-Windows have an item's number of words and start at every word. A window within the edit limit has
-at least m - 1 - 2 d of the item's word pairs (each edit breaks two at most), so windows with fewer
-pairs known to the benchmark are passed over; the filter of pairs has a fixed size and loses nothing.
+distance that depends on d alone, with good probability. Each of a number of walks is sampled at
+SAMPLES steps; windows and items that agree on all samples of a walk are candidates. Each size class
+has as many walks as find a pair at the edit limit with probability RECALL (REPEATS at least), by the
+chance of one walk as it was simulated.
+
+Windows have about an item's number of words and start at every word. The one that starts where the
+passage does has at least m - 1 - 2 d - max(0, m - size) of the item's word pairs: each edit breaks
+two at most, or moves one past the window's end. Windows with fewer pairs known to the benchmark than
+the least of this over the lengths of their class are passed over; that loses no passage.
 Candidates are verified by the exact word edit distance between the item and its best window.
 """
 
@@ -26,7 +28,11 @@ from .words import mix, slices
 MAX_EDIT_PERCENT = 20
 REPEATS = 24
 SAMPLES = 5
-STRIDE = 12  # a window starts at every (size / STRIDE)-th word at least
+RECALL = 0.99
+#: The simulated chance that one walk of 5 samples agrees with any window within 6 words of a passage at 20 % random edits, by size.
+WALK_SIZE, WALK_CHANCE = (6, 16, 32, 64, 128, 256), (0.456, 0.277, 0.215, 0.139, 0.076, 0.042)
+WALK_MARGIN = 0.8  # as walks over one passage are not independent, and items differ from their window's size
+RUN = 8  # starts of which one hit is checked for all
 SIZES = 1.12  # windows of one size serve items up to this many times as long
 MIN_ITEM = 4
 BROADCAST_ITEMS = 100_000
@@ -43,6 +49,19 @@ def allowed(m, percent: int = MAX_EDIT_PERCENT):
     return m * percent // 100
 
 
+def walks(size: int, least: int = REPEATS, recall: float = RECALL) -> int:
+    """The number of walks that windows of ``size`` words need; beyond the simulated sizes the chance falls on as between the last two."""
+    x, y = np.log(WALK_SIZE), np.log(WALK_CHANCE)
+    at = math.log(size)
+    chance = float(np.interp(at, x, y)) if at <= x[-1] else y[-1] + (at - x[-1]) * (y[-1] - y[-2]) / (x[-1] - x[-2])
+    return max(least, math.ceil(math.log(1 - recall) / math.log(1 - WALK_MARGIN * math.exp(chance))))
+
+
+def pairs_needed(size: int, least: int, most: int, percent: int) -> int:
+    """Word pairs of an item that the window of ``size`` words at a passage's start has, for any item of ``least`` to ``most`` words."""
+    return max(0, min(m - 1 - 2 * int(allowed(m, percent)) - max(0, m - size) for m in range(least, most + 1)))
+
+
 def plan(repeats: int, samples: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Sampled fractions of each walk, and which bit of a word's hash is the random bit of each of its steps."""
     rng = np.random.default_rng(seed)
@@ -113,7 +132,7 @@ def items(benchmark: DataFrame, id_col: str, text_col: str, repeats: int, sample
                         continue
                     size = int(size_class(len(w)))
                     one = np.array([size])
-                    keys = cgk_keys(w, np.zeros(1, np.int64), np.minimum(one, len(w)), one, repeats, samples)[0]
+                    keys = cgk_keys(w, np.zeros(1, np.int64), np.minimum(one, len(w)), one, walks(size, repeats), samples)[0]
                     for c, v in zip(out, (item, w.view(np.int64), size, keys.view(np.int64)), strict=True):
                         c.append(v)
                 kinds = (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()))
@@ -143,10 +162,10 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[tuple[int, int]], pairs: np.ndarray, keys_of: np.ndarray, repeats: int, samples: int, percent: int) -> DataFrame:
+def windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[tuple[int, int, int]], pairs: np.ndarray, keys_of: np.ndarray, repeats: int, samples: int, percent: int) -> DataFrame:
     """(doc_id, start, first, near, keys): windows with enough known word pairs and a key that an item may have.
 
-    sizes: window size and least item length of each class; pairs and keys_of: filters of fixed size.
+    sizes: window size, least and greatest item length of each class; pairs and keys_of: filters of fixed size.
     ``near`` has the hashes of the words around the window, from word ``first``, within reach of the
     edits, for the exact check. Of equal windows in one text the first stands for all.
     """
@@ -168,11 +187,10 @@ def windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[tuple[int,
                 end_of = s.row[row + 1]
                 where = np.arange(n)
                 found = []
-                for size, least in sizes:
-                    need = max(least - 1 - 2 * int(allowed(least, percent)) - max(0, least - size), 1 if least > 1 else 0)
+                for size, least, most in sizes:
+                    need = pairs_needed(size, least, most, percent)
                     stop = np.minimum(where + size, end_of)
                     starts = np.flatnonzero(total[np.maximum(stop - 1, where)] - total[:n] >= need)
-                    starts = starts[(starts - s.row[row[starts]]) % max(1, size // STRIDE) == 0]
                     if not len(starts):
                         continue
                     content = np.zeros(len(starts), np.uint64)
@@ -184,17 +202,20 @@ def windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[tuple[int,
                     found.append(np.column_stack([starts[once], np.full(len(once), size)]))
                 if not found:
                     continue
-                all_ = np.concatenate(found)
-                for lo in range(0, len(all_), 4000):
-                    part, size = all_[lo : lo + 4000, 0], all_[lo : lo + 4000, 1]
-                    keys = cgk_keys(s.hash, part, np.minimum(size, end_of[part] - part), size, repeats, samples)
+                parts = []
+                for f in found:  # windows of one size, and so of one number of walks
+                    many = walks(int(f[0, 1]), repeats)
+                    step = max(1, 96_000 // many)
+                    parts += [(f[lo : lo + step, 0], f[lo : lo + step, 1], many) for lo in range(0, len(f), step)]
+                for part, size, many in parts:
+                    keys = cgk_keys(s.hash, part, np.minimum(size, end_of[part] - part), size, many, samples)
                     hit = in_bloom(keys_of, keys.ravel().view(np.int64)).reshape(keys.shape)
                     keep = np.flatnonzero(hit.any(axis=1))
                     if not len(keep):
                         continue
                     part, size, keys, hit = part[keep], size[keep], keys[keep], hit[keep]
                     reach = (size * SIZES).astype(np.int64) + 1
-                    slack = allowed(reach, percent) + 2 + size // STRIDE
+                    slack = allowed(reach, percent) + 2 + RUN
                     first = np.maximum(part - slack, s.row[row[part]])
                     last = np.minimum(part + reach + slack, end_of[part])
                     own = s.row[row[part]]
@@ -222,16 +243,16 @@ def contaminated_spans(
     are rows with a null id and texts without words. Repeated rows give one result. Empty tables give none.
     """
     known = written(items(benchmark, item_col, item_text, repeats, samples).where(F.size("words") >= min_item), "items")
-    sizes = known.groupBy("size").agg(F.min(F.size("words")).alias("least")).orderBy("size").collect()  # one row per class
+    sizes = known.groupBy("size").agg(F.min(F.size("words")).alias("least"), F.max(F.size("words")).alias("most")).orderBy("size").collect()  # one row per class
     if not sizes:
         return known.select(F.lit(0).cast("long").alias("doc_id"), "item_id", F.lit(0).alias("edits"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("end_word")).where("false")
     pairs = bloom(word_pairs(known), "pair")
     keyed = known.select("item_id", F.explode("keys").alias("key"))
-    found = windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, [(r["size"], r["least"]) for r in sizes], pairs, bloom(keyed, "key"), repeats, samples, percent)
+    found = windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, [(r["size"], r["least"], r["most"]) for r in sizes], pairs, bloom(keyed, "key"), repeats, samples, percent)
     few = known.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
     hits = found.withColumn("key", F.explode(F.array_distinct("keys"))).join(F.broadcast(keyed) if few else keyed, "key")
     # One window of a run of hits is enough for the check, as it looks beyond the window's ends.
-    hits = hits.groupBy("doc_id", "item_id", F.floor(F.col("start") / 8).alias("run")).agg(F.min(F.struct("start", "first", "near")).alias("w"))
+    hits = hits.groupBy("doc_id", "item_id", F.floor(F.col("start") / RUN).alias("run")).agg(F.min(F.struct("start", "first", "near")).alias("w"))
 
     def check(batches):
         import pyarrow as pa

@@ -68,6 +68,31 @@ def test_recall_and_precision_against_brute_force(spark):
     assert len(set(got) - set(planted) - {(902, 1)}) <= 2
 
 
+def test_recall_at_the_limit(spark):
+    """Items of 20 to 300 words, each edited by the whole 20 %."""
+    rng = random.Random(31)
+    lengths, copies = (20, 59, 120, 250, 300), 10
+    items, docs = [], []
+    for n in range(len(lengths) * copies):
+        w = sentence(rng, lengths[n // copies], 10**6).split()
+        items.append((n, " ".join(w)))
+        docs.append((n, " ".join([sentence(rng, rng.randint(20, 60), 10**6), *edited(rng, w, dc.allowed(len(w))), sentence(rng, 40, 10**6)])))
+    got = {(r.doc_id, r.item_id) for r in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = [sum((n, n) in got for n in range(i * copies, (i + 1) * copies)) / copies for i in range(len(lengths))]
+    assert min(recall) >= 0.9 and sum(recall) / len(recall) >= 0.96, recall
+
+
+def test_pairs_needed_is_a_bound():
+    rng = random.Random(2)
+    for m in range(4, 120):
+        size = int(dc.size_class(m))
+        for _ in range(20):
+            w = [f"a{i}" for i in range(m)]
+            v = edited(rng, w, dc.allowed(m))[:size]
+            assert len(set(zip(w, w[1:])) & set(zip(v, v[1:]))) >= dc.pairs_needed(size, m, m, 20)
+    assert dc.pairs_needed(10, 9, 10, 20) == 5 and dc.pairs_needed(40, 38, 42, 20) == 23
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
