@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import in_arrow, written
 
 MIN_PAGES = 3
 SUPPORT = 0.5
@@ -194,7 +194,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["host", "token", "kind", "depth", "vector", "page", "n", "chars", "slot"])
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, token long, kind int, depth int, vector long, page long, n long, chars long, slot long")
+    rows = pages.select("url", "html").transform(in_arrow, run, "host string, token long, kind int, depth int, vector long, page long, n long, chars long, slot long")
     return rows.groupBy("host", "token", "kind", "depth", "page").agg(F.first("vector").alias("vector"), F.max("n").alias("pages"), F.max("chars").alias("chars"), F.min("slot").alias("slot"))
 
 
@@ -255,4 +255,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 out.append("\n".join(main_blocks(page or "", slot, set(common or ()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return joined.transform(in_arrow, run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

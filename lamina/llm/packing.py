@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SegmentCache, text_ids
+from .pieces import SegmentCache, one_by_one, text_ids
+from .shared import in_arrow
 
 ROW = 2048
 WINDOW_TOKENS = 4_000_000
@@ -138,7 +139,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_
         from pyspark import TaskContext
 
         enc = encoder(ranks)
-        cache = SegmentCache(lambda b: enc.encode_ordinary(b.decode("utf-8", "replace")))
+        cache = SegmentCache(one_by_one(lambda b: enc.encode_ordinary(b.decode("utf-8", "replace"))))
         base, number = TaskContext.get().partitionId() << 32, 0
         held: list[tuple] = []
         total = 0
@@ -177,7 +178,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_
         if held:
             yield from flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, run, SCHEMA)
 
 
 def write_packed(rows: DataFrame, path: str) -> None:

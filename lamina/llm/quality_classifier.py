@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
 from .words import mix, slices
 
 BITS = 18
@@ -87,7 +88,7 @@ def rated_features(docs: DataFrame, grades: DataFrame, id_col: str, text_col: st
                     ["grade", "bucket", "value"],
                 )
 
-    return rows.select(F.col("_grade").cast("int").alias("grade"), "text").mapInArrow(run, "grade int, bucket array<int>, value array<float>")
+    return rows.select(F.col("_grade").cast("int").alias("grade"), "text").transform(in_arrow, run, "grade int, bucket array<int>, value array<float>")
 
 
 def fit(features: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> Ordinal | None:
@@ -145,7 +146,7 @@ def linear_scores(docs: DataFrame, model: Ordinal, id_col: str, text_col: str, b
                 f = np.bincount(row, weights=weights[bucket], minlength=s.hi - s.lo) / n
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(f), pa.array(s.counts().astype(np.int64))], ["id", "f", "n_words"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, f double, n_words long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, run, "id long, f double, n_words long")
 
 
 def quality_grades(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: int = 1, tail: float = 0.5, sample: int = SAMPLE, bits: int = BITS) -> DataFrame:

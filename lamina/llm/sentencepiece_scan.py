@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import SegmentCache, text_ids
-from .words import spread
+from .shared import in_arrow
+from .words import mix, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 65_536
@@ -119,6 +120,100 @@ def encode_text(v: Vocabulary, normal: str) -> list[int]:
     return Lattice(v, normal, {0: 0.0}, len(normal)).path(len(normal))[1]
 
 
+class Together:
+    """Segments of one length encoded together: the same best path as :class:`Lattice`, for many rows at once.
+
+    Pieces of each length are found by 64-bit hashes of their code points. Lengths with few segments,
+    and segments with a character that has no piece, are encoded one by one.
+    """
+
+    FEW = 12
+    CELLS = 1 << 16
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        by_size: dict[int, list] = {}
+        for p, (i, score) in v.pieces.items():
+            by_size.setdefault(len(p), []).append((p, i, score))
+        for n, group in by_size.items():
+            key = self._hashes(_points("".join(p for p, _, _ in group)).reshape(-1, n), n)[:, 0]
+            order = np.argsort(key)
+            self.tables[n] = key[order], np.array([i for _, i, _ in group], np.int32)[order], np.array([x for _, _, x in group])[order]
+
+    @staticmethod
+    def _hashes(points: np.ndarray, n: int) -> np.ndarray:
+        """A hash for each run of n code points of each row."""
+        h = np.zeros((points.shape[0], points.shape[1] - n + 1), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                h = h * np.uint64(0xD6E8FEB86659FD93) + points[:, k : k + h.shape[1]]
+        return mix(h)
+
+    def _equal(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of rows of equal length; a count of -1 where a character has no piece."""
+        rows, n = points.shape
+        best, size, piece = np.full((rows, n + 1), LOW), np.zeros((rows, n + 1), np.int32), np.full((rows, n + 1), -1, np.int32)
+        best[:, 0] = 0.0
+        found = {}
+        bare = np.zeros(rows, bool)
+        for k in range(1, min(n, self.v.longest) + 1):
+            if k in self.tables:
+                key, ids, score = self.tables[k]
+                h = self._hashes(points, k)
+                at = np.minimum(np.searchsorted(key, h), len(key) - 1)
+                hit = key[at] == h
+                found[k] = np.where(hit, score[at], 2 * LOW), ids[at]
+                if k == 1:
+                    bare = ~hit.all(axis=1)
+        for j in range(1, n + 1):
+            for k in range(min(j, self.v.longest), 0, -1):  # of equal totals the longest last piece
+                if k in found:
+                    score, ids = found[k]
+                    x = best[:, j - k] + score[:, j - k]
+                    up = x > best[:, j]
+                    best[up, j], size[up, j], piece[up, j] = x[up], k, ids[up, j - k]
+        at, used = np.full(rows, n), np.zeros((rows, n), bool)
+        live = np.flatnonzero(~bare)
+        while len(live):
+            used[live, at[live] - 1] = True
+            at[live] -= size[live, at[live]]
+            live = live[at[live] > 0]
+        return piece[:, 1:][used], np.where(bare, -1, used.sum(axis=1))
+
+    def __call__(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        text = [b.decode("utf-8", "replace").replace(" ", SPACE) for b in segments]
+        length = np.fromiter(map(len, text), np.int64, len(text))
+        count = np.zeros(len(text), np.int64)
+        owner, parts, single = [], [], []
+        order = np.argsort(length, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            n = int(length[group[0]])
+            if n == 0 or len(group) < self.FEW:
+                single.extend(group.tolist())
+                continue
+            step = max(self.FEW, self.CELLS // n)
+            for lo in range(0, len(group), step):
+                part = group[lo : lo + step]
+                ids, many = self._equal(_points("".join(text[i] for i in part.tolist())).reshape(-1, n))
+                single.extend(part[many < 0].tolist())
+                count[part] = np.maximum(many, 0)
+                parts.append(ids)
+                owner.append(np.repeat(part, count[part]))
+        for i in single:
+            ids = np.array(encode_text(self.v, text[i]), np.int32)
+            count[i] = len(ids)
+            parts.append(ids)
+            owner.append(np.full(len(ids), i))
+        if not parts:
+            return np.zeros(0, np.int32), count
+        return np.concatenate(parts)[np.argsort(np.concatenate(owner), kind="stable")], count
+
+
+def _points(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
 def normalised(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
@@ -291,7 +386,7 @@ def _short_and_giant(docs: DataFrame, id_col: str, text_col: str, model: str, ch
         import pyarrow.compute as pc
 
         # The first segment of a row has the added space: its bytes get one more in front.
-        cache = SegmentCache(lambda b: encode_text(v, b.decode("utf-8", "replace").replace(" ", SPACE)))
+        cache = SegmentCache(Together(v))
         cuts = _cuts(v)
         for batch in batches:
             given = pc.fill_null(batch.column(1), "")
@@ -301,7 +396,7 @@ def _short_and_giant(docs: DataFrame, id_col: str, text_col: str, model: str, ch
                 more = decoder.digests(ids, at) if digests else []
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists, *more], ["id", "ids", *DIGESTS[: len(more)]])
 
-    short = rows.where(small).mapInArrow(whole, "id long, ids array<int>" + (", n_chars long, text_hash long" if digests else ""))
+    short = rows.where(small).transform(in_arrow, whole, "id long, ids array<int>" + (", n_chars long, text_hash long" if digests else ""))
     return short, encode_giant(rows.where(~small), v, chunk)
 
 
@@ -356,7 +451,7 @@ def encode_giant(rows: DataFrame, v: Vocabulary, chunk: int) -> DataFrame:
 
     step = pa.schema([("row", pa.string()), ("k", pa.int32()), ("entry", pa.binary())])
     entries = (
-        parts.select("row", "k", "own", "s").mapInArrow(matrices, "row string, k int, m binary").repartition("row").sortWithinPartitions("row", "k").mapInArrow(_by_text(scan, step), "row string, k int, entry binary")
+        parts.select("row", "k", "own", "s").transform(in_arrow, matrices, "row string, k int, m binary").repartition("row").sortWithinPartitions("row", "k").transform(in_arrow, _by_text(scan, step), "row string, k int, entry binary")
     )
 
     exits = pa.list_(pa.struct([("exit", pa.int32()), ("entry", pa.int32()), ("ids", pa.list_(pa.int32()))]))
@@ -379,9 +474,9 @@ def encode_giant(rows: DataFrame, v: Vocabulary, chunk: int) -> DataFrame:
             state = end["entry"]
         return [[held[0]["id"]], [[x for ids in reversed(out) for x in ids]]]
 
-    traced = parts.join(entries, ["row", "k"]).mapInArrow(backtrace, "row string, id long, k int, shared array<int>, exits array<struct<exit:int,entry:int,ids:array<int>>>")
+    traced = parts.join(entries, ["row", "k"]).transform(in_arrow, backtrace, "row string, id long, k int, shared array<int>, exits array<struct<exit:int,entry:int,ids:array<int>>>")
     last = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return traced.repartition("row").sortWithinPartitions("row", "k").mapInArrow(_by_text(join_up, last), "id long, ids array<int>")
+    return traced.repartition("row").sortWithinPartitions("row", "k").transform(in_arrow, _by_text(join_up, last), "id long, ids array<int>")
 
 
 def decode(rows: DataFrame, model: str = MODEL, columns: tuple[str, ...] = ("id",), digests: bool = False) -> DataFrame:
@@ -398,7 +493,7 @@ def decode(rows: DataFrame, model: str = MODEL, columns: tuple[str, ...] = ("id"
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), *out], [*columns, *(DIGESTS if digests else ["text"])])
 
     types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.select(*columns, F.coalesce("ids", F.array().cast("array<int>")).alias("_ids")).mapInArrow(run, types + (", n_chars long, text_hash long" if digests else ", text string"))
+    return rows.select(*columns, F.coalesce("ids", F.array().cast("array<int>")).alias("_ids")).transform(in_arrow, run, types + (", n_chars long, text_hash long" if digests else ", text string"))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:

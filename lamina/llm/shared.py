@@ -2,26 +2,63 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import ctypes
+import math
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOOM_BITS = 1 << 23
+BLOOM_BITS = 1 << 23, 1 << 28  # least and greatest size of an id filter: 1 MB to 32 MB
+BATCH_BYTES = 8 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder becomes it."""
+    """The folder in ``spark.checkpoint.dir``; in local mode the warehouse serves where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lamina-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return where.rstrip("/")
 
 
+# ---- Arrow tasks --------------------------------------------------------------------------------
+
+
+def _release() -> None:
+    """Give freed memory back to the system: workers are kept for later stages, with all that they hold."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def _bounded(batches, limit: int):
+    """The batches, cut to about ``limit`` bytes; a larger row stands alone."""
+    for batch in batches:
+        parts = min(batch.num_rows, -(-batch.nbytes // limit))
+        step = -(-batch.num_rows // parts) if parts > 1 else max(1, batch.num_rows)
+        for lo in range(0, max(1, batch.num_rows), step):
+            yield batch.slice(lo, step) if step < batch.num_rows else batch
+
+
+def in_arrow(df: DataFrame, run, schema, limit: int = BATCH_BYTES) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded by bytes, and a worker that keeps no memory after a task."""
+
+    def task(batches):
+        try:
+            yield from run(_bounded(batches, limit))
+        finally:
+            _release()
+
+    return df.mapInArrow(task, schema)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/lamina/{label}-{uuid.uuid4().hex}"
 
@@ -69,12 +106,15 @@ def _bits(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (x % np.uint64(bits)).astype(np.int64), (y % np.uint64(bits)).astype(np.int64)
 
 
-def bloom(ids: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter of exactly ``bits`` bits over a long column.
+def bloom(ids: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
+    """A Bloom filter over a long column, of some 16 bits an id between the bounds in BLOOM_BITS.
 
-    Its size never depends on the input; a fuller filter only lets more rows through to the exact
-    join that follows. Built as a distributed bit_or, so at most bits/64 words reach the driver.
+    Beyond 16 million ids it fills up and lets more rows through to the exact join that follows.
+    Built as a distributed bit_or, so at most bits / 32 words reach the driver.
     """
+    if bits is None:
+        least, most = BLOOM_BITS
+        bits = min(most, max(least, 1 << math.ceil(math.log2(16 * ids.count() + 1))))
 
     def positions(batches):
         import pyarrow as pa
@@ -87,8 +127,7 @@ def bloom(ids: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
             )
 
     words = (
-        ids.select(F.col(column).cast("long"))
-        .mapInArrow(positions, "word long, bit long")
+        in_arrow(ids.select(F.col(column).cast("long")), positions, "word long, bit long")
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bit"))
         .toArrow()

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bloom, forget, in_bloom, small, written
+from .shared import bloom, forget, in_arrow, in_bloom, small, written
 from .words import slices, window_hashes
 
 K = 6
@@ -61,7 +61,7 @@ def seeds(docs: DataFrame, id_col: str, text_col: str, k: int, span: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).slice(s.lo, s.hi - s.lo).take(pa.array(row)), pa.array(pos.astype(np.int32))], ["seed", "id", "pos"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    return rows.mapInArrow(run, "seed long, id long, pos int")
+    return rows.transform(in_arrow, run, "seed long, id long, pos int")
 
 
 class Fenwick:
@@ -175,7 +175,7 @@ def chained(matches: DataFrame) -> DataFrame:
         if held and sum(b.num_rows for b in held):
             yield flush(pa.Table.from_batches(held).combine_chunks())
 
-    return matches.repartition("id").sortWithinPartitions("id", "anchor", "y", "x").mapInArrow(run, CHAIN)
+    return matches.repartition("id").sortWithinPartitions("id", "anchor", "y", "x").transform(in_arrow, run, CHAIN)
 
 
 def word_arrays(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str) -> DataFrame:
@@ -191,7 +191,7 @@ def word_arrays(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), lists], ["id", "words"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    return rows.mapInArrow(run, "id long, words array<long>")
+    return rows.transform(in_arrow, run, "id long, words array<long>")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -259,7 +259,7 @@ def pieces(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, k: int
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "anchor", "y0", "y1", "x0", "x1", "edits"])
 
-    return both.select("id", "anchor", "a", "b", "xs", "ys", "xo", "yo").mapInArrow(run, "id long, anchor long, y0 long, y1 long, x0 long, x1 long, edits long")
+    return both.select("id", "anchor", "a", "b", "xs", "ys", "xo", "yo").transform(in_arrow, run, "id long, anchor long, y0 long, y1 long, x0 long, x1 long, edits long")
 
 
 def merged(spans: DataFrame, touch: int, least: int) -> DataFrame:
@@ -340,4 +340,4 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             cols = [pa.array(out, text.type) if j == at else batch.column(j) for j in range(len(schema))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(pa.array(keep))
 
-    return rows.select(*docs.columns, "_spans").mapInArrow(run, schema)
+    return rows.select(*docs.columns, "_spans").transform(in_arrow, run, schema)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bloom, forget, in_bloom, small, written
+from .shared import bloom, forget, in_arrow, in_bloom, small, written
 from .words import hash_spans, mix, slices
 
 FOLDS = 5
@@ -107,7 +107,7 @@ def _counts(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([WORDS_OF_OTHER], pa.int64()), *(pa.array([length]) for _ in total)], ["token", "y_all", "y_tox", "y_other"])
 
     return (
-        rows.mapInArrow(run, "token long, y_all long, y_tox long, y_other long")
+        rows.transform(in_arrow, run, "token long, y_all long, y_tox long, y_other long")
         .groupBy("token").agg(*(F.sum(c).alias(c) for c in ("y_all", "y_tox", "y_other")))
     )
 
@@ -223,7 +223,7 @@ def passages(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataF
                     out.append(got)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(n.astype(np.int64)), pa.array(out, kind)], ["id", "n_words", "segments"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id long, n_words long, segments {SEGMENTS}")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, run, f"id long, n_words long, segments {SEGMENTS}")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lamina.llm import packing
-from lamina.llm.pieces import SegmentCache, text_ids
+from lamina.llm.pieces import SegmentCache, one_by_one, text_ids
 
 
 def brute(lengths, size):
@@ -39,7 +39,7 @@ def test_segments_encode_like_whole_texts(texts):
     import pyarrow as pa
 
     enc = packing.encoder(open(packing.RANKS, "rb").read())
-    cache = SegmentCache(lambda b: enc.encode_ordinary(b.decode()))
+    cache = SegmentCache(one_by_one(lambda b: enc.encode_ordinary(b.decode())))
     got = []
     for lo, hi, ids, at in text_ids(pa.array(texts), packing.cuts, cache):
         got += [ids[at[i] : at[i + 1]].tolist() for i in range(hi - lo)]
