@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bloom, in_bloom, small, written
+from .shared import bloom, in_arrow, in_bloom, small, written
 from .words import mix, slices
 
 MAX_EDIT_PERCENT = 20
@@ -68,38 +68,33 @@ def plan(repeats: int, samples: int, seed: int = 11) -> tuple[np.ndarray, np.nda
     return np.sort(rng.random((repeats, samples)), axis=1), rng.integers(0, 64, (repeats, 4096)).astype(np.uint64)
 
 
-def cgk_keys(words: np.ndarray, start: np.ndarray, have: np.ndarray, size: np.ndarray, repeats: int, samples: int) -> np.ndarray:
-    """keys[window, repeat]: a hash of the sampled symbols of each walk over a window.
+def cgk_keys(words: np.ndarray, start: np.ndarray, have: np.ndarray, size: int, repeats: int, samples: int) -> np.ndarray:
+    """keys[window, repeat]: a hash of the sampled symbols of each walk over windows of one size.
 
     A window has the ``have`` words from ``start`` on and counts as ``size`` words; its walk has
     3 * size steps, and past its words it emits a blank.
     """
     at, bit = plan(repeats, samples)
-    order = np.argsort(-size, kind="stable")
-    start, have, size = start[order], have[order], size[order]
-    wanted = (at[None] * (3 * size)[:, None, None]).astype(np.int64)  # sorted along the samples
-    pos = np.zeros((len(start), repeats), np.int64)
-    key = np.repeat((np.arange(repeats, dtype=np.uint64) * np.uint64(1_000_003))[None], len(start), axis=0) + size.astype(np.uint64)[:, None]
-    due = np.zeros((len(start), repeats), np.int64)  # the next sample of each walk
-    upto = wanted[:, :, -1].max(axis=1) if len(start) else np.zeros(0, np.int64)
+    wanted = (at * (3 * size)).astype(np.int64)  # the sampled steps of each walk, in order
+    key = np.repeat((np.arange(repeats, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(size))[:, None], len(start), axis=1)
     padded = np.append(words, np.uint64(0))
     blank = len(words)
-    cols = np.arange(repeats)
-    for j in range(int(upto.max()) + 1 if len(start) else 0):
-        n = int(np.searchsorted(-upto, -j, side="right"))  # sizes decrease
-        p = pos[:n]
-        inside = p < have[:n, None]
-        symbol = padded[np.where(inside, start[:n, None] + p, blank)]
-        w, r = np.nonzero(np.take_along_axis(wanted[:n], np.minimum(due[:n], samples - 1)[:, :, None], axis=2)[:, :, 0] == j)
-        while len(w):
-            key[w, r] = mix(key[w, r] ^ symbol[w, r])
-            due[w, r] += 1
-            more = (due[w, r] < samples) & (wanted[w, r, np.minimum(due[w, r], samples - 1)] == j)
-            w, r = w[more], r[more]
-        pos[:n] += (inside & ((symbol >> bit[cols, j % 4096]) & np.uint64(1) == 1)).astype(np.int64)
+    order = np.argsort(-wanted[:, -1], kind="stable")  # walks that end first are dropped from the end
+    upto, key, wanted, bit = wanted[order, -1], key[order], wanted[order], bit[order]
+    at = np.repeat(start[None].astype(np.int64), repeats, axis=0)
+    end = (start + have).astype(np.int64)
+    for j in range(int(upto.max(initial=-1)) + 1):
+        n = int(np.searchsorted(-upto, -j, side="right"))
+        p = at[:n]
+        inside = p < end
+        symbol = padded[np.where(inside, p, blank)]
+        for r in np.flatnonzero((wanted[:n] == j).any(axis=1)):
+            for _ in range(int((wanted[r] == j).sum())):
+                key[r] = mix(key[r] ^ symbol[r])
+        p += ((symbol >> bit[:n, j % 4096, None]) & np.uint64(1)).astype(np.int64) & inside
     out = np.empty_like(key)
     out[order] = key
-    return out
+    return out.T
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -131,14 +126,13 @@ def items(benchmark: DataFrame, id_col: str, text_col: str, repeats: int, sample
                     if not len(w) or item is None:
                         continue
                     size = int(size_class(len(w)))
-                    one = np.array([size])
-                    keys = cgk_keys(w, np.zeros(1, np.int64), np.minimum(one, len(w)), one, walks(size, repeats), samples)[0]
+                    keys = cgk_keys(w, np.zeros(1, np.int64), np.array([min(size, len(w))]), size, walks(size, repeats), samples)[0]
                     for c, v in zip(out, (item, w.view(np.int64), size, keys.view(np.int64)), strict=True):
                         c.append(v)
                 kinds = (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["item_id", "words", "size", "keys"])
 
-    return benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, 
         run, "item_id long, words array<long>, size int, keys array<long>"
     )
 
@@ -154,7 +148,7 @@ def word_pairs(known: DataFrame) -> DataFrame:
             a, b = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(pair_hash(a, b).view(np.int64))], ["pair"])
 
-    return known.select(F.explode(pairs).alias("p")).select("p.a", "p.b").mapInArrow(run, "pair long").distinct()
+    return known.select(F.explode(pairs).alias("p")).select("p.a", "p.b").transform(in_arrow, run, "pair long").distinct()
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,7 +168,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[tuple[int,
         import pyarrow as pa
 
         for batch in batches:
-            for s in slices(batch.column(1), limit=8 << 20):
+            for s in slices(batch.column(1)):
                 ids = batch.column(0).slice(s.lo, s.hi - s.lo)
                 n = len(s.hash)
                 if not n:
@@ -199,22 +193,17 @@ def windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[tuple[int,
                             at = starts + j
                             content = content * np.uint64(0xD6E8FEB86659FD93) + np.where(at < end_of[starts], s.hash[np.minimum(at, n - 1)], np.uint64(0))
                         once = np.unique(mix(content) + mix(row[starts].astype(np.uint64)), return_index=True)[1]
-                    found.append(np.column_stack([starts[once], np.full(len(once), size)]))
-                if not found:
-                    continue
-                parts = []
-                for f in found:  # windows of one size, and so of one number of walks
-                    many = walks(int(f[0, 1]), repeats)
+                    many = walks(size, repeats)
                     step = max(1, 96_000 // many)
-                    parts += [(f[lo : lo + step, 0], f[lo : lo + step, 1], many) for lo in range(0, len(f), step)]
-                for part, size, many in parts:
+                    found += [(starts[once[lo : lo + step]], size, many) for lo in range(0, len(once), step)]
+                for part, size, many in found:
                     keys = cgk_keys(s.hash, part, np.minimum(size, end_of[part] - part), size, many, samples)
                     hit = in_bloom(keys_of, keys.ravel().view(np.int64)).reshape(keys.shape)
                     keep = np.flatnonzero(hit.any(axis=1))
                     if not len(keep):
                         continue
-                    part, size, keys, hit = part[keep], size[keep], keys[keep], hit[keep]
-                    reach = (size * SIZES).astype(np.int64) + 1
+                    part, keys, hit = part[keep], keys[keep], hit[keep]
+                    reach = int(size * SIZES) + 1
                     slack = allowed(reach, percent) + 2 + RUN
                     first = np.maximum(part - slack, s.row[row[part]])
                     last = np.minimum(part + reach + slack, end_of[part])
@@ -228,7 +217,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[tuple[int,
                         ["doc_id", "start", "first", "near", "keys"],
                     )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, 
         run, "doc_id long, start long, first long, near array<long>, keys array<long>"
     )
 
@@ -270,7 +259,7 @@ def contaminated_spans(
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "item_id", "edits", "first_word", "end_word"])
 
     texts = known.select("item_id", "words")
-    verified = hits.join(F.broadcast(texts) if few else texts, "item_id").select("doc_id", "item_id", "words", "w.first", "w.near").mapInArrow(
+    verified = hits.join(F.broadcast(texts) if few else texts, "item_id").select("doc_id", "item_id", "words", "w.first", "w.near").transform(in_arrow, 
         check, "doc_id long, item_id long, edits int, first_word long, end_word long"
     )
     return verified.distinct()
