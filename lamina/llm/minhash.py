@@ -12,11 +12,16 @@ Steps, all distributed:
 3. A table row can only meet another if both its groups do, so the m*m rows are made for classes and
    groups that meet another class in a collection; the rest cost 2*m rows.
 4. In each table a key's smallest member is its pivot; every member is linked to the pivot if their
-   full sets are similar enough. This is linear in the table, whatever the size of a bucket.
-5. Components of the links so far. Where a bucket still has members of several components, the
-   pairs that cross components are compared too, in blocks of bounded size, so no candidate goes
-   unchecked. A bit sketch of each set bounds the symmetric difference from below, so it only drops
-   pairs that cannot reach the limit; the others are verified on their full sets.
+   full sets are similar enough. This is linear in the table, whatever the size of a bucket. A pair
+   that meets in many tables is one row from here on, with the groups of the first collection in
+   which it met (m at most).
+5. Components of the links so far. Where a pivot and a member of its bucket are not connected, the
+   group of the first collection that they share stays open. All open groups get new pivots, ROUNDS
+   times, and what these connect drops out.
+6. In groups that still have several components, the pairs that cross components are compared, in
+   blocks of bounded size, so no candidate goes unchecked. A bit sketch of each set bounds the
+   symmetric difference from below, so it only drops pairs that cannot reach the limit; the others
+   are verified on their full sets.
 
 Links inside one component need no check, as they cannot change the result.
 """
@@ -27,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bloom, components, forget, in_bloom, small, written
+from .shared import bloom, components, forget, in_arrow, in_bloom, small, written
 from .words import mix, shingles, slices
 
 GROUPS = 16
@@ -77,7 +82,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ["id", "n_shingles", "fp1", "fp2", "groups"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, 
         run, "id long, n_shingles long, fp1 long, fp2 long, groups array<long>"
     )
 
@@ -101,11 +106,13 @@ def shingle_sets(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str
                 lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(np.concatenate(sets))).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), lists], ["id", "set"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, set array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, run, "id long, set array<long>")
 
 
 SKETCH_BITS = 4096
 BLOCK = 1024
+ROUNDS = 2
+HOT_PAIRS = 512  # pairs of one text that meet its set in one place
 
 
 def sketches(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -131,7 +138,7 @@ def sketches(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str, si
                     out.append(np.packbits((cells & 1).astype(np.uint8)).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(out, pa.binary())], ["id", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, sketch binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, run, "id long, sketch binary")
 
 
 def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -182,20 +189,32 @@ def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives whose full shingle sets have 100*|∩| >= percent*|∪|."""
     wanted = bloom(pairs.select("a").union(pairs.select("b")), "a")
     sets = shingle_sets(docs, wanted, id_col, text_col, size)
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    hot = pairs.groupBy("a").count().where(F.col("count") > HOT_PAIRS).select("a", F.ceil(F.col("count") / HOT_PAIRS).cast("int").alias("parts"))
+    hot = small(written(hot, "hot"))  # a set that many pairs need goes to several places
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    left = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")).join(hot, "a", "left").select("a", "set_a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    both = left.join(right, ["a", "part"])
     common = F.size(F.array_intersect("set_a", "set_b"))
     total = F.size("set_a") + F.size("set_b") - common
     return both.where(100 * common >= percent * total).select("a", "b").distinct()
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -225,41 +244,71 @@ def near_duplicates(
         met.join(classes.select("rep", F.col("n_shingles").alias("n")), "rep")
         .select("rep", "n", F.explode(side(True)).alias("g"), side(False).alias("others"))
         .select("rep", "n", "g", F.explode("others").alias("o"))
-        .select(F.xxhash64("g.i", "o.i", "g.x", "o.x").alias("key"), "rep", "n")
+        .select(F.xxhash64("g.i", "o.i", "g.x", "o.x").alias("key"), F.xxhash64("g.i", "g.x").alias("half"), "rep", "n")
     )
     tables = written(tables, "tables")
     pivots = tables.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last")
     fits = lambda a, b: (100 * F.least(a, b)) >= (percent * F.greatest(a, b))  # noqa: E731  sizes further apart cannot reach the limit
-    shared = written(tables.join(pivots.drop("last"), "key").select("key", "rep", "n", "pivot"), "buckets")
+    buckets = written(tables.join(pivots.drop("last"), "key").groupBy("pivot", "rep", "n").agg(F.collect_set("half").alias("halves")), "buckets")
+    forget(tables)
     sizes = classes.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("pivot_n"))
-    star = (
-        shared.where("rep <> pivot").select("pivot", "rep", "n").distinct().join(sizes, "pivot").where(fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    )
-    star = written(star, "star")
-    links = written(verified(star, docs, id_col, text_col, size, percent), "links")
+    star = buckets.where("rep <> pivot").select("pivot", "rep", "n").join(sizes, "pivot").where(fits(F.col("n"), F.col("pivot_n")))
+    tried = written(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), "star")
+    links = written(verified(tried, docs, id_col, text_col, size, percent), "links")
     of = components(links)
 
-    # Pairs that cross components inside a bucket and were not compared with its pivot yet.
-    placed = shared.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", "pivot", F.coalesce("component", "rep").alias("comp"))
-    mixed = (
-        placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c"))
-        .where("c0 <> c1 and c > 2").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    )
-    open_rows = written(placed.where("rep <> pivot").join(mixed, "key").select("key", "rep", "n", "comp", "blocks"), "open")
-    bits = sketches(docs, bloom(open_rows, "rep"), id_col, text_col, size).groupBy("id").agg(F.first("sketch").alias("sketch"))
-    rows_ = (
-        open_rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    # Groups in which a pivot and a member are not connected: all their members.
+    label = lambda c: of.select(F.col("id").alias(c), F.col("component").alias(f"{c}_comp"))
+    stray = buckets.where("rep <> pivot").join(label("rep"), "rep", "left").join(label("pivot"), "pivot", "left")
+    stray = stray.where(F.coalesce("rep_comp", "rep") != F.coalesce("pivot_comp", "pivot")).select(F.explode("halves").alias("half")).distinct()
+    open_rows = written(buckets.select("rep", "n", F.explode("halves").alias("half")).distinct().join(stray, "half"), "open")
+    forget(buckets)
+
+    def placed():
+        grouped = open_rows.groupBy("rep", "n").agg(F.collect_list("half").alias("halves"))  # the first collection's groups at most
+        return grouped.join(label("rep"), "rep", "left").select(F.explode("halves").alias("half"), "rep", "n", F.coalesce("rep_comp", "rep").alias("comp"))
+
+    def still_open(rows, *more):
+        return rows.groupBy("half").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c"), *more).where("c0 <> c1").drop("c0", "c1")
+
+    made = [links]
+    for turn in range(ROUNDS):
+        rows = written(placed(), "placed")
+        heads = still_open(rows, F.min_by(F.struct(F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp")), F.xxhash64("rep", F.lit(turn))).alias("p"))
+        again = rows.join(heads.select("half", "p.*"), "half")
+        narrowed = written(again.select("half", "rep", "n"), "open")
+        pairs = again.where((F.col("comp") != F.col("pivot_comp")) & fits(F.col("n"), F.col("pivot_n"))).select(F.greatest("pivot", "rep").alias("b"), F.least("pivot", "rep").alias("a"))
+        pairs = written(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "star")
+        found = written(verified(pairs, docs, id_col, text_col, size, percent), "links")
+        forget(rows)
+        forget(open_rows)
+        open_rows, made = narrowed, [*made, found]
+        both = written(tried.union(pairs), "tried")
+        forget(tried)
+        forget(pairs)
+        tried = both
+        if found.limit(1).count():
+            before = of
+            of = components(_all(made))
+            forget(before)
+
+    # Pairs that cross components inside a group and were not compared yet.
+    rows = written(placed(), "placed")
+    mixed = still_open(rows).where("c > 2").select("half", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    left_over = written(rows.join(mixed, "half"), "rest")
+    bits = sketches(docs, bloom(left_over, "rep"), id_col, text_col, size).groupBy("id").agg(F.first("sketch").alias("sketch"))
+    spread_ = (
+        left_over.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .join(bits.withColumnRenamed("id", "rep"), "rep")
-        .select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "n", "comp", "sketch")
+        .select(F.col("half").alias("key"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "n", "comp", "sketch")
     )
-    rest = block_pairs(rows_, percent).join(star, ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
+    rest = written(block_pairs(spread_, percent).join(tried, ["a", "b"], "left_anti"), "rest")
     more = written(verified(rest, docs, id_col, text_col, size, percent), "links")
     if more.limit(1).count():
-        before, of = of, components(links.union(more))
+        before, of = of, components(_all([*made, more]))
         forget(before)
-    for t in (tables, shared, star, links, open_rows, rest, more):
+    for t in (rows, left_over, open_rows, tried, rest, more, *made):
         forget(t)
 
     members = known.join(classes.drop("groups"), ["n_shingles", "fp1", "fp2"], "left").select("id", "rep")
