@@ -1,25 +1,26 @@
 """Main text of web pages by template deduction over equivalence classes.
 
-Tokens are the tags and text blocks of a page, each with its path. Tokens of one host that occur
-equally often in each of its pages (the same occurrence vector) form an equivalence class. A class
-seen on enough pages is part of the host's template; what varies between its tokens are the slots. A
-slot contains blocks, stands once on a page and so does all that encloses it, so slots nest. The
-deepest slot that holds half of the text is the article.
+Tokens are a page's elements, each with its path of tags and names, and its text blocks. Tokens of one
+host that occur equally often in each of its pages (the same occurrence vector) form an equivalence
+class. A class is valid if it covers SUPPORT of the host's different pages (MIN_PAGES at least). Its
+elements that stand once on a page, as does all around them, nest into the template, and what they
+enclose are its slots. The deepest slot with half of the host's text is the article's, whatever its
+tag and names; texts of the template itself are no content.
 
 An occurrence vector is kept as the exclusive-or of hash(page, count), so vectors are compared
 without gathering a host's pages: a host that has a third of all pages costs one row per token and
 task. Pages of equal text count once, so that copies of an article do not pass for a template.
 
-Elements that say what they are (nav, aside, footer, script, class="comments"...) are left out, and
-an <article> or <main> is taken at its word; the template's slot decides where the markup does not.
-Texts of the template go everywhere, whatever their length.
+Names (nav, footer, class="comments"...) only tell which text to leave aside: the slot is sought in
+the text outside elements so named, unless they hold nearly all of it; then they lie and all text
+counts. Inside the slot a named container goes (comments in an article), a named paragraph only if it
+is part of the template. <article> and <main> decide only on pages where no template holds.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import xxhash
@@ -30,118 +31,233 @@ from .shared import in_arrow, written
 
 MIN_PAGES = 3
 SUPPORT = 0.5
-BOILERPLATE_SUPPORT = 0.6
-BROADCAST_HOSTS = 100_000
+TEXT_SUPPORT = 0.75  # of a host's different pages: a text on them is the template's
+LIE = 0.1  # names are believed if this share of a host's text is outside the elements they name
+BROADCAST_TOKENS = 1_000_000  # of all templates together, 8 MB
+SALTS = 16
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "noframes"}
-DROP = {"script", "style", "head", "title", "noscript", "template", "nav", "footer", "aside", "form", "iframe", "svg", "math", "button", "select", "textarea", "object", "canvas", "audio", "video", "menu", "dialog", "noframes", "xmp"}
+HARD = {"script", "style", "head", "title", "noscript", "template", "iframe", "svg", "math", "button", "select", "textarea", "object", "canvas", "audio", "video", "noframes", "xmp"}
+SOFT = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-CLOSED_BY = {"p": set(), "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PARTS = HEADINGS | {"p", "pre", "blockquote", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "figure", "figcaption"}  # of an article, never its slot
 NOISE = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu",
-    "breadcrumb", "breadcrumbs", "sidebar", "aside", "masthead", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu",
+    "breadcrumb", "breadcrumbs", "sidebar", "aside", "masthead", "header", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay",
     "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "reply", "replies",
-    "respond", "disqus", "widget", "pagination", "pager", "toolbar", "skip", "copyright",
+    "respond", "disqus", "widget", "widgets", "pagination", "pager", "toolbar", "skip", "copyright",
 }
+#: Words that a noise name may be combined with; with any other (share-price, notice-of-meeting) it names something else.
+FILLER = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "message", "outer", "panel", "posts", "right", "section", "site", "slot", "thread", "top", "unit", "wrap", "wrapper"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-PARTS = HEADINGS | {"p", "pre", "blockquote", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "figure", "figcaption"}  # of an article, never its slot
+
+NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*+")
+REST = re.compile(r"""(?>=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+>""")
+ATTRIBUTE = re.compile(r"""([a-zA-Z-]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NEVER, NAMED, PLAIN = 2, 1, 0
+
+
+@lru_cache(maxsize=1 << 14)
+def _kind(tag: str, attributes: str) -> tuple[str, int]:
+    """The label of an element in paths, and NEVER (no text), NAMED (as noise) or PLAIN."""
+    attrs = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
+    names, noise = set(), PLAIN
+    for token in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
+        words = [w.lower() for w in WORDS.findall(token)]
+        names.update(words)
+        if any(w in NOISE for w in words) and all(w in NOISE or w in FILLER for w in words) and tag not in ("html", "body"):
+            noise = NAMED
+    if tag in SOFT or attrs.get("role", "").lower() in NOISE_ROLES:
+        noise = NAMED
+    if tag in HARD or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+        noise = NEVER
+    return tag + "".join(f".{n}" for n in sorted(names)), noise
 
 
-class _Open:
-    __slots__ = ("tag", "path", "paths", "ids", "noise", "main", "link", "head")
+@lru_cache(maxsize=1 << 16)
+def _place(up: int, label: str) -> int:
+    """The path token of an element below another."""
+    return xxhash.xxh64_intdigest(f"{up}/{label}") >> 1
 
-    def __init__(self, tag, path, paths, ids, noise, main, link, head):
-        self.tag, self.path, self.paths, self.ids, self.noise, self.main, self.link, self.head = tag, path, paths, ids, noise, main, link, head
 
+def _token(place: int, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{place}\0{text}") >> 1
 
-def _token(path: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{path}\0{text}") >> 1
 
+class Page:
+    """A page's elements in order (parents first) and its blocks: (text, number of the element, all of it linked)."""
 
-@lru_cache(maxsize=1 << 16)
-def _place(path: str) -> int:
-    """The token of a container."""
-    return _token(path, "")
+    __slots__ = ("tag", "place", "up", "depth", "noise", "blocks")
 
+    def __init__(self):
+        self.tag, self.place, self.up, self.depth, self.noise = [""], [0], [-1], [0], [PLAIN]
+        self.blocks: list[tuple[str, int, bool]] = []
 
-@lru_cache(maxsize=1 << 16)
-def _may_be_slot(path: str) -> bool:
-    return path.rsplit("/", 1)[-1].split(".", 1)[0] not in PARTS
+    def add(self, tag: str, up: int, label: str, noise: int) -> int:
+        self.tag.append(tag)
+        self.place.append(_place(self.place[up], label))
+        self.up.append(up)
+        self.depth.append(self.depth[up] + 1)
+        self.noise.append(noise)
+        return len(self.tag) - 1
 
 
-def parse(page: str) -> Iterator[tuple]:
-    """The blocks of a page in order: (text, path tokens of its ancestors, noise, in main, link characters, numbers of its ancestors).
+def parse(page: str) -> Page:
+    """Reads a page once, in time linear in its length.
 
-    Tolerates unclosed and misnested tags: a new paragraph, item or cell ends the one before, and an
-    end tag closes back to its start, or nothing.
+    Tolerates unclosed and misnested tags: a new block ends an open paragraph, a new item or cell the
+    one before, and an end tag closes back to its start, or nothing. A quote that never ends makes
+    tags end at the next ">"; a "<" without one is text.
     """
-    stack = [_Open("", "", (), (), False, False, False, False)]
+    out = Page()
+    stack, opened = [0], {}
     parts: list[str] = []
-    linked = 0
-    at = 0
-
-    def block():
-        nonlocal parts, linked
-        raw, top = "".join(parts), stack[-1]
-        got = (" ".join((html.unescape(raw) if "&" in raw else raw).split()), top.paths, top.noise or top.head, top.main, linked, top.ids)
-        parts, linked = [], 0
-        return got
-
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
+    at, n = 0, len(page)
+    linked, plain = False, False  # inside <a>; whether the block has text outside links
+    mute: list | None = None  # an inline element whose text does not count: its tag, and how often it is open
+    strict = True
+
+    def end_block():
+        nonlocal parts, plain, mute
+        if parts:
+            raw = "".join(parts)
+            text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
+            if text:
+                out.blocks.append((text, stack[-1], not plain))
+            parts = []
+        plain, mute = False, None
+
+    def add_text(a: int, b: int):
+        nonlocal plain
+        if mute is None:
+            s = page[a:b]
+            parts.append(s)
+            plain = plain or not linked and not s.isspace()
+
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            break
+        if lt > at:
+            add_text(at, lt)
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2)  # "<!-->" is a whole comment
+            at = n if end < 0 else end + 3
             continue
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            linked += (m.start() - at) if stack[-1].link else 0
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                parts.append(html.escape(m[0][9:].removesuffix("]]>")))
+        if page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            if mute is None:
+                parts.append(html.escape(page[lt + 9 : n if end < 0 else end]))
+                plain = plain or not linked
+            at = n if end < 0 else end + 3
             continue
-        if tag not in INLINE:
-            if parts:
-                yield block()
-        elif tag in ("br", "img"):
-            parts.append(" ")
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                del stack[depth:]
+        name = NAME.match(page, lt + 1)
+        if name is None:
+            if page.startswith(("<!", "<?", "</"), lt) and (end := page.find(">", lt)) > 0:
+                at = end + 1
+            else:
+                add_text(lt, lt + 1)
+                at = lt + 1
             continue
+        rest = REST.match(page, name.end()) if strict else None
+        if rest is None:
+            strict = False
+            end = page.find(">", name.end())
+            if end < 0:
+                add_text(lt, n)
+                at = n
+                break
+            end += 1
+        else:
+            end = rest.end()
+        at = end
+        tag = name[0].lower()
+        if tag[0] == "/":
+            tag = tag[1:]
+            if tag in INLINE:
+                if tag == "a":
+                    linked = False
+                if mute is not None and mute[0] == tag:
+                    mute[1] -= 1
+                    if not mute[1]:
+                        mute = None
+                continue
+            end_block()
+            if opened.get(tag):
+                while True:
+                    gone = out.tag[stack.pop()]
+                    opened[gone] -= 1
+                    if gone == tag:
+                        break
+            continue
+        if tag in ("br", "img"):
+            if mute is None:
+                parts.append(" ")
+            continue
+        if tag in INLINE:
+            if tag == "a":
+                linked = True
+            if tag in VOID:
+                continue
+            if mute is not None:
+                mute[1] += mute[0] == tag
+            elif _kind(tag, page[name.end() : end - 1])[1]:
+                mute = [tag, 1]
+            continue
+        end_block()
+        linked = False
         if tag in VOID:
             continue
-        if tag not in INLINE:
-            ends = CLOSED_BY.get(tag, set())
-            for i in range(len(stack) - 1, 0, -1):
-                t = stack[i].tag
-                if t == "p" or t in ends:
-                    del stack[i:]
-                    break
-                if t not in INLINE:
-                    break
-        up = stack[-1]
-        attrs = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3].strip(" /") else {}
-        names = {w.lower() for k in ("class", "id") for w in WORDS.findall(attrs.get(k, ""))}
-        noise = up.noise or tag in DROP or bool(names & NOISE) or attrs.get("role", "").lower() in NOISE_ROLES or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        inside = up.main and any(o.tag == "article" for o in stack)  # an article's own header has its title
-        noise = noise or (tag == "header" or "header" in names and tag not in HEADINGS) and not inside
-        head = tag == "header" and inside or up.head and tag not in HEADINGS
-        label = tag if tag in INLINE else f"{up.path}/{tag}" + "".join(f".{n}" for n in sorted(names))
-        stack.append(_Open(tag, up.path if tag in INLINE else label, up.paths if tag in INLINE else (*up.paths, label), up.ids if tag in INLINE else (*up.ids, m.start()), noise, up.main or tag in ("article", "main") and not noise, up.link or tag == "a", head))
-        if tag in RAW and not m[0].endswith("/>"):
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+        ends = CLOSED_BY.get(tag, ())
+        if len(stack) > 1 and ((top := out.tag[stack[-1]]) == "p" or top in ends):
+            opened[top] -= 1
             stack.pop()
-    if at < len(page):
-        parts.append(page[at:])
-    if parts:
-        yield block()
+            while len(stack) > 1 and (top := out.tag[stack[-1]]) in ends:  # a cell, then its row
+                opened[top] -= 1
+                stack.pop()
+        label, noise = _kind(tag, page[name.end() : end - 1])
+        number = out.add(tag, stack[-1], label, noise)
+        if tag in RAW:
+            if page[end - 2] != "/":
+                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = close.end() if close else n
+            continue
+        stack.append(number)
+        opened[tag] = opened.get(tag, 0) + 1
+    if at < n:
+        add_text(at, n)
+    end_block()
+    return out
+
+
+def inherited(page: Page, slot: int | None = None, named_parts: frozenset | None = None) -> tuple[list[int], list[bool]]:
+    """For each element: the noise that it is in, and whether it is inside the slot (an <article> or <main>, where slot is None).
+
+    What is named outside a slot does not count inside it. named_parts: the paragraphs and the like
+    whose names count inside the slot; None: all. A header inside keeps its headings.
+    """
+    noise, inside, head, article = [page.noise[0]], [False], [False], [False]
+    for i in range(1, len(page.tag)):
+        up, tag = page.up[i], page.tag[i]
+        here = inside[up]
+        starts = not here and (page.place[i] == slot if slot is not None else tag in ("article", "main") and page.noise[i] == PLAIN and noise[up] == PLAIN)
+        own, above = page.noise[i], noise[up]
+        if starts:
+            own, above = (own if own == NEVER else PLAIN), (above if above == NEVER else PLAIN)
+        article.append(article[up] or starts and tag != "main" or here and tag == "article")
+        is_head = head[up] or (tag == "header" and article[up])
+        if is_head and tag in HEADINGS:
+            own, above = PLAIN, (noise[up] if noise[up] == NEVER else PLAIN)
+        elif own == NAMED and tag in PARTS and here and named_parts is not None and page.place[i] not in named_parts:
+            own = PLAIN
+        noise.append(max(own, above))
+        inside.append(here or starts)
+        head.append(is_head)
+    return noise, inside
 
 
 def host_of(url: str | None) -> str:
@@ -149,88 +265,104 @@ def host_of(url: str | None) -> str:
     return (m[1] if m else "").lower()
 
 
+ELEMENT, TEXT, PART = 0, 1, 2
+TOKEN = "host string, token long, kind int, depth int, vector long, page long, chars long, clean long, slot int"
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, kind, depth, vector, pages, chars, slot): one row for each distinct token of each page.
+    """TOKEN rows, one for each distinct token of each different page of a host.
 
-    slot: 1 for a container of blocks that stands once on the page, as do all around it.
+    chars and clean: text inside, and that outside named elements. slot: 1 for an element that may
+    be a slot and stands once on the page, as do all around it. Kind PART: named paragraphs and the like.
     """
 
     def run(batches):
         import pyarrow as pa
 
+        names = [f.split()[0] for f in TOKEN.split(", ")]
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         for batch in batches:
-            out = [[] for _ in range(9)]
-            for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host = host_of(url)
-                seen: dict[int, list] = {}  # token -> kind, depth, count, characters that are not noise, last element, container around, path if it has blocks
-                key = xxhash.xxh64()
-                for text, path, noise, main, _, ids in parse(page or ""):
-                    if not text:
+            out = [[] for _ in names]
+            for url, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page, host = parse(text or ""), host_of(url)
+                noise, _ = inherited(page)
+                size = len(page.tag)
+                chars, clean, key, every = [0] * size, [0] * size, xxhash.xxh64(), xxhash.xxh64()
+                texts: dict[int, list[int]] = {}
+                for t, i, linked in page.blocks:
+                    if noise[i] == NEVER:
+                        continue
+                    every.update(t + "\n")
+                    if noise[i] == PLAIN:
+                        key.update(t + "\n")
+                        clean[i] += 0 if linked else len(t)
+                    chars[i] += 0 if linked else len(t)
+                    got = texts.setdefault(_token(page.place[i], t), [0, page.depth[i]])
+                    got[0] += 1
+                for i in range(size - 1, 0, -1):  # children come after their parents
+                    chars[page.up[i]] += chars[i]
+                    clean[page.up[i]] += clean[i]
+                count: dict[int, int] = {}
+                for p in page.place:
+                    count[p] = count.get(p, 0) + 1
+                once = [True] * size
+                for i in range(1, size):
+                    once[i] = once[page.up[i]] and count[page.place[i]] == 1
+                page_key = (every if clean[0] < LIE * chars[0] else key).intdigest() >> 1
+                seen = set()
+                rows = []
+                for i in range(size):
+                    p, part = page.place[i], page.tag[i] in PARTS
+                    if p in seen or part and page.noise[i] != NAMED:
                         continue
-                    size = 0 if noise else len(text)
-                    up = None
-                    for d, p in enumerate(path):
-                        place = _place(p)
-                        held = seen.setdefault(place, [0, d, 0, 0, -1, up, None])
-                        held[3] += size
-                        if held[4] != ids[d]:  # elements of one path follow each other
-                            held[4] = ids[d]
-                            held[2] += 1
-                        if d + 1 < len(path):
-                            held[6] = p
-                        up = place
-                    if not noise:
-                        key.update(text)
-                        seen.setdefault(_token(path[-1] if path else "", text), [1, len(path), 0, 0, -1, None, None])[2] += 1
-                text_key = key.intdigest()
-                once = {None}
-                for token, (kind, depth, count, chars, _, around, holder) in seen.items():  # what encloses comes first
-                    if kind == 0 and count == 1 and around in once:
-                        once.add(token)
-                    slot = int(kind == 0 and token in once and holder is not None and _may_be_slot(holder))
-                    vector = xxhash.xxh64_intdigest(f"{text_key}:{count}") >> 1
-                    for column, v in zip(out, (host, token, kind, depth, vector, text_key >> 1, 1, chars, slot), strict=True):
+                    seen.add(p)
+                    rows.append((p, PART if part else ELEMENT, page.depth[i], count[p], chars[i], clean[i], int(once[i] and not part)))
+                rows += [(t, TEXT, d, c, 0, 0, 0) for t, (c, d) in texts.items()]
+                for token, kind, depth, c, m, k, slot in rows:
+                    vector = xxhash.xxh64_intdigest(f"{page_key}:{c}") >> 1
+                    for column, v in zip(out, (host, token, kind, depth, vector, page_key, m, k, slot), strict=True):
                         column.append(v)
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["host", "token", "kind", "depth", "vector", "page", "n", "chars", "slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    rows = pages.select("url", "html").transform(in_arrow, run, "host string, token long, kind int, depth int, vector long, page long, n long, chars long, slot long")
-    return rows.groupBy("host", "token", "kind", "depth", "page").agg(F.first("vector").alias("vector"), F.max("n").alias("pages"), F.max("chars").alias("chars"), F.min("slot").alias("slot"))
+    rows = in_arrow(pages.select("url", "html"), run, TOKEN)
+    return rows.groupBy("host", "token", "kind", "page").agg(F.max("depth").alias("depth"), F.max("vector").alias("vector"), F.max("chars").alias("chars"), F.max("clean").alias("clean"), F.min("slot").alias("slot"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot, boilerplate): the path token of the article's slot, and text tokens most pages share.
+    """(host, slot, fixed): the path token of the article's slot, and the tokens of fixed texts and named parts.
 
-    slot: of all containers of blocks whose class covers SUPPORT of the host's pages and that stand
-    once there, the deepest that holds half of the text outside the noise. Hosts of fewer than MIN_PAGES
-    different pages have no row.
+    A token of the template covers a share of the host's different pages, so a host's row has no more
+    of them than a page has tokens, times 1 / SUPPORT. Hosts of fewer than MIN_PAGES pages have no row.
     """
     tokens = page_tokens(pages).groupBy("host", "token", "kind").agg(
-        F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.max("depth").alias("depth"), F.sum("slot").alias("slots")
+        F.bit_xor("vector").alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("clean").alias("clean"), F.max("depth").alias("depth"), F.sum("slot").alias("slots")
     )
-    host = tokens.groupBy("host").agg(F.max(F.when(F.col("kind") == 0, F.col("pages"))).alias("all_pages"), F.max(F.when(F.col("kind") == 0, F.col("chars"))).alias("all_chars"))
-    classes = tokens.join(host, "host").where(f"all_pages >= {MIN_PAGES}").groupBy("host", "kind", "vector").agg(
-        F.max("pages").alias("pages"),
-        F.max("all_pages").alias("all_pages"),
-        F.collect_set(F.when((F.col("kind") == 1) & (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= BOILERPLATE_SUPPORT * F.col("all_pages")), F.col("token"))).alias("texts"),
-        F.max(
-            F.when((F.col("slots") >= SUPPORT * F.col("all_pages")) & (2 * F.col("chars") >= F.col("all_chars")), F.struct(F.col("depth"), F.col("chars"), F.col("token")))
-        ).alias("container"),
+    tokens = written(tokens.where(f"pages >= {MIN_PAGES}"), "tokens")
+    host = tokens.where("token = 0").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"), F.col("clean").alias("all_clean"))  # the page itself, on each of them
+    valid = tokens.join(host, "host").where(F.col("pages") >= SUPPORT * F.col("all_pages"))
+    classes = valid.groupBy("host", "vector").agg(
+        F.max("all_pages").alias("all_pages"), F.max("all_chars").alias("all_chars"), F.max("all_clean").alias("all_clean"),
+        F.collect_list(F.struct("kind", "token", "depth", "pages", "slots", "chars", "clean")).alias("members"),
     )
-    return classes.where(F.col("pages") >= SUPPORT * F.col("all_pages")).groupBy("host").agg(
-        F.max("container")["token"].alias("slot"),
-        F.flatten(F.collect_list("texts")).alias("boilerplate"),
+    lies = F.col("all_clean") < LIE * F.col("all_chars")
+    each = classes.select("host", "all_pages", lies.alias("lies"), F.when(lies, F.col("all_chars")).otherwise(F.col("all_clean")).alias("all"), F.explode("members").alias("m"))
+    held = F.when(F.col("lies"), F.col("m.chars")).otherwise(F.col("m.clean"))
+    nested = (F.col("m.kind") == ELEMENT) & (F.col("m.token") != 0) & (F.col("m.slots") >= SUPPORT * F.col("all_pages")) & (held > 0) & (2 * held >= F.col("all"))
+    fixed = (F.col("m.kind") == PART) | ((F.col("m.kind") == TEXT) & (F.col("m.pages") >= TEXT_SUPPORT * F.col("all_pages")))
+    return each.groupBy("host").agg(
+        F.max(F.when(nested, F.struct(F.col("m.depth").alias("depth"), held.alias("held"), F.col("m.token").alias("token"))))["token"].alias("slot"),
+        F.collect_list(F.when(fixed, F.col("m.token"))).alias("fixed"),
     )
 
 
-def main_blocks(page: str, slot: int | None, boilerplate: set[int]) -> list[str]:
-    """The article's blocks: of <article>/<main>, else of the template's slot, else of all that is not noise."""
-    blocks = [(t, path, main, link) for t, path, noise, main, link, _ in parse(page) if t and not noise]
-    chosen = [b for b in blocks if b[2]]
-    if not chosen:
-        chosen = [b for b in blocks if slot is not None and any(_place(p) == slot for p in b[1])] or blocks
-        chosen = [b for b in chosen if 2 * b[3] <= len(b[0])]  # mostly links: a menu
-    return [b[0] for b in chosen if not boilerplate or _token(b[1][-1] if b[1] else "", b[0]) not in boilerplate]
+def main_blocks(page: str, slot: int | None, fixed: frozenset) -> list[str]:
+    """The article's blocks: what fills the slot; on pages without it, of <article> or <main>; else all that no name rejects, but for blocks that are links throughout."""
+    read = parse(page)
+    held = slot is not None and slot in read.place
+    noise, inside = inherited(read, slot, fixed) if held else inherited(read)
+    whole = not held and not any(inside)
+    chosen = [(t, i) for t, i, linked in read.blocks if noise[i] == PLAIN and (inside[i] or whole and not linked)]
+    return [t for t, i in chosen if not fixed or _token(read.place[i], t) not in fixed]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -240,11 +372,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ignored; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = written(templates(rows).where("slot is not null or size(boilerplate) > 0"), "templates")
-    if found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        found = F.broadcast(found)
+    found = written(templates(rows).where("slot is not null or size(fixed) > 0"), "templates")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = rows.withColumn("host", host).join(found, "host", "left").select("page_id", "url", "html", "slot", "boilerplate")
+    given = rows.withColumn("host", host)
+    if found.agg(F.coalesce(F.sum(F.size("fixed") + 4), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_TOKENS:
+        joined = given.join(F.broadcast(found), "host", "left")
+    else:  # a host's pages go to several tasks
+        joined = given.withColumn("salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(SALTS))).join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["host", "salt"], "left")
 
     def run(batches):
         import pyarrow as pa
@@ -252,7 +386,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for batch in batches:
             out = []
             for page, slot, common in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                out.append("\n".join(main_blocks(page or "", slot, set(common or ()))))
+                out.append("\n".join(main_blocks(page or "", slot, frozenset(common or ()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.transform(in_arrow, run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    kind = rows.schema["page_id"].dataType.simpleString()
+    return in_arrow(joined.select("page_id", "url", "html", "slot", "fixed"), run, f"page_id {kind}, url string, text string, n_chars long")

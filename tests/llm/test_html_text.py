@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from lamina.llm import html_text as h
@@ -6,7 +9,7 @@ ARTICLE = "<h1>Title &amp; more</h1><p>First  para<b>graph</b>.<br>Second\nline<
 
 
 def blocks(page):
-    return h.main_blocks(page, None, set())
+    return h.main_blocks(page, None, frozenset())
 
 
 @pytest.mark.parametrize(
@@ -78,3 +81,67 @@ def test_long_template_texts_go(spark, pages, tag):
     df = spark.createDataFrame([(i, "http://a.example/", f"<{tag}><h1>T {i}</h1><p>{f'own {i} ' * 30}</p><p>{legal}</p></{tag}>") for i in range(pages)], "page_id long, url string, html string")
     for r in h.main_text(df).collect():
         assert r.text == f"T {r.page_id}\n" + (f"own {r.page_id} " * 30).strip()
+
+
+def test_markup_lies_and_the_template_does_not(spark):
+    """The article is in a form > div.sidebar; <article> holds adverts."""
+    page = lambda i: f"<body><article><p>Buy {i % 2}</p></article><form><div class=sidebar><h1>Head {i}</h1><p>{f'own {i} ' * 40}</p><p class='notice'>note {i}</p></div></form><main>Menu</main></body>"
+    df = spark.createDataFrame([(i, "http://a.example/", page(i)) for i in range(8)], "page_id long, url string, html string")
+    for r in h.main_text(df).collect():
+        assert r.text.split("\n")[:2] == [f"Head {r.page_id}", (f"own {r.page_id} " * 40).strip()] and "Buy" not in r.text and "Menu" not in r.text
+
+
+def test_names_inside_an_article():
+    inside = "<p class='notice-of-meeting'>a</p><div class='share-price'>b</div><p id='reply-to-critics'>c</p><div class='comment-list'>d</div><p title=\"5\" tall\">e</p>"
+    assert blocks(f"<article>{inside}</article>") == ["a", "b", "c", "e"]
+
+
+def test_long_and_broken_pages_take_linear_time():
+    began = time.process_time()
+    for text in ("<a " * 350_000, '<a b="' * 170_000 + ">", "<div>" * 200_000 + "</p>" * 200_000, "<b>" * 300_000 + "<p>x</p>" * 10_000, "<" * 10**6, "&amp;" * 200_000, "<!--" * 250_000, "</" * 500_000):
+        blocks(text)
+    assert time.process_time() - began < 30
+    assert len(blocks("<a " * 350_000)[0]) > 10**6 - 1
+
+
+def test_templates_against_brute_force(spark):
+    """Occurrence vectors kept as lists of counts give the same slot and fixed tokens."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        host = f"h{rng.randrange(6)}.example"
+        low = "<div class=low>imprint</div>" if rng.random() < 0.8 else ""
+        body = "".join(f"<p>{i} {j} {'word ' * rng.randint(1, 30)}</p>" for j in range(rng.randint(1, 4)))
+        rows.append((i, f"http://{host}/{i}", f"<div class=top>{host}</div><div class=mid><div class=text>{body}</div></div>{low}" if rng.random() < 0.9 else f"<div>{body}</div>"))
+    rows += rows[:7]  # repeated pages count once
+    got = {r.host: (r.slot, sorted(r.fixed)) for r in h.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    hosts = {}
+    for _, url, text in rows:
+        page = h.parse(text)
+        noise, _ = h.inherited(page)
+        key = "\n".join(t for t, i, _ in page.blocks if noise[i] == h.PLAIN)
+        hosts.setdefault(h.host_of(url), {})[key] = page
+    want = {}
+    for host, pages in hosts.items():
+        n = len(pages)
+        if n < h.MIN_PAGES:
+            continue
+        vectors, length, deep, texts, total = {}, {}, {}, set(), 0
+        for k, page in enumerate(pages.values()):
+            for t, i, _ in page.blocks:
+                total += len(t)
+                token = h._token(page.place[i], t)
+                vectors.setdefault(token, [0] * n)[k] += 1
+                texts.add(token)
+                while i >= 0:
+                    length[page.place[i]] = length.get(page.place[i], 0) + len(t)
+                    i = page.up[i]
+            for i, p in enumerate(page.place):
+                if page.tag[i] not in h.PARTS:
+                    vectors.setdefault(p, [0] * n)[k] += 1
+                    deep[p] = page.depth[i]
+        support = {t: sum(x > 0 for x in v) for t, v in vectors.items()}
+        fixed = sorted(t for t in texts if support[t] >= max(h.MIN_PAGES, h.TEXT_SUPPORT * n))
+        slots = [(deep[p], length.get(p, 0), p) for p in deep if p and support[p] >= max(h.MIN_PAGES, h.SUPPORT * n) and 2 * length.get(p, 0) >= total and max(vectors[p]) == 1]
+        want[host] = (max(slots)[2] if slots else None, fixed)
+    assert {k: v for k, v in got.items() if v != (None, [])} == {k: v for k, v in want.items() if v != (None, [])}
