@@ -1,35 +1,44 @@
 """Repeated passages by collinear chaining of shared k-mer seeds.
 
 1. Seeds: of each SPAN consecutive word k-mers the one of least hash, so two texts that share
-   K + SPAN - 1 words in a row share a seed.
-2. Every seed that several texts have is joined to its first text (least id), its anchor: a seed of a
-   thousand texts gives a thousand matches, not a million pairs.
-3. The matches of a text with one anchor are chained: best total of seed weights less GAP for each
+   K + SPAN - 1 words in a row share a seed; and each pair of neighbouring seeds. Pairs are rare where
+   single seeds are common phrases, so phrases of other texts do not hide a passage.
+2. Every occurrence of a seed is joined to the one before it and to the first (by id, then position),
+   in the same text too: a seed of a thousand texts gives two thousand matches, not a million pairs.
+   Seeds of very many occurrences are dealt to several tasks by text; the first of each share is
+   joined to the first of the others in the same way.
+3. The matches of a text with one other text are chained: best total of seed weights less GAP for each
    word skipped on either side, by prefix maxima in a Fenwick tree.
-4. Chains are aligned on the words of both texts: seeds are extended outwards, the words between
-   them compared by edit distance, and chains below IDENTITY left out.
-5. The pieces of a text (with any anchors) that touch or overlap are one passage; passages of at
-   least MIN_WORDS words are kept. The anchor's side of a passage is its first occurrence.
+4. Chains are aligned on the words of both texts: the words between seeds are compared by edit
+   distance, and both ends extended until the score has fallen by DROP below its best. A chain is seen
+   with NEAR words around it first, and with both whole texts if its extension goes on there. Chains
+   below IDENTITY are left out.
+5. Pieces that go on where another of the same two texts ends are one passage; passages of at least
+   MIN_WORDS words are kept, each with its own source. One inside another of its text is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bloom, forget, in_arrow, in_bloom, small, written
-from .words import slices, window_hashes
+from .words import mix, slices, window_hashes
 
 K = 6
 SPAN = 14
 GAP = 0.1
 IDENTITY = 0.8
-MIN_PIECE = 12
+MIN_PIECE = 12  # words of an aligned chain; extension has bridged what a shorter one could be part of
 MIN_WORDS = 45
 TOUCH = 6  # words between two pieces of one passage
-REACH = 200  # words that a chain may be extended by on each side
 MISMATCH = -2.0
+DROP = 12.0
+NEAR = 48
+WHOLE = 1 << 30
+BUCKETS = 1 << 16  # of seed hashes, counted to find seeds of very many occurrences
+HOT = 20_000  # occurrences in one bucket; more than this, and than four times the mean, are dealt to several tasks
 
 
 def winnow(s, k: int = K, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,19 +58,79 @@ def winnow(s, k: int = K, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.
     return row[pick], pick - s.row[row[pick]], h[pick]
 
 
-def seeds(docs: DataFrame, id_col: str, text_col: str, k: int, span: int) -> DataFrame:
-    """(seed, id, pos)"""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+
+
+def _all_seeds(s, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word position, hash) of the seeds of a slice and of their neighbouring pairs."""
+    row, pos, h = winnow(s, k, span)
+    if len(h) < 2:
+        return row, pos, h
+    both = np.flatnonzero(row[1:] == row[:-1])
+    with np.errstate(over="ignore"):
+        pair = mix(h[both] * np.uint64(0x9E3779B97F4A7C15) + h[both + 1])
+    return np.concatenate([row, row[both]]), np.concatenate([pos, pos[both]]), np.concatenate([h, pair])
+
+
+def hot_buckets(docs: DataFrame, id_col: str, text_col: str, k: int, span: int, hot: int = HOT) -> np.ndarray:
+    """The number of tasks that the seeds of each bucket are dealt to; exact counts, BUCKETS rows a task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        count = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for s in slices(batch.column(1)):
+                count += np.bincount((_all_seeds(s, k, span)[2] >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at])], ["bucket", "n"])
+
+    counts = in_arrow(_texts(docs, id_col, text_col), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    t = counts.toArrow()  # BUCKETS rows at most
+    n = np.zeros(BUCKETS, np.int64)
+    n[t.column("bucket").to_numpy()] = t.column("n").to_numpy()
+    limit = max(hot, 4 * int(n.mean()))
+    return np.where(n > limit, -(-n // limit), 1).astype(np.int32)
+
+
+def seeds(docs: DataFrame, parts: np.ndarray, id_col: str, text_col: str, k: int, span: int, only_hot: bool = False) -> DataFrame:
+    """(seed, part, id, pos)"""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             for s in slices(batch.column(1)):
-                row, pos, h = winnow(s, k, span)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).slice(s.lo, s.hi - s.lo).take(pa.array(row)), pa.array(pos.astype(np.int32))], ["seed", "id", "pos"])
+                row, pos, h = _all_seeds(s, k, span)
+                many = parts[(h >> np.uint64(48)).astype(np.int64)]
+                if only_hot:
+                    keep = many > 1
+                    row, pos, h, many = row[keep], pos[keep], h[keep], many[keep]
+                own = ids[s.lo : s.hi][row]
+                part = (mix(own.view(np.uint64)) % many.astype(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(part), pa.array(own), pa.array(pos.astype(np.int32))], ["seed", "part", "id", "pos"])
+
+    return in_arrow(_texts(docs, id_col, text_col), run, "seed long, part int, id long, pos int")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    return rows.transform(in_arrow, run, "seed long, id long, pos int")
+
+def _linked(occurrences: DataFrame, *keys: str) -> DataFrame:
+    """(id, anchor, y, x): each occurrence with the one before it and with the first of its group."""
+    w = Window.partitionBy(*keys).orderBy("id", "pos")
+    at = F.struct("id", "pos")
+    pairs = occurrences.select("id", "pos", F.lag(at).over(w).alias("before"), F.first(at).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"))
+    pairs = pairs.where("before is not null").select("id", F.col("pos").alias("y"), F.explode(F.array_distinct(F.array("before", "first"))).alias("a"))
+    return pairs.where("a.id < id or a.pos < y").select("id", F.col("a.id").alias("anchor"), "y", F.col("a.pos").alias("x"))
+
+
+def matches_of(docs: DataFrame, id_col: str, text_col: str, k: int, span: int, hot: int = HOT) -> DataFrame:
+    parts = hot_buckets(docs, id_col, text_col, k, span, hot)
+    links = _linked(seeds(docs, parts, id_col, text_col, k, span), "seed", "part")
+    if (parts > 1).any():
+        heads = seeds(docs, parts, id_col, text_col, k, span, only_hot=True).groupBy("seed", "part").agg(F.min(F.struct("id", "pos")).alias("head"))
+        links = links.union(_linked(heads.select("seed", "head.*"), "seed"))
+    return links
 
 
 class Fenwick:
@@ -135,51 +204,59 @@ def chains(x: np.ndarray, y: np.ndarray, weight: float = float(K), gap: float =
     return out
 
 
-CHAIN = "id long, anchor long, chain long, xs array<int>, ys array<int>"
+CHAIN = "id long, anchor long, xs array<int>, ys array<int>"
 
 
-def chained(matches: DataFrame) -> DataFrame:
-    """(id, anchor, chain, xs, ys) from (id, anchor, y, x) rows; one text's matches with one anchor are chained together.
+def _chain_rows(t):
+    """CHAIN rows of whole (id, anchor) groups of sorted matches."""
+    import pyarrow as pa
+
+    ids, anchors, y, x = (t.column(c).to_numpy() for c in ("id", "anchor", "y", "x"))
+    new = np.ones(len(ids), bool)
+    new[1:] = (np.diff(ids) != 0) | (np.diff(anchors) != 0)
+    keep = new.copy()
+    keep[1:] |= (np.diff(y) != 0) | (np.diff(x) != 0)  # a seed and its pair may give one match
+    ids, anchors, y, x, new = ids[keep], anchors[keep], y[keep], x[keep], new[keep]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(ids)))
+    alone = first[size == 1]
+    where, lengths = [alone], [np.ones(len(alone), np.int64)]
+    for lo, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        for c in chains(x[lo : lo + n].astype(np.int64), y[lo : lo + n].astype(np.int64)):
+            where.append(lo + c)
+            lengths.append(np.array([len(c)]))
+    at, lengths = np.concatenate(where), np.concatenate(lengths)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    head = at[bounds[:-1]]
+    lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v[at])) for v in (x, y)]
+    return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(anchors[head]), *lists], ["id", "anchor", "xs", "ys"])
 
-    All chains go on to the alignment, single seeds too: it may extend each by REACH words through
-    mismatches, so where its seeds stand does not tell how long a passage it becomes.
-    """
+
+def chained(matches: DataFrame) -> DataFrame:
+    """(id, anchor, xs, ys) from (id, anchor, y, x) rows; one text's matches with one other are chained together."""
 
     def run(batches):
         import pyarrow as pa
 
-        number = 0
-
-        def flush(t):
-            nonlocal number
-            out = [[] for _ in range(5)]
-            ids, anchors, y, x = (t.column(c).to_numpy() for c in ("id", "anchor", "y", "x"))
-            cut = np.flatnonzero((np.diff(ids) != 0) | (np.diff(anchors) != 0)) + 1
-            for lo, hi in zip([0, *cut], [*cut, len(ids)], strict=True):
-                for c in chains(x[lo:hi].astype(np.int64), y[lo:hi].astype(np.int64)):
-                    for col, v in zip(out, (ids[lo], anchors[lo], number, x[lo:hi][c], y[lo:hi][c]), strict=True):
-                        col.append(v)
-                    number += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["id", "anchor", "chain", "xs", "ys"])
-
         held = []
-        for batch in batches:  # whole texts at a time: the last one may go on in the next batch
-            held.append(batch)
-            t = pa.Table.from_batches(held).combine_chunks()
-            ids = t.column("id").to_numpy()
-            last = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0
+        for batch in batches:  # whole groups at a time: the last one may go on in the next batch
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, batch]).combine_chunks()
+            ids, anchors = t.column("id").to_numpy(), t.column("anchor").to_numpy()
+            other = np.flatnonzero((ids != ids[-1]) | (anchors != anchors[-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
-                yield flush(t.slice(0, last))
+                yield _chain_rows(t.slice(0, last))
             held = t.slice(last).combine_chunks().to_batches()
-        if held and sum(b.num_rows for b in held):
-            yield flush(pa.Table.from_batches(held).combine_chunks())
+        if held:
+            yield _chain_rows(pa.Table.from_batches(held).combine_chunks())
 
-    return matches.repartition("id").sortWithinPartitions("id", "anchor", "y", "x").transform(in_arrow, run, CHAIN)
+    return in_arrow(matches.repartition("id", "anchor").sortWithinPartitions("id", "anchor", "y", "x"), run, CHAIN)
 
 
 def word_arrays(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, words): the word hashes of texts whose id may be in the filter."""
+    """(id, words): 32-bit word hashes of texts whose id may be in the filter."""
 
     def run(batches):
         import pyarrow as pa
@@ -187,11 +264,11 @@ def word_arrays(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str)
         for batch in batches:
             batch = batch.filter(pa.array(in_bloom(wanted, batch.column(0).to_numpy(zero_copy_only=False))))
             for s in slices(batch.column(1)):
-                lists = pa.LargeListArray.from_arrays(pa.array(s.row, pa.int64()), pa.array(s.hash.view(np.int64))).cast(pa.list_(pa.int64()))
+                short = (s.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(s.row, pa.int32()), pa.array(short))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), lists], ["id", "words"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    return rows.transform(in_arrow, run, "id long, words array<long>")
+    return in_arrow(_texts(docs, id_col, text_col), run, "id long, words array<int>")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -208,106 +285,141 @@ def _distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """How far two runs go on alike, with mismatches at a cost, and how many there are."""
+def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, bool]:
+    """How far two runs go on alike, with mismatches at a cost; how many there are; whether it may go on past the end."""
     n = min(len(a), len(b))
     if not n:
-        return 0, 0
+        return 0, 0, True
     same = a[:n] == b[:n]
     total = np.cumsum(np.where(same, 1.0, MISMATCH))
-    k = int(total.argmax()) + 1
-    return (k, int(k - same[:k].sum())) if total[k - 1] > 0 else (0, 0)
+    low = np.flatnonzero(np.maximum.accumulate(np.maximum(total, 0.0)) - total > DROP)
+    if len(low):
+        total = total[: low[0]]
+    k = int(total.argmax()) + 1 if len(total) else 0
+    return (k, int(k - same[:k].sum()), not len(low)) if k and total[k - 1] > 0 else (0, 0, not len(low))
+
 
+def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K) -> list[tuple]:
+    """For each part of the chain: its first and last seed, bounds in a and in b, edits, and whether it may go on past either end.
 
-def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K) -> tuple[int, int, int, int, int]:
-    """Bounds in a and in b of the aligned chain, and its edits."""
-    edits = 0
+    A chain is parted where the edits between two seeds cost more than DROP.
+    """
+    first, edits, parts = 0, 0, []
     for i in range(len(x) - 1):
         x0, y0, x1, y1 = int(x[i]) + k, int(y[i]) + k, int(x[i + 1]), int(y[i + 1])
         over = max(0, x0 - x1, y0 - y1)  # overlapping seeds: compare from where both are past
         if over and x1 - x0 == y1 - y0:
             continue
         p, q = a[min(x0, x1) : x1], b[min(y0, y1) : y1]
-        edits += abs(len(p) - len(q)) if over else 0 if len(p) == len(q) and (p == q).all() else _distance(p, q)
-    left, el = _extend(a[: x[0]][::-1], b[: y[0]][::-1])
-    right, er = _extend(a[x[-1] + k :], b[y[-1] + k :])
-    return int(x[0]) - left, int(x[-1]) + k + right, int(y[0]) - left, int(y[-1]) + k + right, edits + el + er
+        step = abs(len(p) - len(q)) if over else 0 if len(p) == len(q) and (p == q).all() else _distance(p, q)
+        if -MISMATCH * step > DROP:
+            parts.append((first, i, edits))
+            first, edits = i + 1, 0
+        else:
+            edits += step
+    out = []
+    for i, j, e in [*parts, (first, len(x) - 1, edits)]:
+        left, el, more_left = _extend(a[: x[i]][::-1], b[: y[i]][::-1])
+        right, er, more_right = _extend(a[x[j] + k :], b[y[j] + k :])
+        out.append((i, j, int(x[i]) - left, int(x[j]) + k + right, int(y[i]) - left, int(y[j]) + k + right, e + el + er, more_left, more_right))
+    return out
 
 
-def pieces(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, k: int, identity: float) -> DataFrame:
-    """(id, anchor, y0, y1, x0, x1, edits): aligned chains of at least MIN_PIECE words and ``identity``."""
-    back = F.least(F.element_at("xs", 1), F.element_at("ys", 1), F.lit(REACH))  # to the left no further than both texts go
+PIECE = "id long, anchor long, y0 long, y1 long, x0 long, x1 long, edits long, xs array<int>, ys array<int>"
+
+
+def aligned(found: DataFrame, words: DataFrame, near: int, k: int, identity: float) -> DataFrame:
+    """PIECE rows: chains of at least MIN_PIECE words and ``identity``, seen with ``near`` words around them.
+
+    Those that may go on beyond come with their seeds (xs, ys) and have to be aligned again; others have null there.
+    """
+    back = F.least(F.element_at("xs", 1), F.element_at("ys", 1), F.lit(near))  # to the left no further than both texts go
     found = found.withColumns({c: F.element_at(v, 1) - back for c, v in (("xo", "xs"), ("yo", "ys"))})
-    size = lambda v, o: F.element_at(v, -1) + F.lit(k + REACH) - F.col(o)
-    words = word_arrays(docs, bloom(found.select("id").union(found.select("anchor")), "id"), id_col, text_col)
-    b = found.join(words.withColumnRenamed("words", "b"), "id").withColumn("b", F.slice("b", F.col("yo") + 1, size("ys", "yo")))
-    both = b.join(words.select(F.col("id").alias("anchor"), F.col("words").alias("a")), "anchor").withColumn("a", F.slice("a", F.col("xo") + 1, size("xs", "xo")))
+    size = lambda v, o: F.element_at(v, -1) - F.col(o) + F.lit(k + near)
+    b = found.join(words, "id").withColumn("b", F.slice("words", F.col("yo") + 1, size("ys", "yo"))).drop("words")
+    both = b.join(words.withColumnRenamed("id", "anchor"), "anchor").withColumn("a", F.slice("words", F.col("xo") + 1, size("xs", "xo")))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = [[] for _ in range(7)]
-            col = [batch.column(c) for c in ("id", "anchor", "a", "b", "xs", "ys", "xo", "yo")]
-            for id_, anchor, a, b_, xs, ys, xo, yo in zip(*col, strict=True):
-                a, b_, xs, ys = (v.values.to_numpy(zero_copy_only=False) for v in (a, b_, xs, ys))
-                xo, yo = xo.as_py(), yo.as_py()
-                x0, x1, y0, y1, e = align(a, b_, xs - xo, ys - yo, k)
-                n = max(x1 - x0, y1 - y0)
-                if y1 - y0 >= MIN_PIECE and e <= (1 - identity) * n:
-                    for c, v in zip(out, (id_.as_py(), anchor.as_py(), y0 + yo, y1 + yo, x0 + xo, x1 + xo, e), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "anchor", "y0", "y1", "x0", "x1", "edits"])
-
-    return both.select("id", "anchor", "a", "b", "xs", "ys", "xo", "yo").transform(in_arrow, run, "id long, anchor long, y0 long, y1 long, x0 long, x1 long, edits long")
-
-
-def merged(spans: DataFrame, touch: int, least: int) -> DataFrame:
-    """(id, start, end, source, edits): spans (id, lo, hi, source, edits) that touch are one passage; the widest names the source.
-
-    Window frames over the spans of one text, of which only the longest from each start counts, so
-    they are no more than its words however many texts it shares passages with.
-    """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("id").orderBy("lo", "hi", "source")
-    far = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    longest = F.max(F.struct(F.col("hi"), (-F.col("source")).alias("s"), (-F.col("edits")).alias("e"))).alias("m")
-    spans = spans.groupBy("id", "lo").agg(longest).select("id", "lo", F.col("m.hi").alias("hi"), (-F.col("m.s")).alias("source"), (-F.col("m.e")).alias("edits"))
-    island = F.sum(F.when(F.coalesce(F.col("lo") > far + touch, F.lit(True)), 1).otherwise(0)).over(order)
+            out = [[] for _ in range(9)]
+            ids, anchors, xo_, yo_ = (batch.column(c).to_pylist() for c in ("id", "anchor", "xo", "yo"))
+            lists = []
+            for c in ("a", "b", "xs", "ys"):
+                col = batch.column(c)
+                lists.append((col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()))
+            for i in range(batch.num_rows):
+                a, b_, xs, ys = (v[o[i] : o[i + 1]] for v, o in lists)
+                xo, yo = xo_[i], yo_[i]
+                x, y = xs - xo, ys - yo
+                for i0, i1, x0, x1, y0, y1, e, left, right in align(a, b_, x, y, k):
+                    left = left and min(xo, yo) > 0  # else one text ends there
+                    right = right and min(len(a) - int(x[-1]), len(b_) - int(y[-1])) >= k + near
+                    if left or right or y1 - y0 >= MIN_PIECE and e <= (1 - identity) * max(x1 - x0, y1 - y0):
+                        seeds_ = (xs[i0 : i1 + 1], ys[i0 : i1 + 1]) if left or right else (None, None)
+                        for c, v in zip(out, (ids[i], anchors[i], y0 + yo, y1 + yo, x0 + xo, x1 + xo, e, *seeds_), strict=True):
+                            c.append(v)
+            kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [f.split()[0] for f in PIECE.split(", ")])
+
+    return in_arrow(both.select("id", "anchor", "a", "b", "xs", "ys", "xo", "yo"), run, PIECE)
+
+
+def passages_of(pieces: DataFrame, min_words: int) -> DataFrame:
+    """(id, anchor, y0, y1, x0, x1, edits): pieces of the same two texts, each going on where one before ends in both, are one passage."""
+    order = Window.partitionBy("id", "anchor").orderBy("y0", "y1", "x0")
+    gap = F.col("y0") - F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    shift = (F.col("x0") - F.col("y0")) - F.lag(F.col("x1") - F.col("y1")).over(order)
+    new = F.coalesce((gap > TOUCH) | (F.abs(shift) > TOUCH), F.lit(True))
     return (
-        spans.withColumn("island", island).groupBy("id", "island")
-        .agg(F.min("lo").alias("start"), F.max("hi").alias("end"), F.max_by("source", F.struct(F.col("hi") - F.col("lo"), -F.col("source"))).alias("source"), F.max("edits").alias("edits"))
-        .where(F.col("end") - F.col("start") >= least).drop("island")
+        pieces.withColumns({"new": new.cast("int"), "between": F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0))})
+        .withColumn("island", F.sum("new").over(order)).withColumn("edits", F.col("edits") + F.when(F.col("new") == 0, F.col("between")).otherwise(0))
+        .groupBy("id", "anchor", "island").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.sum("edits").alias("edits"))
+        .where(F.col("y1") - F.col("y0") >= min_words).drop("island")
     )
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, span: int = SPAN, identity: float = IDENTITY, min_words: int = MIN_WORDS, first: bool = True) -> DataFrame:
-    """id, start_word, end_word, n_words, source_id, edits, is_first for each passage that a text shares with one of smaller id.
+def _longest(spans: DataFrame) -> DataFrame:
+    """Of the spans (id, lo, hi, source, edits) of a text from one word, the longest, of the least source."""
+    top = F.max(F.struct("hi", (-F.col("source")).alias("s"), (-F.col("edits")).alias("e"))).alias("m")
+    return spans.groupBy("id", "lo").agg(top).select("id", "lo", F.col("m.hi").alias("hi"), (-F.col("m.s")).alias("source"), (-F.col("m.e")).alias("edits"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, span: int = SPAN, identity: float = IDENTITY, min_words: int = MIN_WORDS, first: bool = True, hot: int = HOT) -> DataFrame:
+    """id, start_word, end_word, n_words, source_id, edits, is_first for each passage that occurs earlier: in a text of smaller id, or further up.
 
-    Word positions count from 0; end_word is exclusive. With ``first`` the first occurrences are
-    returned too (source_id = their own id). Case of A-Z is ignored. Null ids, null texts and texts of
-    fewer than ``k`` words have no passage; rows that share an id are one text with both contents, and
-    do not repeat each other. Other columns are ignored; an empty table gives an empty result.
+    Word positions count from 0; end_word is exclusive. With ``first`` the earlier occurrences that
+    are not repeats themselves are returned too (source_id = their own id). Case of A-Z is ignored.
+    Null ids, null texts and texts of fewer than ``k`` words have no passage; rows that share an id
+    count as one text, so ids should be unique. Other columns are ignored; an empty table gives an
+    empty result. Of spans that start at one word the longest is given, of the least source.
     """
-    found = seeds(docs, id_col, text_col, k, span)  # read twice: cheaper to draw again than to keep
-    anchors = found.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last")).where("first.id <> last")
-    matches = found.join(anchors, "seed").where("id <> first.id").select("id", F.col("first.id").alias("anchor"), F.col("pos").alias("y"), F.col("first.pos").alias("x"))
-    linked = written(chained(matches), "chains")
-    aligned = written(pieces(docs, linked, id_col, text_col, k, identity), "pieces")
+    linked = written(chained(matches_of(docs, id_col, text_col, k, span, hot)), "chains")
+    words = word_arrays(docs, bloom(linked.select("id").union(linked.select("anchor")), "id"), id_col, text_col)
+    near = written(aligned(linked, words, NEAR, k, identity), "pieces")
     forget(linked)
-    later = merged(aligned.select("id", F.col("y0").alias("lo"), F.col("y1").alias("hi"), F.col("anchor").alias("source"), "edits"), TOUCH, min_words)
-    out = later.withColumn("is_first", F.lit(False))
+    on = near.where("xs is not null")
+    words = word_arrays(docs, bloom(on.select("id").union(on.select("anchor")), "id"), id_col, text_col)
+    far = aligned(on.select("id", "anchor", "xs", "ys"), words, WHOLE, k, identity)
+    found = written(passages_of(near.where("xs is null").union(far).drop("xs", "ys"), min_words), "passages")
+    forget(near)
+    spans = _longest(found.select("id", F.col("y0").alias("lo"), F.col("y1").alias("hi"), F.col("anchor").alias("source"), "edits")).withColumn("is_first", F.lit(False))
     if first:
-        there = aligned.select(F.col("anchor").alias("id"), F.col("x0").alias("lo"), F.col("x1").alias("hi"), F.col("anchor").alias("source"), "edits")
-        out = out.union(merged(there, TOUCH, min_words).withColumn("is_first", F.lit(True)))
-    return out.select(F.col("id").alias(id_col), F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("source").alias("source_id"), "edits", "is_first")
+        there = found.where("anchor <> id or x1 <= y0").select(F.col("anchor").alias("id"), F.col("x0").alias("lo"), F.col("x1").alias("hi"), F.col("anchor").alias("source"), "edits")
+        spans = spans.union(_longest(there).withColumn("is_first", F.lit(True)))
+    w = Window.partitionBy("id").orderBy(F.col("lo") + F.when(F.col("is_first"), TOUCH).otherwise(0), F.col("is_first"), F.col("hi").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reach = lambda kind: F.coalesce(F.max(F.when(F.col("is_first") == kind, F.col("hi"))).over(w), F.lit(0))
+    inside = F.when(F.col("is_first"), (reach(False) + TOUCH >= F.col("hi")) | (reach(True) >= F.col("hi"))).otherwise(reach(False) >= F.col("hi"))
+    out = spans.withColumn("inside", inside).where("not inside")
+    return out.select(F.col("id").alias(id_col), F.col("lo").alias("start_word"), F.col("hi").alias("end_word"), (F.col("hi") - F.col("lo")).alias("n_words"), F.col("source").alias("source_id"), "edits", "is_first")
 
 
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """docs with each passage cut out of all texts but its first; a text that has no word left goes.
 
-    Texts without such a passage stay byte for byte, as do rows with a null id.
+    Texts without such a passage stay byte for byte, as do rows with a null id. An empty table stays
+    empty. Columns named _sid or _spans are not allowed in docs.
     """
     spans = repeated_passages(docs, id_col, text_col, first=False, **kw).groupBy(F.col(id_col).alias("_sid")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
     rows = docs.join(small(written(spans, "spans"), 500_000), F.col(id_col) == F.col("_sid"), "left").drop("_sid")
@@ -331,10 +443,12 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     a, b = s.row[i - s.lo], s.row[i - s.lo + 1]
                     raw = s.buf[s.bytes_at[i - s.lo] : s.bytes_at[i - s.lo + 1]].tobytes()
                     base, parts, pos = s.bytes_at[i - s.lo], [], 0
-                    for g in given[i]:
-                        lo, hi = int(g["start_word"]), int(g["end_word"])
-                        parts.append(raw[pos : s.start[a + lo] - base])
-                        pos = int(s.start[a + hi] - base) if a + hi < b else len(raw)
+                    for g in given[i]:  # in order; they may overlap
+                        lo, hi = int(g["start_word"]), min(int(g["end_word"]), int(b - a))
+                        if lo >= hi:
+                            continue
+                        parts.append(raw[pos : max(pos, int(s.start[a + lo] - base))])
+                        pos = max(pos, int(s.start[a + hi] - base) if a + hi < b else len(raw))
                     out[i] = (b"".join(parts) + raw[pos:]).decode("utf-8", "replace")
                     keep[i] = bool(out[i].strip(" \t\n\v\f\r"))
             cols = [pa.array(out, text.type) if j == at else batch.column(j) for j in range(len(schema))]

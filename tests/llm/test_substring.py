@@ -80,3 +80,52 @@ def test_copies_of_one_text(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert s.repeated_passages(df).count() == 0 and s.without_passages(df).count() == 0
+
+
+def test_common_phrases_hide_no_passage(spark):
+    """Each 6-gram of a shared passage also stands in 25 other texts, before and between the two."""
+    rng = random.Random(6)
+    passage = sentence(rng, 120, 10**6).split()
+    grams = [passage[i : i + 6] for i in range(115)] * 25
+    rng.shuffle(grams)
+    around = lambda n: sentence(rng, n, 10**6)
+    rows = [(i, " ".join([around(10), *(" ".join(g) + " " + around(8) for g in grams[5 * i : 5 * i + 5])])) for i in range(575)]
+    rows = [(i if i < 300 else i + 1, t) for i, t in rows] + [(300, f"{around(30)} {' '.join(passage)} {around(30)}"), (900, f"{around(40)} {' '.join(passage)}")]
+    got = s.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), first=False).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.source_id, r.edits) for r in got] == [(900, 40, 160, 300, 0)]
+
+
+def test_pieces_of_different_texts_are_no_passage(spark):
+    rng = random.Random(7)
+    t = sentence(rng, 120, 10**6).split()
+    rows = [(i, f"{sentence(rng, 50, 10**6)} {' '.join(t[20 * i : 20 * i + 20])} {sentence(rng, 50, 10**6)}") for i in range(6)] + [(10, " ".join(t))]
+    assert s.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+def test_passage_repeated_inside_a_text(spark):
+    rng = random.Random(8)
+    p = sentence(rng, 70, 10**6)
+    text = f"{sentence(rng, 30, 10**6)} {p} {sentence(rng, 40, 10**6)} {p} {sentence(rng, 10, 10**6)} {p}"
+    df = spark.createDataFrame([(1, text), (2, sentence(rng, 300, 10**6))], "doc_id long, text string")
+    got = {(r.doc_id, r.start_word, r.end_word, r.source_id, r.is_first) for r in s.repeated_passages(df).collect()}
+    assert got == {(1, 30, 100, 1, True), (1, 140, 210, 1, False), (1, 220, 290, 1, False)}
+    assert s.without_passages(df).where("doc_id = 1").first().text.count(p) == 1
+
+
+def test_hot_seeds_dealt_to_several_tasks(spark):
+    """Dealing seeds out loses no document, whichever source each names."""
+    rng = random.Random(9)
+    p, q = sentence(rng, 60, 10**6), sentence(rng, 50, 10**6)
+    rows = [(i, f"{sentence(rng, 20, 10**6)} {p if i % 3 else q} {sentence(rng, 20, 10**6)}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = [{(r.doc_id, r.start_word, r.end_word, r.is_first) for r in s.repeated_passages(df, hot=h).collect()} for h in (5, s.HOT)]
+    assert spans[0] == spans[1] and len(spans[0]) == 90
+
+
+def test_long_texts_and_ties(spark):
+    """Two long equal texts are one passage of their whole length; of equal sources the least is named."""
+    rng = random.Random(10)
+    t = sentence(rng, 30_000, 10**6)
+    df = spark.createDataFrame([(5, t), (6, t), (7, t), (8, "a b " * 5000)], "doc_id long, text string")
+    got = {(r.doc_id, r.start_word, r.end_word, r.source_id) for r in s.repeated_passages(df, first=False).where("doc_id < 8").collect()}
+    assert got == {(6, 0, 30_000, 5), (7, 0, 30_000, 5)}
