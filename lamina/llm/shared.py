@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import math
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +95,18 @@ def empty_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what runs inside: for rows of long arrays, which Spark gathers by number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 # ---- id filter of fixed size ------------------------------------------------------------------
 
 

@@ -3,10 +3,10 @@
 1. Seeds: of each SPAN consecutive word k-mers the one of least hash, so two texts that share
    K + SPAN - 1 words in a row share a seed; and each pair of neighbouring seeds. Pairs are rare where
    single seeds are common phrases, so phrases of other texts do not hide a passage.
-2. Every occurrence of a seed is joined to the one before it and to the first (by id, then position),
-   in the same text too: a seed of a thousand texts gives two thousand matches, not a million pairs.
-   Seeds of very many occurrences are dealt to several tasks by text; the first of each share is
-   joined to the first of the others in the same way.
+2. Every occurrence of a seed is joined to its first one (by id, then position), that of a pair to the
+   one before it, in the same text too: a seed of a thousand texts gives a thousand matches, not a
+   million pairs. Seeds of very many occurrences are dealt to several tasks by text, and the first
+   occurrences of the shares are joined in the same way.
 3. The matches of a text with one other text are chained: best total of seed weights less GAP for each
    word skipped on either side, by prefix maxima in a Fenwick tree.
 4. Chains are aligned on the words of both texts: the words between seeds are compared by edit
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bloom, forget, in_arrow, in_bloom, small, written
+from .shared import batch_rows, bloom, forget, in_arrow, in_bloom, small, written
 from .words import mix, slices, window_hashes
 
 K = 6
@@ -38,6 +38,8 @@ DROP = 12.0
 NEAR = 48
 WHOLE = 1 << 30
 BUCKETS = 1 << 16  # of seed hashes, counted to find seeds of very many occurrences
+PAIR = np.uint64(1)  # the bit of a hash that tells a pair from a single seed
+ROWS = 1000  # rows of word arrays in one Arrow batch
 HOT = 20_000  # occurrences in one bucket; more than this, and than four times the mean, are dealt to several tasks
 
 
@@ -66,11 +68,11 @@ def _all_seeds(s, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """(row, word position, hash) of the seeds of a slice and of their neighbouring pairs."""
     row, pos, h = winnow(s, k, span)
     if len(h) < 2:
-        return row, pos, h
+        return row, pos, h & ~PAIR
     both = np.flatnonzero(row[1:] == row[:-1])
     with np.errstate(over="ignore"):
         pair = mix(h[both] * np.uint64(0x9E3779B97F4A7C15) + h[both + 1])
-    return np.concatenate([row, row[both]]), np.concatenate([pos, pos[both]]), np.concatenate([h, pair])
+    return np.concatenate([row, row[both]]), np.concatenate([pos, pos[both]]), np.concatenate([h & ~PAIR, pair | PAIR])
 
 
 def hot_buckets(docs: DataFrame, id_col: str, text_col: str, k: int, span: int, hot: int = HOT) -> np.ndarray:
@@ -116,12 +118,12 @@ def seeds(docs: DataFrame, parts: np.ndarray, id_col: str, text_col: str, k: int
 
 
 def _linked(occurrences: DataFrame, *keys: str) -> DataFrame:
-    """(id, anchor, y, x): each occurrence with the one before it and with the first of its group."""
+    """(id, anchor, y, x): each occurrence of a seed with the first of its group, that of a pair with the one before it."""
     w = Window.partitionBy(*keys).orderBy("id", "pos")
     at = F.struct("id", "pos")
-    pairs = occurrences.select("id", "pos", F.lag(at).over(w).alias("before"), F.first(at).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"))
-    pairs = pairs.where("before is not null").select("id", F.col("pos").alias("y"), F.explode(F.array_distinct(F.array("before", "first"))).alias("a"))
-    return pairs.where("a.id < id or a.pos < y").select("id", F.col("a.id").alias("anchor"), "y", F.col("a.pos").alias("x"))
+    rows = occurrences.select("seed", "id", "pos", F.lag(at).over(w).alias("before"), F.first(at).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"))
+    rows = rows.where("before is not null").select("id", F.col("pos").alias("y"), F.when(F.col("seed").bitwiseAND(F.lit(1)) == 1, F.col("before")).otherwise(F.col("first")).alias("a"))
+    return rows.where("a.id < id or a.pos < y").select("id", F.col("a.id").alias("anchor"), "y", F.col("a.pos").alias("x"))
 
 
 def matches_of(docs: DataFrame, id_col: str, text_col: str, k: int, span: int, hot: int = HOT) -> DataFrame:
@@ -285,44 +287,60 @@ def _distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, bool]:
-    """How far two runs go on alike, with mismatches at a cost; how many there are; whether it may go on past the end."""
+def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How far two runs go on alike, with mismatches at a cost, until the score is DROP below its best; and how many there are."""
     n = min(len(a), len(b))
     if not n:
-        return 0, 0, True
+        return 0, 0
     same = a[:n] == b[:n]
     total = np.cumsum(np.where(same, 1.0, MISMATCH))
     low = np.flatnonzero(np.maximum.accumulate(np.maximum(total, 0.0)) - total > DROP)
     if len(low):
         total = total[: low[0]]
     k = int(total.argmax()) + 1 if len(total) else 0
-    return (k, int(k - same[:k].sum()), not len(low)) if k and total[k - 1] > 0 else (0, 0, not len(low))
+    return (k, int(k - same[:k].sum())) if k and total[k - 1] > 0 else (0, 0)
 
 
-def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K) -> list[tuple]:
-    """For each part of the chain: its first and last seed, bounds in a and in b, edits, and whether it may go on past either end.
+def _extend_all(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, n: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_extend` by at most NEAR words for many runs at once; ``n`` words are there from at_a and at_b on, by ``step``."""
+    t = np.arange(NEAR)
+    there = t < n[:, None]
+    same = a[np.clip(at_a[:, None] + step * t, 0, max(0, len(a) - 1))] == b[np.clip(at_b[:, None] + step * t, 0, max(0, len(b) - 1))]
+    total = np.cumsum(np.where(there, np.where(same, np.float32(1), np.float32(MISMATCH)), np.float32(0)), axis=1, dtype=np.float32)
+    low = np.maximum.accumulate(np.maximum(total, 0), axis=1) - total > DROP
+    gone = low.any(axis=1)
+    total[np.logical_or.accumulate(low, axis=1)] = -np.inf
+    k = total.argmax(axis=1) + 1
+    k[total[np.arange(len(k)), k - 1] <= 0] = 0
+    return k, ((there & ~same) & (t < k[:, None])).sum(axis=1), ~gone
 
-    A chain is parted where the edits between two seeds cost more than DROP.
-    """
+
+def parted(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
+    """(first seed, last seed, edits between) of the parts of a chain, which is cut where the edits between two seeds cost more than DROP."""
     first, edits, parts = 0, 0, []
-    for i in range(len(x) - 1):
+    shift = x - y
+    runs = [0, *(np.flatnonzero(np.diff(shift)) + 1).tolist(), len(x)]
+
+    def gap(i):
+        nonlocal first, edits
         x0, y0, x1, y1 = int(x[i]) + k, int(y[i]) + k, int(x[i + 1]), int(y[i + 1])
         over = max(0, x0 - x1, y0 - y1)  # overlapping seeds: compare from where both are past
-        if over and x1 - x0 == y1 - y0:
-            continue
         p, q = a[min(x0, x1) : x1], b[min(y0, y1) : y1]
-        step = abs(len(p) - len(q)) if over else 0 if len(p) == len(q) and (p == q).all() else _distance(p, q)
+        step = abs(len(p) - len(q)) if over else _distance(p, q)
         if -MISMATCH * step > DROP:
             parts.append((first, i, edits))
             first, edits = i + 1, 0
         else:
             edits += step
-    out = []
-    for i, j, e in [*parts, (first, len(x) - 1, edits)]:
-        left, el, more_left = _extend(a[: x[i]][::-1], b[: y[i]][::-1])
-        right, er, more_right = _extend(a[x[j] + k :], b[y[j] + k :])
-        out.append((i, j, int(x[i]) - left, int(x[j]) + k + right, int(y[i]) - left, int(y[j]) + k + right, e + el + er, more_left, more_right))
-    return out
+
+    for lo, hi in zip(runs, runs[1:], strict=False):
+        if lo:
+            gap(lo - 1)
+        if hi - lo > 1:  # seeds side by side in both texts: only the gaps with a difference matter
+            apart = np.flatnonzero(a[x[lo] : x[hi - 1]] != b[y[lo] : y[hi - 1]])
+            for i in np.unique(np.searchsorted(x[lo:hi] - x[lo], apart, side="right") - 1).tolist():
+                gap(lo + i)
+    return [*parts, (first, len(x) - 1, edits)]
 
 
 PIECE = "id long, anchor long, y0 long, y1 long, x0 long, x1 long, edits long, xs array<int>, ys array<int>"
@@ -343,25 +361,42 @@ def aligned(found: DataFrame, words: DataFrame, near: int, k: int, identity: flo
         import pyarrow as pa
 
         for batch in batches:
-            out = [[] for _ in range(9)]
-            ids, anchors, xo_, yo_ = (batch.column(c).to_pylist() for c in ("id", "anchor", "xo", "yo"))
-            lists = []
-            for c in ("a", "b", "xs", "ys"):
-                col = batch.column(c)
-                lists.append((col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()))
-            for i in range(batch.num_rows):
-                a, b_, xs, ys = (v[o[i] : o[i + 1]] for v, o in lists)
-                xo, yo = xo_[i], yo_[i]
-                x, y = xs - xo, ys - yo
-                for i0, i1, x0, x1, y0, y1, e, left, right in align(a, b_, x, y, k):
-                    left = left and min(xo, yo) > 0  # else one text ends there
-                    right = right and min(len(a) - int(x[-1]), len(b_) - int(y[-1])) >= k + near
-                    if left or right or y1 - y0 >= MIN_PIECE and e <= (1 - identity) * max(x1 - x0, y1 - y0):
-                        seeds_ = (xs[i0 : i1 + 1], ys[i0 : i1 + 1]) if left or right else (None, None)
-                        for c, v in zip(out, (ids[i], anchors[i], y0 + yo, y1 + yo, x0 + xo, x1 + xo, e, *seeds_), strict=True):
-                            c.append(v)
-            kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [f.split()[0] for f in PIECE.split(", ")])
+            ids, anchors, xo, yo = (batch.column(c).to_numpy() for c in ("id", "anchor", "xo", "yo"))
+            (av, ao), (bv, bo), (xv, so), (yv, so_y) = ((batch.column(c).values.to_numpy(zero_copy_only=False), batch.column(c).offsets.to_numpy().astype(np.int64)) for c in ("a", "b", "xs", "ys"))
+            chain, parts = [], []
+            many = np.diff(so)
+            for c in np.flatnonzero(many > 1).tolist():
+                for part in parted(av[ao[c] : ao[c + 1]], bv[bo[c] : bo[c + 1]], xv[so[c] : so[c + 1]] - xo[c], yv[so_y[c] : so_y[c + 1]] - yo[c], k):
+                    chain.append(c)
+                    parts.append(part)
+            alone = np.flatnonzero(many == 1)
+            c = np.concatenate([alone, np.array(chain, np.int64)])
+            i0, i1, edits = (np.concatenate([np.zeros(len(alone), np.int64), np.array([p[j] for p in parts], np.int64)]) for j in range(3))
+            if not len(c):
+                continue
+            at = lambda v, o, i, off: v[o[c] + i].astype(np.int64) - off[c]  # noqa: E731  a seed's place in the words at hand
+            x0, x1, y0, y1 = at(xv, so, i0, xo), at(xv, so, i1, xo) + k, at(yv, so_y, i0, yo), at(yv, so_y, i1, yo) + k
+            la, lb = np.diff(ao)[c], np.diff(bo)[c]
+            left, right = np.minimum(x0, y0), np.minimum(la - x1, lb - y1)
+            if near <= NEAR:
+                kl, el, more_l = _extend_all(av, ao[c] + x0 - 1, bv, bo[c] + y0 - 1, left, -1)
+                kr, er, more_r = _extend_all(av, ao[c] + x1, bv, bo[c] + y1, right, 1)
+                # Where the score holds to the end of what was looked at, it may go on if both texts do.
+                more_l &= (left > NEAR) | (np.minimum(xo, yo)[c] > 0)
+                last = so[1:][c] - 1 - so[:-1][c]
+                full = np.minimum(la - at(xv, so, last, xo), lb - at(yv, so_y, last, yo)) >= k + near
+                more_r &= (right > NEAR) | full
+            else:
+                ends = [(_extend(av[ao[i] : ao[i] + p][::-1], bv[bo[i] : bo[i] + q][::-1]), _extend(av[ao[i] + u : ao[i + 1]], bv[bo[i] + v : bo[i + 1]])) for i, p, q, u, v in zip(c, x0, y0, x1, y1, strict=True)]
+                kl, el, kr, er = (np.array([e[j][n] for e in ends]) for j in (0, 1) for n in (0, 1))
+                more_l = more_r = np.zeros(len(c), bool)
+            x0, y0, x1, y1, edits = x0 - kl, y0 - kl, x1 + kr, y1 + kr, edits + el + er
+            more = more_l | more_r
+            keep = np.flatnonzero(more | (y1 - y0 >= MIN_PIECE) & (edits <= (1 - identity) * np.maximum(x1 - x0, y1 - y0)))
+            c, i0, i1, more = c[keep], i0[keep], i1[keep], more[keep]
+            seeds_ = [pa.array([v[o[j] + p : o[j] + q + 1] if m else None for j, p, q, m in zip(c, i0, i1, more, strict=True)], pa.list_(pa.int32())) for v, o in ((xv, so), (yv, so_y))]
+            plain = (ids[c], anchors[c], y0[keep] + yo[c], y1[keep] + yo[c], x0[keep] + xo[c], x1[keep] + xo[c], edits[keep])
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in plain), *seeds_], [f.split()[0] for f in PIECE.split(", ")])
 
     return in_arrow(both.select("id", "anchor", "a", "b", "xs", "ys", "xo", "yo"), run, PIECE)
 
@@ -397,12 +432,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     linked = written(chained(matches_of(docs, id_col, text_col, k, span, hot)), "chains")
     words = word_arrays(docs, bloom(linked.select("id").union(linked.select("anchor")), "id"), id_col, text_col)
-    near = written(aligned(linked, words, NEAR, k, identity), "pieces")
+    with batch_rows(docs.sparkSession, ROWS):
+        near = written(aligned(linked, words, NEAR, k, identity), "pieces")
     forget(linked)
     on = near.where("xs is not null")
     words = word_arrays(docs, bloom(on.select("id").union(on.select("anchor")), "id"), id_col, text_col)
     far = aligned(on.select("id", "anchor", "xs", "ys"), words, WHOLE, k, identity)
+    with batch_rows(docs.sparkSession, ROWS // 4):
+        far = written(far, "pieces")
     found = written(passages_of(near.where("xs is null").union(far).drop("xs", "ys"), min_words), "passages")
+    forget(far)
     forget(near)
     spans = _longest(found.select("id", F.col("y0").alias("lo"), F.col("y1").alias("hi"), F.col("anchor").alias("source"), "edits")).withColumn("is_first", F.lit(False))
     if first:
