@@ -3,16 +3,16 @@
 1. Seeds: of each SPAN consecutive word k-mers the one of least hash, so two texts that share
    K + SPAN - 1 words in a row share a seed; and each pair of neighbouring seeds. Pairs are rare where
    single seeds are common phrases, so phrases of other texts do not hide a passage.
-2. Every occurrence of a seed is joined to its first one (by id, then position), that of a pair to the
-   one before it, in the same text too: a seed of a thousand texts gives a thousand matches, not a
-   million pairs. Seeds of very many occurrences are dealt to several tasks by text, and the first
-   occurrences of the shares are joined in the same way.
+2. Every occurrence of a seed or pair is joined to its first one (by id, then position), in the same
+   text too: a seed of a thousand texts gives a thousand matches, not a million pairs. Seeds of very
+   many occurrences are dealt to several tasks by text, and the first of each share is joined to the
+   first of all.
 3. The matches of a text with one other text are chained: best total of seed weights less GAP for each
    word skipped on either side, by prefix maxima in a Fenwick tree.
 4. Chains are aligned on the words of both texts: the words between seeds are compared by edit
    distance, and both ends extended until the score has fallen by DROP below its best. A chain is seen
-   with NEAR words around it first, and with both whole texts if its extension goes on there. Chains
-   below IDENTITY are left out.
+   with NEAR words around it first; where it goes on there and no other passage of its text takes over,
+   it is seen with both whole texts. Chains below IDENTITY are left out.
 5. Pieces that go on where another of the same two texts ends are one passage; passages of at least
    MIN_WORDS words are kept, each with its own source. One inside another of its text is left out.
 """
@@ -33,12 +33,12 @@ IDENTITY = 0.8
 MIN_PIECE = 12  # words of an aligned chain; extension has bridged what a shorter one could be part of
 MIN_WORDS = 45
 TOUCH = 6  # words between two pieces of one passage
+OVERLAP = 12  # words that a passage shares with the one that takes over from it
 MISMATCH = -2.0
 DROP = 12.0
 NEAR = 48
 WHOLE = 1 << 30
 BUCKETS = 1 << 16  # of seed hashes, counted to find seeds of very many occurrences
-PAIR = np.uint64(1)  # the bit of a hash that tells a pair from a single seed
 ROWS = 1000  # rows of word arrays in one Arrow batch
 HOT = 20_000  # occurrences in one bucket; more than this, and than four times the mean, are dealt to several tasks
 
@@ -68,11 +68,11 @@ def _all_seeds(s, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """(row, word position, hash) of the seeds of a slice and of their neighbouring pairs."""
     row, pos, h = winnow(s, k, span)
     if len(h) < 2:
-        return row, pos, h & ~PAIR
+        return row, pos, h
     both = np.flatnonzero(row[1:] == row[:-1])
     with np.errstate(over="ignore"):
         pair = mix(h[both] * np.uint64(0x9E3779B97F4A7C15) + h[both + 1])
-    return np.concatenate([row, row[both]]), np.concatenate([pos, pos[both]]), np.concatenate([h & ~PAIR, pair | PAIR])
+    return np.concatenate([row, row[both]]), np.concatenate([pos, pos[both]]), np.concatenate([h, pair])
 
 
 def hot_buckets(docs: DataFrame, id_col: str, text_col: str, k: int, span: int, hot: int = HOT) -> np.ndarray:
@@ -118,12 +118,10 @@ def seeds(docs: DataFrame, parts: np.ndarray, id_col: str, text_col: str, k: int
 
 
 def _linked(occurrences: DataFrame, *keys: str) -> DataFrame:
-    """(id, anchor, y, x): each occurrence of a seed with the first of its group, that of a pair with the one before it."""
-    w = Window.partitionBy(*keys).orderBy("id", "pos")
-    at = F.struct("id", "pos")
-    rows = occurrences.select("seed", "id", "pos", F.lag(at).over(w).alias("before"), F.first(at).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"))
-    rows = rows.where("before is not null").select("id", F.col("pos").alias("y"), F.when(F.col("seed").bitwiseAND(F.lit(1)) == 1, F.col("before")).otherwise(F.col("first")).alias("a"))
-    return rows.where("a.id < id or a.pos < y").select("id", F.col("a.id").alias("anchor"), "y", F.col("a.pos").alias("x"))
+    """(id, anchor, y, x): each occurrence with the first of its group."""
+    w = Window.partitionBy(*keys).orderBy("id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = occurrences.select("id", F.col("pos").alias("y"), F.first("id").over(w).alias("anchor"), F.first("pos").over(w).alias("x"))
+    return rows.where("anchor < id or x < y").select("id", "anchor", "y", "x")
 
 
 def matches_of(docs: DataFrame, id_col: str, text_col: str, k: int, span: int, hot: int = HOT) -> DataFrame:
@@ -343,14 +341,13 @@ def parted(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int =
     return [*parts, (first, len(x) - 1, edits)]
 
 
-PIECE = "id long, anchor long, y0 long, y1 long, x0 long, x1 long, edits long, xs array<int>, ys array<int>"
+#: Of a part: bounds of its seeds in the text (y) and its anchor (x), edits between them, words and edits of both extensions, and whether these may go on.
+PIECE = "id long, anchor long, y0 int, y1 int, x0 int, x1 int, mid int, kl int, el int, kr int, er int, on_left boolean, on_right boolean"
 
 
-def aligned(found: DataFrame, words: DataFrame, near: int, k: int, identity: float) -> DataFrame:
-    """PIECE rows: chains of at least MIN_PIECE words and ``identity``, seen with ``near`` words around them.
-
-    Those that may go on beyond come with their seeds (xs, ys) and have to be aligned again; others have null there.
-    """
+def aligned(found: DataFrame, words: DataFrame, k: int, identity: float) -> DataFrame:
+    """PIECE rows: parts of chains with MIN_PIECE words at least and ``identity``, seen with NEAR words around them; and all that may go on beyond."""
+    near = NEAR
     back = F.least(F.element_at("xs", 1), F.element_at("ys", 1), F.lit(near))  # to the left no further than both texts go
     found = found.withColumns({c: F.element_at(v, 1) - back for c, v in (("xo", "xs"), ("yo", "ys"))})
     size = lambda v, o: F.element_at(v, -1) - F.col(o) + F.lit(k + near)
@@ -378,29 +375,69 @@ def aligned(found: DataFrame, words: DataFrame, near: int, k: int, identity: flo
             x0, x1, y0, y1 = at(xv, so, i0, xo), at(xv, so, i1, xo) + k, at(yv, so_y, i0, yo), at(yv, so_y, i1, yo) + k
             la, lb = np.diff(ao)[c], np.diff(bo)[c]
             left, right = np.minimum(x0, y0), np.minimum(la - x1, lb - y1)
-            if near <= NEAR:
-                kl, el, more_l = _extend_all(av, ao[c] + x0 - 1, bv, bo[c] + y0 - 1, left, -1)
-                kr, er, more_r = _extend_all(av, ao[c] + x1, bv, bo[c] + y1, right, 1)
-                # Where the score holds to the end of what was looked at, it may go on if both texts do.
-                more_l &= (left > NEAR) | (np.minimum(xo, yo)[c] > 0)
-                last = so[1:][c] - 1 - so[:-1][c]
-                full = np.minimum(la - at(xv, so, last, xo), lb - at(yv, so_y, last, yo)) >= k + near
-                more_r &= (right > NEAR) | full
-            else:
-                ends = [(_extend(av[ao[i] : ao[i] + p][::-1], bv[bo[i] : bo[i] + q][::-1]), _extend(av[ao[i] + u : ao[i + 1]], bv[bo[i] + v : bo[i + 1]])) for i, p, q, u, v in zip(c, x0, y0, x1, y1, strict=True)]
-                kl, el, kr, er = (np.array([e[j][n] for e in ends]) for j in (0, 1) for n in (0, 1))
-                more_l = more_r = np.zeros(len(c), bool)
-            x0, y0, x1, y1, edits = x0 - kl, y0 - kl, x1 + kr, y1 + kr, edits + el + er
-            more = more_l | more_r
-            keep = np.flatnonzero(more | (y1 - y0 >= MIN_PIECE) & (edits <= (1 - identity) * np.maximum(x1 - x0, y1 - y0)))
-            c, i0, i1, more = c[keep], i0[keep], i1[keep], more[keep]
-            seeds_ = [pa.array([v[o[j] + p : o[j] + q + 1] if m else None for j, p, q, m in zip(c, i0, i1, more, strict=True)], pa.list_(pa.int32())) for v, o in ((xv, so), (yv, so_y))]
-            plain = (ids[c], anchors[c], y0[keep] + yo[c], y1[keep] + yo[c], x0[keep] + xo[c], x1[keep] + xo[c], edits[keep])
-            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in plain), *seeds_], [f.split()[0] for f in PIECE.split(", ")])
+            kl, el, more_l = _extend_all(av, ao[c] + x0 - 1, bv, bo[c] + y0 - 1, left, -1)
+            kr, er, more_r = _extend_all(av, ao[c] + x1, bv, bo[c] + y1, right, 1)
+            # Where the score holds to the end of what was looked at, it may go on if both texts do.
+            more_l &= (left > NEAR) | (np.minimum(xo, yo)[c] > 0)
+            last = so[1:][c] - 1 - so[:-1][c]
+            more_r &= (right > NEAR) | (np.minimum(la - at(xv, so, last, xo), lb - at(yv, so_y, last, yo)) >= k + near)
+            size_ = np.maximum(x1 - x0, y1 - y0) + kl + kr
+            keep = np.flatnonzero(more_l | more_r | (y1 - y0 + kl + kr >= MIN_PIECE) & (edits + el + er <= (1 - identity) * size_))
+            c = c[keep]
+            plain = (y0[keep] + yo[c], y1[keep] + yo[c], x0[keep] + xo[c], x1[keep] + xo[c], *(v[keep] for v in (edits, kl, el, kr, er)))
+            cols = [pa.array(ids[c]), pa.array(anchors[c]), *(pa.array(v.astype(np.int32)) for v in plain), pa.array(more_l[keep]), pa.array(more_r[keep])]
+            yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in PIECE.split(", ")])
 
     return in_arrow(both.select("id", "anchor", "a", "b", "xs", "ys", "xo", "yo"), run, PIECE)
 
 
+def _bounds(pieces: DataFrame) -> DataFrame:
+    """Adds start, end (in the text), from_, to (in the anchor) and edits of the whole piece."""
+    return pieces.withColumns({
+        "start": F.col("y0") - F.col("kl"), "end": F.col("y1") + F.col("kr"), "from_": F.col("x0") - F.col("kl"), "to": F.col("x1") + F.col("kr"), "edits": F.expr("mid + el + er"),
+    })
+
+
+def carried_on(pieces: DataFrame, identity: float, min_words: int) -> DataFrame:
+    """PIECE rows whose on_left and on_right hold only where no passage of the text takes over with OVERLAP words in common."""
+    rows = _bounds(pieces)
+    fit = (F.col("end") - F.col("start") >= min_words) & (F.col("edits") <= (1 - identity) * F.greatest(F.col("end") - F.col("start"), F.col("to") - F.col("from_")))
+    rows = rows.withColumn("fit", fit)
+    order = Window.partitionBy("id", "fit").orderBy("start", "end")
+    far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("island", F.sum(F.when(F.col("start") > far - OVERLAP, 1).otherwise(0)).over(order))
+    whole = Window.partitionBy("id", "fit", "island")
+    rows = rows.withColumns({"first": F.min("start").over(whole), "last": F.max("end").over(whole)})
+    rows = rows.withColumns({"on_left": F.col("on_left") & (~F.col("fit") | (F.col("start") == F.col("first"))), "on_right": F.col("on_right") & (~F.col("fit") | (F.col("end") == F.col("last")))})
+    return rows.select(*pieces.columns)
+
+
+def extended(pieces: DataFrame, words: DataFrame) -> DataFrame:
+    """The pieces with the ends that may go on extended over both whole texts."""
+    back = F.when(F.col("on_left"), F.least("x0", "y0")).otherwise(0)
+    after = F.when(F.col("on_right"), F.lit(WHOLE)).otherwise(0)
+    cut = lambda v, lo, hi: (F.slice("words", F.col(lo) - back + 1, back).alias(v + "l"), F.slice("words", F.col(hi) + 1, after).alias(v + "r"))
+    names = pieces.columns
+    b = pieces.join(words, "id").select(*names, *cut("b", "y0", "y1"))
+    both = b.join(words.withColumnRenamed("id", "anchor"), "anchor").select(*names, "bl", "br", *cut("a", "x0", "x1"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            col = {c: batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("kl", "el", "kr", "er", "on_left", "on_right")}
+            text = {c: (batch.column(c).values.to_numpy(zero_copy_only=False), batch.column(c).offsets.to_numpy()) for c in ("al", "ar", "bl", "br")}
+            part = lambda c, i: text[c][0][text[c][1][i] : text[c][1][i + 1]]
+            for i in range(batch.num_rows):
+                if col["on_left"][i]:
+                    col["kl"][i], col["el"][i] = _extend(part("al", i)[::-1], part("bl", i)[::-1])
+                if col["on_right"][i]:
+                    col["kr"][i], col["er"][i] = _extend(part("ar", i), part("br", i))
+            yield pa.RecordBatch.from_arrays([pa.array(col[c]) if c in col else batch.column(c) for c in names], names)
+
+    return in_arrow(both, run, PIECE)
+
+
 def passages_of(pieces: DataFrame, min_words: int) -> DataFrame:
     """(id, anchor, y0, y1, x0, x1, edits): pieces of the same two texts, each going on where one before ends in both, are one passage."""
     order = Window.partitionBy("id", "anchor").orderBy("y0", "y1", "x0")
@@ -430,19 +467,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     count as one text, so ids should be unique. Other columns are ignored; an empty table gives an
     empty result. Of spans that start at one word the longest is given, of the least source.
     """
+    spark = docs.sparkSession
     linked = written(chained(matches_of(docs, id_col, text_col, k, span, hot)), "chains")
-    words = word_arrays(docs, bloom(linked.select("id").union(linked.select("anchor")), "id"), id_col, text_col)
-    with batch_rows(docs.sparkSession, ROWS):
-        near = written(aligned(linked, words, NEAR, k, identity), "pieces")
+    words = written(word_arrays(docs, bloom(linked.select("id").union(linked.select("anchor")), "id"), id_col, text_col), "words")
+    with batch_rows(spark, ROWS):
+        near = written(aligned(linked, words, k, identity), "pieces")
     forget(linked)
-    on = near.where("xs is not null")
-    words = word_arrays(docs, bloom(on.select("id").union(on.select("anchor")), "id"), id_col, text_col)
-    far = aligned(on.select("id", "anchor", "xs", "ys"), words, WHOLE, k, identity)
-    with batch_rows(docs.sparkSession, ROWS // 4):
-        far = written(far, "pieces")
-    found = written(passages_of(near.where("xs is null").union(far).drop("xs", "ys"), min_words), "passages")
-    forget(far)
+    marked = written(carried_on(near, identity, min_words), "pieces")
     forget(near)
+    with batch_rows(spark, ROWS // 4):
+        far = written(extended(marked.where("on_left or on_right"), words), "pieces")
+    forget(words)
+    pieces = _bounds(marked.where("not (on_left or on_right)").union(far)).select("id", "anchor", F.col("start").alias("y0"), F.col("end").alias("y1"), F.col("from_").alias("x0"), F.col("to").alias("x1"), "edits")
+    pieces = pieces.where((F.col("y1") - F.col("y0") >= MIN_PIECE) & (F.col("edits") <= (1 - identity) * F.greatest(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))))
+    found = written(passages_of(pieces, min_words), "passages")
+    forget(marked)
+    forget(far)
     spans = _longest(found.select("id", F.col("y0").alias("lo"), F.col("y1").alias("hi"), F.col("anchor").alias("source"), "edits")).withColumn("is_first", F.lit(False))
     if first:
         there = found.where("anchor <> id or x1 <= y0").select(F.col("anchor").alias("id"), F.col("x0").alias("lo"), F.col("x1").alias("hi"), F.col("anchor").alias("source"), "edits")
@@ -451,7 +491,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reach = lambda kind: F.coalesce(F.max(F.when(F.col("is_first") == kind, F.col("hi"))).over(w), F.lit(0))
     inside = F.when(F.col("is_first"), (reach(False) + TOUCH >= F.col("hi")) | (reach(True) >= F.col("hi"))).otherwise(reach(False) >= F.col("hi"))
     out = spans.withColumn("inside", inside).where("not inside")
-    return out.select(F.col("id").alias(id_col), F.col("lo").alias("start_word"), F.col("hi").alias("end_word"), (F.col("hi") - F.col("lo")).alias("n_words"), F.col("source").alias("source_id"), "edits", "is_first")
+    return out.select(F.col("id").alias(id_col), F.col("lo").cast("long").alias("start_word"), F.col("hi").cast("long").alias("end_word"), (F.col("hi") - F.col("lo")).cast("long").alias("n_words"), F.col("source").alias("source_id"), F.col("edits").cast("long").alias("edits"), "is_first")
 
 
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
