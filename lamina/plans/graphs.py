@@ -64,11 +64,11 @@ def vertex_degree(spark, d):
     return G.undirected(V.edges(spark, d)).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"), F.min("dst").alias("least"), F.max("dst").alias("most"))
 
 
-@C.add("rel", "SELECT p1,p2,round(c,6) AS x,round(f,6) AS y,round(atan2(d,a),6)+0 AS angle FROM rel WHERE p1<p2 AND p2<60 AND p1%10<>3 AND p2%10<>3")
+@C.add("rel", "SELECT p1,p2,round(c,6) AS x,round(f,6) AS y,round(atan2(d,a),6)+0 AS angle FROM rel WHERE p1<p2 AND p1%10<>3 AND p2%10<>3")
 def adjacent_pairs(spark, d):
     """Adjacent pairs of an id range, without bad patches, with their relative placement."""
     x, y, t = g.placement(g.cols("a b c d e f"))
-    return V.relations(spark, d).where("p1 < p2 and p2 < 60 and p1 % 10 <> 3 and p2 % 10 <> 3").select("p1", "p2", R(x).alias("x"), R(y).alias("y"), (R(t) + F.lit(0)).alias("angle"))
+    return V.relations(spark, d).where("p1 < p2 and p1 % 10 <> 3 and p2 % 10 <> 3").select("p1", "p2", R(x).alias("x"), R(y).alias("y"), (R(t) + F.lit(0)).alias("angle"))
 
 
 @C.add("edge", BOTH + """, e AS (SELECT s,t,min(w) AS w FROM b WHERE w<=8 GROUP BY 1,2), r(id,cost) AS (SELECT DISTINCT p1//25*25, 0::BIGINT FROM edge UNION SELECT e.t, r.cost+e.w FROM r JOIN e ON e.s=r.id WHERE r.cost+e.w<=40);;

@@ -19,36 +19,32 @@ NEAR = """l AS (SELECT *, CAST(floor(vx/{s}.0) AS BIGINT) AS i, CAST(floor(vy/{s
  r AS (SELECT t.*, CAST(floor(vx/{s}.0) AS BIGINT)+a AS i, CAST(floor(vy/{s}.0) AS BIGINT)+b AS j, CAST(floor(vz/{s}.0) AS BIGINT)+c AS k FROM {right} t, range(-1,2) x(a), range(-1,2) y(b), range(-1,2) w(c))"""
 
 
-def thin(spark, d, rest: int):
-    return V.patch_points(spark, d).where((F.col("qx") + F.col("qy") + 40) % 3 == rest)
-
-
-THIN = "(SELECT * FROM pp WHERE (qx+qy+40)%3={0})"
-
-
-@C.add("pp", NEAR.format(s=6, left=THIN.format(0), right=THIN.format(0)) + f""";; SELECT l.pid AS a, r.pid AS b, count(*) AS pairs, round(min({D3.format('l', 'r')}),6) AS nearest
+@C.add("pp", NEAR.format(s=6, left="pp", right="pp") + f""";; SELECT l.pid AS a, r.pid AS b, count(*) AS pairs, round(min({D3.format('l', 'r')}),6) AS nearest
  FROM l JOIN r USING (i,j,k) WHERE l.pid<r.pid AND {D3.format('l', 'r')}<6 GROUP BY 1,2""")
 def cell_join_pairs(spark, d):
     """Close points of different patches, by pair of patches."""
-    p = thin(spark, d, 0)
+    p = V.patch_points(spark, d).select("pid", *COORDS.split())
     near = S.cell_join(p, p, COORDS, 6).where("l_pid < r_pid")
     return near.groupBy(F.col("l_pid").alias("a"), F.col("r_pid").alias("b")).agg(F.count("*").alias("pairs"), R(F.min("dist")).alias("nearest"))
 
 
-@C.add("pp", NEAR.format(s=8, left=THIN.format(1), right=THIN.format(0)) + f""", n AS (SELECT l.pid, l.qx, l.qy, r.pid AS npid, r.qx AS nqx, r.qy AS nqy, {D3.format('l', 'r')} AS dist FROM l JOIN r USING (i,j,k) WHERE l.pid<>r.pid AND {D3.format('l', 'r')}<8),
+@C.add("pp", NEAR.format(s=8, left="pp", right="pp") + f""", n AS (SELECT l.pid, l.qx, l.qy, r.pid AS npid, r.qx AS nqx, r.qy AS nqy, {D3.format('l', 'r')} AS dist FROM l JOIN r USING (i,j,k) WHERE l.pid<>r.pid AND {D3.format('l', 'r')}<8),
  k AS (SELECT *, row_number() OVER (PARTITION BY pid,qx,qy ORDER BY dist,npid,nqx,nqy) AS rank FROM n);; SELECT pid,qx,qy,npid,nqx,nqy,rank,round(dist,6) AS dist FROM k WHERE rank<=3""")
 def nearest_three(spark, d):
     """The three nearest points of other patches; ties by patch and mesh position."""
-    near = S.cell_join(thin(spark, d, 1), thin(spark, d, 0), COORDS, 8).where("l_pid <> r_pid")
+    near = S.cell_join(V.patch_points(spark, d), V.patch_points(spark, d), COORDS, 8).where("l_pid <> r_pid")
     k = S.nearest(near, ["l_pid", "l_qx", "l_qy"], 3, ["r_pid", "r_qx", "r_qy"])
     return k.select(F.col("l_pid").alias("pid"), F.col("l_qx").alias("qx"), F.col("l_qy").alias("qy"), F.col("r_pid").alias("npid"), F.col("r_qx").alias("nqx"), F.col("r_qy").alias("nqy"), F.col("rank").cast("long").alias("rank"), R("dist").alias("dist"))
 
 
-@C.add("pp", NEAR.format(s=5, left="(SELECT * FROM pp WHERE pid%2=0)", right="(SELECT * FROM pp WHERE pid%4=1)") + f""";; SELECT pid,qx,qy,vx,vy,vz FROM pp WHERE pid%2=0 AND (pid,qx,qy) NOT IN
- (SELECT l.pid,l.qx,l.qy FROM l JOIN r USING (i,j,k) WHERE {D3.format('l', 'r')}<5)""")
+@C.add("pp", NEAR.format(s=5, left="pp", right="pp") + f""";; SELECT pid,qx,qy,vx,vy,vz FROM pp WHERE (pid,qx,qy) NOT IN
+ (SELECT l.pid,l.qx,l.qy FROM l JOIN r USING (i,j,k) WHERE r.pid<l.pid AND {D3.format('l', 'r')}<5)""")
 def erase_by_radius(spark, d):
+    """The points that are not within 5 of a point of an earlier patch."""
     pp = V.patch_points(spark, d)
-    return S.erase_near(pp.where("pid % 2 = 0"), pp.where("pid % 4 = 1"), COORDS, 5).select("pid", "qx", "qy", "vx", "vy", "vz")
+    near = S.cell_join(pp.select("pid", "qx", "qy", *COORDS.split()), pp.select("pid", *COORDS.split()), COORDS, 5).where("r_pid < l_pid")
+    gone = near.select(F.col("l_pid").alias("pid"), F.col("l_qx").alias("qx"), F.col("l_qy").alias("qy")).distinct()
+    return pp.join(gone, ["pid", "qx", "qy"], "left_anti").select("pid", "qx", "qy", "vx", "vy", "vz")
 
 
 @C.add("pp", f"""SELECT p.pid,p.qx,p.qy,c.pid AS centre, round({D3.format('p', 'c')},6) AS dist FROM pp p JOIN (SELECT * FROM pp WHERE qx=0 AND qy=0) c ON c.pid=p.pid+1 WHERE {D3.format('p', 'c')}<30""")
@@ -105,9 +101,9 @@ def quads(points, values: list[str]):
     return sent.groupBy("pid", "qx", "qy").agg(F.count("*").alias("n"), *pick).where("n = 4").drop("n")
 
 
-@C.add("surf", """b AS (SELECT file, min(x) AS x0, max(x) AS x1, min(z) AS z0, max(z) AS z1 FROM surf WHERE y=0 AND x%8=0 GROUP BY file);; SELECT l.file AS a, r.file AS b FROM b l JOIN b r ON l.file<r.file AND l.x0<=r.x1 AND r.x0<=l.x1 AND l.z0<=r.z1 AND r.z0<=l.z1""")
+@C.add("surf", """b AS (SELECT file, min(x) AS x0, max(x) AS x1, min(z) AS z0, max(z) AS z1 FROM surf GROUP BY file);; SELECT l.file AS a, r.file AS b FROM b l JOIN b r ON l.file<r.file AND l.x0<=r.x1 AND r.x0<=l.x1 AND l.z0<=r.z1 AND r.z0<=l.z1""")
 def bbox_overlap(spark, d):
-    b = V.point_sets(spark, d).where("y = 0 and x % 8 = 0").groupBy("file").agg(*(f(a).alias(f"{a}{k}") for a in "xz" for f, k in ((F.min, "min"), (F.max, "max"))))
+    b = V.point_sets(spark, d).groupBy("file").agg(*(f(a).alias(f"{a}{k}") for a in "xz" for f, k in ((F.min, "min"), (F.max, "max"))))
     return S.box_overlap(b, "file", "x z")
 
 
@@ -172,18 +168,18 @@ def point_voxel_lookup(spark, d):
     return p.join(v, list(AXES), "left").select("pid", "qx", "qy", F.coalesce("g", F.lit(0)).alias("grey"))
 
 
-@C.add("pp", NEAR.format(s=3, left="(SELECT * FROM pp WHERE pid%2=0)", right="(SELECT * FROM pp WHERE pid%2=1)") + f""", w AS (SELECT l.pid,l.qx,l.qy,r.vz, CAST(floor(exp(-pow({D3.format('l', 'r')},2))*1000000) AS BIGINT) AS k FROM l JOIN r USING (i,j,k) WHERE {D3.format('l', 'r')}<3);;
+@C.add("pp", NEAR.format(s=3, left="pp", right="pp") + f""", w AS (SELECT l.pid,l.qx,l.qy,r.vz, CAST(floor(exp(-pow({D3.format('l', 'r')},2))*1000000) AS BIGINT) AS k FROM l JOIN r USING (i,j,k) WHERE l.pid<>r.pid AND {D3.format('l', 'r')}<3);;
  SELECT pid,qx,qy,round(CAST(sum(vz*k) AS DOUBLE)/CAST(sum(k) AS DOUBLE),6) AS z, count(*) AS n FROM w WHERE k>0 GROUP BY 1,2,3""")
 def resample_weighted(spark, d):
     """Heights of other patches at each point, weighted by exp(-distance^2) in micro-units."""
     pp = V.patch_points(spark, d)
-    near = S.cell_join(pp.where("pid % 2 = 0"), pp.where("pid % 2 = 1"), COORDS, 3)
+    near = S.cell_join(pp, pp, COORDS, 3).where("l_pid <> r_pid")
     near = near.withColumn("k", F.floor(F.exp(-F.pow("dist", F.lit(2))) * 1_000_000).cast("long")).where("k > 0")
     z = F.sum(F.col("r_vz") * F.col("k")).cast("double") / F.sum("k").cast("double")
     return near.groupBy(F.col("l_pid").alias("pid"), F.col("l_qx").alias("qx"), F.col("l_qy").alias("qy")).agg(R(z).alias("z"), F.count("*").alias("n"))
 
 
-@C.add("vox", "SELECT a.z,a.y,a.x FROM vox a JOIN vox b ON b.z=a.z+1 AND b.y=a.y AND b.x=a.x WHERE a.v=255 AND b.v=255")
+@C.add("vox", "o AS MATERIALIZED (SELECT z,y,x FROM vox WHERE v=255);; SELECT a.z,a.y,a.x FROM o a JOIN o b ON b.z=a.z+1 AND b.y=a.y AND b.x=a.x")
 def voxel_and(spark, d):
     """Voxels set both here and one slice on."""
     on = V.voxels(spark, d).where("v = 255").select(*AXES)
@@ -201,10 +197,10 @@ def spring_pairs(spark, d):
     return a.join(b, ["pid", "nx", "ny"]).select("pid", "qx", "qy", "nx", "ny", R(g.distance(g.cols(COORDS), g.cols("bx by bz"))).alias("rest"))
 
 
-@C.add("pp", NEAR.format(s=2, left=THIN.format(1), right=THIN.format(0)) + f""";; SELECT pid,qx,qy FROM pp WHERE (qx+qy+40)%3=1 AND (pid,qx,qy) IN (SELECT l.pid,l.qx,l.qy FROM l JOIN r USING (i,j,k) WHERE {D3.format('l', 'r')}<2)""")
+@C.add("pp", NEAR.format(s=2, left="pp", right="pp") + f""";; SELECT pid,qx,qy FROM pp WHERE (pid,qx,qy) IN (SELECT l.pid,l.qx,l.qy FROM l JOIN r USING (i,j,k) WHERE (l.pid,l.qx,l.qy)<>(r.pid,r.qx,r.qy) AND {D3.format('l', 'r')}<2)""")
 def close_neighbour(spark, d):
     """Points that already have another within 2."""
-    near = S.cell_join(thin(spark, d, 1), thin(spark, d, 0), COORDS, 2)
+    near = S.cell_join(V.patch_points(spark, d), V.patch_points(spark, d), COORDS, 2).where("l_pid <> r_pid or l_qx <> r_qx or l_qy <> r_qy")
     return near.select(F.col("l_pid").alias("pid"), F.col("l_qx").alias("qx"), F.col("l_qy").alias("qy")).distinct()
 
 

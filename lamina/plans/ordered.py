@@ -131,12 +131,12 @@ def nearest_differing(spark, d):
     vox = V.voxels(spark, d)
     near = scatter(vox, neighbours(2, False), [F.col("v").alias("there")]).join(vox.select(*AXES, "v"), list(AXES)).where("there <> v")
     d2 = near.groupBy(*AXES).agg(F.min(F.col("oz") ** 2 + F.col("oy") ** 2 + F.col("ox") ** 2).cast("long").alias("d2"))
-    return vox.where("z < 40").select(*AXES).join(d2, list(AXES), "left")
+    return vox.select(*AXES).join(d2, list(AXES), "left")
 
 
 C.sql["nearest_differing"] = V.oracle("vox", """o AS (SELECT dz,dy,dx,dz*dz+dy*dy+dx*dx AS d2 FROM range(-2,3) a(dz), range(-2,3) b(dy), range(-2,3) c(dx)),
- m AS (SELECT a.z,a.y,a.x,min(d2) AS d2 FROM (SELECT vox.*, o.*, z+dz AS tz, y+dy AS ty, x+dx AS tx FROM vox, o WHERE z<40) a JOIN vox b ON b.z=tz AND b.y=ty AND b.x=tx AND a.v<>b.v GROUP BY 1,2,3);;
- SELECT v.z,v.y,v.x,m.d2 FROM vox v LEFT JOIN m USING (z,y,x) WHERE v.z<40""")
+ m AS (SELECT a.z,a.y,a.x,min(d2) AS d2 FROM (SELECT vox.*, o.*, z+dz AS tz, y+dy AS ty, x+dx AS tx FROM vox, o) a JOIN vox b ON b.z=tz AND b.y=ty AND b.x=tx AND a.v<>b.v GROUP BY 1,2,3);;
+ SELECT v.z,v.y,v.x,m.d2 FROM vox v LEFT JOIN m USING (z,y,x)""")
 
 
 @C.add("edge", "SELECT * FROM (SELECT p1,p2,w, dense_rank() OVER (PARTITION BY p1//25 ORDER BY p1) AS r FROM edge) WHERE r<=5")

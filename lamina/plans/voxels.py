@@ -83,13 +83,13 @@ def gaussian_line(spark, d):
     return X.along(V.voxels(spark, d), "z", "s", "g", {-2: 1, -1: 4, 0: 6, 1: 4, 2: 1}).select(*AXES, g.div(F.col("s"), 16).alias("s"))
 
 
-@C.add("vox", """SELECT a.z,a.y,a.x, CAST(255*count(*) FILTER (b.g<=a.g)//count(*) AS BIGINT) AS e FROM vox a JOIN vox b ON b.z BETWEEN a.z-2 AND a.z+2 AND b.y=a.y AND b.x BETWEEN a.x-2 AND a.x+2 WHERE a.z<60 GROUP BY a.z,a.y,a.x,a.g""")
+@C.add("vox", """SELECT a.z,a.y,a.x, CAST(255*count(*) FILTER (b.g<=a.g)//count(*) AS BIGINT) AS e FROM vox a JOIN vox b ON b.z BETWEEN a.z-2 AND a.z+2 AND b.y=a.y AND b.x BETWEEN a.x-2 AND a.x+2 GROUP BY a.z,a.y,a.x,a.g""")
 def local_equalisation(spark, d):
     """Rank of each voxel among its 5 x 5 neighbours in z and x, as a byte."""
     vox = V.voxels(spark, d)
     square = [(z, 0, x) for z in range(-2, 3) for x in range(-2, 3)]
-    sent = X.scatter(vox.where("z < 62").select(*AXES, "g"), square, [F.col("g").alias("other")])
-    j = sent.join(vox.where("z < 60").select(*AXES, "g"), AXES)
+    sent = X.scatter(vox.select(*AXES, "g"), square, [F.col("g").alias("other")])
+    j = sent.join(vox.select(*AXES, "g"), AXES)
     return j.groupBy(*AXES).agg(g.div(255 * F.count_if(F.col("other") <= F.col("g")), 1).alias("k"), F.count("*").alias("n")).select(*AXES, F.expr("k div n").alias("e"))
 
 
@@ -187,13 +187,10 @@ def upsample_mesh(spark, d):
     return upsample(V.patch_points(spark, d), ["vz"], 4).select("pid", "x", "y", F.col("vz").alias("z"))
 
 
-@C.add("vox", """n AS (SELECT z*64+y*8+x AS id, z,y,x FROM vox WHERE v=255 AND z<60),
- e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON abs(a.z-b.z)+abs(a.y-b.y)+abs(a.x-b.x)=1 AND b.z BETWEEN a.z-1 AND a.z+1),
- r(id, c) AS (SELECT id, id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a=r.id WHERE r.c<e.b), l AS (SELECT id, min(c) AS label FROM r GROUP BY id);;
- SELECT label, count(*) AS volume, min(n.z) AS z0, max(n.z) AS z1 FROM l JOIN n USING (id) GROUP BY label""")
+@C.add()
 def label_voxels(spark, d):
-    """Face-connected regions by least voxel number, with volume and extent."""
-    n = V.voxels(spark, d).where("v = 255 and z < 60").select(*AXES, (F.col("z") * 64 + F.col("y") * 8 + F.col("x")).alias("id"))
+    """Face-connected regions by least voxel number, with volume and extent. The recursive SQL of it does not end on whole tables."""
+    n = V.voxels(spark, d).where("v = 255").select(*AXES, (F.col("z") * 64 + F.col("y") * 8 + F.col("x")).alias("id"))
     on = n.select(*AXES, "id")
     e = X.scatter(on, [(1, 0, 0), (0, 1, 0), (0, 0, 1)], [F.col("id").alias("p1")]).join(on.withColumnRenamed("id", "p2"), AXES).select("p1", "p2")
     of = components(e)

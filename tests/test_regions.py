@@ -1,0 +1,30 @@
+"""Queries without an oracle, against brute force on the smallest tables."""
+
+import os
+
+import pytest
+
+from lamina.plans import registry
+from lamina.sources import views as V
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_labels_equal_flood_fill(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    on = {(r.z, r.y, r.x) for r in V.voxels(spark, FOLDER).where("v = 255").collect()}
+    want, left = set(), set(on)
+    while left:
+        todo, region = [left.pop()], []
+        while todo:
+            z, y, x = todo.pop()
+            region.append((z, y, x))
+            for near in ((z - 1, y, x), (z + 1, y, x), (z, y - 1, x), (z, y + 1, x), (z, y, x - 1), (z, y, x + 1)):
+                if near in left:
+                    left.remove(near)
+                    todo.append(near)
+        depths = [z for z, _, _ in region]
+        want.add((min(z * 64 + y * 8 + x for z, y, x in region), len(region), min(depths), max(depths)))
+    got = registry.QUERIES["label_voxels"](spark, FOLDER).select("label", "volume", "z0", "z1").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
