@@ -10,6 +10,8 @@ Every document is thresholded the same way, without sampling.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ BUCKETS = 1 << 16
 PRIOR = 5.0
 CALIBRATION_FOLDS = 5
 BROADCAST_IDS = 2_000_000  # trusted ids up to this many (32 MB) are broadcast; more are joined by shuffle
+CELLS = 1000  # a ratio is between -20 and 20, so a histogram has at most 40,000 cells for each rating
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -118,20 +121,30 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return repeated_words(df).drop("_words", "_wh", "_lines", "_features", "_t")
 
 
+def quantile(cells: list[tuple[int, int]], share: float) -> float | None:
+    """The least ratio that ``share`` of the counted rows do not exceed, from (cell, rows) in order."""
+    rank, seen = math.ceil(share * sum(n for _, n in cells)), 0
+    for cell, n in cells:
+        seen += n
+        if seen >= max(rank, 1):
+            return cell / CELLS
+    return None
+
+
 def threshold(scores: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> float | None:
     """Midway between the 0.1 % quantile of held-out trusted and the 99.9 % quantile of rejected documents that pass the base rules.
 
     Where the two overlap or no rejected document is known, the limit lies below the trusted quantile
-    by half its distance from the trusted median, so that clean text stays.
+    by half its distance from the trusted median, so that clean text stays. Ratios are counted in cells
+    of 1 / CELLS, so the quantiles are exact to a cell and do not depend on the order of merging.
     """
     rated = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_rated")).agg(F.max("quality").alias("_q"))
-    q = (
-        scores.where("not base_failed and ratio is not null").join(rated, F.col(id_col) == F.col("_rated"))
-        .withColumn("_held", calibrates(F.col(id_col)))
-        .agg(F.expr("percentile_approx(ratio, 0.001, 100000) filter (where _q = 1 and _held)").alias("good"), F.expr("percentile_approx(ratio, 0.999, 100000) filter (where _q = 0)").alias("bad"),
-             F.expr("percentile_approx(ratio, 0.5, 100000) filter (where _q = 1 and _held)").alias("mid"))
-        .first()
-    )
+    cells = (
+        scores.where("not base_failed and ratio is not null").join(rated, F.col(id_col) == F.col("_rated")).withColumn("_held", calibrates(F.col(id_col)))
+        .where("_q = 0 or _held").groupBy("_q", F.round(F.col("ratio") * CELLS).cast("long").alias("cell")).agg(F.count("*").alias("n")).collect()
+    )  # at most 2 * 2 * CELLS * the greatest ratio, whatever the input
+    good, bad = (sorted((c["cell"], c["n"]) for c in cells if c["_q"] == q) for q in (1, 0))
+    q = {"good": quantile(good, 0.001), "bad": quantile(bad, 0.999), "mid": quantile(good, 0.5)}
     if q["good"] is None:
         return None
     if q["bad"] is None or q["bad"] > q["good"]:

@@ -104,4 +104,12 @@ SQL: dict[str, str] = {
  r(id, c) AS (SELECT DISTINCT doc_id, doc_id FROM w UNION SELECT b.t, r.c FROM r JOIN b ON b.s=r.id WHERE r.c<b.t),
  m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
  SELECT w.doc_id, CAST(coalesce(n.n,0) AS BIGINT) AS n_shingles, m.c AS component_id, m.c=w.doc_id AS kept FROM w JOIN m ON m.id=w.doc_id LEFT JOIN n ON n.doc_id=w.doc_id""",
+    "op5_warc": r"""WITH
+ p AS (SELECT page_id, url, encode(coalesce(html,'')) AS b FROM pages),
+ d AS (SELECT page_id, url, octet_length(b) AS n, sha1(b) AS h FROM p),
+ f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h)
+ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, i // 4 * 5 + 1, 5) AS BIGINT) >> (15 - i % 4 * 5)) & 31 AS INT) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, url
+  FROM d JOIN f USING (h)""",
 }

@@ -45,9 +45,12 @@ def record_name(page_id) -> str:
     return f"<urn:lamina:page:{'null' if page_id is None else page_id}>"
 
 
+ESCAPED = "X-Escaped"  # names the header that _clean had to change
+
+
 def _clean(value: str) -> str:
-    """A header value is one line; line breaks and percent signs are escaped."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if any(c in value for c in "%\r\n") else value
+    """A header value is one line; where it has line breaks, they and percent signs are escaped."""
+    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
 def _unclean(value: str) -> str:
@@ -65,7 +68,8 @@ def encode_record(page_id, url: str | None, payload: bytes, digest: str, revisit
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
     if url is not None:
-        head.append(f"WARC-Target-URI: {_clean(url)}")
+        broken = any(c in url for c in "\r\n")
+        head += [f"WARC-Target-URI: {_clean(url)}", f"{ESCAPED}: WARC-Target-URI"] if broken else [f"WARC-Target-URI: {url}"]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_name(revisit_of)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -124,14 +128,13 @@ class _Source:
 
 def _inflate_member(src: _Source) -> bytes:
     """The next member of unknown length, to its end."""
-    z, out, fed = zlib.decompressobj(31), bytearray(), 0
+    z, out = zlib.decompressobj(31), bytearray()
     while not z.eof:
-        chunk = src.need(fed + (1 << 16))[fed:]
+        chunk = src.need(1 << 20)
         if not chunk:
             raise ValueError("archive ends inside a record")
         out += z.decompress(chunk)
-        fed += len(chunk)
-    src.drop(fed - len(z.unused_data))
+        src.drop(len(chunk) - len(z.unused_data))
     return bytes(out)
 
 
@@ -232,7 +235,7 @@ class WarcReader(DataSourceReader):
             return None
         if column == "payload_digest":
             return v.partition(":")[2] or v
-        return _unclean(v) if column == "target_uri" else v
+        return _unclean(v) if column == "target_uri" and ESCAPED.lower() in head else v
 
     def _passes(self, head: dict) -> bool:
         for column, kind, values in self.tests:

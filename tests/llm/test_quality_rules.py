@@ -64,3 +64,20 @@ def test_plan_has_no_python(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     plan = q.scored(df, labels)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_threshold_is_exact_to_a_cell(spark):
+    """Quantiles by counted cells equal those of the sorted rows, whatever the partitions."""
+    rng = random.Random(5)
+    rows = [(i, rng.gauss(1 if i % 2 else -1, 0.3), i % 2) for i in range(4000)]
+    df = spark.createDataFrame([(i, x, False) for i, x, _ in rows], "doc_id long, ratio double, base_failed boolean")
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    import math
+    import zlib
+
+    good = sorted(x for i, x, y in rows if y and zlib.crc32(str(i).encode()) % q.CALIBRATION_FOLDS == 0)
+    bad = sorted(x for _, x, y in rows if not y)
+    g, b, m = good[max(math.ceil(0.001 * len(good)), 1) - 1], bad[math.ceil(0.999 * len(bad)) - 1], good[math.ceil(0.5 * len(good)) - 1]
+    want = g - (m - g) / 2 if b > g else (g + b) / 2
+    got = {q.threshold(df.repartition(n), labels) for n in (1, 7)}
+    assert len(got) == 1 and abs(got.pop() - want) <= 2 / q.CELLS

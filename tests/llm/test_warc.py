@@ -78,3 +78,30 @@ def test_damage_is_found(spark, tmp_path):
     warc.register(spark)
     with pytest.raises(Exception, match="does not match"):
         spark.read.format("warc").option("verify", "true").load(f"file://{tmp_path}").collect()
+
+
+def test_percent_escapes_of_other_writers_stay(spark, tmp_path):
+    """Only a header that this writer marked is unescaped; a URI's own escapes are legal."""
+    uri = "http://x/?q=%0A1&r=%25"
+    (tmp_path / "a.warc").write_bytes(warc.encode_record(1, uri, b"p", b32(b"p")) + warc.encode_record(2, "a\r\nb%0A", b"q", b32(b"q")))
+    warc.register(spark)
+    df = spark.read.format("warc").load(f"file://{tmp_path}")
+    assert {r.page_id: r.target_uri for r in df.collect()} == {1: uri, 2: "a\r\nb%0A"}
+    assert df.where(F.col("target_uri") == uri).count() == 1
+
+
+def test_large_member_of_unknown_length(tmp_path):
+    """A member without a skip length is inflated as it is read, and the next one begins where it ends."""
+    import io
+    import random
+
+    body = random.Random(1).randbytes(5 << 20)
+    src = warc._Source(io.BytesIO(gzip.compress(body, 1) + gzip.compress(b"next")))
+    assert warc._inflate_member(src) == body and warc._inflate_member(src) == b"next"
+
+
+def test_query_equals_sql(spark):
+    from lamina.llm import queries
+    from oracle import compare
+
+    assert compare(spark, queries.QUERIES["op5_warc"], queries.SQL["op5_warc"], "/root/testdata/sf0.001")
