@@ -5,18 +5,17 @@ Loops hold scalars on the driver; every round's table is written to the shared c
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.sources.scratch import shared_folder
+
 
 def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the session's checkpoint folder (a temporary one only where none is set)."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lamina-")
-        spark.sparkContext.setCheckpointDir(where)
+    """df with its lineage cut, in the session's shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -77,6 +76,49 @@ def shortest_paths(edges: DataFrame, source: DataFrame, limit: float | None = No
     return best.drop("fresh")
 
 
+def visit_order(edges: DataFrame) -> DataFrame:
+    """(component, ord, id): each component from its least vertex on, always going to the least vertex seen and not visited.
+
+    Instead of one queue, the order is found as nested groups. Inside a group with head h, a vertex belongs to
+    the record b that has to be passed on the way to it: the least possible maximum over the paths from h.
+    Records are taken in order, and what a record opens is visited, in the same manner, before the next record.
+    So each round splits all groups of all components at once, and the chain of records of a vertex is its place.
+    Rounds are as many as records nest; each relaxes to a fixed point.
+    """
+    both = saved(undirected(edges))
+    label = components(edges)
+    rows = saved(label.select("id", F.col("component").alias("head"), F.array("component").alias("chain")))
+    done = rows.where("id = head")
+    rows = saved(rows.where("id <> head"))
+    while rows.limit(1).count():
+        end = lambda side, keep: rows.select(F.col("id").alias(side), F.col("head").alias(f"{side}_head"), *keep)
+        inner = saved(both.join(end("src", []), "src").join(end("dst", []), "dst").where("src_head = dst_head").select("src", "dst"))
+        opened = both.join(rows, F.col("dst") == F.col("id")).where("src = head").select("id", F.col("id").alias("record"))
+        reach = saved(opened.distinct())
+        while True:
+            step = reach.join(inner, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.greatest("record", "dst").alias("record"))
+            after = saved(reach.withColumn("old", F.col("record")).unionByName(step.withColumn("old", F.lit(None).cast("long"))).groupBy("id").agg(F.min("record").alias("record"), F.max("old").alias("old")))
+            reach = after.select("id", "record")
+            if not after.where("old is null or record < old").limit(1).count():
+                break
+        split = saved(rows.join(reach, "id").select("id", F.col("record").alias("head"), F.array_append("chain", F.col("record")).alias("chain")))
+        done = done.union(split.where("id = head"))
+        rows = split.where("id <> head")
+    every = ranked(done.select(F.col("chain")[0].alias("component"), "chain", "id"), "chain")
+    first = every.groupBy("component").agg(F.min("rank").alias("first"))
+    return every.join(first, "component").select("component", (F.col("rank") - F.col("first") + 1).alias("ord"), "id")
+
+
+def ranked(df: DataFrame, order: str) -> DataFrame:
+    """Adds ``rank``, from 1, over all rows: ranks inside ranges of the order, then the ranges' own few totals. No task sees all rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = saved(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    totals = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    base = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return rows.join(base, "_part").withColumn("rank", F.col("_base") + inside).drop("_part", "_base")
+
+
 def hitting_set(pairs: DataFrame) -> DataFrame:
     """(id, round): greedy removal of the vertex in most pairs (ties: least id) until no pair is left."""
     spark = pairs.sparkSession

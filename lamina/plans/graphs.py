@@ -80,6 +80,59 @@ def shortest_costs(spark, d):
     return G.shortest_paths(e, roots, 8).where("cost <= 30").select("id", "cost")
 
 
+VISIT = BOTH + """, nb AS (SELECT s, list(DISTINCT t) AS n FROM b GROUP BY s), cc(id,c) AS (SELECT s,s FROM b UNION SELECT b.t,cc.c FROM cc JOIN b ON b.s=cc.id WHERE cc.c<b.t),
+ root AS (SELECT DISTINCT m AS c FROM (SELECT id, min(c) AS m FROM cc GROUP BY id)),
+ v(c,ord,id,seen,open) AS (SELECT c, 1::BIGINT, c, [c], nb.n FROM root JOIN nb ON nb.s=c
+  UNION ALL SELECT c, ord+1, nb.s, list_append(seen, nb.s), list_distinct(list_filter(list_concat(open, nb.n), lambda x: x<>nb.s AND NOT list_contains(seen, x))) FROM v JOIN nb ON nb.s=list_min(open) WHERE len(open)>0)"""
+
+
+@C.add("edge", VISIT + ";; SELECT c AS component, ord, id FROM v")
+def visit_order(spark, d):
+    """Each component's patches, always the least one next to what was visited."""
+    return G.visit_order(V.edges(spark, d))
+
+
+def walk_scores(relations, points, vertices: int):
+    """(v0, ..., cells, worst): for each walk, the greatest distance between its first and last patch where they share lattice places.
+
+    Transforms are composed along the walk; the last patch's mesh points are rounded to places in the first one's frame.
+    """
+    steps = relations.select("p1", "p2", *"abcdef")
+    walk = steps.select(F.col("p1").alias("v0"), F.col("p2").alias("v1"), *"abcdef")
+    for k in range(2, vertices):
+        more = steps.select(F.col("p1").alias(f"v{k - 1}"), F.col("p2").alias(f"v{k}"), *(F.col(c).alias(f"n{c}") for c in "abcdef"))
+        walk = walk.join(more, f"v{k - 1}")
+        both = g.compose(g.cols("a b c d e f"), g.cols("na nb nc nd ne nf"))
+        walk = walk.select(*(f"v{i}" for i in range(k + 1)), *(c.alias(n) for n, c in zip("abcdef", both, strict=True)))
+    end = f"v{vertices - 1}"
+    last = points.select(F.col("pid").alias(end), F.col("qx").alias("ux"), F.col("qy").alias("uy"), *(F.col(f"v{a}").alias(f"w{a}") for a in "xyz"))
+    x, y = g.apply(g.cols("a b c d e f"), F.col("ux"), F.col("uy"))
+    first = points.select(F.col("pid").alias("v0"), F.col("qx").alias("px"), F.col("qy").alias("py"), "vx", "vy", "vz")
+    at = walk.join(last, end).select(*(f"v{i}" for i in range(vertices)), g.half_up(x).alias("px"), g.half_up(y).alias("py"), "wx", "wy", "wz")
+    dist = g.distance(g.cols("vx vy vz"), g.cols("wx wy wz"))
+    return at.join(first, ["v0", "px", "py"]).groupBy(*(f"v{i}" for i in range(vertices))).agg(F.count("*").alias("cells"), R(F.max(dist)).alias("worst"))
+
+
+@C.add("rel pp", """k AS (SELECT m.p1 AS v0, m.p2 AS v1, n.p2 AS v2, m.a*n.a+m.b*n.d AS a, m.a*n.b+m.b*n.e AS b, m.a*n.c+m.b*n.f+m.c AS c, m.d*n.a+m.e*n.d AS d, m.d*n.b+m.e*n.e AS e, m.d*n.c+m.e*n.f+m.f AS f FROM rel m JOIN rel n ON m.p2=n.p1),
+ t AS (SELECT v0,v1,v2, a*qx+b*qy+c AS x, d*qx+e*qy+f AS y, vx,vy,vz FROM k JOIN pp ON pid=v2),
+ l AS (SELECT *, CAST(trunc(x) AS BIGINT)+CASE WHEN x-trunc(x)<0.5 THEN 0 ELSE 1 END AS px, CAST(trunc(y) AS BIGINT)+CASE WHEN y-trunc(y)<0.5 THEN 0 ELSE 1 END AS py FROM t),
+ s AS (SELECT v0,v1,v2,count(*) AS cells, round(max(sqrt(((l.vx-p.vx)*(l.vx-p.vx)+(l.vy-p.vy)*(l.vy-p.vy)+(l.vz-p.vz)*(l.vz-p.vz))::DOUBLE)),6) AS worst FROM l JOIN pp p ON p.pid=v0 AND p.qx=px AND p.qy=py GROUP BY 1,2,3);;
+ SELECT v0,v1,v2,cells,worst,worst>20 AS bad FROM s""")
+def walk_mismatch(spark, d):
+    """Walks of three patches whose ends lie further apart than a limit that grows with the walk."""
+    return walk_scores(V.relations(spark, d), V.patch_points(spark, d), 3).withColumn("bad", F.col("worst") > BAD * 2)
+
+
+@C.add("edge", BOTH + ", ok AS (SELECT s FROM b WHERE s%10<>3);; SELECT p1,p2,w FROM edge WHERE w<=8 AND p1 IN (SELECT s FROM ok) AND p2 IN (SELECT s FROM ok)")
+def allowed_edges(spark, d):
+    """Relations within a weight limit whose ends are both on a list."""
+    e = V.edges(spark, d)
+    ok = e.select(F.col("p1").alias("id")).union(e.select("p2")).where("id % 10 <> 3").distinct()
+    for end in ("p1", "p2"):
+        e = e.join(ok.withColumnRenamed("id", end), end, "left_semi")
+    return e.where("w <= 8").select("p1", "p2", "w")
+
+
 @C.add()
 def hitting_set(spark, d):
     """Patches to remove, most frequent first, until no overlapping pair is further apart than the limit. Every planted bad patch is among them."""
