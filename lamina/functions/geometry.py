@@ -122,6 +122,26 @@ def plane_basis(u: Sequence[float], v: Sequence[float], unit: int = 1000) -> lis
     return [a, b, scaled(c)]
 
 
+def unproject(local: Vec, plane: Sequence[Sequence[int]], unit: int = 1000) -> list[Column]:
+    """The point with given coordinates in the frame of three vectors of length ``unit``: the inverse of the exact projection."""
+    a, b, c = plane
+    minor = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+    rows = [minor(b, c), minor(c, a), minor(a, b)]
+    volume = sum(x * y for x, y in zip(a, rows[0], strict=True))
+    return [dot(local, [F.lit(unit * r[k] / volume) for r in rows]) for k in range(3)]
+
+
+def rotation_between(p: Vec, q: Vec) -> list[list[Column]]:
+    """The rotation matrix that turns the direction of p to that of q by the least angle; the identity for equal ones, null for opposite ones."""
+    u, w = normalised(p), normalised(q)
+    v, c = cross(u, w), dot(u, w)
+    zero = F.lit(0.0)
+    k = [[zero, -v[2], v[1]], [v[2], zero, -v[0]], [-v[1], v[0], zero]]
+    turn = F.nullif(1 + c, F.lit(0.0))
+    square = [[dot(k[i], [k[n][j] for n in range(3)]) for j in range(3)] for i in range(3)]
+    return [[(1.0 if i == j else 0.0) + k[i][j] + square[i][j] / turn for j in range(3)] for i in range(3)]
+
+
 def pack(x: Column, y: Column, z: Column, side: int = 1024) -> Column:
     """One long for a lattice point; coordinates from -1 to side - 2."""
     return ((y + 1) * side + x + 1) * side + z + 1

@@ -77,12 +77,38 @@ def write_lines(df: DataFrame, path: str, form: str, *columns: str) -> None:
     df.select(F.format_string(form, *(F.col(c) for c in columns)).alias("value")).write.text(path)
 
 
+def write_fields(df: DataFrame, path: str, separator: str = ",", tag: str = "", header: bool = False) -> None:
+    """Rows as text lines of their columns in order, after a tag; doubles keep every digit, a null is an empty field (and such a line is left out by the readers)."""
+    line = F.concat_ws(separator, *([F.lit(tag)] if tag else []), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))
+    lines = df.select(line.alias("value"))
+    if header:
+        lines = lines.sparkSession.createDataFrame([(separator.join(df.columns),)], "value string").union(lines)
+    lines.write.mode("append").text(path)
+
+
+def write_runs(df: DataFrame, path: str, run: str) -> None:
+    """One folder of text lines for each value of the column ``run``."""
+    rest = [c for c in df.columns if c != run]
+    df.select(run, F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rest)).alias("value")).write.partitionBy(run).text(path)
+
+
 def write_chunks(points_: DataFrame, path: str, size: int = 64, mode: str = "append") -> None:
     """Points as Parquet in folders of chunks of ``size`` voxels (cx, cy, cz): readers of a box open its chunks only."""
     keyed = points_.withColumns({f"c{a}": F.floor(F.col(f"v{a}") / size).cast("int") for a in "xyz"})
     keyed.repartition("cx", "cy", "cz").write.mode(mode).partitionBy("cx", "cy", "cz").parquet(path)
 
 
+def rewrite_chunks(points_: DataFrame, path: str, size: int = 64) -> None:
+    """Replace the chunks that ``points_`` touches; other chunks stay."""
+    keyed = points_.withColumns({f"c{a}": F.floor(F.col(f"v{a}") / size).cast("int") for a in "xyz"})
+    keyed.repartition("cx", "cy", "cz").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cx", "cy", "cz").parquet(path)
+
+
+def list_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(cx, cy, cz) of the chunks that hold points."""
+    return spark.read.parquet(path).select("cx", "cy", "cz").distinct()
+
+
 def read_chunks(spark: SparkSession, path: str, around: DataFrame | None = None) -> DataFrame:
     """A chunked store, or its chunks (cx, cy, cz) of ``around`` and the 26 about each of them."""
     df = spark.read.parquet(path)
