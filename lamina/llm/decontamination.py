@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bloom, in_arrow, in_bloom, small, written
+from .shared import bloom, free_name, in_arrow, in_bloom, small, written
 from .words import mix, slices
 
 MAX_EDIT_PERCENT = 20
@@ -273,5 +273,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """The rows of docs, unchanged, in whose text no item was found."""
-    gone = leaks(docs, benchmark, id_col=id_col, **kw).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = leaks(docs, benchmark, id_col=id_col, **kw).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(small(gone), F.col(id_col) == F.col(name), "left_anti")

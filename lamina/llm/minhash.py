@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bloom, components, forget, in_arrow, in_bloom, small, written
+from .shared import bloom, components, forget, free_name, in_arrow, in_bloom, small, written
 from .words import mix, shingles, slices
 
 GROUPS = 16
@@ -321,5 +321,6 @@ def near_duplicates(
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of docs, unchanged, whose id stands for its group; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col, **kw).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(small(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = near_duplicates(docs, id_col, text_col, **kw).where("not kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(small(gone), F.col(id_col) == F.col(name), "left_anti")

@@ -161,8 +161,8 @@ def rejected_rows(rated: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that pass, unchanged. A row is told by its id and a hash of its text, so null and repeated ids are safe."""
     gone = rejected_rows(quality_rules(docs, labels, id_col, text_col))
-    own = F.xxhash64(F.col(text_col).cast("string"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_rid")) & (own == F.col("_rhash")), "left_anti")
+    own = F.xxhash64(docs[text_col].cast("string"))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_rid"]) & (own == gone["_rhash"]), "left_anti")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:

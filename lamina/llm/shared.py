@@ -91,6 +91,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until df has no such column (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def empty_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

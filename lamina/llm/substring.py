@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import batch_rows, bloom, forget, in_arrow, in_bloom, small, written
+from .shared import batch_rows, bloom, forget, free_name, in_arrow, in_bloom, small, written
 from .words import mix, slices, window_hashes
 
 K = 6
@@ -498,10 +498,11 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with each passage cut out of all texts but its first; a text that has no word left goes.
 
     Texts without such a passage stay byte for byte, as do rows with a null id. An empty table stays
-    empty. Columns named _sid or _spans are not allowed in docs.
+    empty. Other columns of docs may have any name.
     """
-    spans = repeated_passages(docs, id_col, text_col, first=False, **kw).groupBy(F.col(id_col).alias("_sid")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
-    rows = docs.join(small(written(spans, "spans"), 500_000), F.col(id_col) == F.col("_sid"), "left").drop("_sid")
+    sid, cuts = free_name(docs, "_sid"), free_name(docs, "_spans")
+    spans = repeated_passages(docs, id_col, text_col, first=False, **kw).groupBy(F.col(id_col).alias(sid)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts))
+    rows = docs.join(small(written(spans, "spans"), 500_000), F.col(id_col) == F.col(sid), "left").drop(sid)
     schema = docs.schema
     at = docs.columns.index(text_col)
 
@@ -511,7 +512,7 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             spans_, text = batch.column(len(schema)), batch.column(at)
             if spans_.null_count == len(spans_):
-                yield batch.drop_columns(["_spans"])
+                yield batch.drop_columns([cuts])
                 continue
             out, keep = text.to_pylist(), np.ones(len(text), bool)
             given = spans_.to_pylist()
@@ -533,4 +534,4 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             cols = [pa.array(out, text.type) if j == at else batch.column(j) for j in range(len(schema))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(pa.array(keep))
 
-    return rows.select(*docs.columns, "_spans").transform(in_arrow, run, schema)
+    return rows.select(*docs.columns, cuts).transform(in_arrow, run, schema)

@@ -30,7 +30,7 @@ CONFIDENCE = 2.5
 MIN_COUNT = 4
 BEGINNINGS = (6, 8)
 DRIFT = 0.1
-MAX_TERMS = 4_000_000  # 48 MB; term tables beyond this are searched part by part
+MAX_TERMS = 4_000_000  # 48 MB; more terms raise an error
 
 _OUTER = np.zeros(256, dtype=bool)
 _OUTER[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -41,17 +41,13 @@ def held_out(id_: Column) -> Column:
 
 
 def _trimmed(s) -> tuple[np.ndarray, np.ndarray]:
+    """Word bounds without outer punctuation, of any length; a word of nothing else keeps its first byte."""
     start, end = s.start.copy(), s.end.copy()
-    for _ in range(4):
-        hit = (end - start > 1) & _OUTER[s.buf[end - 1]] if len(end) else np.zeros(0, bool)
-        if not hit.any():
-            break
-        end -= hit
-    for _ in range(2):
-        hit = (end - start > 1) & _OUTER[s.buf[start]] if len(start) else np.zeros(0, bool)
-        if not hit.any():
-            break
-        start += hit
+    for edge, step, back in ((end, -1, 1), (start, 1, 0)):
+        at = np.arange(len(start))
+        while len(at):  # only words that lost a byte are looked at again
+            at = at[(end[at] - start[at] > 1) & _OUTER[s.buf[edge[at] - back]]]
+            edge[at] += step
     return start, end
 
 

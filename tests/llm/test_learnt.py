@@ -108,3 +108,14 @@ def test_one_grade_or_none(spark):
     one = spark.createDataFrame([(1, 1), (None, 2), (2, None)], "doc_id long, grade int")
     assert {(r.doc_id, r.kept, r.p_tail) for r in qc.quality_grades(df, one).collect()} == {(1, True, None), (2, False, None)}
     assert qc.quality_grades(df.where("false"), one).count() == 0
+
+
+def test_outer_punctuation_of_any_length():
+    import pyarrow as pa
+
+    from lamina.llm.words import slices
+
+    text = '((((("word"))))))))) -- ' + "=" * 3000 + " a... é!!!! ?x"
+    (s,) = slices(pa.array([text]))
+    start, end = tox._trimmed(s)
+    assert [bytes(s.buf[a:b]).decode() for a, b in zip(start, end)] == ["word", "-", "=", "a", "é", "x"]

@@ -38,3 +38,40 @@ def test_stages_take_effect(spark, tmp_path):
     assert set(cut) - set(seen["benchmark decontamination"]) == {20}
     last = seen["sentencepiece"]
     assert set(last) == set(seen["benchmark decontamination"]) and all(last[i].n_chars == len(cut[i].text) and last[i].n_tokens == len(last[i].ids) for i in last)
+
+
+def _folder(spark, path, rows, extra):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.withColumns({c: F.lit(7) for c in extra}).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(0, None), (1, ""), (None, "one two three four five six seven eight")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return docs
+
+
+def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    """Null and wordless texts fail the base rules; of repeated rows one stays; other columns pass through all stages but the last."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    a, b, c = (sentence(rng, 60, 10**6) for _ in range(3))
+    rows = [(1, a), (1, a), (2, None), (3, ""), (4, " \n\t "), (None, b), (5, c), (6, "é漢 " * 5)]
+    extra = ["ratio", "kept", "component_id", "_gone", "_sid", "_spans", "_rid", "hash"]
+    _folder(spark, tmp_path, [(i, t, "en", None, len(t or "")) for i, t in rows], extra)
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = frame.columns
+    for name, stage in cp.STAGES[:-1]:
+        frame = cp.written(stage(spark, frame, str(tmp_path)), "stage")
+        assert frame.columns == names, name
+    kept = frame.collect()
+    assert {r.text for r in kept} == {a, b, c} and sum(r.text == b for r in kept) == 1
+    assert all(r[n] == 7 for r in kept for n in extra)
+    assert cp.STAGES[-1][1](spark, frame, str(tmp_path)).count() == len(kept)
+
+
+def test_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    _folder(spark, tmp_path, [], [])
+    assert cp.run(spark, str(tmp_path)).count() == 0
