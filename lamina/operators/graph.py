@@ -1,6 +1,6 @@
 """Graph operators as joins: components, bounded search, walks, shortest paths, greedy removal.
 
-Loops hold scalars on the driver; every round's table is written to the shared checkpoint folder.
+Loops hold scalars on the driver; every round's table is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -8,15 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.sources.scratch import shared_folder
+from lamina.sources.scratch import new_folder
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the session's shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """df with its lineage cut: a table in the session's shared folder.
+
+    Unlike a checkpoint, which keeps the estimates of its plan, it has its true size, so the estimates of
+    joins do not multiply from round to round.
+    """
+    path = new_folder(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def undirected(edges: DataFrame, a: str = "p1", b: str = "p2") -> DataFrame:
@@ -24,18 +27,37 @@ def undirected(edges: DataFrame, a: str = "p1", b: str = "p2") -> DataFrame:
     return edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).union(edges.select(F.col(b), F.col(a))).where("src <> dst").distinct()
 
 
+def roots(up: DataFrame) -> DataFrame:
+    """(id, root): pointers (id, root) to equal or lesser ids, each followed to its end; doubles the way followed each time."""
+    while True:
+        top = up.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        after = saved(up.join(top, "root").select("id", F.col("top").alias("root"), (F.col("top") < F.col("root")).alias("moved")))
+        up = after.select("id", "root")
+        if not after.where("moved").limit(1).count():
+            return up
+
+
 def components(edges: DataFrame, a: str = "p1", b: str = "p2") -> DataFrame:
-    """(id, component): the least id reachable. Least neighbour label, then one pointer jump, until nothing moves."""
+    """(id, component): the least id reachable.
+
+    Each round every vertex points to its least neighbour, pointers are followed to their roots and edges
+    are contracted to roots. A root is the least id of what it stands for, and the tables shrink with each
+    round, so a component of great diameter needs few rounds.
+    """
     both = saved(undirected(edges, a, b))
-    labels = saved(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("id")).alias("component")))
+    of = None
     while True:
-        heard = both.join(labels, both.dst == labels.id).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("heard"))
-        step = labels.join(heard, "id").select("id", "component", F.least("component", "heard").alias("now"))
-        head = labels.select(F.col("id").alias("now"), F.col("component").alias("then"))
-        after = saved(step.join(head, "now").select("id", F.least("now", "then").alias("component"), (F.least("now", "then") < F.col("component")).alias("moved")))
-        labels = after.select("id", "component")
-        if not after.where("moved").limit(1).count():
-            return labels
+        up = roots(saved(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("id")).alias("root"))))
+        if of is None:
+            of = up.select("id", F.col("root").alias("component"))
+        else:
+            of = of.join(up.withColumnRenamed("id", "component"), "component", "left")
+            of = saved(of.select("id", F.coalesce("root", "component").alias("component")))
+        for end in ("src", "dst"):
+            both = both.join(up.withColumnRenamed("id", end), end).drop(end).withColumnRenamed("root", end)
+        both = saved(both.where("src <> dst").select("src", "dst").distinct())
+        if not both.limit(1).count():
+            return of
 
 
 def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

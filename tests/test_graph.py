@@ -5,6 +5,7 @@ import random
 
 from lamina.operators import graph as G
 from lamina.operators import relax
+from lamina.plans.voxels import label_voxels
 
 
 def random_edges(seed, n, m):
@@ -37,6 +38,50 @@ def test_visit_order(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def least_reachable(pairs):
+    """{id: least id reachable}, by union-find."""
+    up = {}
+
+    def find(v):
+        up.setdefault(v, v)
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    return {v: find(v) for v in up}
+
+
+def test_components(spark):
+    """Random graphs, a long chain in falling and in mixed order, loops and repeated edges; no edges, no rows."""
+    chain = list(range(1000, 1060))
+    random.Random(3).shuffle(chain)
+    edges = random_edges(4, 60, 40) + list(zip(chain, chain[1:])) + [(k + 1, k) for k in range(2000, 2040)] + [(5, 5), (2000, 2001)]
+    got = G.components(spark.createDataFrame(edges, "p1 long, p2 long")).collect()
+    want = least_reachable([e for e in edges if e[0] != e[1]])
+    assert {r.id: r.component for r in got} == want and len(got) == len(want)
+    assert G.components(spark.createDataFrame([], "p1 long, p2 long")).count() == 0
+
+
+def test_label_voxels(spark, tmp_path):
+    """The query's regions against a flood fill, beyond any former range of slices."""
+    rng = random.Random(5)
+    grid = {z: [rng.uniform(-0.03, 0.06) for _ in range(64)] for z in range(120)}
+    spark.createDataFrame(list(grid.items()), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    on = {64 * z + i for z, e in grid.items() for i, v in enumerate(e) if v > 0.02}
+    near = [(v, v + s) for v in on for s, inside in ((1, v % 8 < 7), (8, v // 8 % 8 < 7), (64, True)) if inside and v + s in on]
+    label = least_reachable([*near, *((v, v) for v in on)])
+    want = {}
+    for v, c in label.items():
+        n, lo, hi = want.get(c, (0, v // 64, v // 64))
+        want[c] = (n + 1, min(lo, v // 64), max(hi, v // 64))
+    got = label_voxels(spark, str(tmp_path)).collect()
+    assert {r.label: (r.volume, r.z0, r.z1) for r in got} == want and len(got) == len(want)
+
+
 def test_hitting_set(spark):
     edges = [(a, b) for a, b in random_edges(2, 9, 14) if a != b]
     left, want = {tuple(sorted(e)) for e in edges}, []
