@@ -76,6 +76,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "n_words", F.size("segments").alias("n_segments"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie, rebuilt
+
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_sentencepiece,
         op10_toxicity,
+        op11_secret_scan,
+        op12_divergence,
+        op13_prefix_trie,
     )
 }
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -112,4 +133,20 @@ SQL: dict[str, str] = {
   array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, i // 4 * 5 + 1, 5) AS BIGINT) >> (15 - i % 4 * 5)) & 31 AS INT) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
   CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, url
   FROM d JOIN f USING (h)""",
+    "op12_divergence": rf"""WITH
+ d AS (SELECT row_number() OVER () AS i, coalesce(lang,'') AS lang, coalesce(source,'') AS source, translate(coalesce(text,''),'{UPPER}','{UPPER.lower()}') AS x FROM documents),
+ w AS (SELECT i, lang, source, unnest(regexp_extract_all(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM d),
+ k AS (SELECT lang, t FROM w GROUP BY 1,2 HAVING count(DISTINCT i)>=3),
+ v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY 1),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT lang, source, t, count(*)::HUGEINT AS n FROM w JOIN k USING (lang,t) GROUP BY 1,2,3),
+ ng AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY 1,2), nl AS (SELECT lang, sum(n)::HUGEINT AS n FROM c GROUP BY 1),
+ p AS (SELECT g.lang, g.source, k.t, c.n AS n, 1+1000000000*(coalesce(c.n,0)+1)//(coalesce(ng.n,0)+v) AS p FROM g JOIN k ON k.lang=g.lang JOIN v ON v.lang=g.lang
+   LEFT JOIN c ON c.lang=g.lang AND c.source=g.source AND c.t=k.t LEFT JOIN ng ON ng.lang=g.lang AND ng.source=g.source),
+ q AS (SELECT lang, t, 1+1000000000*(sum(c.n)::HUGEINT+1)//(any_value(nl.n)+any_value(v)) AS q FROM c JOIN nl USING (lang) JOIN v USING (lang) GROUP BY 1,2),
+ f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p-b.p)*(a.p-b.p)//b.p) AS value FROM p a JOIN p b ON a.lang=b.lang AND a.t=b.t AND a.source<>b.source GROUP BY 1,2,3),
+ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value,0)::BIGINT AS value FROM g a JOIN g b ON a.lang=b.lang AND a.source<>b.source LEFT JOIN f ON f.lang=a.lang AND f.source=a.source AND f.item=b.source
+   UNION ALL SELECT p.lang, source, 'term', p.t, ((p-q)*(p-q)//q)::BIGINT FROM p JOIN q ON q.lang=p.lang AND q.t=p.t WHERE p.n>0 AND p>q),
+ o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang,source,part ORDER BY value DESC, item) AS INT) AS rank FROM r)
+ SELECT * FROM o WHERE part='pair' OR rank<=200""",
 }
