@@ -149,4 +149,21 @@ SQL: dict[str, str] = {
    UNION ALL SELECT p.lang, source, 'term', p.t, ((p-q)*(p-q)//q)::BIGINT FROM p JOIN q ON q.lang=p.lang AND q.t=p.t WHERE p.n>0 AND p>q),
  o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang,source,part ORDER BY value DESC, item) AS INT) AS rank FROM r)
  SELECT * FROM o WHERE part='pair' OR rank<=200""",
+    "op13_prefix_trie": r"""WITH RECURSIVE
+ t(i, v, k) AS (SELECT i::UBIGINT, i::UBIGINT, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v&1=1 THEN xor(v>>1, 3988292384::UBIGINT) ELSE v>>1 END, k+1 FROM t WHERE k<8),
+ o AS (SELECT conv_id, md5(length(coalesce(role,'')) || ':' || coalesce(role,'') || coalesce(text,'')) AS key, length(coalesce(text,''))::BIGINT AS chars,
+   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role,''), coalesce(text,'')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ r(conv_id, s, k, crc) AS (SELECT DISTINCT conv_id, conv_id::VARCHAR, 0, 4294967295::UBIGINT FROM o
+   UNION ALL SELECT conv_id, s, r.k+1, xor(crc>>8, t.v) FROM r JOIN t ON t.k=8 AND t.i=(xor(crc, ascii(s[r.k+1])::UBIGINT) & 255) WHERE r.k<length(s)),
+ h AS (SELECT conv_id, xor(crc, 4294967295::UBIGINT)%6 AS h FROM r WHERE k=length(s)),
+ e AS (SELECT h.conv_id, 0 AS side, pos, key, chars FROM h JOIN o ON o.conv_id=h.conv_id-h.conv_id%100 AND pos<=h UNION ALL SELECT o.conv_id, 1, pos, key, chars FROM o JOIN h USING (conv_id) WHERE pos>h),
+ l AS (SELECT conv_id, list(key ORDER BY side, pos) AS keys, list(chars ORDER BY side, pos) AS chars FROM e GROUP BY 1),
+ q AS (SELECT h.conv_id, coalesce(keys, []) AS keys, coalesce(chars, []) AS chars FROM h LEFT JOIN l USING (conv_id)),
+ x AS (SELECT conv_id, keys, chars, unnest(range(len(keys)+1)) AS d FROM q),
+ n AS (SELECT d, keys[1:d] AS pre, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d=0 THEN 0 ELSE any_value(chars[d]) END AS chars, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(keys)=d), '') AS ends FROM x GROUP BY 1,2),
+ c AS (SELECT d-1 AS d, pre[1:d-1] AS pre, count(*) AS n FROM n WHERE d>0 GROUP BY 1,2),
+ a AS (SELECT n.d, n.pre, unnest(range(n.d+1)) AS up, (n_convs-1)*chars AS saved, (c.n IS NULL)::INT AS leaf FROM n LEFT JOIN c ON c.d=n.d AND c.pre=n.pre),
+ s AS (SELECT up AS d, pre[1:up] AS pre, sum(saved) AS saved, sum(leaf) AS leaves FROM a GROUP BY 1,2)
+ SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n,0) AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+  FROM n JOIN s ON s.d=n.d AND s.pre=n.pre LEFT JOIN c ON c.d=n.d AND c.pre=n.pre LEFT JOIN n p ON p.d=n.d-1 AND p.pre=n.pre[1:n.d-1]""",
 }
