@@ -1,4 +1,4 @@
-"""Graph operators as joins: components, bounded search, walks, shortest paths, greedy removal.
+"""Graph operators as joins: components, bounded search, walks, shortest paths, visit order.
 
 Loops hold scalars on the driver; every round's table is written to the shared folder.
 """
@@ -139,17 +139,3 @@ def ranked(df: DataFrame, order: str) -> DataFrame:
     base = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     return rows.join(base, "_part").withColumn("rank", F.col("_base") + inside).drop("_part", "_base")
-
-
-def hitting_set(pairs: DataFrame) -> DataFrame:
-    """(id, round): greedy removal of the vertex in most pairs (ties: least id) until no pair is left."""
-    spark = pairs.sparkSession
-    left, out = saved(pairs.select("a", "b").distinct()), []
-    while True:
-        top = left.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count().orderBy(F.desc("count"), "id").first()
-        if top is None:
-            return spark.createDataFrame(out, "id long, round int")
-        out.append((top["id"], len(out) + 1))
-        left = left.where((F.col("a") != top["id"]) & (F.col("b") != top["id"]))
-        if len(out) % 8 == 0:
-            left = saved(left)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lamina.functions import geometry as g
 from lamina.operators import graph as G
 from lamina.operators import relax
+from lamina.operators.walks import hitting_set as hitting_set_of
 from lamina.plans.aggregates import pair_scores
 from lamina.plans.catalog import Catalog
 from lamina.sources import views as V
@@ -133,11 +134,14 @@ def allowed_edges(spark, d):
     return e.where("w <= 8").select("p1", "p2", "w")
 
 
-@C.add()
+@C.add("pg", """l AS (SELECT l.pid AS a, r.pid AS b, max(sqrt(((l.vx-r.vx)*(l.vx-r.vx)+(l.vy-r.vy)*(l.vy-r.vy)+(l.vz-r.vz)*(l.vz-r.vz))::DOUBLE)) AS worst FROM pg l JOIN pg r ON l.gx=r.gx AND l.gy=r.gy AND l.pid<r.pid GROUP BY 1,2),
+ s(open,id,round) AS (SELECT list([a,b]), NULL::BIGINT, 0 FROM l WHERE worst>10
+  UNION ALL SELECT list_filter(open, lambda t: NOT list_contains(t, m.x)), m.x, round+1 FROM (SELECT *, list_min(list_transform(list_distinct(flatten(open)), lambda x: {'n': -len(list_filter(flatten(open), lambda y: y=x)), 'x': x})) AS m FROM s WHERE len(open)>0));;
+ SELECT id, round FROM s WHERE id IS NOT NULL""")
 def hitting_set(spark, d):
     """Patches to remove, most frequent first, until no overlapping pair is further apart than the limit. Every planted bad patch is among them."""
     pairs = pair_scores(V.placed_points(spark, d)).where(F.col("worst") > BAD).select("a", "b")
-    return G.hitting_set(pairs)
+    return hitting_set_of(pairs)
 
 
 @C.add("pg", """l AS (SELECT l.pid AS a, r.pid AS b, max(sqrt(((l.vx-r.vx)*(l.vx-r.vx)+(l.vy-r.vy)*(l.vy-r.vy)+(l.vz-r.vz)*(l.vz-r.vz))::DOUBLE)) AS worst FROM pg l JOIN pg r ON l.gx=r.gx AND l.gy=r.gy AND l.pid<r.pid GROUP BY 1,2);;

@@ -4,6 +4,7 @@ import heapq
 import random
 
 from lamina.operators import graph as G
+from lamina.operators import walks as W
 from lamina.operators import relax
 from lamina.plans.voxels import label_voxels
 
@@ -94,7 +95,7 @@ def test_hitting_set(spark):
         want.append(top)
         left = {e for e in left if top not in e}
     pairs = spark.createDataFrame(sorted({tuple(sorted(e)) for e in edges}), "a long, b long")
-    got = {r["round"]: r["id"] for r in G.hitting_set(pairs).collect()}
+    got = {r["round"]: r["id"] for r in W.hitting_set(pairs).collect()}
     assert [got[k] for k in sorted(got)] == want
 
 
