@@ -4,9 +4,14 @@ Tokens are a page's elements, each with its path of tags and names, and its text
 host that occur equally often in each of its pages (the same occurrence vector) form an equivalence
 class. A class is valid if it covers SUPPORT of the host's different pages (MIN_PAGES at least). Its
 elements that stand once on a page, as does all around them, nest into the template, and what they
-enclose are its slots. The deepest slot with half of the host's text is the article's, whatever its
+enclose are its slots. The deepest slot with half of the host's text is the article's core, whatever its
 tag and names; texts of the template itself are no content.
 
+On each page the article grows from its core outwards: beside the way up from the core, headings, paragraphs and the like
+belong to it (a title and a lead before the body), and so do other slots that are made like an article
+(a heading with paragraphs, or CORE_SHARE of the core's text), and all of an <article> or <main> that encloses the core.
+Text that COMMON of the host's pages share (adverts in turn), lists of links only and named elements do not.
+
 An occurrence vector is kept as the exclusive-or of hash(page, count), so vectors are compared
 without gathering a host's pages: a host that has a third of all pages costs one row per token and
 task. Pages of equal text count once, so that copies of an article do not pass for a template.
@@ -32,6 +37,8 @@ from .shared import in_arrow, written
 MIN_PAGES = 3
 SUPPORT = 0.5
 TEXT_SUPPORT = 0.75  # of a host's different pages: a text on them is the template's
+COMMON = 0.1  # of a host's different pages: a text on them is no part of an article outside its core
+CORE_SHARE = 0.2
 LIE = 0.1  # names are believed if this share of a host's text is outside the elements they name
 BROADCAST_TOKENS = 1_000_000  # of all templates together, 8 MB
 SALTS = 16
@@ -329,17 +336,17 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot, fixed): the path token of the article's slot, and the tokens of fixed texts and named parts.
+    """(host, slot, fixed, common): the path token of the article's core, the tokens of fixed texts and named parts, and those of other common texts.
 
     A token of the template covers a share of the host's different pages, so a host's row has no more
-    of them than a page has tokens, times 1 / SUPPORT. Hosts of fewer than MIN_PAGES pages have no row.
+    of them than a page has tokens, times 1 / COMMON. Hosts of fewer than MIN_PAGES pages have no row.
     """
     tokens = page_tokens(pages).groupBy("host", "token", "kind").agg(
         F.bit_xor("vector").alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("clean").alias("clean"), F.max("depth").alias("depth"), F.sum("slot").alias("slots")
     )
     tokens = written(tokens.where(f"pages >= {MIN_PAGES}"), "tokens")
     host = tokens.where("token = 0").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"), F.col("clean").alias("all_clean"))  # the page itself, on each of them
-    valid = tokens.join(host, "host").where(F.col("pages") >= SUPPORT * F.col("all_pages"))
+    valid = tokens.join(host, "host").where(F.col("pages") >= F.when(F.col("kind") == TEXT, COMMON).otherwise(SUPPORT) * F.col("all_pages"))
     classes = valid.groupBy("host", "vector").agg(
         F.max("all_pages").alias("all_pages"), F.max("all_chars").alias("all_chars"), F.max("all_clean").alias("all_clean"),
         F.collect_list(F.struct("kind", "token", "depth", "pages", "slots", "chars", "clean")).alias("members"),
@@ -352,16 +359,103 @@ def templates(pages: DataFrame) -> DataFrame:
     return each.groupBy("host").agg(
         F.max(F.when(nested, F.struct(F.col("m.depth").alias("depth"), held.alias("held"), F.col("m.token").alias("token"))))["token"].alias("slot"),
         F.collect_list(F.when(fixed, F.col("m.token"))).alias("fixed"),
+        F.collect_list(F.when(~fixed & (F.col("m.kind") == TEXT), F.col("m.token"))).alias("common"),
     )
 
 
-def main_blocks(page: str, slot: int | None, fixed: frozenset) -> list[str]:
-    """The article's blocks: what fills the slot; on pages without it, of <article> or <main>; else all that no name rejects, but for blocks that are links throughout."""
+LISTS = {"ul", "ol", "dl", "table"}
+
+
+def _ends(page: Page) -> list[int]:
+    """For each element, the number after its last descendant: elements come in preorder."""
+    ends = list(range(1, len(page.tag) + 1))
+    for i in range(len(page.tag) - 1, 0, -1):
+        ends[page.up[i]] = max(ends[page.up[i]], ends[i])
+    return ends
+
+
+def link_lists(page: Page) -> set[int]:
+    """Lists and tables with nothing but links."""
+    of, plain, some = [-1] * len(page.tag), set(), set()
+    for i in range(1, len(page.tag)):
+        of[i] = i if page.tag[i] in LISTS and of[page.up[i]] < 0 else of[page.up[i]]
+    for _, i, linked in page.blocks:
+        if of[i] >= 0:
+            (some if linked else plain).add(of[i])
+    return {i for i, x in enumerate(of) if x >= 0 and x in some - plain}
+
+
+def grown(page: Page, slot: int, fixed: frozenset, common: frozenset) -> list[str]:
+    """The blocks of the article around the elements of the slot, in page order."""
+    noise, inside = inherited(page, slot, fixed)
+    for i in range(len(page.tag) - 1, 0, -1):  # names of what holds the core lie
+        if page.place[i] == slot:
+            up = page.up[i]
+            while up > 0 and page.noise[up] != NEVER:
+                page.noise[up] = PLAIN
+                up = page.up[up]
+    around, _ = inherited(page)
+    ends, links = _ends(page), link_lists(page)
+    kids: dict[int, list[int]] = {}
+    for i in range(1, len(page.tag)):
+        kids.setdefault(page.up[i], []).append(i)
+    blocks: dict[int, list[tuple[str, bool]]] = {}
+    for t, i, linked in page.blocks:
+        blocks.setdefault(i, []).append((t, linked))
+
+    def own(i: int, kept) -> list[tuple[str, bool, int]]:
+        """Text of an element and what is in it that no name and no other page claims."""
+        return [(t, linked, k) for k in range(i, ends[i]) if k in blocks and kept(k) for t, linked in blocks[k] if not ((x := _token(page.place[k], t)) in fixed or x in common)]
+
+    core = sum(len(t) for t, i, linked in page.blocks if inside[i] and noise[i] == PLAIN and not linked)
+    added: set[int] = set()
+    titled: set[int] = set()
+    seen: set[int] = set()
+    for start in (i for i in range(1, len(page.tag)) if inside[i] and not inside[page.up[i]]):
+        way, up = [start], page.up[start]
+        while up >= 0:
+            way.append(up)
+            up = page.up[up]
+        marked = False  # inside an <article> or <main> that encloses the core
+        for child, parent in reversed(list(zip(way, way[1:]))):
+            marked = marked or page.tag[parent] in ("article", "main") and page.noise[parent] == PLAIN
+            if parent in seen:
+                continue
+            seen.add(parent)
+            if marked:
+                added.add(parent)
+            for c in kids.get(parent, ()):
+                if c == child or inside[c] or c in way:
+                    continue
+                rest = own(c, lambda k: around[k] == PLAIN and k not in links)
+                if not rest and page.tag[c] == "header" and page.tag[parent] not in ("", "html", "body"):
+                    titled.update(k for k in range(c, ends[c]) if page.tag[k] in HEADINGS and page.noise[k] == PLAIN)
+                    continue
+                parts = [x for x in rest if page.tag[x[2]] in PARTS]
+                size = sum(len(t) for t, linked, _ in parts if not linked)
+                like = any(page.tag[k] in HEADINGS for _, _, k in parts) and any(page.tag[k] == "p" for _, _, k in parts)
+                if rest and (page.tag[c] in PARTS or marked and not all(linked for _, linked, _ in rest) or like or size > CORE_SHARE * core):
+                    added.update(range(c, ends[c]))
+    out = []
+    for t, i, _ in page.blocks:
+        token = _token(page.place[i], t)
+        if token in fixed:
+            continue
+        if inside[i] and noise[i] == PLAIN or (i in added and around[i] == PLAIN and i not in links or i in titled) and token not in common:
+            out.append(t)
+    return out
+
+
+def main_blocks(page: str, slot: int | None, fixed: frozenset, common: frozenset = frozenset()) -> list[str]:
+    """The article's blocks: its core in the slot and what belongs to it around; on pages without it, of <article> or
+    <main>; else all that no name rejects, but for lists of links and bare links."""
     read = parse(page)
-    held = slot is not None and slot in read.place
-    noise, inside = inherited(read, slot, fixed) if held else inherited(read)
-    whole = not held and not any(inside)
-    chosen = [(t, i) for t, i, linked in read.blocks if noise[i] == PLAIN and (inside[i] or whole and not linked)]
+    if slot is not None and slot in read.place:
+        return grown(read, slot, fixed, common)
+    noise, inside = inherited(read)
+    whole = not any(inside)
+    links = link_lists(read) if whole else set()
+    chosen = [(t, i) for t, i, linked in read.blocks if noise[i] == PLAIN and (inside[i] or whole and i not in links and not (linked and read.tag[i] not in PARTS))]
     return [t for t, i in chosen if not fixed or _token(read.place[i], t) not in fixed]
 
 
@@ -375,7 +469,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     found = written(templates(rows).where("slot is not null or size(fixed) > 0"), "templates")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     given = rows.withColumn("host", host)
-    if found.agg(F.coalesce(F.sum(F.size("fixed") + 4), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_TOKENS:
+    if found.agg(F.coalesce(F.sum(F.size("fixed") + F.size("common") + 4), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_TOKENS:
         joined = given.join(F.broadcast(found), "host", "left")
     else:  # a host's pages go to several tasks
         joined = given.withColumn("salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(SALTS))).join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["host", "salt"], "left")
@@ -385,9 +479,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
         for batch in batches:
             out = []
-            for page, slot, common in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                out.append("\n".join(main_blocks(page or "", slot, frozenset(common or ()))))
+            last = None
+            for page, slot, fixed, common in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                if last is None or last[:2] != (fixed, common):
+                    last = fixed, common, frozenset(fixed or ()), frozenset(common or ())
+                out.append("\n".join(main_blocks(page or "", slot, *last[2:])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    return in_arrow(joined.select("page_id", "url", "html", "slot", "fixed"), run, f"page_id {kind}, url string, text string, n_chars long")
+    return in_arrow(joined.select("page_id", "url", "html", "slot", "fixed", "common"), run, f"page_id {kind}, url string, text string, n_chars long")

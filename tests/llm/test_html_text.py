@@ -91,6 +91,40 @@ def test_markup_lies_and_the_template_does_not(spark):
         assert r.text.split("\n")[:2] == [f"Head {r.page_id}", (f"own {r.page_id} " * 40).strip()] and "Buy" not in r.text and "Menu" not in r.text
 
 
+def planted(i, kind):
+    """An article and the page that it stands in; only the template and the make of its parts tell on most hosts."""
+    h1, lead = f"Head {i} of all", f"Lead {i} says what is in it."
+    body = [f"para {i} {j} " * 30 for j in range(4)]
+    p = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    low, top = f"<div class=low>low {i}</div>", f"<div class=top>Menu {i % 2}</div><ul><li><a href=/>a {i}</a><li><a href=/>b</a></ul>"
+    sections = [[f"one {i} " * 40], [f"two {i} {j} " * 60 for j in range(3)], [f"three {i} " * 30]]
+    made = {
+        "marked": (f"<article><h1>{h1}</h1><p>{lead}</p><div class=body>{p(body)}</div></article>", [h1, lead, *body]),
+        "bare lead": (f"<article><div class=lead>{lead}</div><div class=body>{p(body)}</div></article>", [lead, *body]),
+        "header": (f"<article><header><h1>{h1}</h1><p>by me</p></header><div class=body>{p(body)}</div></article>", [h1, *body]),
+        "unmarked": (f"<div class=story><h1>{h1}</h1><p class=lead>{lead}</p><div class=text>{p(body)}</div></div>", [h1, lead, *body]),
+        "unmarked header": (f"<div class=story><header><h1>{h1}</h1></header><div class=in><div class=text>{p(body)}</div></div></div>", [h1, *body]),
+        "sections": ("<article>" + "".join(f"<section class=s{k}>{p(x)}</section>" for k, x in enumerate(sections)) + "</article>", [t for x in sections for t in x]),
+        "unmarked sections": ("<div class=story>" + "".join(f"<div class=s{k}><h2>part {k} {i}</h2>{p(x)}</div>" for k, x in enumerate(sections)) + "</div>", [t for k, x in enumerate(sections) for t in [f"part {k} {i}", *x]]),
+        "names lie": (f"<div class=footer><h1>{h1}</h1><div class=widget>{p(body)}</div></div>", [h1, *body]),
+        "adverts in turn": (f"<div class=story><h1>{h1}</h1><div class=text>{p(body)}</div></div><div class=x><h3>Buy {i % 2}</h3><p>{f'It is cheap {i % 2} ' * 40}</p></div>", [h1, *body]),
+    }
+    article, want = made[kind]
+    return f"<body>{top}{article}{low}</body>", "\n".join(t.strip() for t in want)
+
+
+@pytest.mark.parametrize("kind", ["marked", "bare lead", "header", "unmarked", "unmarked header", "sections", "unmarked sections", "names lie", "adverts in turn"])
+def test_no_part_of_an_article_is_lost(spark, kind):
+    pages = [(i, "http://a.example/", planted(i, kind)[0]) for i in range(8)]
+    got = {r.page_id: r.text for r in h.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: planted(i, kind)[1] for i in range(8)}
+
+
+def test_links_in_a_page_without_template():
+    page = "<body><ul><li><a href=/>one</a><li><a href=/>two</a></ul><p><a href=/>A linked paragraph.</a></p><div><a href=/>more</a></div><h2><a href=/>Linked head</a></h2><ul><li><a href=/>in</a> a list<li><a href=/>linked item</a></ul></body>"
+    assert blocks(page) == ["A linked paragraph.", "Linked head", "in a list", "linked item"]
+
+
 def test_names_inside_an_article():
     inside = "<p class='notice-of-meeting'>a</p><div class='share-price'>b</div><p id='reply-to-critics'>c</p><div class='comment-list'>d</div><p title=\"5\" tall\">e</p>"
     assert blocks(f"<article>{inside}</article>") == ["a", "b", "c", "e"]
