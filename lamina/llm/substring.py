@@ -15,6 +15,11 @@
    it is seen with both whole texts. Chains below IDENTITY are left out.
 5. Pieces that go on where another of the same two texts ends are one passage; passages of at least
    MIN_WORDS words are kept, each with its own source. One inside another of its text is left out.
+6. Quotations hide passages: if all seeds of a passage, and all pairs, stand in pieces of earlier texts, the
+   text that has it whole is never met. But then such pieces lie end to end over the passage, in either
+   text. So stretches of MIN_WORDS words that pieces cover and no passage does are searched once more among
+   themselves: the pieces' own texts have no such stretch and are out of the way. Here seeds, pairs
+   and runs of RUN seeds meet their first occurrence and the one before.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import batch_rows, bloom, forget, free_name, in_arrow, in_bloom, small, written
-from .words import mix, slices, window_hashes
+from .shared import batch_rows, bloom, forget, free_name, in_arrow, in_bloom, written
+from .words import Slice, mix, slices, window_hashes
 
 K = 6
 SPAN = 14
@@ -37,8 +42,11 @@ OVERLAP = 12  # words that a passage shares with the one that takes over from it
 MISMATCH = -2.0
 DROP = 12.0
 NEAR = 48
+RUN = 4  # seeds in a row that are one more seed of a stretch
+BETWEEN = 12  # words between two pieces of one stretch
 WHOLE = 1 << 30
 BUCKETS = 1 << 16  # of seed hashes, counted to find seeds of very many occurrences
+BROADCAST_SPANS = 1_000_000  # spans of 16 bytes
 ROWS = 1000  # rows of word arrays in one Arrow batch
 HOT = 20_000  # occurrences in one bucket; more than this, and than four times the mean, are dealt to several tasks
 
@@ -124,8 +132,55 @@ def _linked(occurrences: DataFrame, *keys: str) -> DataFrame:
     return rows.where("anchor < id or x < y").select("id", "anchor", "y", "x")
 
 
-def matches_of(docs: DataFrame, id_col: str, text_col: str, k: int, span: int, hot: int = HOT) -> DataFrame:
-    parts = hot_buckets(docs, id_col, text_col, k, span, hot)
+def _seeds_of_words(s, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word position, hash) of seeds, pairs and runs of RUN seeds."""
+    row, pos, h = winnow(s, k, span)
+    rows, places, keys = [row], [pos], [h]
+    for n in (2, RUN):
+        at = np.flatnonzero(row[n - 1 :] == row[: len(row) - n + 1]) if len(h) >= n else np.zeros(0, np.int64)
+        rows.append(row[at])
+        places.append(pos[at])
+        keys.append(window_hashes(h, n)[at] if len(at) else np.zeros(0, np.uint64))
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(keys)
+
+
+def stretches(pieces: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """(id, lo, hi): at least min_words words of a text that pieces cover end to end, without pieces inside a passage found."""
+    rows = pieces.select("id", F.col("y0").alias("lo"), F.col("y1").alias("hi"), F.lit(0).alias("whole")).union(found.select("id", "y0", "y1", F.lit(1)))
+    order = Window.partitionBy("id").orderBy(F.col("lo") - F.when(F.col("whole") == 1, BETWEEN).otherwise(0), F.col("whole").desc(), "hi")
+    reach = F.max(F.when(F.col("whole") == 1, F.col("hi"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    left = rows.withColumn("reach", reach).where("whole = 0").where((F.col("hi") - BETWEEN > F.col("reach")) | F.col("reach").isNull()).select("id", "lo", "hi")
+    order = Window.partitionBy("id").orderBy("lo", "hi")
+    far = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    left = left.withColumn("island", F.sum(F.when(F.col("lo") <= far + BETWEEN, 0).otherwise(1)).over(order))
+    return left.groupBy("id", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("hi") - F.col("lo") >= min_words).drop("island")
+
+
+def hidden_matches(found: DataFrame, words: DataFrame, parts: np.ndarray, k: int, span: int) -> DataFrame:
+    """(id, anchor, y, x): seeds of stretches with their first occurrence in stretches and the one before."""
+    text = found.join(words, "id").select("id", "lo", F.slice("words", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("w"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, lo, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+            none = np.zeros(0, np.int64)
+            row, pos, h = _seeds_of_words(Slice(0, len(ids), none, none, none, mix(flat.view(np.uint32).astype(np.uint64)), at - at[0], none), k, span)
+            own = ids[row]
+            part = (mix(own.view(np.uint64)) % parts[(h >> np.uint64(48)).astype(np.int64)].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(part), pa.array(own), pa.array((pos + lo[row]).astype(np.int32))], ["seed", "part", "id", "pos"])
+
+    rows = written(in_arrow(text, run, "seed long, part int, id long, pos int"), "stretch-seeds")
+    w = Window.partitionBy("seed", "part").orderBy("id", "pos")
+    before = rows.select("id", F.lag("id").over(w).alias("anchor"), F.col("pos").alias("y"), F.lag("pos").over(w).alias("x")).where("anchor is not null")
+    heads = rows.groupBy("seed", "part").agg(F.min(F.struct("id", "pos")).alias("head")).select("seed", "head.*")
+    return before.union(_linked(rows, "seed", "part")).union(_linked(heads, "seed")).where("anchor < id or x < y")
+
+
+def matches_of(docs: DataFrame, parts: np.ndarray, id_col: str, text_col: str, k: int, span: int) -> DataFrame:
     links = _linked(seeds(docs, parts, id_col, text_col, k, span), "seed", "part")
     if (parts > 1).any():
         heads = seeds(docs, parts, id_col, text_col, k, span, only_hot=True).groupBy("seed", "part").agg(F.min(F.struct("id", "pos")).alias("head"))
@@ -458,6 +513,19 @@ def _longest(spans: DataFrame) -> DataFrame:
     return spans.groupBy("id", "lo").agg(top).select("id", "lo", F.col("m.hi").alias("hi"), (-F.col("m.s")).alias("source"), (-F.col("m.e")).alias("edits"))
 
 
+def pieces_of(linked: DataFrame, words: DataFrame, k: int, identity: float, min_words: int) -> DataFrame:
+    """(id, anchor, y0, y1, x0, x1, edits): the chains, aligned and extended at both ends."""
+    spark = linked.sparkSession
+    with batch_rows(spark, ROWS):
+        near = written(aligned(linked, words, k, identity), "near")
+    marked = written(carried_on(near, identity, min_words), "near")
+    forget(near)
+    with batch_rows(spark, ROWS // 4):
+        far = written(extended(marked.where("on_left or on_right"), words), "far")
+    pieces = _bounds(marked.where("not (on_left or on_right)").union(far)).select("id", "anchor", F.col("start").alias("y0"), F.col("end").alias("y1"), F.col("from_").alias("x0"), F.col("to").alias("x1"), "edits")
+    return pieces.where((F.col("y1") - F.col("y0") >= MIN_PIECE) & (F.col("edits") <= (1 - identity) * F.greatest(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, span: int = SPAN, identity: float = IDENTITY, min_words: int = MIN_WORDS, first: bool = True, hot: int = HOT) -> DataFrame:
     """id, start_word, end_word, n_words, source_id, edits, is_first for each passage that occurs earlier: in a text of smaller id, or further up.
 
@@ -468,21 +536,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     empty result. Of spans that start at one word the longest is given, of the least source.
     """
     spark = docs.sparkSession
-    linked = written(chained(matches_of(docs, id_col, text_col, k, span, hot)), "chains")
+    parts = hot_buckets(docs, id_col, text_col, k, span, hot)
+    linked = written(chained(matches_of(docs, parts, id_col, text_col, k, span)), "chains")
     words = written(word_arrays(docs, bloom(linked.select("id").union(linked.select("anchor")), "id"), id_col, text_col), "words")
-    with batch_rows(spark, ROWS):
-        near = written(aligned(linked, words, k, identity), "pieces")
+    pieces = written(pieces_of(linked, words, k, identity, min_words), "pieces")
     forget(linked)
-    marked = written(carried_on(near, identity, min_words), "pieces")
-    forget(near)
-    with batch_rows(spark, ROWS // 4):
-        far = written(extended(marked.where("on_left or on_right"), words), "pieces")
-    forget(words)
-    pieces = _bounds(marked.where("not (on_left or on_right)").union(far)).select("id", "anchor", F.col("start").alias("y0"), F.col("end").alias("y1"), F.col("from_").alias("x0"), F.col("to").alias("x1"), "edits")
-    pieces = pieces.where((F.col("y1") - F.col("y0") >= MIN_PIECE) & (F.col("edits") <= (1 - identity) * F.greatest(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))))
     found = written(passages_of(pieces, min_words), "passages")
-    forget(marked)
-    forget(far)
+    hidden = written(stretches(pieces, found, min_words), "stretches")
+    if hidden.limit(1).count():
+        linked = written(chained(hidden_matches(hidden, words, parts, k, span)), "chains")
+        more = written(pieces_of(linked, words, k, identity, min_words), "pieces")
+        forget(linked)
+        found = written(passages_of(pieces.union(more).distinct(), min_words), "passages")
+        forget(more)
+    forget(hidden)
+    forget(pieces)
+    forget(words)
     spans = _longest(found.select("id", F.col("y0").alias("lo"), F.col("y1").alias("hi"), F.col("anchor").alias("source"), "edits")).withColumn("is_first", F.lit(False))
     if first:
         there = found.where("anchor <> id or x1 <= y0").select(F.col("anchor").alias("id"), F.col("x0").alias("lo"), F.col("x1").alias("hi"), F.col("anchor").alias("source"), "edits")
@@ -502,7 +571,9 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     sid, cuts = free_name(docs, "_sid"), free_name(docs, "_spans")
     spans = repeated_passages(docs, id_col, text_col, first=False, **kw).groupBy(F.col(id_col).alias(sid)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts))
-    rows = docs.join(small(written(spans, "spans"), 500_000), F.col(id_col) == F.col(sid), "left").drop(sid)
+    spans = written(spans, "spans")
+    few = (spans.agg(F.sum(F.size(cuts) + 2)).first()[0] or 0) <= BROADCAST_SPANS
+    rows = docs.join(F.broadcast(spans) if few else spans, F.col(id_col) == F.col(sid), "left").drop(sid)
     schema = docs.schema
     at = docs.columns.index(text_col)
 

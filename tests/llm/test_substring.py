@@ -129,3 +129,65 @@ def test_long_texts_and_ties(spark):
     df = spark.createDataFrame([(5, t), (6, t), (7, t), (8, "a b " * 5000)], "doc_id long, text string")
     got = {(r.doc_id, r.start_word, r.end_word, r.source_id) for r in s.repeated_passages(df, first=False).where("doc_id < 8").collect()}
     assert got == {(6, 0, 30_000, 5), (7, 0, 30_000, 5)}
+
+
+def quoted(rng, i, windows, before=True, edits=0):
+    """Texts (id, text): windows of a passage of 120 words in texts of their own, before (or around) two texts that have it whole."""
+    around = lambda n: sentence(rng, n, 10**6)
+    passage = around(120).split()
+    small = [f"{around(20)} {' '.join(passage[a : a + n])} {around(20)}" for a, n in windows]
+    later = list(passage)
+    for k in rng.sample(range(120), edits):
+        later[k] = f"new{rng.randrange(10**9)}"
+    whole = [f"{around(30)} {' '.join(passage)} {around(30)}", f"{around(40)} {' '.join(later)} {around(20)}"]
+    ids = [*range(len(small)), *(len(small) + 900, len(small) + 901)] if before else [2 * k for k in range(len(small))] + [1, 2 * len(small) + 1]
+    return [(i * 10_000 + n, t) for n, t in zip(ids, small + whole)]
+
+
+def test_quotations_hide_no_passage(spark):
+    """Earlier texts with windows of 20, 30, 40 and 44 words, five or 300 of them, also between the two and with edits."""
+    rng = random.Random(11)
+    cases = [[(a, n) for a in range(0, 120 - n + 1, 20)] for n in (20, 30, 40) for _ in range(8)]
+    cases += [[(a, 44) for a in [*range(0, 76, 19), 76] for _ in range(60)]] + [[(a, 40) for a in range(0, 81, 20)]] * 6
+    rows = [r for i, w in enumerate(cases) for r in quoted(rng, i, w, i < 25 or i % 2 == 0, 6 if i >= 27 else 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in s.repeated_passages(df, first=False).collect():
+        assert 40 <= r.start_word + 8 and r.end_word <= 160 + 8, r
+        got[r.doc_id // 10_000] = max(got.get(r.doc_id // 10_000, 0), r.n_words)
+    found = [got.get(i, 0) >= 100 for i in range(len(cases))]
+    assert sum(found) >= 0.95 * len(cases), [(i, len(w), got.get(i)) for i, w in enumerate(cases) if not found[i]]
+
+
+def brute_passages(texts, n=45):
+    """Ids of texts with a run of n words that an earlier text has."""
+    seen, out = set(), set()
+    for i in sorted(texts):
+        w = texts[i].split()
+        grams = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+        if grams & seen:
+            out.add(i)
+        seen |= grams
+    return out
+
+
+def test_recall_on_a_corpus_of_quotations(spark):
+    """Texts made of quotations of 10 to 44 words from a few sources, which some later texts hold in full."""
+    rng = random.Random(12)
+    sources = [sentence(rng, 300, 10**6).split() for _ in range(12)]
+    texts = {}
+    for i in range(400):
+        words = sentence(rng, 30, 10**6).split()
+        for _ in range(3):
+            src, n = rng.choice(sources), rng.randint(10, 44)
+            a = rng.randrange(300 - n)
+            words += src[a : a + n] + sentence(rng, 15, 10**6).split()
+        if i > 100 and i % 3 == 0:
+            src, n = rng.choice(sources), rng.randint(60, 140)
+            a = rng.randrange(300 - n)
+            words += src[a : a + n]
+        texts[i] = " ".join(words)
+    want = brute_passages(texts)
+    got = {r.doc_id for r in s.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), first=False).collect()}
+    assert len(want) > 30 and len(want & got) >= 0.95 * len(want), (len(want), len(want & got))
+    assert len(got - want) <= 0.1 * len(want)
