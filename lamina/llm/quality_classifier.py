@@ -24,6 +24,7 @@ BITS = 18
 SAMPLE = 10_000
 EPOCHS = 150
 MIN_TEXTS = 5
+RIDGE = 1e-9
 
 _CLASS = np.arange(256, dtype=np.uint64) + np.uint64(10)  # punctuation stands for itself
 _CLASS[ord("a") : ord("z") + 1] = 1
@@ -91,6 +92,31 @@ def rated_features(docs: DataFrame, grades: DataFrame, id_col: str, text_col: st
     return rows.select(F.col("_grade").cast("int").alias("grade"), "text").transform(in_arrow, run, "grade int, bucket array<int>, value array<float>")
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def ordered_cuts(free: np.ndarray) -> np.ndarray:
+    """Thresholds from the first one and the logarithms of the gaps."""
+    return np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
+
+
+def loss_and_gradient(w: np.ndarray, free: np.ndarray, idx: np.ndarray, val: np.ndarray, row: np.ndarray, y: np.ndarray, balance: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log likelihood (rows weighted by ``balance``, weights with a small ridge) and its gradients."""
+    k = len(free)
+    bound = np.concatenate([[-np.inf], ordered_cuts(free), [np.inf]])
+    f = np.bincount(row, weights=w[idx] * val, minlength=len(y))
+    up, lo = _sigmoid(bound[y + 1] - f), _sigmoid(bound[y] - f)
+    up[y == k], lo[y == 0] = 1.0, 0.0
+    p = np.maximum(up - lo, 1e-12)
+    du, dl = up * (1 - up) / p * balance, lo * (1 - lo) / p * balance
+    gf = (du - dl) / len(y)
+    gt = np.array([-(du[y == j].sum() - dl[y == j + 1].sum()) for j in range(k)]) / len(y)
+    g_free = np.concatenate([[gt.sum()], [gt[j:].sum() * np.exp(free[j]) for j in range(1, k)]])
+    gw = np.bincount(idx, weights=val * gf[row], minlength=len(w)) + RIDGE * w
+    return float(-(balance * np.log(p)).mean() + RIDGE / 2 * (w @ w)), gw, g_free
+
+
 def fit(features: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> Ordinal | None:
     """Maximum penalised likelihood by Adam on the bounded sample; None without two grades."""
     t = features.toArrow()
@@ -112,25 +138,13 @@ def fit(features: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> Ordinal
     free = np.concatenate([[-1.0], np.zeros(k - 1)])  # t_0, then logs of the gaps
     m = [np.zeros_like(w), np.zeros_like(free)]
     v = [np.zeros_like(w), np.zeros_like(free)]
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    cuts = lambda f: np.concatenate([[f[0]], f[0] + np.cumsum(np.exp(f[1:]))])
     for step in range(1, epochs + 1):
-        t_ = cuts(free)
-        bound = np.concatenate([[-np.inf], t_, [np.inf]])
-        f = np.bincount(row, weights=w[idx] * val, minlength=len(y))
-        up, lo = sig(bound[y + 1] - f), sig(bound[y] - f)
-        up[y == k], lo[y == 0] = 1.0, 0.0
-        p = np.maximum(up - lo, 1e-12)
-        du, dl = up * (1 - up) / p * balance, lo * (1 - lo) / p * balance
-        gf = (du - dl) / len(y)  # of the negative log likelihood with respect to f
-        gt = np.array([-(du[y == j].sum() - dl[y == j + 1].sum()) for j in range(k)]) / len(y)
-        g_free = np.concatenate([[gt.sum()], [gt[j:].sum() * np.exp(free[j]) for j in range(1, k)]])
-        gw = np.bincount(idx, weights=val * gf[row], minlength=len(w)) + 1e-9 * w
+        _, gw, g_free = loss_and_gradient(w, free, idx, val, row, y, balance)
         for i, (x, g, rate) in enumerate(((w, gw, 0.5), (free, g_free, 0.05))):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
             x -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-7)
-    return Ordinal(w.astype(np.float32), cuts(free))
+    return Ordinal(w.astype(np.float32), ordered_cuts(free))
 
 
 def linear_scores(docs: DataFrame, model: Ordinal, id_col: str, text_col: str, bits: int) -> DataFrame:

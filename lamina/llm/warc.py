@@ -195,6 +195,7 @@ class WarcReader(DataSourceReader):
         self.split = int(options.get("split_bytes", 64 << 20))
         self.verify = str(options.get("verify", "false")).lower() == "true"
         self.payload = str(options.get("payload", "true")).lower() == "true"
+        self.sizes = str(options.get("sizes", "false")).lower() == "true"
         self.columns = columns
         self.tests: list[tuple[str, str, tuple]] = []
 
@@ -246,7 +247,7 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition):
         where, _ = _open_fs(self.path)
-        wanted = lambda head: ("payload" if self.payload or self.verify else "head") if self._passes(head) else None
+        wanted = lambda head: ("payload" if self.payload or self.verify or self.sizes else "head") if self._passes(head) else None
         for path in partition.paths:
             with where.open_input_file(path) as f:
                 for head, body in (_gz_records if path.endswith(".gz") else _plain_records)(f, wanted):
@@ -275,7 +276,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcDataSource(DataSource):
-    """``spark.read.format("warc").load(folder)``; options: payload (false: heads only), verify, split_bytes."""
+    """``spark.read.format("warc").load(folder)``; options: payload (false: heads only), sizes (payload_bytes without payloads), verify, split_bytes."""
 
     @classmethod
     def name(cls):
@@ -358,13 +359,17 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
 
 def archive_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write ``pages`` as archives in the shared folder, read them back with digests checked, one row per page."""
+    """Write ``pages`` as archives in the shared folder, read them back with digests checked, one row per page.
+
+    Revisits have no payload; the read that takes them passes over the responses' by their heads, and the other way round.
+    """
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     write_warc(pages, folder, least=least).agg(F.sum("records")).collect()
     register(spark)
-    back = spark.read.format("warc").option("verify", "true").option("payload", "false").option("split_bytes", str(8 << 20)).load(folder)
+    read = lambda **options: spark.read.format("warc").options(split_bytes=str(8 << 20), payload="false", **options).load(folder)
     named = F.regexp_extract("refers_to", r"^<urn:lamina:page:(-?\d+)>$", 1)
-    return back.where(F.col("record_type").isin("response", "revisit")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.length(named) > 0, named.cast("long")).alias("refers_to"), F.col("target_uri").alias("url")
-    )
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.length(named) > 0, named.cast("long")).alias("refers_to"), F.col("target_uri").alias("url")]
+    # each read takes one type by its headers: payloads are decoded, and checked, of responses only
+    responses = read(verify="true").where("record_type = 'response'").select(columns)
+    return responses.unionByName(read(sizes="true").where("record_type = 'revisit'").select(columns))

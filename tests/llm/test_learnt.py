@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -103,6 +104,94 @@ def test_grades_in_order(spark):
     assert not any(r.kept for r in out if r.doc_id in (7000, 7001))
 
 
+def test_likelihood_and_gradient():
+    """The loss equals a plain sum over texts, and its gradient finite differences, for two, three and four grades."""
+    rng = np.random.default_rng(3)
+    for grades in (2, 3, 4):
+        n, size = 40, 12
+        row = np.repeat(np.arange(n), 4)
+        idx, val = rng.integers(0, size, 4 * n), rng.random(4 * n)
+        y, balance = rng.integers(0, grades, n), rng.random(n) + 0.5
+        w, free = rng.standard_normal(size), rng.standard_normal(grades - 1)
+        loss, gw, gfree = qc.loss_and_gradient(w, free, idx, val, row, y, balance)
+        cuts = [free[0]]
+        for g in free[1:]:
+            cuts.append(cuts[-1] + math.exp(g))
+        total = 0.0
+        for i in range(n):
+            f = sum(w[idx[k]] * val[k] for k in range(4 * n) if row[k] == i)
+            below = lambda j: 0.0 if j < 0 else 1.0 if j >= grades - 1 else 1 / (1 + math.exp(f - cuts[j]))  # noqa: B023, E731
+            total -= balance[i] * math.log(below(y[i]) - below(y[i] - 1))
+        assert abs(loss - total / n - qc.RIDGE / 2 * (w @ w)) < 1e-9
+        for x, g in ((w, gw), (free, gfree)):
+            for i in range(len(x)):
+                keep, step = x[i], 1e-6
+                x[i] = keep + step
+                up = qc.loss_and_gradient(w, free, idx, val, row, y, balance)[0]
+                x[i] = keep - step
+                down = qc.loss_and_gradient(w, free, idx, val, row, y, balance)[0]
+                x[i] = keep
+                assert abs((up - down) / (2 * step) - g[i]) < 1e-6
+
+
+def test_score_equals_plain_arithmetic(spark):
+    """Term scores, lambda, K, evidence and the final score, each again from its definition, one text at a time; ties, repeated rows and a long text too."""
+    import pyarrow as pa
+
+    from lamina.llm.words import slices
+
+    rows, labels = toxic_corpus()
+    rows += rows[:4] + [(6000, "x " * 40_000 + "nasty"), (6001, "nasty"), (6002, "nasty")]
+    docs, rated = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = tox.learn_terms(docs, rated, "doc_id", "text")
+    truth = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 5}
+    seen, words_of = [], []
+    for i, text in rows:
+        (s,) = slices(pa.array([text]))
+        each = [{} for _ in range(len(s.start))]
+        for kind, (at, h) in enumerate(tox.tokens(s)):
+            for k, x in zip(at.tolist(), h.tolist()):
+                each[k][kind] = x
+        words_of.append(each)
+        seen.append({x for w in each for x in w.values()})
+    n_all = len(rows)
+    toxic = [k for k, (i, _) in enumerate(rows) if truth.get(i) == 1]
+    other = [k for k, (i, _) in enumerate(rows) if truth.get(i) == 0]
+    count = lambda part, x: sum(x in seen[k] for k in part)
+    score, rate = {}, {}
+    n_words = sum(len(words_of[k]) for k in other)
+    for x in set().union(*(seen[k] for k in toxic)):
+        t, o, every = count(toxic, x), count(other, x), count(range(n_all), x)
+        if t < tox.MIN_COUNT:
+            continue
+        a = every * tox.PRIOR_DOCS / n_all + tox.PRIOR_BASE
+        odds = lambda y, n: math.log((y + a) / (n + tox.PRIOR_DOCS - y))  # noqa: B023, E731
+        low = odds(t, len(toxic)) - odds(o, len(other)) - tox.CONFIDENCE * math.sqrt(1 / (t + a) + 1 / (o + a))
+        if low > 0:
+            score[x], rate[x] = low, o / n_words + 1e-9
+    assert dict(zip(model.token.tolist(), model.score.round(9).tolist())) == {x: round(v, 9) for x, v in score.items()}
+    moment = sum(rate[x] * math.exp(model.lam * v) for x, v in score.items()) + (1 - sum(rate.values())) * math.exp(-model.lam * tox.DRIFT)
+    assert abs(moment - 1) < 1e-6 and model.lam > 1e-3
+    segments = []
+    for each in words_of:
+        values = [max((score[x] for x in w.values() if x in score), default=0.0) for w in each]
+        at = np.flatnonzero(values)
+        segments.append([v for _, _, v in tox.maximal_segments(at, np.array(values)[at], tox.DRIFT)])
+    s0 = float(np.median(list(score.values())))
+    k = (sum(v >= s0 for d in other for v in segments[d]) + 0.5) / (n_words * math.exp(-model.lam * s0))
+    best, total = [], []
+    for each, found in zip(words_of, segments):
+        e = [model.lam * v - math.log(k * len(each)) for v in found]
+        best.append(min(max([0.0, *e]), 40.0))
+        total.append(min(sum(max(x, 0.0) for x in e), 80.0))
+    half_up = lambda v: math.floor(v + 0.5)
+    x = np.array([[half_up(2 * best[d]) / 2, half_up(total[d])] for d in (*toxic, *other)])
+    b = tox._logistic(x, np.array([1.0] * len(toxic) + [0.0] * len(other)), np.ones(len(x)))
+    want = [1 / (1 + math.exp(-(b[0] + b[1] * best[d] + b[2] * total[d]))) for d in range(n_all)]
+    got = sorted((r.doc_id, round(r.score, 6)) for r in tox.toxicity(docs, rated).collect())
+    assert got == sorted((i, round(v, 6)) for (i, _), v in zip(rows, want))
+
+
 def test_one_grade_or_none(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     one = spark.createDataFrame([(1, 1), (None, 2), (2, None)], "doc_id long, grade int")

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import base64
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,25 @@ def test_round_trip(spark, pages, least):
     assert sorted(map(tuple, got.collect()), key=str) == expected(rows, least)
 
 
+def test_the_query_decodes_no_payload_that_it_does_not_want(spark, pages, tmp_path, monkeypatch):
+    """The type is pushed down: the reader of revisits inflates no response, that of responses no revisit."""
+    plan = warc.archive_round_trip(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 2 and not re.search(r"\bFilter\b", plan)
+    warc.write_warc(pages, f"file://{tmp_path}").collect()
+    from pyspark.sql.datasource import EqualTo
+
+    inflated = []
+    real = warc.zlib.decompress
+    monkeypatch.setattr(warc.zlib, "decompress", lambda data, *a: inflated.append(real(data, *a)) or inflated[-1])
+    for kind, rows in (("revisit", 3), ("response", 5)):
+        inflated.clear()
+        reader = warc.WarcReader({"path": f"file://{tmp_path}", "payload": "false", "sizes": "true"}, [])
+        assert list(reader.pushFilters([EqualTo(("record_type",), kind)])) == []
+        got = [r for p in reader.partitions() for r in reader.read(p)]
+        records = [x for x in inflated if x.startswith(b"WARC/")]
+        assert len(got) == rows == len(records) and all(f"WARC-Type: {kind}".encode() in x for x in records)
+
+
 def test_empty_table(spark, pages):
     assert warc.archive_round_trip(pages.where("false")).count() == 0
 
