@@ -190,14 +190,14 @@ def chunk_neighbourhood(spark, d):
     return T.read_chunks(spark, folder, asked).groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"), F.sum("vz").alias("z"))
 
 
-@C.add("pp", f"""k AS (SELECT *, {KEYS} FROM pp), t AS (SELECT DISTINCT cx,cy,cz FROM k WHERE pid%7=3), o AS (SELECT DISTINCT cx,cy,cz FROM k WHERE pid%7<>3);;
- SELECT cx,cy,cz,count(*) AS n FROM k WHERE NOT (pid%7=3 AND (cx,cy,cz) IN (SELECT (cx,cy,cz) FROM o)) GROUP BY ALL""")
+@C.add("pp", f"SELECT {KEYS}, count(*) AS n FROM pp WHERE pid%7<>3 GROUP BY 1,2,3")
 def chunk_rewrite(spark, d):
-    """Chunks that share bad and good patches, rewritten without the bad ones; other chunks stay as they were."""
+    """The chunks of bad patches, rewritten without them or deleted where nothing is left; other chunks stay as they were."""
     folder, p = _store(spark, d), V.patch_points(spark, d)
     key = lambda df: df.select(*(F.floor(F.col(f"v{a}") / CHUNK).cast("int").alias(f"c{a}") for a in "xyz")).distinct()
     keyed = p.withColumns({f"c{a}": F.floor(F.col(f"v{a}") / CHUNK).cast("int") for a in "xyz"})
-    T.rewrite_chunks(keyed.join(key(p.where("pid % 7 = 3")), ["cx", "cy", "cz"], "left_semi").where("pid % 7 <> 3").drop("cx", "cy", "cz"), folder, CHUNK)
+    bad = key(p.where("pid % 7 = 3"))
+    T.rewrite_chunks(keyed.join(bad, ["cx", "cy", "cz"], "left_semi").where("pid % 7 <> 3").drop("cx", "cy", "cz"), folder, CHUNK, bad)
     return T.read_chunks(spark, folder).groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"))
 
 

@@ -24,8 +24,7 @@ NEAR = """l AS (SELECT *, CAST(floor(vx/{s}.0) AS BIGINT) AS i, CAST(floor(vy/{s
 def cell_join_pairs(spark, d):
     """Close points of different patches, by pair of patches."""
     p = V.patch_points(spark, d).select("pid", *COORDS.split())
-    near = S.cell_join(p, p, COORDS, 6).where("l_pid < r_pid")
-    return near.groupBy(F.col("l_pid").alias("a"), F.col("r_pid").alias("b")).agg(F.count("*").alias("pairs"), R(F.min("dist")).alias("nearest"))
+    return S.close_pairs(p, "pid", COORDS, 6).groupBy("a", "b").agg(F.count("*").alias("pairs"), R(F.min("dist")).alias("nearest"))
 
 
 @C.add("pp", NEAR.format(s=8, left="pp", right="pp") + f""", n AS (SELECT l.pid, l.qx, l.qy, r.pid AS npid, r.qx AS nqx, r.qy AS nqy, {D3.format('l', 'r')} AS dist FROM l JOIN r USING (i,j,k) WHERE l.pid<>r.pid AND {D3.format('l', 'r')}<8),
@@ -42,9 +41,8 @@ def nearest_three(spark, d):
 def erase_by_radius(spark, d):
     """The points that are not within 5 of a point of an earlier patch."""
     pp = V.patch_points(spark, d)
-    near = S.cell_join(pp.select("pid", "qx", "qy", *COORDS.split()), pp.select("pid", *COORDS.split()), COORDS, 5).where("r_pid < l_pid")
-    gone = near.select(F.col("l_pid").alias("pid"), F.col("l_qx").alias("qx"), F.col("l_qy").alias("qy")).distinct()
-    return pp.join(gone, ["pid", "qx", "qy"], "left_anti").select("pid", "qx", "qy", "vx", "vy", "vz")
+    others = pp.select("pid", *COORDS.split())
+    return S.erase_near(pp, others, COORDS, 5, F.col("o_pid") < F.col("pid")).select("pid", "qx", "qy", "vx", "vy", "vz")
 
 
 @C.add("pp", f"""SELECT p.pid,p.qx,p.qy,c.pid AS centre, round({D3.format('p', 'c')},6) AS dist FROM pp p JOIN (SELECT * FROM pp WHERE qx=0 AND qy=0) c ON c.pid=p.pid+1 WHERE {D3.format('p', 'c')}<30""")
@@ -179,11 +177,12 @@ def resample_weighted(spark, d):
     return near.groupBy(F.col("l_pid").alias("pid"), F.col("l_qx").alias("qx"), F.col("l_qy").alias("qy")).agg(R(z).alias("z"), F.count("*").alias("n"))
 
 
-@C.add("vox", "o AS MATERIALIZED (SELECT z,y,x FROM vox WHERE v=255);; SELECT a.z,a.y,a.x FROM o a JOIN o b ON b.z=a.z+1 AND b.y=a.y AND b.x=a.x")
+@C.add("vox", """s AS (SELECT z,y,x,1 AS f FROM vox WHERE v=255 UNION ALL SELECT z-1,y,x,2 FROM vox WHERE v=255);; SELECT z,y,x FROM s GROUP BY z,y,x HAVING bit_or(f)=3""")
 def voxel_and(spark, d):
-    """Voxels set both here and one slice on."""
+    """Voxels set both here and one slice on: each sends itself to its own place and to the one before, and both must arrive."""
     on = V.voxels(spark, d).where("v = 255").select(*AXES)
-    return on.join(on.select((F.col("z") - 1).alias("z"), "y", "x"), list(AXES), "left_semi")
+    sent = on.withColumn("f", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("z", F.when(F.col("f") == 1, F.col("z")).otherwise(F.col("z") - 1))
+    return sent.groupBy(*AXES).agg(F.bit_or("f").alias("f")).where("f = 3").select(*AXES)
 
 
 @C.add("pp", """SELECT a.pid, a.qx, a.qy, b.qx AS nx, b.qy AS ny, round(sqrt(((a.vx-b.vx)*(a.vx-b.vx)+(a.vy-b.vy)*(a.vy-b.vy)+(a.vz-b.vz)*(a.vz-b.vz))::DOUBLE),6) AS rest

@@ -98,10 +98,20 @@ def write_chunks(points_: DataFrame, path: str, size: int = 64, mode: str = "app
     keyed.repartition("cx", "cy", "cz").write.mode(mode).partitionBy("cx", "cy", "cz").parquet(path)
 
 
-def rewrite_chunks(points_: DataFrame, path: str, size: int = 64) -> None:
-    """Replace the chunks that ``points_`` touches; other chunks stay."""
+def rewrite_chunks(points_: DataFrame, path: str, size: int = 64, touched: DataFrame | None = None) -> None:
+    """Replace the chunks that ``points_`` touches; other chunks stay.
+
+    ``touched`` has the chunks (cx, cy, cz) that are rewritten: those for which no point is left are deleted.
+    """
     keyed = points_.withColumns({f"c{a}": F.floor(F.col(f"v{a}") / size).cast("int") for a in "xyz"})
     keyed.repartition("cx", "cy", "cz").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cx", "cy", "cz").parquet(path)
+    if touched is not None:
+        spark = points_.sparkSession
+        empty = touched.select("cx", "cy", "cz").distinct().join(keyed.select("cx", "cy", "cz").distinct(), ["cx", "cy", "cz"], "left_anti")
+        base = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where = base.getFileSystem(spark._jsc.hadoopConfiguration())
+        for c in empty.toLocalIterator():  # names of folders only
+            where.delete(spark._jvm.org.apache.hadoop.fs.Path(base, f"cx={c.cx}/cy={c.cy}/cz={c.cz}"), True)
 
 
 def list_chunks(spark: SparkSession, path: str) -> DataFrame:
