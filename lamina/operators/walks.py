@@ -133,6 +133,42 @@ def bad_patches(relations: DataFrame, points: DataFrame, lengths=(2, 3, 4, 5), l
     return found, scores
 
 
+def implausible_bridges(neighbours: DataFrame, places: DataFrame) -> DataFrame:
+    """(c, a, b): patches c with two neighbours a < b that lie further apart than c's diameter and both radii allow.
+
+    ``neighbours`` has (src, dst) both ways, ``places`` has (id, x, y, radius).
+    """
+    at = lambda n: places.select(F.col("id").alias(n), *(F.col(v).alias(f"{n}_{v}") for v in ("x", "y", "radius")))
+    near = saved(neighbours.select(F.col("src").alias("c"), F.col("dst").alias("a")).join(at("a"), "a"))
+    pairs = near.join(near.withColumnsRenamed({n: n.replace("a", "b", 1) for n in near.columns if n != "c"}), "c").where("a < b").join(at("c"), "c")
+    far = g.length([F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")])
+    return pairs.where(far > 2.0 * F.col("c_radius") + F.col("a_radius") + F.col("b_radius")).select("c", "a", "b")
+
+
+def bad_bridges(bridges: DataFrame) -> DataFrame:
+    """(id, n, round): the centres that go until no implausible bridge is left, always that of most bridges (ties: the least id).
+
+    A patch that goes takes along the bridges that it is an end of. All centres that come before both ends of all their bridges go in one
+    round: only the going of an end could lower their count, and the ends' own counts only fall. So they are
+    those that go one by one, with the same counts.
+    """
+    left, out, k = saved(bridges.select("c", "a", "b").distinct()), None, 0
+    while left.limit(1).count():
+        k += 1
+        count = saved(left.groupBy("c").agg(F.count("*").alias("n")))
+        rows = left.join(count, "c")
+        for end in ("a", "b"):
+            rows = rows.join(count.select(F.col("c").alias(end), F.col("n").alias(f"n_{end}")), end, "left")
+        behind = lambda e: F.coalesce((F.col(f"n_{e}") < F.col("n")) | ((F.col(f"n_{e}") == F.col("n")) & (F.col(e) > F.col("c"))), F.lit(True))
+        first = rows.groupBy("c", "n").agg(F.min(behind("a") & behind("b")).alias("first")).where("first")
+        gone = saved(first.select(F.col("c").alias("id"), "n", F.lit(k).alias("round")))
+        for m in ("c", "a", "b"):
+            left = left.join(gone.select(F.col("id").alias(m)), m, "left_anti")
+        left = saved(left)
+        out = gone if out is None else out.unionByName(gone)
+    return out if out is not None else left.select(F.col("c").alias("id"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("round"))
+
+
 # ---- paths --------------------------------------------------------------------------------------
 
 

@@ -8,9 +8,11 @@ from lamina.functions import geometry as g
 from lamina.operators import cage, spanning, walks
 from lamina.operators import graph as G
 from lamina.plans.catalog import Catalog
-from lamina.plans.graphs import BOTH
+from lamina.plans.graphs import BOTH, VISIT
 from lamina.plans.voxels import NORMAL
+from lamina.sources import text_tables as T
 from lamina.sources import views as V
+from lamina.sources.scratch import new_folder
 
 C = Catalog()
 R = lambda c, n=6: F.round(c, n)
@@ -103,3 +105,30 @@ def shortest_path_list(spark, d):
     e = V.edges(spark, d).where("p1 <> p2")
     best = G.saved(G.shortest_paths(e, V.edges(spark, d).select((g.div(F.col("p1"), 25) * 25).alias("id")).distinct()))
     return best.join(walks.paths(best), "id").select("id", "cost", "hops", F.array_join("path", ",").alias("path"))
+
+
+@C.add("edge", BOTH + """, e AS (SELECT DISTINCT s,t FROM b), k AS (SELECT DISTINCT s AS id, 10.0::DOUBLE*(s%32) AS x, 10.0::DOUBLE*(s//32) AS y, 10+s%7 AS r FROM e),
+ j AS (SELECT i.s AS c, i.t AS a, o.t AS b FROM e i JOIN e o ON o.s=i.s AND o.t>i.t JOIN k kc ON kc.id=i.s JOIN k ka ON ka.id=i.t JOIN k kb ON kb.id=o.t WHERE sqrt((ka.x-kb.x)*(ka.x-kb.x)+(ka.y-kb.y)*(ka.y-kb.y))>2.0*kc.r+ka.r+kb.r),
+ s(open,id,n) AS (SELECT list({'c': c, 'a': a, 'b': b}), NULL::BIGINT, 0 FROM j
+  UNION ALL SELECT list_filter(open, lambda t: t.c<>m.x AND t.a<>m.x AND t.b<>m.x), m.x, -m.n FROM (SELECT open, list_min(list_transform(list_distinct(list_transform(open, lambda t: t.c)), lambda x: {'n': -len(list_filter(open, lambda t: t.c=x)), 'x': x})) AS m FROM s WHERE len(open)>0));;
+ SELECT id, n::BIGINT AS n FROM s WHERE id IS NOT NULL""")
+def bad_bridges(spark, d):
+    """Patches that join others which lie too far apart to be its neighbours, removed by most such pairs first."""
+    near = G.undirected(V.edges(spark, d))
+    places = near.select(F.col("src").alias("id")).distinct().select("id", (F.col("id") % 32 * 10.0).alias("x"), (g.div(F.col("id"), 32) * 10.0).alias("y"), (10 + F.col("id") % 7).alias("radius"))
+    return walks.bad_bridges(walks.implausible_bridges(near, places)).select("id", "n")
+
+
+@C.add("edge", VISIT + """, m AS (SELECT min(c) AS c FROM root), o AS (SELECT v.ord, v.id FROM v JOIN m ON v.c=m.c);;
+ SELECT h.id AS p, l.id AS other, 1::BIGINT AS mismatch, h.ord AS ord FROM o h JOIN o l ON l.ord<h.ord JOIN (SELECT DISTINCT p1,p2 FROM edge) e ON e.p1=h.id AND e.p2=l.id""")
+def visit_files(spark, d):
+    """The visit order of the first component as a file of patches, and the relations to patches visited before as lines patch,other,1; both read again."""
+    e, order = V.edges(spark, d), G.saved(G.visit_order(V.edges(spark, d)))
+    first = order.join(order.agg(F.min("component").alias("component")), "component").select("ord", "id")
+    orders, near = new_folder(spark, "patchorder"), new_folder(spark, "neighbours")
+    T.write_fields(first.orderBy("ord"), orders)
+    here, before = first.select(F.col("id").alias("p1"), "ord"), first.select(F.col("id").alias("p2"), F.col("ord").alias("earlier"))
+    T.write_fields(e.join(here, "p1").join(before, "p2").where("earlier < ord").orderBy("ord").select("p1", "p2", F.lit(1)), near)
+    back = T.fields(spark.read.text(near), ["p", "other", "mismatch"]).select(*(F.col(c).cast("long").alias(c) for c in ("p", "other", "mismatch")))
+    place = T.fields(spark.read.text(orders), ["ord", "p"]).select(*(F.col(c).cast("long").alias(c) for c in ("ord", "p")))
+    return back.join(place, "p").select("p", "other", "mismatch", "ord")

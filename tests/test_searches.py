@@ -188,3 +188,27 @@ def test_paths(spark):
     for v, r in rows.items():
         assert r.path[0] == 0 and r.path[-1] == v and len(r.path) == r.hops + 1
         assert sum(cost[a, b] for a, b in zip(r.path, r.path[1:])) == r.cost
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bad_bridges_go_as_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    edges = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(60)}
+    near = sorted({(a, b) for e in edges for a, b in (e, e[::-1])})
+    place = {v: (rng.uniform(0, 60), rng.uniform(0, 60), float(rng.randint(2, 8))) for v in range(25)}
+    of = {}
+    for a, b in near:
+        of.setdefault(a, set()).add(b)
+    bridges = [(c, a, b) for c in of for a in of[c] for b in of[c] if a < b and math.dist(place[a][:2], place[b][:2]) > 2 * place[c][2] + place[a][2] + place[b][2]]
+    left, want = list(bridges), []
+    while left:
+        count = {}
+        for c, _, _ in left:
+            count[c] = count.get(c, 0) + 1
+        top = min(count, key=lambda v: (-count[v], v))
+        want.append((top, count[top]))
+        left = [t for t in left if top not in t]
+    found = W.implausible_bridges(spark.createDataFrame(near, "src long, dst long"), spark.createDataFrame([(v, *p) for v, p in place.items()], "id long, x double, y double, radius double"))
+    assert sorted(map(tuple, found.collect())) == sorted(bridges)
+    got = W.bad_bridges(found).collect()
+    assert sorted((r.id, r.n) for r in got) == sorted(want) and max(r.round for r in got) < len(want)
