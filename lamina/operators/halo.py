@@ -187,3 +187,16 @@ def flatness(radius: int) -> Callable[[Block], dict[str, np.ndarray]]:
         return {"n": parts["n"], "d2": sum((10 * parts[a] // n) ** 2 for a in AXES)}
 
     return run
+
+
+def sobel(b: Block) -> dict[str, np.ndarray]:
+    """dz, dy, dx: [1 2 1] across two axes and the difference before minus after along the third; mirrored at the ends, the last not again."""
+    out = {}
+    for along, name in enumerate(AXES):
+        v = b.value
+        for axis in range(3):
+            here = b.places(axis)
+            before, after = (b.take(v, axis, mirrored(here + o, b.size[axis], False)) for o in (-1, 1))
+            v = before - after if axis == along else before + 2 * b.take(v, axis, here) + after
+        out[f"d{name}"] = v
+    return out

@@ -1,7 +1,7 @@
 """Stencils over voxel tables (z, y, x, value).
 
-Separable filters run as one ordered window per axis, which shuffles once per axis and copies no
-row. Others send each voxel to the cells it acts on and sum there, with sums before the shuffle.
+Small separable filters run as one ordered window per axis, which shuffles once per axis and copies no
+row; wide ones, and those of large volumes, run in blocks (halo.py). Others send each voxel to the cells it acts on and sum there, with sums before the shuffle.
 Missing voxels count as absent, not as zero, unless an operator says otherwise.
 """
 
@@ -30,18 +30,6 @@ def along(df: DataFrame, axis: str, out: str, value: str, weights: dict[int, flo
     return df.withColumn(out, total)
 
 
-def sobel(vox: DataFrame, value: str = "v") -> DataFrame:
-    """Adds dx, dy, dz: [1 2 1] across two axes and the difference before minus after along the third."""
-    smooth, diff = {-1: 1, 0: 2, 1: 1}, {-1: 1, 1: -1}
-    for axis in AXES:
-        name = f"d{axis}"
-        df = vox.withColumn(name, F.col(value))
-        for a in AXES:
-            df = along(df, a, name, name, diff if a == axis else smooth)
-        vox = df
-    return vox
-
-
 def scatter(vox: DataFrame, stencil: Iterable[tuple[int, int, int]], payload: list[Column]) -> DataFrame:
     """Each voxel's payload sent to the cells z + dz, y + dy, x + dx of a stencil, with the offsets oz, oy, ox of the sender."""
     steps = F.array(*(F.struct(*(F.lit(v).cast("long").alias(f"o{a}") for a, v in zip(AXES, o, strict=True))) for o in stencil))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
+from lamina.operators import halo as H
 from lamina.operators import voxel as X
 from lamina.operators.mesh import gathered
 from lamina.plans.catalog import Catalog
@@ -102,7 +103,9 @@ def composite_layers(spark, d):
 @C.add("vox", _sobel_sql().replace("SELECT z,y,x,dz,dy,dx, CASE", "SELECT z,y,x,dz,dy,dx FROM (SELECT z,y,x,dz,dy,dx, CASE") + ") JOIN vox USING (z,y,x) WHERE v=255")
 def masked_gradient(spark, d):
     """The gradient where the volume is set."""
-    return X.sobel(V.voxels(spark, d)).where("v = 255").select(*AXES, "dz", "dy", "dx")
+    vox = V.voxels(spark, d)
+    s = H.stencil(vox, "v", "d", 1, H.sobel, {f"d{a}": "long" for a in AXES})
+    return s.join(vox.where("v = 255").select(*AXES), list(AXES), "left_semi").select(*AXES, "dz", "dy", "dx")
 
 
 @C.add("vox", """o AS (SELECT dz,dy,dx,dz*dz+dy*dy+dx*dx AS d2 FROM range(-2,3) a(dz), range(-2,3) b(dy), range(-2,3) c(dx)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
+from lamina.operators import halo as H
 from lamina.operators import voxel as X
 from lamina.operators.graph import components
 from lamina.operators.mesh import normals, upsample
@@ -59,8 +60,8 @@ def _sobel_sql() -> str:
 
 @C.add("vox", _sobel_sql())
 def sobel_edges(spark, d):
-    """Gradient by three separable passes; an edge is strong and points along the sheet's normal (2, 1, -1) in z, y, x."""
-    s = X.sobel(V.voxels(spark, d))
+    """Gradient by three separable passes inside blocks; an edge is strong and points along the sheet's normal (2, 1, -1) in z, y, x."""
+    s = H.stencil(V.voxels(spark, d), "v", "d", 1, H.sobel, {f"d{a}": "long" for a in AXES})
     n2 = F.col("dz") * F.col("dz") + F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
     edge = F.when((2 * F.col("dz") + F.col("dy") - F.col("dx") > 0) & (n2 > 150 * 150), 255).otherwise(0)
     return s.select(*AXES, "dz", "dy", "dx", edge.cast("long").alias("edge"))
