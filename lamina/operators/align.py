@@ -7,11 +7,33 @@ from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
 from lamina.operators.graph import saved
+from lamina.operators.spatial import cell_join, nearest
 from lamina.operators.walks import TX, frames
 
 BLOCK = 64  # points of a cell that are compared in one go
 
 
+def surface_matches(points: DataFrame, others: DataFrame, radius: float = 8.0, mesh: float = 4.0) -> DataFrame:
+    """(p1, p2, x0, y0, x1, y1): where a mesh point (x0, y0) of p1 lies on the mesh of p2.
+
+    Of each other patch the three nearest points within ``radius`` are taken (ties: the least mesh place). They count if the two
+    further ones lie along one mesh axis each from the nearest; the point is then projected on these two edges,
+    and matches if it falls between their ends. Both tables have pid, qx, qy, vx, vy, vz.
+    """
+    near = cell_join(points, others, "vx vy vz", radius).where("l_pid <> r_pid")
+    three = nearest(near, ["l_pid", "l_qx", "l_qy", "r_pid"], 3, ["r_qx", "r_qy"])
+    values = ["r_qx", "r_qy", "r_vx", "r_vy", "r_vz"]
+    own = ["l_pid", "l_qx", "l_qy", "l_vx", "l_vy", "l_vz", "r_pid"]
+    g3 = three.groupBy(*own).agg(*(F.max(F.when(F.col("rank") == k, F.struct(*values))).alias(f"n{k}") for k in (1, 2, 3))).where("n3 is not null")
+    x, y = ([F.col(f"n{k}.r_q{a}") for k in (1, 2, 3)] for a in "xy")
+    corner = ((x[0] == x[1]) & (y[0] == y[2]) & (y[0] != y[1]) & (x[0] != x[2])) | ((y[0] == y[1]) & (x[0] == x[2]) & (x[0] != x[1]) & (y[0] != y[2]))
+    at = lambda k: [F.col(f"n{k}.r_v{a}") for a in "xyz"]
+    here = g.sub(g.cols("vx vy vz", "l_"), at(1))
+    rows = g3.where(corner).withColumns({f"s{k}": g.dot(g.sub(at(k), at(1)), here) / (mesh * mesh) for k in (2, 3)}).where("s2 between 0 and 1 and s3 between 0 and 1")
+    place = lambda v: v[0] + F.col("s2") * (v[1] - v[0]) + F.col("s3") * (v[2] - v[0])
+    return rows.select(F.col("l_pid").alias("p1"), F.col("r_pid").alias("p2"), F.col("l_qx").alias("x0"), F.col("l_qy").alias("y0"), place(x).alias("x1"), place(y).alias("y1"))
+
+
 def similarity(matches: DataFrame, shortest: float, tolerance: float = 0.01, draws: int = 1) -> DataFrame:
     """(p1, p2, pairs, angle, x, y, spread): the rotation and shift that take p2's matched points (x1, y1) to p1's (x0, y0).
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lamina.functions import geometry as g
 from lamina.operators import align, walks
 from lamina.plans.catalog import Catalog
+from lamina.plans.joins import D3, NEAR
 from lamina.plans.voxels import NORMAL
 from lamina.sources import raster_files, sheets
 from lamina.sources import views as V
@@ -39,6 +40,34 @@ def similarity_rotation(spark, d):
     return s.select("p1", "p2", "pairs", *((R(c, n) + F.lit(0)).alias(c) for c, n in (("angle", 6), ("x", 5), ("y", 5), ("spread", 4))))
 
 
+MATCH_SQL = NEAR.format(s=8, left="pp", right="pp") + f""", n AS (SELECT l.pid AS p1,l.qx AS x0,l.qy AS y0,l.vx AS lx,l.vy AS ly,l.vz AS lz,r.pid AS p2,r.qx AS rx,r.qy AS ry,r.vx AS ux,r.vy AS uy,r.vz AS uz, row_number() OVER (PARTITION BY l.pid,l.qx,l.qy,r.pid ORDER BY {D3.format('l', 'r')},r.qx,r.qy) AS k
+   FROM l JOIN r USING (i,j,k) WHERE l.pid<>r.pid AND {D3.format('l', 'r')}<8),
+ t AS (SELECT a.p1,a.p2,a.x0,a.y0,a.rx AS xa,a.ry AS ya,b.rx AS xb,b.ry AS yb,c.rx AS xc,c.ry AS yc,
+   ((b.ux-a.ux)*(a.lx-a.ux)+(b.uy-a.uy)*(a.ly-a.uy)+(b.uz-a.uz)*(a.lz-a.uz))/16.0::DOUBLE AS s, ((c.ux-a.ux)*(a.lx-a.ux)+(c.uy-a.uy)*(a.ly-a.uy)+(c.uz-a.uz)*(a.lz-a.uz))/16.0::DOUBLE AS u
+   FROM n a JOIN n b ON b.p1=a.p1 AND b.p2=a.p2 AND b.x0=a.x0 AND b.y0=a.y0 AND b.k=2 JOIN n c ON c.p1=a.p1 AND c.p2=a.p2 AND c.x0=a.x0 AND c.y0=a.y0 AND c.k=3 WHERE a.k=1),
+ match AS (SELECT p1,p2,x0,y0, xa+s*(xb-xa)+u*(xc-xa) AS x1, ya+s*(yb-ya)+u*(yc-ya) AS y1 FROM t WHERE s BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 AND ((xa=xb AND ya=yc AND ya<>yb AND xa<>xc) OR (ya=yb AND xa=xc AND xa<>xb AND ya<>yc)))"""
+
+
+@C.add("pp", MATCH_SQL + ";; SELECT p1,p2,x0,y0,round(x1,6) AS x1,round(y1,6) AS y1 FROM match")
+def surface_matches(spark, d):
+    """Where mesh points lie on the meshes of other patches, from the three nearest points of each."""
+    p = V.patch_points(spark, d)
+    return align.surface_matches(p, p).select("p1", "p2", "x0", "y0", R("x1").alias("x1"), R("y1").alias("y1"))
+
+
+@C.add("pp", MATCH_SQL + """, m AS (SELECT *, (x0*7919+y0*104729+p1*1299709+p2*15485863)%1000003 AS draw FROM match),
+ o AS (SELECT *, lead(x0) OVER w-x0 AS dx0, lead(y0) OVER w-y0 AS dy0, lead(x1) OVER w-x1 AS dx1, lead(y1) OVER w-y1 AS dy1 FROM m WINDOW w AS (PARTITION BY p1,p2 ORDER BY draw,x0,y0,x1,y1)),
+ k AS (SELECT *, x0+dx0/2 AS mx0, y0+dy0/2 AS my0, x1+dx1/2 AS mx1, y1+dy1/2 AS my1 FROM o WHERE dx0 IS NOT NULL AND sqrt(dx1*dx1+dy1*dy1)>6 AND abs(sqrt((dx0*dx0+dy0*dy0)::DOUBLE)/sqrt(dx1*dx1+dy1*dy1)-1)<0.02),
+ s AS (SELECT p1,p2,count(*) AS pairs, atan2(sum(dx1*dy0-dy1*dx0),sum(dx1*dx0+dy1*dy0)) AS t, avg(mx0) AS ax0,avg(my0) AS ay0,avg(mx1) AS ax1,avg(my1) AS ay1 FROM k GROUP BY 1,2);;
+ SELECT p1,p2,pairs,round(t,5)+0 AS angle, round(ax0-cos(t)*ax1+sin(t)*ay1,4)+0 AS x, round(ay0-sin(t)*ax1-cos(t)*ay1,4)+0 AS y FROM s""")
+def patch_alignment(spark, d):
+    """Rotation and shift between all patches that lie on one another, from their surface matches."""
+    p = V.patch_points(spark, d)
+    draw = (F.col("x0") * 7919 + F.col("y0") * 104729 + F.col("p1") * 1299709 + F.col("p2") * 15485863) % 1000003
+    s = align.similarity(align.surface_matches(p, p).withColumn("draw", draw), 6, 0.02)
+    return s.select("p1", "p2", "pairs", *((R(c, n) + F.lit(0)).alias(c) for c, n in (("angle", 5), ("x", 4), ("y", 4))))
+
+
 GOOD_SQL = "good AS (SELECT DISTINCT least(p1,p2) AS a, greatest(p1,p2) AS b FROM edge WHERE w<=4)"
 
 
