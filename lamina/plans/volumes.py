@@ -35,8 +35,9 @@ def gaussian_axes(spark, d):
     return H.stencil(V.voxels(spark, d), "g", "s", WIDTH // 2, H.gaussian_axes(WIDTH))
 
 
-@C.add("vox", f"""{EXT}, w AS (SELECT *, greatest(0,least(z-6,nz-13)) AS lz, greatest(0,least(y-6,ny-13)) AS ly, greatest(0,least(x-6,nx-13)) AS lx FROM r),
- n AS (SELECT a.z,a.y,a.x,count(*) AS n,count(*) FILTER (b.g<=a.g) AS k FROM w a CROSS JOIN range(13) o(i) JOIN r b ON b.z=a.lz+i AND b.y>=a.ly AND b.y<a.ly+13 AND b.x>=a.lx AND b.x<a.lx+13 GROUP BY 1,2,3);;
+#: The volume is eight wide in y and x, so the windows take all of both and slices can be counted once for each grey.
+@C.add("vox", f"""{EXT}, h AS (SELECT z, t.g AS g, count(*) FILTER (r.g<=t.g) AS k, count(*) AS n FROM r CROSS JOIN range(256) t(g) GROUP BY 1,2),
+ n AS (SELECT a.z,a.y,a.x,sum(b.n) AS n,sum(b.k) AS k FROM r a CROSS JOIN range(13) o(i) JOIN h b ON b.g=a.g AND b.z=greatest(0,least(a.z-6,a.nz-13))+i GROUP BY 1,2,3);;
  SELECT z+z0 AS z, y+y0 AS y, x+x0 AS x, CAST(least(255,256*k//n) AS BIGINT) AS e FROM n, e""")
 def equalise_cube(spark, d):
     """Each voxel's rank in a window of 13 along every axis, which is moved inside at the borders."""

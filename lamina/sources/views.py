@@ -51,10 +51,10 @@ def voxels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """edge(p1, p2, w): directed relations inside blocks of 25 patches."""
-    li = table(spark, d, "lineitem").where("l_linenumber = 1 and l_quantity > 45")
+    """edge(p1, p2, w): directed relations inside blocks of 25 patches, of weights 1 to 11."""
+    li = table(spark, d, "lineitem")
     p2 = F.expr("l_suppkey div 25") * 25 + (F.col("l_suppkey") + 1 + F.col("l_partkey") % 7) % 25
-    return li.groupBy(F.col("l_suppkey").alias("p1"), p2.alias("p2")).agg((F.min(whole(F.col("l_discount") * 100)) + 1).alias("w"))
+    return li.groupBy(F.col("l_suppkey").alias("p1"), p2.alias("p2")).agg((F.sum(whole(F.col("l_discount") * 100)) % 11 + 1).alias("w"))
 
 
 def relations(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
 
 def point_sets(spark: SparkSession, d: str) -> DataFrame:
     """surf(file, x, y, z): distinct integer points of each set."""
-    li = table(spark, d, "lineitem").where("l_linenumber <= 2")
+    li = table(spark, d, "lineitem")
     return (
         li.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(F.expr("o_custkey div 100").alias("file"), (F.col("l_partkey") % 64).alias("x"), (F.col("l_suppkey") % 8).alias("y"), (F.col("l_orderkey") % 64).alias("z"))
@@ -91,11 +91,11 @@ SQL = {
   CAST(least(greatest(floor(e*400)+128,0),255) AS BIGINT) AS g
   FROM (SELECT vec_id AS z, i::BIGINT-1 AS i, embedding[i]::DOUBLE AS e FROM embeddings, range(1,65) t(i)) WHERE e IS NOT NULL)""",
     "edge": """edge AS (SELECT l_suppkey AS p1, l_suppkey//25*25+(l_suppkey+1+l_partkey%7)%25 AS p2,
-  min(CAST(round(l_discount*100) AS BIGINT))+1 AS w FROM lineitem WHERE l_linenumber=1 AND l_quantity>45 GROUP BY 1,2)""",
+  CAST(sum(CAST(round(l_discount*100) AS BIGINT))%11+1 AS BIGINT) AS w FROM lineitem GROUP BY 1,2)""",
     "rel": """rel AS (SELECT p1,p2,w, w/1000 AS v0, w/2 AS v2, cos(pi()*w/8) AS a, -sin(pi()*w/8) AS b, 4.0::DOUBLE*(p2%5) AS c,
   sin(pi()*w/8) AS d, cos(pi()*w/8) AS e, 4.0::DOUBLE*(p1%5) AS f FROM edge)""",
     "surf": """surf AS (SELECT DISTINCT o_custkey//100 AS file, l_partkey%64 AS x, l_suppkey%8 AS y, l_orderkey%64 AS z
-  FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_linenumber<=2)""",
+  FROM lineitem JOIN orders ON l_orderkey=o_orderkey)""",
     "sample": "sample AS (SELECT user_id%64 AS file, event_id AS iter, CAST(round(value*100) AS BIGINT) AS score FROM events)",
 }
 NEEDS = {"pg": ["pp"], "rel": ["edge"]}
