@@ -1,8 +1,8 @@
 """A surface store that grows by micro-batches: new mesh points near known ones are left out.
 
 The counterpart of an append-only chunk log with several writers: each batch is compared with the
-store's chunks around it only, and appended as new files, under its batch number so that a batch
-that runs twice is written once.
+store by a cell join, and appended as new files, under its batch number so that a batch
+that runs twice is written once. Near points of one batch are all kept.
 """
 
 from __future__ import annotations
