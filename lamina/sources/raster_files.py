@@ -76,6 +76,7 @@ class RasterWriter(DataSourceArrowWriter):
                 image[at] = v[:, 2 + k]
                 put(f"{folder}/{axis}.tif", tiff(image))
             box = [v[:, 2:].min(0).tolist(), v[:, 2:].max(0).tolist()]
+            # fixed values: the names of format and type that readers of such folders expect
             meta = {"format": "tifxyz", "type": "seg", "uuid": str(uuid.uuid5(uuid.NAMESPACE_URL, f"patch {pid} {box}")), "bbox": box, "scale": [1.0, 1.0], "origin": low.tolist()}
             put(f"{folder}/meta.json", json.dumps(meta).encode())
             done.append(pid)
