@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
 from lamina.operators import spatial as S
+from lamina.operators.sets import common_counts
 from lamina.operators.voxel import AXES, FACES, scatter
 from lamina.plans.catalog import Catalog
 from lamina.sources import views as V
@@ -105,21 +106,16 @@ def bbox_overlap(spark, d):
     return S.box_overlap(b, "file", "x z")
 
 
-BOUNDARY = """n AS (SELECT file, count(*) AS n FROM surf GROUP BY file), c AS (SELECT a.file AS a, b.file AS b, count(*) AS common FROM surf a JOIN surf b USING (x,y,z) WHERE a.file<b.file GROUP BY 1,2),
- q AS (SELECT DISTINCT file,x,z FROM surf), p AS (SELECT a.file AS a, b.file AS b, count(*) AS flat FROM q a JOIN q b USING (x,z) WHERE a.file<b.file GROUP BY 1,2)"""
+BOUNDARY = """n AS (SELECT file, count(*) AS n FROM strip GROUP BY file), c AS (SELECT a.file AS a, b.file AS b, count(*) AS common FROM strip a JOIN strip b USING (x,y,z) WHERE a.file<b.file GROUP BY 1,2),
+ q AS (SELECT DISTINCT file,x,z FROM strip), p AS (SELECT a.file AS a, b.file AS b, count(*) AS flat FROM q a JOIN q b USING (x,z) WHERE a.file<b.file GROUP BY 1,2)"""
 
 
-@C.add("surf", BOUNDARY + """;; SELECT a, b, common, flat, common>sqrt(least(l.n,r.n)::DOUBLE)/4 AND flat<=20*common AS fits FROM c JOIN p USING (a,b) JOIN n l ON l.file=a JOIN n r ON r.file=b""")
+@C.add("strip", BOUNDARY + """;; SELECT a, b, common, flat, common>sqrt(least(l.n,r.n)::DOUBLE)/4 AND flat<=20*common AS fits FROM c JOIN p USING (a,b) JOIN n l ON l.file=a JOIN n r ON r.file=b""")
 def shared_boundary(spark, d):
     """Pairs of sets by common points and common projections, and whether they fit as neighbours."""
-    s = V.point_sets(spark, d)
+    s = V.strip_sets(spark, d)
     n = s.groupBy("file").agg(F.count("*").alias("n"))
-
-    def common(t, on, name):
-        a, b = t.alias("a"), t.alias("b")
-        return a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [F.col("a.file") < F.col("b.file")]).groupBy(F.col("a.file").alias("a"), F.col("b.file").alias("b")).agg(F.count("*").alias(name))
-
-    j = common(s, "xyz", "common").join(common(s.select("file", "x", "z").distinct(), "xz", "flat"), ["a", "b"])
+    j = common_counts(s, "file", ["x", "y", "z"], "common").join(common_counts(s, "file", ["x", "z"], "flat"), ["a", "b"])
     j = j.join(n.select(F.col("file").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("file").alias("b"), F.col("n").alias("nb")), "b")
     return j.select("a", "b", "common", "flat", ((F.col("common") > F.sqrt(F.least("na", "nb").cast("double")) / 4) & (F.col("flat") <= 20 * F.col("common"))).alias("fits"))
 

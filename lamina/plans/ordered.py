@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
+from lamina.operators.sets import common_counts
 from lamina.operators.voxel import AXES, along, line, neighbours, scatter
 from lamina.plans.catalog import Catalog
 from lamina.sources import views as V
@@ -152,11 +153,9 @@ def most_frequent_vertex(spark, d):
     return n.groupBy(g.div(F.col("p1"), 25).alias("blk")).agg(F.max_by("p1", F.struct("n", -F.col("p1"))).alias("v"), F.max("n").alias("n"))
 
 
-@C.add("surf", """SELECT a.file AS a, b.file AS b, count(*) AS common FROM surf a JOIN surf b ON a.x=b.x AND a.y=b.y AND a.z=b.z AND a.file<b.file GROUP BY 1,2""")
+@C.add("strip", "SELECT a.file AS a, b.file AS b, count(*) AS common FROM strip a JOIN strip b USING (x,y,z) WHERE a.file<b.file GROUP BY 1,2")
 def set_overlap(spark, d):
-    s = V.point_sets(spark, d)
-    a, b = s.alias("a"), s.alias("b")
-    return a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in "xyz"] + [F.col("a.file") < F.col("b.file")]).groupBy(F.col("a.file").alias("a"), F.col("b.file").alias("b")).agg(F.count("*").alias("common"))
+    return common_counts(V.strip_sets(spark, d), "file", ["x", "y", "z"], "common")
 
 
 @C.add("surf", "SELECT x,y,z FROM surf WHERE file%2=0 INTERSECT SELECT x,y,z FROM surf WHERE file%2=1")

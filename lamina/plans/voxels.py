@@ -188,11 +188,21 @@ def upsample_mesh(spark, d):
     return upsample(V.patch_points(spark, d), ["vz"], 4).select("pid", "x", "y", F.col("vz").alias("z"))
 
 
+def regions(on):
+    """(label, volume, z0, y0, x0, z1, y1, x1): face-connected regions of the given voxels, by least voxel number."""
+    n = on.select(*AXES, (F.col("z") * 64 + F.col("y") * 8 + F.col("x")).alias("id"))
+    e = X.scatter(n, [(1, 0, 0), (0, 1, 0), (0, 0, 1)], [F.col("id").alias("p1")]).join(n.withColumnRenamed("id", "p2"), AXES).select("p1", "p2")
+    ends = [f(a).alias(f"{a}{k}") for k, f in ((0, F.min), (1, F.max)) for a in AXES]
+    return n.join(components(e), "id", "left").groupBy(F.coalesce("component", "id").alias("label")).agg(F.count("*").alias("volume"), *ends)
+
+
 @C.add()
 def label_voxels(spark, d):
     """Face-connected regions by least voxel number, with volume and extent."""
-    n = V.voxels(spark, d).where("v = 255").select(*AXES, (F.col("z") * 64 + F.col("y") * 8 + F.col("x")).alias("id"))
-    on = n.select(*AXES, "id")
-    e = X.scatter(on, [(1, 0, 0), (0, 1, 0), (0, 0, 1)], [F.col("id").alias("p1")]).join(on.withColumnRenamed("id", "p2"), AXES).select("p1", "p2")
-    of = components(e)
-    return n.join(of, "id", "left").groupBy(F.coalesce("component", "id").alias("label")).agg(F.count("*").alias("volume"), F.min("z").alias("z0"), F.max("z").alias("z1"))
+    return regions(V.voxels(spark, d).where("v = 255")).select("label", "volume", "z0", "z1")
+
+
+@C.add()
+def class_regions(spark, d):
+    """Face-connected regions of the voxels of one class (grey 128 to 191), those above a volume only, with their boxes."""
+    return regions(V.voxels(spark, d).where("g div 64 = 2")).where("volume > 8")

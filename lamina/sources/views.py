@@ -76,6 +76,13 @@ def point_sets(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def strip_sets(spark: SparkSession, d: str) -> DataFrame:
+    """strip(file, x, y, z): a rough sheet cut into sets, each of which lies half on the next one's ground, so partners stay few as sets grow in number."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    s = li.select(F.expr("o_custkey div 100").alias("file"), (F.col("l_partkey") % 64 + 32 * F.expr("o_custkey div 100")).alias("x"), (F.col("l_orderkey") % 64).alias("z"), (F.col("l_suppkey") % 2).alias("rough"))
+    return s.select("file", "x", (F.expr("(x + z) div 16") + F.col("rough")).alias("y"), "z").distinct()
+
+
 def samples(spark: SparkSession, d: str) -> DataFrame:
     """sample(file, iter, score): logs of iterative runs."""
     return table(spark, d, "events").select((F.col("user_id") % 64).alias("file"), F.col("event_id").alias("iter"), whole(F.col("value") * 100).alias("score"))
@@ -96,6 +103,8 @@ SQL = {
   sin(pi()*w/8) AS d, cos(pi()*w/8) AS e, 4.0::DOUBLE*(p1%5) AS f FROM edge)""",
     "surf": """surf AS (SELECT DISTINCT o_custkey//100 AS file, l_partkey%64 AS x, l_suppkey%8 AS y, l_orderkey%64 AS z
   FROM lineitem JOIN orders ON l_orderkey=o_orderkey)""",
+    "strip": """strip AS (SELECT DISTINCT file, x, (x+z)//16+rough AS y, z FROM (SELECT o_custkey//100 AS file, l_partkey%64+32*(o_custkey//100) AS x, l_orderkey%64 AS z, l_suppkey%2 AS rough
+  FROM lineitem JOIN orders ON l_orderkey=o_orderkey))""",
     "sample": "sample AS (SELECT user_id%64 AS file, event_id AS iter, CAST(round(value*100) AS BIGINT) AS score FROM events)",
 }
 NEEDS = {"pg": ["pp"], "rel": ["edge"]}
