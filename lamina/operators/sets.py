@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def shared_places(sets: DataFrame, key: str, on: list[str]) -> DataFrame:
     """The rows whose place ``on`` another key has too; repeated rows count once, a null coordinate is no place."""
-    rows = sets.select(key, *on).distinct()
+    rows = sets.select(key, *on).dropna(subset=on).distinct()
     return rows.join(rows.groupBy(*on).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), on, "left_semi")
 
 
@@ -19,7 +19,7 @@ def common_counts(sets: DataFrame, key: str, on: list[str], name: str) -> DataFr
     so a boundary of a million places between two keys costs one pair. Sameness is told by the number of the keys,
     their ends and two exclusive-ors of 64-bit hashes. Pairs are as many as the result asks for.
     """
-    rows = sets.select(F.col(key).alias("_k"), *on).distinct()
+    rows = sets.select(F.col(key).alias("_k"), *on).dropna(subset=on).distinct()
     hashes = [F.bit_xor(F.xxhash64(F.lit(seed), "_k")).alias(f"_h{seed}") for seed in (0, 1)]
     place = rows.groupBy(*on).agg(F.count("*").alias("_n"), F.min("_k").alias("_low"), F.max("_k").alias("_high"), *hashes).where("_n > 1")
     alike = place.groupBy("_n", "_low", "_high", "_h0", "_h1").agg(F.count("*").alias("_places"), F.min(F.struct(*on)).alias("_one"))
