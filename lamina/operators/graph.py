@@ -98,6 +98,32 @@ def shortest_paths(edges: DataFrame, source: DataFrame, limit: float | None = No
     return best.drop("fresh")
 
 
+def forced_runs(both: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(id, head, pos): the vertices that must follow a head one after the other, as each has a single way on inside its group.
+
+    ``rows`` are (id, head). Steps along edges are ranked by doubling pointers, so a run of any length takes few rounds.
+    None where no group begins with two such vertices.
+    """
+    member = lambda side: rows.select(F.col("id").alias(side), F.col("head").alias(f"{side}_head"))
+    inner = both.join(member("src"), "src").join(member("dst"), "dst").where("src_head = dst_head").select(F.col("src_head").alias("head"), "src", "dst")
+    entry = both.join(member("dst"), "dst").where("src = dst_head").select(F.col("dst_head").alias("head"), "src", "dst")
+    steps = saved(inner.union(entry).union(entry.select("head", F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    degree = steps.groupBy("head", "src").agg(F.count("*").alias("n"), F.min("dst").alias("low"), F.max("dst").alias("high"))
+    narrow = degree.where("src = head and n = 1").select("head", F.col("low").alias("src"))
+    begun = saved(degree.where("n = 2").join(narrow, ["head", "src"], "left_semi").select("head"))
+    if not begun.limit(1).count():
+        return None
+    before = F.when((F.col("n") == 2) & (F.col("src") != F.col("head")), F.when(F.col("dst") == F.col("high"), F.col("low")).otherwise(F.col("high")))
+    at = steps.join(begun, "head").join(degree, ["head", "src"]).withColumn("b", before)
+    at = saved(at.select("head", "src", "dst", F.coalesce("b", "src").alias("fs"), F.when(F.col("b").isNull(), F.col("dst")).otherwise(F.col("src")).alias("fd"), F.col("b").isNotNull().cast("long").alias("far")))
+    while True:
+        front = at.select("head", F.col("src").alias("fs"), F.col("dst").alias("fd"), F.col("fs").alias("gs"), F.col("fd").alias("gd"), F.col("far").alias("more"))
+        after = saved(at.join(front, ["head", "fs", "fd"]).select("head", "src", "dst", F.col("gs").alias("fs"), F.col("gd").alias("fd"), (F.col("far") + F.col("more")).alias("far"), "more"))
+        at = after.drop("more")
+        if not after.where("more > 0").limit(1).count():
+            return saved(at.where("fs = head").select(F.col("dst").alias("id"), "head", (F.col("far") + 1).alias("pos")))
+
+
 def visit_order(edges: DataFrame) -> DataFrame:
     """(component, ord, id): each component from its least vertex on, always going to the least vertex seen and not visited.
 
@@ -105,7 +131,8 @@ def visit_order(edges: DataFrame) -> DataFrame:
     the record b that has to be passed on the way to it: the least possible maximum over the paths from h.
     Records are taken in order, and what a record opens is visited, in the same manner, before the next record.
     So each round splits all groups of all components at once, and the chain of records of a vertex is its place.
-    Rounds are as many as records nest; each relaxes to a fixed point.
+    Runs without a choice are passed first, in one round whatever their length. Rounds are as many as records with
+    a choice nest; each relaxes to a fixed point.
     """
     both = saved(undirected(edges))
     label = components(edges)
@@ -113,6 +140,13 @@ def visit_order(edges: DataFrame) -> DataFrame:
     done = rows.where("id = head")
     rows = saved(rows.where("id <> head"))
     while rows.limit(1).count():
+        run = forced_runs(both, rows.select("id", "head"))
+        if run is not None:
+            done = done.union(rows.join(run.select("id", "pos"), "id").select("id", F.col("id").alias("head"), F.array_append("chain", F.col("pos")).alias("chain")))
+            last = run.groupBy("head").agg(F.max("pos").alias("pos"), F.max_by("id", "pos").alias("last"))
+            left = rows.join(run.select("id"), "id", "left_anti").join(last, "head", "left")
+            chain = F.when(F.col("last").isNull(), F.col("chain")).otherwise(F.array_append("chain", F.col("pos")))
+            rows = saved(left.select("id", F.coalesce("last", "head").alias("head"), chain.alias("chain")))
         end = lambda side, keep: rows.select(F.col("id").alias(side), F.col("head").alias(f"{side}_head"), *keep)
         inner = saved(both.join(end("src", []), "src").join(end("dst", []), "dst").where("src_head = dst_head").select("src", "dst"))
         opened = both.join(rows, F.col("dst") == F.col("id")).where("src = head").select("id", F.col("id").alias("record"))

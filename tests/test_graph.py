@@ -14,9 +14,8 @@ def random_edges(seed, n, m):
     return sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(m)})
 
 
-def test_visit_order(spark):
-    """Several components, loops, repeated edges and long chains of falling numbers."""
-    edges = random_edges(1, 12, 12) + [(100, 140), (140, 139), (139, 150), (150, 101), (7, 7), (140, 100)]
+def visited(edges):
+    """{(component, ord, id)} by one queue."""
     near = {}
     for a, b in edges:
         if a != b:
@@ -35,10 +34,31 @@ def test_visit_order(spark):
             for t in near[v] - seen:
                 seen.add(t)
                 heapq.heappush(heap, t)
+    return want
+
+
+def test_visit_order(spark):
+    """Several components, loops, repeated edges and long chains of falling numbers."""
+    edges = random_edges(1, 12, 12) + [(100, 140), (140, 139), (139, 150), (150, 101), (7, 7), (140, 100)]
+    want = visited(edges)
     got = G.visit_order(spark.createDataFrame(edges, "p1 long, p2 long")).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_visit_order_on_chains(spark, monkeypatch):
+    """A chain of 300 falling numbers, one with a ring and a fork at its end, and a ring: few rounds, whatever the length."""
+    falling = [(0, 1000), *((k, k - 1) for k in range(1000, 700, -1))]
+    forked = [(2000, 3000), *((k, k - 1) for k in range(3000, 2900, -1)), (2900, 2500), (2900, 3500), (2500, 3501), (3501, 2501), (2501, 3500)]
+    ring = [(4000, 4005), (4005, 4003), (4003, 4004), (4004, 4000)]
+    edges = falling + forked + ring
+    rounds = []
+    runs = G.forced_runs
+    monkeypatch.setattr(G, "forced_runs", lambda *a: rounds.append(1) or runs(*a))
+    got = G.visit_order(spark.createDataFrame(edges, "p1 long, p2 long")).collect()
+    want = visited(edges)
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and len(rounds) < 8
+
+
 def least_reachable(pairs):
     """{id: least id reachable}, by union-find."""
     up = {}
