@@ -5,21 +5,11 @@ Loops hold scalars on the driver; every round's table is written to the shared f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.sources.scratch import new_folder
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: a table in the session's shared folder.
-
-    Unlike a checkpoint, which keeps the estimates of its plan, it has its true size, so the estimates of
-    joins do not multiply from round to round.
-    """
-    path = new_folder(df.sparkSession, "graph")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from lamina.operators.ranges import ranked
+from lamina.sources.scratch import saved
 
 
 def undirected(edges: DataFrame, a: str = "p1", b: str = "p2") -> DataFrame:
@@ -163,13 +153,3 @@ def visit_order(edges: DataFrame) -> DataFrame:
     every = ranked(done.select(F.col("chain")[0].alias("component"), "chain", "id"), "chain")
     first = every.groupBy("component").agg(F.min("rank").alias("first"))
     return every.join(first, "component").select("component", (F.col("rank") - F.col("first") + 1).alias("ord"), "id")
-
-
-def ranked(df: DataFrame, order: str) -> DataFrame:
-    """Adds ``rank``, from 1, over all rows: ranks inside ranges of the order, then the ranges' own few totals. No task sees all rows."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = saved(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
-    totals = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return rows.join(base, "_part").withColumn("rank", F.col("_base") + inside).drop("_part", "_base")

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.operators.graph import components, ranked, saved, undirected
+from lamina.operators.graph import components, undirected
+from lamina.operators.ranges import ranked
+from lamina.sources.scratch import saved
 
 
 def drawn(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
-from lamina.operators.graph import ranked, saved
+from lamina.operators.ranges import ranked
+from lamina.sources.scratch import saved
 from lamina.operators.mesh import normals
 
 TX = "a b c d e f"

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
+from lamina.operators.ranges import running_sum
 from lamina.plans.catalog import Catalog
 from lamina.sources import views as V
 
@@ -143,12 +144,9 @@ def class_counts(spark, d):
 
 @C.add("pg", "SELECT pid, round(count(*)*7.91*7.91/1e8,8) AS cm2, CAST(sum(count(*)) OVER (ORDER BY pid) AS BIGINT) AS so_far FROM pg GROUP BY pid")
 def painted_area(spark, d):
-    """Area of each patch and the points painted so far, in patch order: running sums inside ranges of patches, then the ranges' totals."""
-    n = V.placed_points(spark, d).groupBy("pid").agg(F.count("*").alias("n")).withColumn("range", g.div(F.col("pid"), 256))
-    ranges = n.groupBy("range").agg(F.sum("n").alias("total"))
-    before = ranges.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("base"))
-    so_far = F.col("base") + F.sum("n").over(Window.partitionBy("range").orderBy("pid"))
-    return n.join(before, "range").select("pid", R(F.col("n") * 7.91 * 7.91 / 1e8, 8).alias("cm2"), so_far.alias("so_far"))
+    """Area of each patch and the points painted so far, in patch order."""
+    n = V.placed_points(spark, d).groupBy("pid").agg(F.count("*").alias("n"))
+    return running_sum(n, "pid", F.col("n"), "so_far").select("pid", R(F.col("n") * 7.91 * 7.91 / 1e8, 8).alias("cm2"), "so_far")
 
 
 @C.add("pp", """s AS (SELECT DISTINCT vz, pid FROM pp), b AS (SELECT vz, min(vx) AS x0, max(vx) AS x1, count(*) AS n FROM pp GROUP BY vz);;

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
+from lamina.operators.ranges import running_sum
 from lamina.operators.sets import common_counts
 from lamina.operators.voxel import AXES, along, line, neighbours, scatter
 from lamina.plans.catalog import Catalog
@@ -84,12 +85,9 @@ def heat_decay(spark, d):
 
 @C.add("edge", """n AS (SELECT p1, count(*) AS n FROM edge GROUP BY p1);; SELECT p1, n, CAST(coalesce(sum(n) OVER (ORDER BY p1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS first FROM n""")
 def prefix_offsets(spark, d):
-    """Where each vertex's neighbours begin. Running sums inside ranges of vertices, then the ranges' own few totals."""
-    n = V.edges(spark, d).groupBy("p1").agg(F.count("*").alias("n")).withColumn("range", g.div(F.col("p1"), 64))
-    ranges = n.groupBy("range").agg(F.sum("n").alias("total"))
-    before = ranges.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("base"))
-    w = Window.partitionBy("range").orderBy("p1")
-    return n.join(before, "range").select("p1", "n", (F.col("base") + F.sum("n").over(w) - F.col("n")).alias("first"))
+    """Where each vertex's neighbours begin."""
+    n = V.edges(spark, d).groupBy("p1").agg(F.count("*").alias("n"))
+    return running_sum(n, "p1", F.col("n"), "upto").select("p1", "n", (F.col("upto") - F.col("n")).alias("first"))
 
 
 @C.add("sample", """SELECT file,iter,score FROM (SELECT *, min(score) OVER (PARTITION BY file ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM sample) WHERE low IS NULL OR score<low""")

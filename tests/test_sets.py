@@ -4,6 +4,9 @@ import random
 from collections import Counter
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
+from lamina.operators.ranges import ranked, running_sum
 from lamina.operators.sets import common_counts, shared_places
 from lamina.plans.voxels import class_regions
 
@@ -46,3 +49,17 @@ def test_class_regions(spark, tmp_path):
     want = {(c, len(m), *map(min, zip(*m)), *map(max, zip(*m))) for c, m in members.items() if len(m) > 8}
     got = class_regions(spark, str(tmp_path)).select("label", "volume", "z0", "y0", "x0", "z1", "y1", "x1").collect()
     assert {tuple(r) for r in got} == want and want and len(got) == len(want)
+
+
+def test_running_sum(spark):
+    """Over ranges of an order with gaps, nulls as nothing, whatever the number of partitions; an empty table stays empty."""
+    rng = random.Random(9)
+    rows = [(k * k * k, rng.choice((None, 1, 5, -2))) for k in rng.sample(range(1000), 300)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    total, want = 0, set()
+    for k, v in sorted(rows):
+        total += v or 0
+        want.add((k, v, total))
+    assert {tuple(r) for r in running_sum(df, "k", F.col("v"), "upto").collect()} == want
+    assert [r["rank"] for r in ranked(df, "k").orderBy("k").collect()] == list(range(1, 301))
+    assert running_sum(df.where("false"), "k", F.col("v"), "upto").count() == 0
