@@ -35,7 +35,7 @@ WALK_MARGIN = 0.8  # as walks over one passage are not independent, and items di
 RUN = 8  # starts of which one hit is checked for all
 SIZES = 1.12  # windows of one size serve items up to this many times as long
 MIN_ITEM = 4
-BROADCAST_ITEMS = 100_000
+BROADCAST_HASHES = 4_000_000  # words and keys of all items together, 32 MB; beyond it the same joins go by shuffle
 
 
 def size_class(m: np.ndarray) -> np.ndarray:
@@ -238,7 +238,7 @@ def contaminated_spans(
     pairs = bloom(word_pairs(known), "pair")
     keyed = known.select("item_id", F.explode("keys").alias("key"))
     found = windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, [(r["size"], r["least"], r["most"]) for r in sizes], pairs, bloom(keyed, "key"), repeats, samples, percent)
-    few = known.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
+    few = known.agg(F.sum(F.size("words") + F.size("keys") + 4)).first()[0] <= BROADCAST_HASHES
     hits = found.withColumn("key", F.explode(F.array_distinct("keys"))).join(F.broadcast(keyed) if few else keyed, "key")
     # One window of a run of hits is enough for the check, as it looks beyond the window's ends.
     hits = hits.groupBy("doc_id", "item_id", F.floor(F.col("start") / RUN).alias("run")).agg(F.min(F.struct("start", "first", "near")).alias("w"))

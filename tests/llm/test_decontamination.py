@@ -100,3 +100,19 @@ def test_empty_tables(spark):
     assert dc.leaks(df, bench.where("false")).count() == 0
     assert [tuple(r) for r in dc.leaks(df, bench).collect()] == [(1, 1, 0, 1)]
     assert dc.clean_documents(df, bench).count() == 0
+
+
+def test_rows_are_the_same_without_a_broadcast(spark, monkeypatch):
+    """Items beyond the bound of the broadcast; repeated documents, one text that holds an item twice, and two items alike."""
+    rng = random.Random(12)
+    items = [sentence(rng, 20, 500) for _ in range(12)]
+    items.append(items[0])
+    docs = [(i, f"{sentence(rng, 30, 500)} {items[i % 12]} {sentence(rng, 9, 500)}") for i in range(24)]
+    docs += [docs[0], (50, f"{items[3]} and {items[3]}")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    near = sorted(map(tuple, dc.contaminated_spans(df, bench).collect()))
+    monkeypatch.setattr(dc, "BROADCAST_HASHES", 0)
+    far = dc.contaminated_spans(df, bench)
+    assert sorted(map(tuple, far.collect())) == near and len(near) == len(set(near))
+    want = {(i, i % 12) for i in range(24)} | {(i, 12) for i in range(0, 24, 12)} | {(50, 3)}
+    assert {(d, item) for d, item, *_ in near} == want and len([r for r in near if r[0] == 50]) == 2
