@@ -11,7 +11,8 @@ Windows have about an item's number of words and start at every word. The one th
 passage does has at least m - 1 - 2 d - max(0, m - size) of the item's word pairs: each edit breaks
 two at most, or moves one past the window's end. Windows with fewer pairs known to the benchmark than
 the least of this over the lengths of their class are passed over; that loses no passage.
-Candidates are verified by the exact word edit distance between the item and its best window.
+Candidates are verified by the exact word edit distance between the item and its best window, unless more
+of the item's words are missing around the window than edits are allowed, which rules it out beforehand.
 """
 
 from __future__ import annotations
@@ -97,6 +98,13 @@ def cgk_keys(words: np.ndarray, start: np.ndarray, have: np.ndarray, size: int,
     return out.T
 
 
+def missing(a: np.ndarray, b: np.ndarray) -> int:
+    """Words of ``a`` that ``b`` has nowhere. Each costs an edit, so the distance to any run of ``b`` is no less."""
+    there = np.sort(b)
+    at = np.minimum(np.searchsorted(there, a), len(there) - 1)
+    return int((there[at] != a).sum()) if len(there) else len(a)
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Fewest word insertions, deletions and substitutions that turn ``a`` into some run of ``b``; and that run's bounds."""
     n = len(b)
@@ -250,6 +258,8 @@ def contaminated_spans(
             out = [[] for _ in range(5)]
             for doc, item, words, first, near in zip(*(batch.column(i) for i in range(5)), strict=True):
                 a, b = (np.array(x.values.to_numpy(zero_copy_only=False)) for x in (words, near))
+                if missing(a, b) > allowed(len(a), percent):
+                    continue
                 d, lo, hi = edit_distance(a, b)
                 if d <= allowed(len(a), percent):
                     f = first.as_py()

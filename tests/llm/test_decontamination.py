@@ -24,6 +24,7 @@ def distance(a, b):
 def test_edit_distance(a, b):
     d, lo, hi = dc.edit_distance(np.array(a), np.array(b, np.int64))
     assert d == distance(a, b) and 0 <= lo <= hi <= len(b)
+    assert dc.missing(np.array(a), np.array(b, np.int64)) == sum(x not in b for x in a) <= d
 
 
 def edited(rng, w, edits):
