@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.ranges import ranked
+from lamina.sources.scratch import saved
+
+BLOCK = 1024  # keys of a block
+PAIRED = 64  # keys of a place that are paired as rows, at least
+TASK_PLACES = 1 << 16  # places of a task, about
+COLUMNS = 2048  # places of one product
+
 
 def shared_places(sets: DataFrame, key: str, on: list[str]) -> DataFrame:
     """The rows whose place ``on`` another key has too; repeated rows count once, a null coordinate is no place."""
@@ -17,13 +26,62 @@ def common_counts(sets: DataFrame, key: str, on: list[str], name: str) -> DataFr
 
     Places that the same keys share are counted first, and one place stands for all of them when keys are paired,
     so a boundary of a million places between two keys costs one pair. Sameness is told by the number of the keys,
-    their ends and two exclusive-ors of 64-bit hashes. Pairs are as many as the result asks for.
+    their ends and two exclusive-ors of 64-bit hashes. A place of few keys pairs them as rows; one of many goes as
+    lists of keys to the tasks of pairs of key blocks, which count by products of matrices (key by place). Pairs are
+    as many as the result asks for.
     """
-    rows = sets.select(F.col(key).alias("_k"), *on).dropna(subset=on).distinct()
+    rows = saved(sets.select(F.col(key).alias("_k"), *on).dropna().distinct())
     hashes = [F.bit_xor(F.xxhash64(F.lit(seed), "_k")).alias(f"_h{seed}") for seed in (0, 1)]
     place = rows.groupBy(*on).agg(F.count("*").alias("_n"), F.min("_k").alias("_low"), F.max("_k").alias("_high"), *hashes).where("_n > 1")
     alike = place.groupBy("_n", "_low", "_high", "_h0", "_h1").agg(F.count("*").alias("_places"), F.min(F.struct(*on)).alias("_one"))
-    of = rows.join(alike.select("_one.*", "_places"), on)
+    alike = saved(alike.select("_one.*", "_places", "_n"))
+    keys = rows.select("_k").distinct()
+    few = max(PAIRED, 16 * -(-keys.count() // BLOCK))  # beyond it a product costs less than pairs
+    of = rows.join(alike.where(F.col("_n") <= few), on)
     left = of.select(*on, "_places", F.col("_k").alias("a"))
     right = of.select(*on, F.col("_k").alias("b"))
-    return left.join(right, on).where("a < b").groupBy("a", "b").agg(F.sum("_places").alias(name))
+    pairs = left.join(right, on).where("a < b").groupBy("a", "b").agg(F.sum("_places").alias(name))
+    crowded = alike.where(F.col("_n") > few)
+    places = crowded.count()
+    if not places:
+        return pairs
+    more = _crowded_counts(rows.join(crowded, on), keys, on, -(-places // TASK_PLACES)).withColumnRenamed("_common", name)
+    return pairs.unionByName(more).groupBy("a", "b").agg(F.sum(name).alias(name))
+
+
+def _crowded_counts(of: DataFrame, keys: DataFrame, on: list[str], parts: int) -> DataFrame:
+    """(a, b, _common) of rows (key, place, its weight _places), by pairs of key blocks and ``parts`` shares of the places."""
+    numbered = saved(ranked(keys, "_k").select("_k", F.expr(f"cast((rank - 1) div {BLOCK} as int)").alias("_b"), F.expr(f"cast((rank - 1) % {BLOCK} as int)").alias("_i")))
+    lists = saved(of.join(numbered, "_k").groupBy(*on, "_b").agg(F.first("_places").alias("_places"), F.collect_list("_i").alias("_in")))
+    left = lists.select(*on, F.col("_places").alias("places"), F.col("_b").alias("block_a"), F.col("_in").alias("in_a"))
+    right = lists.select(*on, F.col("_b").alias("block_b"), F.col("_in").alias("in_b"))
+    met = left.join(right, on).where("block_a <= block_b").withColumn("part", F.pmod(F.xxhash64(*on), F.lit(parts)).cast("int"))
+    met = met.select("block_a", "block_b", "part", "places", "in_a", "in_b").groupBy("block_a", "block_b", "part")
+    counts = met.applyInArrow(_products, "block_a int, i_a int, block_b int, i_b int, _common long")
+    side = lambda x: numbered.select(F.col("_k").alias(x), F.col("_b").alias(f"block_{x}"), F.col("_i").alias(f"i_{x}"))
+    return counts.join(side("a"), ["block_a", "i_a"]).join(side("b"), ["block_b", "i_b"]).select("a", "b", "_common")
+
+
+def _indicators(lists) -> np.ndarray:
+    """A column for each list, with ones in the rows it names."""
+    at = lists.flatten().to_numpy()
+    out = np.zeros((int(at.max()) + 1, len(lists)), np.float64)
+    out[at, np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())] = 1
+    return out
+
+
+def _products(table):
+    import pyarrow as pa
+
+    total = np.zeros((BLOCK, BLOCK), np.int64)
+    for lo in range(0, table.num_rows, COLUMNS):
+        part = table.slice(lo, COLUMNS).combine_chunks()
+        weight = part.column("places").to_numpy()
+        # whole numbers, exact in single precision below 2 ** 24
+        kind = np.float32 if weight.sum() < 1 << 24 else np.float64
+        a, b = (_indicators(part.column(c).combine_chunks()) for c in ("in_a", "in_b"))
+        total[: len(a), : len(b)] += ((a * weight).astype(kind) @ b.astype(kind).T).astype(np.int64)
+    blocks = [table.column(c)[0].as_py() for c in ("block_a", "block_b")]
+    i, j = np.nonzero(np.triu(total, 1) if blocks[0] == blocks[1] else total)
+    columns = [np.full(len(i), blocks[0], np.int32), i.astype(np.int32), np.full(len(i), blocks[1], np.int32), j.astype(np.int32), total[i, j]]
+    return pa.table([pa.array(c) for c in columns], names=["block_a", "i_a", "block_b", "i_b", "_common"])

@@ -151,9 +151,9 @@ def most_frequent_vertex(spark, d):
     return n.groupBy(g.div(F.col("p1"), 25).alias("blk")).agg(F.max_by("p1", F.struct("n", -F.col("p1"))).alias("v"), F.max("n").alias("n"))
 
 
-@C.add("strip", "SELECT a.file AS a, b.file AS b, count(*) AS common FROM strip a JOIN strip b USING (x,y,z) WHERE a.file<b.file GROUP BY 1,2")
+@C.add("surf", """SELECT a.file AS a, b.file AS b, count(*) AS common FROM surf a JOIN surf b ON a.x=b.x AND a.y=b.y AND a.z=b.z AND a.file<b.file GROUP BY 1,2""")
 def set_overlap(spark, d):
-    return common_counts(V.strip_sets(spark, d), "file", ["x", "y", "z"], "common")
+    return common_counts(V.point_sets(spark, d), "file", ["x", "y", "z"], "common")
 
 
 @C.add("surf", "SELECT x,y,z FROM surf WHERE file%2=0 INTERSECT SELECT x,y,z FROM surf WHERE file%2=1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators.ranges import ranked, running_sum
 from lamina.operators.sets import common_counts, shared_places
+from lamina.plans import registry
 from lamina.plans.voxels import class_regions
 
 from test_graph import least_reachable
@@ -63,3 +64,23 @@ def test_running_sum(spark):
     assert {tuple(r) for r in running_sum(df, "k", F.col("v"), "upto").collect()} == want
     assert [r["rank"] for r in ranked(df, "k").orderBy("k").collect()] == list(range(1, 301))
     assert running_sum(df.where("false"), "k", F.col("v"), "upto").count() == 0
+
+
+def test_common_counts_crowded(spark):
+    """Places of more keys than are paired as rows, some alike, with keys of several blocks that do not follow one another, beside places of few keys."""
+    rng = random.Random(10)
+    keys = [7 * k - 500 for k in range(1100)]
+    at = {x: set(rng.sample(keys, 150 + 200 * x)) for x in range(3)}
+    at |= {x: set(keys[:90]) for x in range(3, 6)} | {x: set(rng.sample(keys, 5)) for x in range(6, 30)}
+    df = spark.createDataFrame([(k, x) for x, ks in at.items() for k in ks], "k long, x long").repartition(5)
+    want = Counter(pair for ks in at.values() for pair in combinations(sorted(ks), 2))
+    got = common_counts(df, "k", ["x"], "n")
+    assert got.count() == len(want)
+    assert {(r.a, r.b): r.n for r in got.collect()} == want
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().toString()  # crowded places are not paired as rows
+
+
+def test_overlap_reads_point_sets():
+    """The whole point sets, in which each set meets most others, not sets that stand along a strip."""
+    for name in ("set_overlap",):
+        assert "FROM surf" in registry.SQL[name] and "strip" not in registry.SQL[name]
