@@ -82,5 +82,5 @@ def test_common_counts_crowded(spark):
 
 def test_overlap_reads_point_sets():
     """The whole point sets, in which each set meets most others, not sets that stand along a strip."""
-    for name in ("set_overlap",):
+    for name in ("set_overlap", "shared_boundary"):
         assert "FROM surf" in registry.SQL[name] and "strip" not in registry.SQL[name]
