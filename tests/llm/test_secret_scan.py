@@ -119,3 +119,24 @@ def test_given_findings_null_ids_and_empty_table(spark):
     assert len(out) == len(texts)
     assert S.secrets(df.limit(0)).count() == 0
     assert all(r.n_net == 0 for r in S.secrets(df.where("doc_id = 7")).collect())  # no secret of either fold: nothing is learnt
+
+
+def test_fit_takes_every_labelled_candidate(spark):
+    """More candidates than a former sample held, in several shards: all are dealt, rare secrets to every shard, and the weights do not hang on the order of rows."""
+    rng = random.Random(12)
+    secret = {"".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24)) for _ in range(2600)}
+    plain = {"".join(rng.choice(SYLLABLES) for _ in range(7)) for _ in range(5000)}
+    runs = [{"start": 0, "end": len(x), "covered": x in secret, "before": "key ", "run": x, "after": " and"} for x in sorted(secret | plain)]
+    rows = spark.createDataFrame([(i, runs[lo : lo + 100]) for i, lo in enumerate([*range(0, len(runs), 100), 0])], S._SCANNED.replace("bases array<struct<start: long, kind: int, end: long>>, ", ""))
+    once = S.labelled(rows)
+    assert once.count() == len(runs)
+    shards = S.dealt(once, len(runs), len(secret), 2000).collect()
+    assert len(shards) == 4 and sorted(r.run for s in shards for r in s["rows"]) == sorted(x["run"] for x in runs)
+    rare = once.where("label = 0").union(once.where("label = 1").limit(20))
+    assert all(sum(r.label for r in s["rows"]) == 20 for s in S.dealt(rare, len(plain) + 20, 20, 1000).collect())
+    net, again = S.trained(once, shard=2000), S.trained(once.repartition(7), shard=2000)
+    assert np.array_equal(net.flat(), again.flat()) and net.threshold == again.threshold
+    fresh = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24)) for _ in range(300)]
+    words = ["".join(rng.choice(SYLLABLES) for _ in range(7)) for _ in range(300)]
+    found = lambda x: (net.probability(["see "] * 300, x, [" or"] * 300) >= net.threshold).mean()
+    assert found(fresh) > 0.9 and found(words) < 0.05
