@@ -51,6 +51,17 @@ ROWS = 1000  # rows of word arrays in one Arrow batch
 HOT = 20_000  # occurrences in one bucket; more than this, and than four times the mean, are dealt to several tasks
 
 
+def first_least(g: np.ndarray, span: int) -> np.ndarray:
+    """The place of the least of each ``span`` values in a row, the first of equals; the places never fall. Windows double, so it takes few passes."""
+    at, size = np.arange(len(g), dtype=np.int32 if len(g) < 1 << 31 else np.int64), 1
+    while size < span:
+        step = min(size, span - size)
+        at = np.where(g[step:] < g[:-step], at[step:], at[:-step])
+        g = np.minimum(g[step:], g[:-step])
+        size += step
+    return at
+
+
 def winnow(s, k: int = K, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, word position, hash) of the seeds of a slice."""
     h = window_hashes(s.hash, k)
@@ -60,9 +71,9 @@ def winnow(s, k: int = K, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.
     inside = row[: len(h)] == row[k - 1 :]
     top = np.iinfo(np.uint64).max
     g = np.concatenate([np.full(span - 1, top), np.where(inside, h, top), np.full(span - 1, top)])
-    view = np.lib.stride_tricks.sliding_window_view(g, span)
     # A window belongs to one text: what lies beyond its ends is masked by the k-mers that cross them.
-    pick = np.unique(view.argmin(axis=1) + np.arange(len(view))) - (span - 1)
+    pick = first_least(g, span)
+    pick = pick[np.append(True, pick[1:] != pick[:-1])].astype(np.int64) - (span - 1)
     pick = pick[(pick >= 0) & (pick < len(h))]
     pick = pick[inside[pick]]
     return row[pick], pick - s.row[row[pick]], h[pick]
@@ -119,7 +130,9 @@ def seeds(docs: DataFrame, parts: np.ndarray, id_col: str, text_col: str, k: int
                     keep = many > 1
                     row, pos, h, many = row[keep], pos[keep], h[keep], many[keep]
                 own = ids[s.lo : s.hi][row]
-                part = (mix(own.view(np.uint64)) % many.astype(np.uint64)).astype(np.int32)
+                part = np.zeros(len(own), np.int32)
+                spread_ = np.flatnonzero(many > 1)
+                part[spread_] = mix(own[spread_].view(np.uint64)) % many[spread_].astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(part), pa.array(own), pa.array(pos.astype(np.int32))], ["seed", "part", "id", "pos"])
 
     return in_arrow(_texts(docs, id_col, text_col), run, "seed long, part int, id long, pos int")

@@ -191,3 +191,12 @@ def test_recall_on_a_corpus_of_quotations(spark):
     got = {r.doc_id for r in s.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), first=False).collect()}
     assert len(want) > 30 and len(want & got) >= 0.95 * len(want), (len(want), len(want & got))
     assert len(got - want) <= 0.1 * len(want)
+
+
+def test_first_least_equals_plain_windows():
+    """Against each window's own argmin, with many ties, for spans that are powers of two or not."""
+    rng = np.random.default_rng(3)
+    for n, span in ((1, 1), (14, 14), (15, 14), (500, 14), (500, 8), (500, 5), (500, 1)):
+        g = rng.integers(0, 6, n).astype(np.uint64)
+        view = np.lib.stride_tricks.sliding_window_view(g, span)
+        assert s.first_least(g, span).tolist() == (view.argmin(axis=1) + np.arange(len(view))).tolist()
