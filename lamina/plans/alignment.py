@@ -51,8 +51,7 @@ MATCH_SQL = NEAR.format(s=8, left="pp", right="pp") + f""", n AS (SELECT l.pid A
 @C.add("pp", MATCH_SQL + ";; SELECT p1,p2,x0,y0,round(x1,6) AS x1,round(y1,6) AS y1 FROM match")
 def surface_matches(spark, d):
     """Where mesh points lie on the meshes of other patches, from the three nearest points of each."""
-    p = V.patch_points(spark, d)
-    return align.surface_matches(p, p).select("p1", "p2", "x0", "y0", R("x1").alias("x1"), R("y1").alias("y1"))
+    return align.surface_matches(V.patch_points(spark, d)).select("p1", "p2", "x0", "y0", R("x1").alias("x1"), R("y1").alias("y1"))
 
 
 @C.add("pp", MATCH_SQL + """, m AS (SELECT *, (x0*7919+y0*104729+p1*1299709+p2*15485863)%1000003 AS draw FROM match),
@@ -62,9 +61,8 @@ def surface_matches(spark, d):
  SELECT p1,p2,pairs,round(t,5)+0 AS angle, round(ax0-cos(t)*ax1+sin(t)*ay1,4)+0 AS x, round(ay0-sin(t)*ax1-cos(t)*ay1,4)+0 AS y FROM s""")
 def patch_alignment(spark, d):
     """Rotation and shift between all patches that lie on one another, from their surface matches."""
-    p = V.patch_points(spark, d)
     draw = (F.col("x0") * 7919 + F.col("y0") * 104729 + F.col("p1") * 1299709 + F.col("p2") * 15485863) % 1000003
-    s = align.similarity(align.surface_matches(p, p).withColumn("draw", draw), 6, 0.02)
+    s = align.similarity(align.surface_matches(V.patch_points(spark, d)).withColumn("draw", draw), 6, 0.02)
     return s.select("p1", "p2", "pairs", *((R(c, n) + F.lit(0)).alias(c) for c, n in (("angle", 5), ("x", 4), ("y", 4))))
 
 
