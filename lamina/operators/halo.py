@@ -200,3 +200,62 @@ def sobel(b: Block) -> dict[str, np.ndarray]:
             v = before - after if axis == along else before + 2 * b.take(v, axis, here) + after
         out[f"d{name}"] = v
     return out
+
+
+def _shifted(b: Block, values: np.ndarray, radius: int) -> Callable[[tuple[int, int, int]], np.ndarray]:
+    """For an offset of up to ``radius``, the values there of each place of the cube; none beyond the volume's ends, where nothing is mirrored."""
+    out = np.zeros([hi - lo + 2 * radius for lo, hi in b.home], values.dtype)
+    span = [(max(lo - radius, low), min(hi + radius, high)) for (lo, hi), (low, high) in zip(b.home, b.reach, strict=True)]
+    to = tuple(slice(s - lo + radius, e - lo + radius) for (s, e), (lo, _) in zip(span, b.home, strict=True))
+    out[to] = values[tuple(slice(s - low, e - low) for (s, e), (low, _) in zip(span, b.reach, strict=True))]
+    return lambda o: out[tuple(slice(radius + k, radius + k + hi - lo) for k, (lo, hi) in zip(o, b.home, strict=True))]
+
+
+def rank_among(offsets: list[tuple[int, int, int]], radius: int) -> Callable[[Block], dict[str, np.ndarray]]:
+    """e: the share of the voxels at ``offsets`` that are at most as bright, of 255; those that are absent do not count."""
+
+    def run(b: Block) -> dict[str, np.ndarray]:
+        value, there = _shifted(b, b.value, radius), _shifted(b, b.there, radius)
+        here = b.here(b.value)
+        rank, total = np.zeros_like(here), np.zeros_like(here)
+        for o in offsets:
+            rank += there(o) & (value(o) <= here)
+            total += there(o)
+        return {"e": 255 * rank // np.maximum(total, 1)}
+
+    return run
+
+
+DIFFERING = {"v": "long", "n": "long", "d2": "long", "sz": "long", "sy": "long", "sx": "long"}
+
+
+def differing(radius: int) -> Callable[[Block], dict[str, np.ndarray]]:
+    """v, n, d2, sz, sy, sx: the own value; how many voxels of another value are nearest in the cube of ``radius``, their squared distance and the sum of their offsets; all zero without any."""
+    span = range(-radius, radius + 1)
+    shells: dict[int, list[tuple[int, int, int]]] = {}
+    for o in ((z, y, x) for z in span for y in span for x in span if (z, y, x) != (0, 0, 0)):
+        shells.setdefault(sum(k * k for k in o), []).append(o)
+
+    def run(b: Block) -> dict[str, np.ndarray]:
+        value, there = _shifted(b, b.value, radius), _shifted(b, b.there, radius)
+        here = b.here(b.value)
+        out = {k: here if k == "v" else np.zeros_like(here) for k in DIFFERING}
+        open_ = b.here(b.there)
+        for d2, offsets in sorted(shells.items()):
+            if not open_.any():
+                break
+            found = {k: np.zeros(here.shape, np.int16) for k in ("n", "sz", "sy", "sx")}
+            for o in offsets:
+                other = there(o) & (value(o) != here)
+                found["n"] += other
+                for a, k in zip(AXES, o, strict=True):
+                    if k:
+                        found[f"s{a}"] += np.int16(k) * other
+            at = open_ & (found["n"] > 0)
+            out["d2"][at] = d2
+            for k, v in found.items():
+                out[k][at] = v[at]
+            open_ = open_ & ~at
+        return out
+
+    return run

@@ -87,11 +87,8 @@ def gaussian_line(spark, d):
 @C.add("vox", """SELECT a.z,a.y,a.x, CAST(255*count(*) FILTER (b.g<=a.g)//count(*) AS BIGINT) AS e FROM vox a JOIN vox b ON b.z BETWEEN a.z-2 AND a.z+2 AND b.y=a.y AND b.x BETWEEN a.x-2 AND a.x+2 GROUP BY a.z,a.y,a.x,a.g""")
 def local_equalisation(spark, d):
     """Rank of each voxel among its 5 x 5 neighbours in z and x, as a byte."""
-    vox = V.voxels(spark, d)
     square = [(z, 0, x) for z in range(-2, 3) for x in range(-2, 3)]
-    sent = X.scatter(vox.select(*AXES, "g"), square, [F.col("g").alias("other")])
-    j = sent.join(vox.select(*AXES, "g"), AXES)
-    return j.groupBy(*AXES).agg(g.div(255 * F.count_if(F.col("other") <= F.col("g")), 1).alias("k"), F.count("*").alias("n")).select(*AXES, F.expr("k div n").alias("e"))
+    return H.stencil(V.voxels(spark, d), "g", "e", 2, H.rank_among(square, 2))
 
 
 @C.add("vox", """o AS (SELECT dz,dy,dx,dz*dz+dy*dy+dx*dx AS d2 FROM range(-2,3) a(dz), range(-2,3) b(dy), range(-2,3) c(dx)),

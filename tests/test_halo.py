@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lamina.operators import halo as H
+from lamina.plans import registry
 
 SIZE, LOW = (13, 9, 4), (100, -3, 7)
 
@@ -65,3 +66,37 @@ def test_every_cut_gives_the_same(spark, side):
 def test_empty_volume(spark):
     df = spark.createDataFrame([], "z long, y long, x long, g long")
     assert H.stencil(df, "g", "s", 2, H.gaussian_axes(5)).collect() == []
+
+
+@pytest.mark.parametrize("side", [3, 32])
+def test_nearest_of_another_value(spark, side):
+    """Counts, distances and sums of offsets, with absent voxels; one in a corner of equal ones finds none."""
+    vol = {k: 0 if k[0] > 8 else v // 20 for k, v in volume().items()}
+    span = range(-2, 3)
+    want = {}
+    for k, v in vol.items():
+        others = [(z * z + y * y + x * x, (z, y, x)) for z in span for y in span for x in span if vol.get((k[0] + z, k[1] + y, k[2] + x), v) != v]
+        d2 = min(others)[0] if others else 0
+        near = [o for e, o in others if e == d2]
+        want[k] = v, len(near), d2, *(sum(o[i] for o in near) for i in range(3))
+    assert any(not w[1] for w in want.values())
+    got = H.stencil(table(spark, vol), "g", "d", 2, H.differing(2), H.DIFFERING, side=side)
+    assert found(got, list(H.DIFFERING)) == want
+
+
+def test_wide_stencils_copy_no_voxel_to_its_whole_stencil(spark):
+    """They sent each voxel to 25 or 124 cells and joined these with the volume."""
+    for name in ("local_equalisation", "nearest_differing", "direction_field", "quantised_field"):
+        assert "Join" not in registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("side", [3, 32])
+def test_rank_among(spark, side):
+    """Among those of a flat square that are there."""
+    vol = volume(4)
+    square = [(z, 0, x) for z in range(-2, 3) for x in range(-2, 3)]
+    want = {}
+    for k, v in vol.items():
+        near = [vol[p] for p in (tuple(a + b for a, b in zip(k, o)) for o in square) if p in vol]
+        want[k] = (255 * sum(u <= v for u in near) // len(near),)
+    assert found(H.stencil(table(spark, vol), "g", "e", 2, H.rank_among(square, 2), side=side), ["e"]) == want
