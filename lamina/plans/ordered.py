@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
+from lamina.operators import halo
 from lamina.operators.ranges import running_sum
 from lamina.operators.sets import common_counts
 from lamina.operators.voxel import AXES, along, line, neighbours, scatter
@@ -127,10 +128,8 @@ def sorted_relations(spark, d):
 @C.add()
 def nearest_differing(spark, d):
     """Squared distance to the nearest voxel of another value, within two."""
-    vox = V.voxels(spark, d)
-    near = scatter(vox, neighbours(2, False), [F.col("v").alias("there")]).join(vox.select(*AXES, "v"), list(AXES)).where("there <> v")
-    d2 = near.groupBy(*AXES).agg(F.min(F.col("oz") ** 2 + F.col("oy") ** 2 + F.col("ox") ** 2).cast("long").alias("d2"))
-    return vox.select(*AXES).join(d2, list(AXES), "left")
+    near = halo.stencil(V.voxels(spark, d), "v", "d", 2, halo.differing(2), halo.DIFFERING)
+    return near.select(*AXES, F.nullif("d2", F.lit(0)).alias("d2"))
 
 
 C.sql["nearest_differing"] = V.oracle("vox", """o AS (SELECT dz,dy,dx,dz*dz+dy*dy+dx*dx AS d2 FROM range(-2,3) a(dz), range(-2,3) b(dy), range(-2,3) c(dx)),
