@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators import halo
+
 AXES = ("z", "y", "x")
 FACES = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
 
@@ -49,13 +51,10 @@ def dilate(vox: DataFrame, value: str, on: Column, allowed: Column) -> DataFrame
 
 
 def direction_field(vox: DataFrame, radius: int = 2) -> DataFrame:
-    """(z, y, x, fx, fy, fz): mean unit vector to the nearest voxels of another value, turned round inside the surface.
+    """(z, y, x, v, fx, fy, fz): mean unit vector to the nearest voxels of another value, turned round inside the surface.
 
     Voxels beyond the table count as absent. Cells without a different voxel within the radius have no row.
     """
-    rows = scatter(vox, neighbours(radius, False), [F.col("v").alias("there")]).withColumn("d2", F.col("oz") ** 2 + F.col("oy") ** 2 + F.col("ox") ** 2)
-    here = rows.join(vox.select("z", "y", "x", "v"), list(AXES)).where("there <> v")
-    shell = here.groupBy("z", "y", "x", "v", "d2").agg(*(F.sum(-F.col(f"o{a}")).alias(f"s{a}") for a in AXES), F.count("*").alias("n"))
-    near = shell.groupBy("z", "y", "x", "v").agg(F.min_by(F.struct("sz", "sy", "sx", "n", "d2"), "d2").alias("s"))
+    near = halo.stencil(vox, "v", "d", radius, halo.differing(radius), halo.DIFFERING).where("n > 0")
     sign = F.when(F.col("v") == 0, 1.0).otherwise(-1.0)
-    return near.select("z", "y", "x", *((sign * F.col(f"s.s{a}") / F.sqrt("s.d2") / F.col("s.n")).alias(f"f{a}") for a in ("x", "y", "z")))
+    return near.select("z", "y", "x", "v", *((sign * F.col(f"s{a}") / F.sqrt(F.col("d2").cast("double")) / F.col("n")).alias(f"f{a}") for a in ("x", "y", "z")))
