@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
+from lamina.operators.ends import TX, compared_ends
+from lamina.operators.mesh import normals
 from lamina.operators.ranges import ranked
 from lamina.sources.scratch import saved
-from lamina.operators.mesh import normals
 
-TX = "a b c d e f"
 
 
 def frames(relations: DataFrame) -> DataFrame:
@@ -62,13 +64,8 @@ def with_normals(points: DataFrame) -> DataFrame:
     return n.select("pid", "qx", "qy", "vx", "vy", "vz", *(F.coalesce(f"n{a}", F.lit(0.0)).alias(f"n{a}") for a in "xyz"))
 
 
-def rendered_walks(relations: DataFrame, points: DataFrame, length: int, banned: DataFrame | None = None) -> DataFrame:
-    """(v0, v1, ..., cells, worst) of each walk of ``length`` patches, v_k related to the one before.
-
-    The last patch's points are brought into the first one's frame along the walk and rounded to its mesh; ``worst`` is
-    the greatest distance of points that share a place, taken along either one's normal. Patches may come again.
-    ``points`` come from :func:`with_normals`.
-    """
+def walks_of(relations: DataFrame, length: int, banned: DataFrame | None = None) -> DataFrame:
+    """(v0, v1, ..., a ... f): walks of ``length`` patches, v_k related to the one before, with the last one's frame in the first one's. Patches may come again."""
     r = relations.where("p1 <> p2").select("p1", "p2", *TX.split())
     if banned is not None:
         for end in ("p1", "p2"):
@@ -78,15 +75,22 @@ def rendered_walks(relations: DataFrame, points: DataFrame, length: int, banned:
         more = r.select(F.col("p2").alias(f"v{k - 1}"), F.col("p1").alias(f"v{k}"), *(F.col(c).alias(f"_{c}") for c in TX.split()))
         both = g.compose(g.cols(TX), g.cols(TX, "_"))
         walk = walk.join(more, f"v{k - 1}").select(*(f"v{i}" for i in range(k + 1)), *(c.alias(n) for c, n in zip(both, TX.split(), strict=True)))
-    names, end = [f"v{i}" for i in range(length)], f"v{length - 1}"
-    values = [f"{p}{a}" for p in "vn" for a in "xyz"]
-    last = points.select(F.col("pid").alias(end), F.col("qx").alias("ux"), F.col("qy").alias("uy"), *(F.col(v).alias(f"l_{v}") for v in values))
-    x, y = g.apply(g.cols(TX), F.col("ux"), F.col("uy"))
-    at = walk.join(last, end).select(*names, g.half_up(x).alias("qx"), g.half_up(y).alias("qy"), *(f"l_{v}" for v in values))
-    first = points.withColumnRenamed("pid", "v0")
-    gap = g.sub(g.cols("vx vy vz"), g.cols("vx vy vz", "l_"))
-    far = F.greatest(F.abs(g.dot(gap, g.cols("nx ny nz"))), F.abs(g.dot(gap, g.cols("nx ny nz", "l_"))))
-    return at.join(first, ["v0", "qx", "qy"]).groupBy(*names).agg(F.count("*").alias("cells"), F.max(far).alias("worst"))
+    return walk
+
+
+def rendered_walks(relations: DataFrame, points: DataFrame, lengths: Sequence[int], banned: DataFrame | None = None) -> DataFrame:
+    """(v0, v1, ..., cells, worst) of each walk of so many patches, null beyond the end of shorter ones.
+
+    The last patch's points are brought into the first one's frame along the walk and rounded to its mesh; ``worst`` is
+    the greatest distance of points that share a place, taken along either one's normal.
+    """
+    names = [f"v{i}" for i in range(max(lengths))]
+    every = None
+    for k in lengths:
+        walk = walks_of(relations, k, banned)
+        walk = walk.select(F.col("v0").alias("first"), F.col(f"v{k - 1}").alias("last"), *(F.col(n) if i < k else F.lit(None).cast("long").alias(n) for i, n in enumerate(names)), *TX.split())
+        every = walk if every is None else every.unionByName(walk)
+    return compared_ends(every, points, names, True)
 
 
 def greedy_removal(tuples: DataFrame, members: str = "members") -> DataFrame:
@@ -122,10 +126,10 @@ def bad_patches(relations: DataFrame, points: DataFrame, lengths=(2, 3, 4, 5), l
     At each length the walks avoid what was removed before; a walk is bad beyond ``limit`` times its steps.
     """
     found = saved(relations.select(F.col("p1").alias("id"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("round")).limit(0))
-    points, scores = saved(with_normals(points)), None
+    points, scores = saved(points), None
     for length in lengths:
         names = [f"v{i}" for i in range(length)]
-        walks = saved(rendered_walks(relations, points, length, found.select("id")))
+        walks = saved(rendered_walks(relations, points, [length], found.select("id")))
         bad = walks.where(F.col("worst") > limit * (length - 1)).select(F.array(*names).alias("members"))
         gone = greedy_removal(bad).select("id", F.lit(length).alias("length"), "n", "round")
         found = saved(found.unionByName(gone))

@@ -84,9 +84,8 @@ RENDER = NORMAL + """, pn AS (SELECT pp.*, coalesce(x/l,0) AS nx, coalesce(y/l,0
  FROM s JOIN pn p ON p.pid=v0 AND p.qx=px AND p.qy=py GROUP BY 1,2,3""")
 def rendered_walks(spark, d):
     """Walks of two and three patches: the greatest distance along the normals where the last lies on the first."""
-    r, p = V.relations(spark, d), G.saved(walks.with_normals(V.patch_points(spark, d)))
-    two, three = (walks.rendered_walks(r, p, n) for n in (2, 3))
-    return two.withColumn("v2", F.lit(None).cast("long")).unionByName(three).select("v0", "v1", "v2", "cells", R("worst", 5).alias("worst"))
+    w = walks.rendered_walks(V.relations(spark, d), V.patch_points(spark, d), (2, 3))
+    return w.select("v0", "v1", "v2", "cells", R("worst", 5).alias("worst"))
 
 
 @C.add()
