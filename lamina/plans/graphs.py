@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lamina.functions import geometry as g
 from lamina.operators import graph as G
 from lamina.operators import relax
+from lamina.operators.ends import compared_ends
 from lamina.operators.walks import hitting_set as hitting_set_of
 from lamina.plans.aggregates import pair_scores
 from lamina.plans.catalog import Catalog
@@ -105,13 +106,9 @@ def walk_scores(relations, points, vertices: int):
         walk = walk.join(more, f"v{k - 1}")
         both = g.compose(g.cols("a b c d e f"), g.cols("na nb nc nd ne nf"))
         walk = walk.select(*(f"v{i}" for i in range(k + 1)), *(c.alias(n) for n, c in zip("abcdef", both, strict=True)))
-    end = f"v{vertices - 1}"
-    last = points.select(F.col("pid").alias(end), F.col("qx").alias("ux"), F.col("qy").alias("uy"), *(F.col(f"v{a}").alias(f"w{a}") for a in "xyz"))
-    x, y = g.apply(g.cols("a b c d e f"), F.col("ux"), F.col("uy"))
-    first = points.select(F.col("pid").alias("v0"), F.col("qx").alias("px"), F.col("qy").alias("py"), "vx", "vy", "vz")
-    at = walk.join(last, end).select(*(f"v{i}" for i in range(vertices)), g.half_up(x).alias("px"), g.half_up(y).alias("py"), "wx", "wy", "wz")
-    dist = g.distance(g.cols("vx vy vz"), g.cols("wx wy wz"))
-    return at.join(first, ["v0", "px", "py"]).groupBy(*(f"v{i}" for i in range(vertices))).agg(F.count("*").alias("cells"), R(F.max(dist)).alias("worst"))
+    names = [f"v{i}" for i in range(vertices)]
+    walk = walk.select(F.col("v0").alias("first"), F.col(names[-1]).alias("last"), *names, *"abcdef")
+    return compared_ends(walk, points, names, False).withColumn("worst", R("worst"))
 
 
 @C.add("rel pp", """k AS (SELECT m.p1 AS v0, m.p2 AS v1, n.p2 AS v2, m.a*n.a+m.b*n.d AS a, m.a*n.b+m.b*n.e AS b, m.a*n.c+m.b*n.f+m.c AS c, m.d*n.a+m.e*n.d AS d, m.d*n.b+m.e*n.e AS e, m.d*n.c+m.e*n.f+m.f AS f FROM rel m JOIN rel n ON m.p2=n.p1),
