@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ BLOCK = 1024  # keys of a block
 PAIRED = 64  # keys of a place that are paired as rows, at least
 TASK_PLACES = 1 << 16  # places of a task, about
 COLUMNS = 2048  # places of one product
+DENSE = 4096  # pairs of a place, beyond which a product costs less
+FEW = 1 << 19  # keys that may be broadcast
+ROWS = 1 << 16  # pairs of a batch
 
 
 def shared_places(sets: DataFrame, key: str, on: list[str]) -> DataFrame:
@@ -71,8 +77,6 @@ def _indicators(lists) -> np.ndarray:
 
 
 def _products(table):
-    import pyarrow as pa
-
     total = np.zeros((BLOCK, BLOCK), np.int64)
     for lo in range(0, table.num_rows, COLUMNS):
         part = table.slice(lo, COLUMNS).combine_chunks()
@@ -85,3 +89,67 @@ def _products(table):
     i, j = np.nonzero(np.triu(total, 1) if blocks[0] == blocks[1] else total)
     columns = [np.full(len(i), blocks[0], np.int32), i.astype(np.int32), np.full(len(i), blocks[1], np.int32), j.astype(np.int32), total[i, j]]
     return pa.table([pa.array(c) for c in columns], names=["block_a", "i_a", "block_b", "i_b", "_common"])
+
+
+# ---- two collections ----------------------------------------------------------------------------
+
+
+def met_counts(left: DataFrame, right: DataFrame, on: list[str], name: str, grown: Sequence[tuple] = (), keys: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(a, b, name): in how many places ``on`` a key of ``left`` (a, places) meets one of ``right`` (b, places); pairs without any are left out.
+
+    Repeated rows count once, a null coordinate is no place. ``grown`` are offsets to which all places of ``left`` spread first.
+    ``keys`` are the tables of a and of b, whose further columns the result has too. Keys are never paired as rows: each place has
+    lists of its keys, which go to the tasks of pairs of blocks of keys, where they are counted.
+    """
+    keys = keys or (left.select("a").distinct(), right.select("b").distinct())
+    numbered = [_numbered(k, side) for k, side in zip(keys, "ab", strict=True)]
+    lists = [_lists(rows, of, on, side) for rows, of, side in zip((left, right), numbered, "ab", strict=True)]
+    if grown:
+        o = F.array(*(F.struct(*(F.lit(v).cast("long").alias(c) for c, v in zip(on, step, strict=True))) for step in grown))
+        spread = lists[0].withColumn("_o", F.explode(o)).select(*((F.col(c) + F.col(f"_o.{c}")).alias(c) for c in on), "block_a", "in_a")
+        lists[0] = spread.groupBy(*on, "block_a").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("in_a")))).alias("in_a"))
+    lists[0] = saved(lists[0])
+    parts = max(1, lists[0].count() // (TASK_PLACES * max(1, lists[0].select("block_a").distinct().count())))
+    met = lists[0].join(lists[1], on).withColumn("part", F.pmod(F.xxhash64(*on), F.lit(parts)).cast("int"))
+    counts = met.select("block_a", "block_b", "part", "in_a", "in_b").groupBy("block_a", "block_b", "part").applyInArrow(_met, "block_a int, i_a short, block_b int, i_b short, _n long")
+    if parts > 1:
+        counts = counts.groupBy("block_a", "i_a", "block_b", "i_b").agg(F.sum("_n").alias("_n"))
+    for of, side in zip(numbered, "ab", strict=True):
+        counts = counts.join(F.broadcast(of) if of.count() <= FEW else of, [f"block_{side}", f"i_{side}"])
+    return counts.select(*keys[0].columns, *keys[1].columns, F.col("_n").alias(name))
+
+
+def _numbered(keys: DataFrame, side: str) -> DataFrame:
+    """The keys with their block and number in it."""
+    rank = ranked(keys.dropna(subset=[side]), side)
+    return saved(rank.select(*keys.columns, F.expr(f"cast((rank - 1) div {BLOCK} as int)").alias(f"block_{side}"), F.expr(f"cast((rank - 1) % {BLOCK} as short)").alias(f"i_{side}")))
+
+
+def _lists(rows: DataFrame, numbered: DataFrame, on: list[str], side: str) -> DataFrame:
+    """For each place and block of keys, those that stand there."""
+    of = numbered.select(side, f"block_{side}", f"i_{side}")
+    of = F.broadcast(of) if of.count() <= FEW else of
+    rows = rows.select(side, *on).dropna().join(of, side)
+    return rows.groupBy(*on, f"block_{side}").agg(F.array_sort(F.collect_set(f"i_{side}")).alias(f"in_{side}"))
+
+
+def _met(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a pair of blocks: by products of matrices (key by place) where lists are long, pair by pair where they are short."""
+    total = np.zeros((BLOCK, BLOCK), np.int64)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, COLUMNS):
+            a, b = (batch.slice(lo, COLUMNS).column(c) for c in ("in_a", "in_b"))
+            m, n = (x.value_lengths().to_numpy().astype(np.int64) for x in (a, b))
+            if (m * n).sum() > DENSE * len(m):
+                p, q = (_indicators(x).astype(np.float32) for x in (a, b))  # whole numbers up to COLUMNS, exact
+                total[: len(p), : len(q)] += (p @ q.T).astype(np.int64)
+                continue
+            left, right = (x.flatten().to_numpy().astype(np.int64) for x in (a, b))
+            width = np.repeat(n, m)
+            at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(np.repeat(np.cumsum(n) - n, m), width)
+            total += np.bincount(np.repeat(left, width) * BLOCK + right[at], minlength=BLOCK * BLOCK).reshape(BLOCK, BLOCK)
+    i, j = np.nonzero(total)
+    for lo in range(0, len(i), ROWS):
+        p, q = i[lo : lo + ROWS], j[lo : lo + ROWS]
+        blocks = [pa.array(np.full(len(p), k.as_py(), np.int32)) for k in key[:2]]
+        yield pa.RecordBatch.from_arrays([blocks[0], pa.array(p.astype(np.int16)), blocks[1], pa.array(q.astype(np.int16)), pa.array(total[p, q])], names=["block_a", "i_a", "block_b", "i_b", "_n"])

@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from lamina.operators import sets
 from lamina.operators.ranges import ranked, running_sum
 from lamina.operators.sets import common_counts, shared_places
 from lamina.plans import registry
@@ -84,3 +85,36 @@ def test_overlap_reads_point_sets():
     """The whole point sets, in which each set meets most others, not sets that stand along a strip."""
     for name in ("set_overlap", "shared_boundary"):
         assert "FROM surf" in registry.SQL[name] and "strip" not in registry.SQL[name]
+
+
+def met(left, right):
+    return Counter((a, b) for a, *p in set(left) for b, *q in set(right) if p == q)
+
+
+def test_met_counts(spark):
+    """Repeated rows, nulls, keys of several blocks, places of many keys (counted by products) and of few; in several parts; further columns of the keys."""
+    rng = random.Random(12)
+    left = [(3 * k, x, 0) for k in range(1100) for x in range(2) if rng.random() < 0.3] + [(3 * rng.randrange(1100), rng.randrange(40), 1) for _ in range(500)]
+    right = [(5 * k, x, 0) for k in range(1050) for x in range(2) if rng.random() < 0.3] + [(5 * rng.randrange(1050), rng.randrange(40), 1) for _ in range(500)]
+    table = lambda rows, side: spark.createDataFrame([*rows, *rows[:9], (1, None, 1), (None, 1, 1)], f"{side} long, x long, y long").repartition(3)
+    a, b = table(left, "a"), table(right, "b")
+    n = a.select("a").distinct().withColumn("na", F.col("a") + 1)
+    got = sets.met_counts(a, b, ["x", "y"], "n", keys=(n, b.select("b").distinct()))
+    rows, want = got.collect(), met(left, right)
+    assert {(r.a, r.b): r.n for r in rows} == want and len(rows) == len(want) and all(r.na == r.a + 1 for r in rows)
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().toString()
+    before, sets.TASK_PLACES = sets.TASK_PLACES, 7
+    try:
+        assert {(r.a, r.b): r.n for r in sets.met_counts(a, b, ["x", "y"], "n").collect()} == want
+    finally:
+        sets.TASK_PLACES = before
+    assert sets.met_counts(a.limit(0), b, ["x", "y"], "n").count() == 0
+
+
+def test_met_counts_grown(spark):
+    """Places of one side spread to their neighbours; where they overlap they count once."""
+    rng = random.Random(13)
+    left, right = ([(k, rng.randrange(12), rng.randrange(12)) for k in range(20) for _ in range(30)] for _ in range(2))
+    steps = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
+    got = sets.met_counts(spark.createDataFrame(left, "a long, x long, y long"), spark.createDataFrame(right, "b long, x long, y long"), ["x", "y"], "n", grown=steps).collect()
+    assert {(r.a, r.b): r.n for r in got} == met([(a, x + i, y + j) for a, x, y in left for i, j in steps], right)
