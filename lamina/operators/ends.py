@@ -50,11 +50,11 @@ class Places:
         return np.where(inside & (self.code[at] == code), self.order[at], -1)
 
 
-def _dot(p, q):
+def dot(p, q):
     return p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
 
 
-def _normals(places: Places, patch: np.ndarray, x: np.ndarray, y: np.ndarray, v: list[np.ndarray]) -> list[np.ndarray]:
+def mesh_normals(places: Places, patch: np.ndarray, x: np.ndarray, y: np.ndarray, v: list[np.ndarray]) -> list[np.ndarray]:
     """As :func:`mesh.normals`; a missing one is zero, so that it says nothing of a distance."""
     here = np.arange(len(x))
     near = [places.find(patch, x + i, y + j) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))]
@@ -62,7 +62,7 @@ def _normals(places: Places, patch: np.ndarray, x: np.ndarray, y: np.ndarray, v:
     side = [[c[np.where(k >= 0, k, here)] for c in v] for k in near]
     (a, b, c), (p, q, r) = ([m - n for m, n in zip(side[k], side[k + 1], strict=True)] for k in (0, 2))
     n = [b * r - c * q, c * p - a * r, a * q - b * p]
-    size = np.sqrt(_dot(n, n).astype(np.float64))
+    size = np.sqrt(dot(n, n).astype(np.float64))
     some = there & (size > 0)
     size = np.where(some, size, 1.0)
     return [np.where(some, k / size, 0.0) for k in n]
@@ -100,7 +100,7 @@ def compared_ends(walks: DataFrame, points: DataFrame, names: list[str], normal:
         x, y = (p.column(f"q{a}").to_numpy() for a in "xy")
         v = [p.column(f"v{a}").to_numpy() for a in "xyz"]
         places = Places(patch, x, y, len(ids))
-        n = _normals(places, patch, x, y, v) if normal else None
+        n = mesh_normals(places, patch, x, y, v) if normal else None
         first, last = (np.searchsorted(ids, w.column(c).to_numpy()) for c in ("first", "last"))
         a, b, c, d, e, f = (w.column(k).to_numpy() for k in TX.split())
         total = np.cumsum(places.count[last])
@@ -121,9 +121,9 @@ def compared_ends(walks: DataFrame, points: DataFrame, names: list[str], normal:
                 continue
             gap = [k[here] - k[there] for k in v]
             if normal:
-                far = np.maximum(*(np.abs(_dot(gap, [k[s] for k in n])) for s in (here, there)))
+                far = np.maximum(*(np.abs(dot(gap, [k[s] for k in n])) for s in (here, there)))
             else:
-                far = np.sqrt(_dot(gap, gap).astype(np.float64))
+                far = np.sqrt(dot(gap, gap).astype(np.float64))
             start = np.nonzero(np.concatenate([[True], walk[1:] != walk[:-1]]))[0]
             worst[walk[start]] = np.maximum.reduceat(far, start)
             cells[walk[start]] = np.diff(np.append(start, len(walk)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
-from lamina.operators import align, walks
+from lamina.operators import align
 from lamina.plans.catalog import Catalog
 from lamina.plans.joins import D3, NEAR
 from lamina.plans.voxels import NORMAL
@@ -74,10 +74,8 @@ GOOD_SQL = "good AS (SELECT DISTINCT least(p1,p2) AS a, greatest(p1,p2) AS b FRO
  FROM pn i JOIN pn j USING (gx,gy) WHERE i.pid<j.pid AND NOT EXISTS (SELECT 1 FROM good WHERE a=i.pid AND b=j.pid) GROUP BY 1,2""")
 def cell_normal_distances(spark, d):
     """In each cell the greatest distance along the normals between two patches that are not known to fit."""
-    p = V.placed_points(spark, d)
-    points = walks.with_normals(p).join(p.select("pid", "qx", "qy", "gx", "gy"), ["pid", "qx", "qy"]).drop("qx", "qy")
     good = V.edges(spark, d).where("w <= 4").select(F.col("p1").alias("a"), F.col("p2").alias("b"))
-    return align.cell_distances(points, ["gx", "gy"], good).select("gx", "gy", "pairs", R("worst", 5).alias("worst"))
+    return align.placed_distances(V.placed_points(spark, d, True), good).select("gx", "gy", "pairs", R("worst", 5).alias("worst"))
 
 
 @C.add("rel pp", """x AS (SELECT pid, min(vx) AS x0, max(vx) AS x1, min(vy) AS y0, max(vy) AS y1, min(vz) AS z0, max(vz) AS z1 FROM pp GROUP BY pid),

@@ -8,6 +8,7 @@ import random
 import pytest
 
 from lamina.operators import align
+from lamina.operators.walks import with_normals
 from lamina.sources import raster_files as RF
 from lamina.sources import sheets
 
@@ -107,3 +108,19 @@ def test_sheets_for_each_row(spark):
     assert of(1) == sorted((x, 2 + x, z) for x in range(3) for z in range(3))
     assert of(2) == sorted((x, z + k, z) for x in range(2) for z in range(2) for k in (0, 1))
     assert len(of(3)) == 100 - 16 and {r.id for r in rows} == {1, 2, 3}
+
+
+@pytest.mark.parametrize(("side", "crowded"), [(32, 1 << 20), (3, 1 << 20), (4, 60), (32, 0)])
+def test_placed_distances(spark, side, crowded):
+    """Squares of any side, some or all of them crowded, give what :func:`cell_distances` gives with normals of whole patches."""
+    rng = random.Random(8)
+    rows = [(p, x, y, x + 3 * p - 9, y + p % 3, 4 * x + rng.randint(0, 2), 4 * y + rng.randint(0, 2), rng.randint(0, 9)) for p in range(7) for x in range(-3, 4) for y in range(-3, 4) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "pid long, qx long, qy long, gx long, gy long, vx long, vy long, vz long").repartition(3)
+    good = spark.createDataFrame([(1, 2), (2, 1), (5, 3), (9, 1)], "a long, b long")
+    points = with_normals(df).join(df.select("pid", "qx", "qy", "gx", "gy"), ["pid", "qx", "qy"]).drop("qx", "qy")
+    want = {(r.gx, r.gy): (r.pairs, round(r.worst, 9)) for r in align.cell_distances(points, ["gx", "gy"], good).collect()}
+    got = align.placed_distances(df, good, side, crowded)
+    rows = got.collect()
+    assert {(r.gx, r.gy): (r.pairs, round(r.worst, 9)) for r in rows} == want and len(rows) == len(want) > 40
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()  # pairs were rows, and were shuffled
+    assert align.placed_distances(df.limit(0), good).count() == 0
