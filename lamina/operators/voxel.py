@@ -12,9 +12,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.functions.geometry import cell
 from lamina.operators import halo
 
 AXES = ("z", "y", "x")
+WORD = 64
 FACES = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
 
 
@@ -50,6 +52,27 @@ def dilate(vox: DataFrame, value: str, on: Column, allowed: Column) -> DataFrame
     return vox.join(sent, list(AXES), "left").withColumn("grown", on | (allowed & F.coalesce("_near", F.lit(False)))).drop("_near")
 
 
+def dilated_sets(points: DataFrame, key: str) -> DataFrame:
+    """(key, x, y, z): the points of each set with all around them (cubes of 27), each once; repeated points count once.
+
+    A point goes to the tiles of 64 cubed that its cube reaches, where a line along z is one word of bits. So the rows are shuffled
+    once, with the margins, and what grows stays in its tile; a set is as many tasks as it has tiles.
+    """
+    rows = points.select(key, "x", "y", "z").dropna()
+    for a, tile in (("x", "_i"), ("y", "_j"), ("z", "_k")):
+        rows = rows.withColumn(tile, F.explode(F.sequence(cell(F.col(a) - 1, WORD), cell(F.col(a) + 1, WORD))))
+    tiles = [key, "_i", "_j", "_k"]
+    # the bits of z - 1, z and z + 1 that lie in the word
+    at = rows.withColumn("_z", (F.col("z") - F.col("_k") * WORD).cast("int"))
+    bits = F.expr("if(_z > 0, shiftleft(7L, _z - 1), shiftright(7L, 1 - _z))")
+    lines = at.select(*tiles, "x", "y", bits.alias("_m")).repartition(*tiles).groupBy(*tiles, "x", "y").agg(F.bit_or("_m").alias("_m"))
+    steps = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    spread = lines.withColumn("_o", F.explode(steps)).select(*tiles, (F.col("x") + F.col("_o.i")).alias("x"), (F.col("y") + F.col("_o.j")).alias("y"), "_m")
+    spread = spread.where((cell(F.col("x"), WORD) == F.col("_i")) & (cell(F.col("y"), WORD) == F.col("_j")))
+    full = spread.groupBy(*tiles, "x", "y").agg(F.bit_or("_m").alias("_m")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))))
+    return full.where("shiftright(_m, _b) & 1 = 1").select(key, "x", "y", (F.col("_k") * WORD + F.col("_b")).alias("z"))
+
+
 def direction_field(vox: DataFrame, radius: int = 2) -> DataFrame:
     """(z, y, x, v, fx, fy, fz): mean unit vector to the nearest voxels of another value, turned round inside the surface.
 

@@ -9,7 +9,7 @@ from lamina.functions import geometry as g
 from lamina.operators import halo
 from lamina.operators.ranges import running_sum
 from lamina.operators.sets import common_counts
-from lamina.operators.voxel import AXES, along, line, neighbours, scatter
+from lamina.operators.voxel import AXES, along, dilated_sets, line
 from lamina.plans.catalog import Catalog
 from lamina.sources import views as V
 
@@ -186,7 +186,7 @@ def symmetric_closure(spark, d):
 
 @C.add("surf", "SELECT DISTINCT file, x+dx AS x, y+dy AS y, z+dz AS z FROM surf, range(-1,2) a(dx), range(-1,2) b(dy), range(-1,2) c(dz)")
 def dilate_set(spark, d):
-    return scatter(V.point_sets(spark, d), neighbours(1), [F.col("file")]).select("file", "x", "y", "z").distinct()
+    return dilated_sets(V.set_points(spark, d), "file")
 
 
 @C.add("surf", "SELECT DISTINCT file, x, z FROM surf")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lamina.operators import sets
 from lamina.operators.ranges import ranked, running_sum
 from lamina.operators.sets import common_counts, shared_places
+from lamina.operators.voxel import dilated_sets
 from lamina.plans import registry
 from lamina.plans.voxels import class_regions
 
@@ -118,3 +119,18 @@ def test_met_counts_grown(spark):
     steps = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
     got = sets.met_counts(spark.createDataFrame(left, "a long, x long, y long"), spark.createDataFrame(right, "b long, x long, y long"), ["x", "y"], "n", grown=steps).collect()
     assert {(r.a, r.b): r.n for r in got} == met([(a, x + i, y + j) for a, x, y in left for i, j in steps], right)
+
+
+def test_dilated_sets(spark):
+    """Points at the ends of words and tiles, below zero, repeated; sets of their own; a null is no point. Rows are shuffled once."""
+    rng = random.Random(14)
+    ends_ = (-65, -64, -1, 0, 1, 62, 63, 64, 127, 128)
+    points = [(k, rng.choice(ends_), rng.choice(ends_), rng.choice(ends_)) for k in (1, 2) for _ in range(150)]
+    df = spark.createDataFrame([*points, *points[:20], (3, None, 1, 1), (None, 1, 1, 1)], "file long, x long, y long, z long").repartition(3)
+    near = (-1, 0, 1)
+    want = {(k, x + a, y + b, z + c) for k, x, y, z in points for a in near for b in near for c in near}
+    got = dilated_sets(df, "file")
+    rows = got.collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    plan = dilated_sets(spark.range(5).selectExpr("id as file", "id as x", "id as y", "id as z"), "file")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
